@@ -43,7 +43,40 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_backtrack.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_decontaminate, op10_sentencepiece)}
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_crf
+
+    docs = table(spark, sf_dir, "documents")
+    return secret_crf.scan(docs, secret_crf.train(docs), keep=["doc_id"])
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import va_topk
+
+    return va_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import interleave
+
+    out = interleave.interleave(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import span_dedup
+
+    return span_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii_lstm
+
+    docs = table(spark, sf_dir, "documents")
+    return pii_lstm.scan(docs, pii_lstm.train(docs), keep=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_toxicity, op4_topk, op5_decontaminate, op6_shards, op8_span_dedup, op9_pii, op10_sentencepiece)}
 
 
 def queries() -> dict:
