@@ -24,3 +24,14 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, cast(list_sum(list_transform(range(
 r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS integer) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+ORACLES["op1_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 3], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+k AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS cnt FROM sh AS a JOIN sh AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM k JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * cnt >= 85 * (x.n + y.n - cnt)),
+r AS (SELECT a AS doc_id, b AS seen FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen)
+SELECT d.doc_id, cast(coalesce(n.n, 0) AS bigint) AS n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(seen) AS m FROM r GROUP BY doc_id) AS m USING (doc_id)
+"""

@@ -43,6 +43,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_backtrack.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.join(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_crf
 
@@ -76,7 +82,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_lstm.scan(docs, pii_lstm.train(docs), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_toxicity, op4_topk, op5_decontaminate, op6_shards, op8_span_dedup, op9_pii, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_secrets, op3_toxicity, op4_topk, op5_decontaminate, op6_shards, op8_span_dedup, op9_pii, op10_sentencepiece)}
 
 
 def queries() -> dict:

@@ -83,7 +83,7 @@ def grams(h: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U), np.zeros(0, bool)
-    out = np.full(n, U(k * 0x2545F4914F6CDD1D & (1 << 64) - 1))
+    out = np.full(n, U(int(k) * 0x2545F4914F6CDD1D & (1 << 64) - 1))
     for j in range(k):
         out = out * U(0xF1357AEA2E62A9C5) + h[j : j + n]
     return mix(out), d[k - 1 :] == d[:n]
