@@ -69,6 +69,14 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import trie_lm
+
+    out = trie_lm.lm_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import span_dedup
 
@@ -82,7 +90,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_lstm.scan(docs, pii_lstm.train(docs), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_secrets, op3_toxicity, op4_topk, op5_decontaminate, op6_shards, op8_span_dedup, op9_pii, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_secrets, op3_toxicity, op4_topk, op5_decontaminate, op6_shards, op7_lm_scores, op8_span_dedup, op9_pii, op10_sentencepiece)}
 
 
 def queries() -> dict:
