@@ -221,3 +221,24 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
     least = written(named.groupBy("root").agg(F.min("rep").alias("component_id")), "join-least")
     known = named.join(least, "root").select("c", "component_id")
     return rows.join(known, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("c").alias("class_id"))
+
+
+def one_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows and columns of one document of each component, the one with the least id; without words or id rows stay."""
+    found = written(join(docs, doc_id=doc_id, text=text, words=words, percent=percent), "join-found")
+    kept = written(found.where("doc_id = component_id AND n_shingles > 0").groupBy("class_id", "doc_id").agg(F.count("*").alias("copies")), "join-kept")
+
+    def make():
+        def each(texts, _):
+            sets = shingle_sets(Words(*utf8_parts(texts), SPACED), words)
+            return [pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())]
+
+        return each
+
+    rows = map_docs(docs, text, docs.columns, T.StructType([T.StructField("__class", T.LongType())]), make)
+    free = F.col("__class").isNull() | F.col(f"`{doc_id}`").isNull()
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    stay = rows.join(kept.select(F.col("class_id").alias("__class"), F.col("doc_id").alias("__id")), "__class").where(F.col(f"`{doc_id}`") == F.col("__id"))
+    if kept.where("copies > 1").limit(1).count():  # an id that comes more than once with one text
+        stay = stay.dropDuplicates(["__class", "__id"])
+    return stay.select(*own).unionByName(rows.where(free).select(*own))

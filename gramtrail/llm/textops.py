@@ -123,8 +123,9 @@ def map_docs(df: DataFrame, text: str, keep: Iterable[str], fields: T.StructType
     that of a field gives way to it.
     """
     keep = [c for c in dict.fromkeys(keep) if c not in fields.fieldNames()]
-    rows = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
-    schema = T.StructType([rows.schema[c] for c in keep] + list(fields))
+    same = text in keep and isinstance(df.schema[text].dataType, T.StringType)  # the text goes to Python once
+    rows = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep if not (same and c == text)])
+    schema = T.StructType([df.schema[c] for c in keep] + list(fields))
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +133,8 @@ def map_docs(df: DataFrame, text: str, keep: Iterable[str], fields: T.StructType
         for batch in batches:
             for part in slices(batch):
                 new = [x if isinstance(x, pa.Array) else pa.array(x) for x in each(part.column(0), part)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], names=names)
+                old = {n: part.column(i) for i, n in enumerate(part.schema.names)}
+                yield pa.RecordBatch.from_arrays([*[old["__text" if same and c == text else c] for c in keep], *new], names=names)
 
     return rows.mapInArrow(run, schema)
 
