@@ -10,7 +10,7 @@ from ..functions import text as X
 
 def folder(spark: SparkSession, root: str, pattern: str = "*.rs") -> DataFrame:
     """doc_id, path (below root, with forward slashes) and text of the files of a folder, hidden and build folders left out."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(root)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     path = F.regexp_replace(F.col("_metadata.file_path"), r"\\", "/")
     base = F.lit(root.rstrip("/") + "/")
     below = F.expr("substring_index(p, r, -1)")
@@ -21,7 +21,7 @@ def folder(spark: SparkSession, root: str, pattern: str = "*.rs") -> DataFrame:
 
 def text_tokens(spark: SparkSession, path: str) -> DataFrame:
     """token and pos of a text file, split at white space."""
-    rows = spark.read.option("wholetext", "true").text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.posexplode(X.tokenize(F.col("value"), "space")).alias("pos", "token")).select("token", F.col("pos").cast("long").alias("pos"))
 
 
