@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import fuzzy, hybrid, phrase
-from .corpus import Corpus
+from .corpus import Corpus, prefix_sums
 from .results import windows
 
 
@@ -48,7 +48,7 @@ def relevant_positions(corpus: Corpus, hits: DataFrame, config: PromptConfig = P
     around = hits.select(F.explode(F.sequence(F.greatest(F.col("position") - config.window, F.lit(0)), F.col("position") + config.window)).alias("pos")).distinct()
     found = around.join(corpus.tokens.select("pos", "token"), "pos")
     total = found.agg(F.count("*").alias("__n"))
-    ranked = found.withColumn("__i", F.row_number().over(Window.orderBy("pos")) - 1).crossJoin(F.broadcast(total))  # the positions of one prompt; one row of totals
+    ranked = prefix_sums(found.withColumn("__one", F.lit(1)), "pos", "__one", "__i").crossJoin(F.broadcast(total))  # one row of totals
     over = F.ceil(F.col("__n") / config.max_context_tokens) if config.strict_budget else F.floor(F.col("__n") / config.max_context_tokens)
     step = F.greatest(over, F.lit(1))
     return ranked.where(F.col("__i") % step == 0).select("pos", "token")

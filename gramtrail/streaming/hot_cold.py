@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import phrase
-from ..operators.corpus import Corpus
+from ..operators.corpus import Corpus, prefix_sums
 
 ROWS = T.StructType([T.StructField("token", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("batch", T.LongType())])
 
@@ -33,14 +33,12 @@ class TokenStream:
         return self.spark.read.schema(ROWS).option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows")
 
     def append(self, tokens: DataFrame, batch: int, order: list[str] | None = None) -> None:
-        """Write tokens(token and the order columns) as one batch, after the positions of the batches before it."""
+        """Write tokens(token and the order columns, numbers) as one batch, after the positions of the batches before it."""
         done = self.rows().where(F.col("batch") < batch)
         start = done.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
         keys = order or ["ord"]
-        # Positions from runs of the first order column, so that no one task numbers the whole batch.
-        runs = tokens.groupBy(keys[0]).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(keys[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each run
-        starts = runs.select(keys[0], before.alias("s"))
+        # Positions from counts by the first order column, summed in two levels, so that no task numbers the whole batch.
+        starts = prefix_sums(tokens.groupBy(keys[0]).agg(F.count("*").alias("n")), keys[0], "n", "s").select(keys[0], "s")
         inside = F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys)) - 1
         out = tokens.withColumn("i", inside).join(starts, keys[0]).select("token", (F.lit(start) + F.col("s") + F.col("i")).cast("long").alias("pos"))
         out.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
