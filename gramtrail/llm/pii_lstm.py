@@ -181,8 +181,9 @@ class Net:
                 dh, dc = dg @ self.h[way].T, dc * f
         return [p / n for p in (dx, dh_w, d_out, de.sum((0, 1)), d_move)]
 
-    def fit(self, codes: np.ndarray, tags: np.ndarray, *, epochs: int = 8, batch: int = 64, rate: float = 0.02, seed: int = 4) -> "Net":
-        """Adam over shuffled batches."""
+    def fit(self, codes: np.ndarray, tags: np.ndarray, *, epochs: int | None = None, batch: int = 64, rate: float = 0.02, seed: int = 4) -> "Net":
+        """Adam over shuffled batches; by default as many passes as make some 320 steps, six at least."""
+        epochs = epochs or max(6, -(-320 * batch // max(1, len(codes))))
         r, parts = np.random.default_rng(seed), [self.x, self.h, self.out, self.bias, self.move]
         m, v, k = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
         for epoch in range(epochs):
@@ -192,7 +193,7 @@ class Net:
                 for p, g, mi, vi in zip(parts, self.step(codes[order[a : a + batch]], tags[order[a : a + batch]]), m, v, strict=True):
                     mi += 0.1 * (g - mi)
                     vi += 0.001 * (g * g - vi)
-                    p -= rate * 0.6**epoch * (mi / (1 - 0.9**k) / (np.sqrt(vi / (1 - 0.999**k)) + 1e-8)).astype(p.dtype)
+                    p -= rate * 0.02 ** (epoch / epochs) * (mi / (1 - 0.9**k) / (np.sqrt(vi / (1 - 0.999**k)) + 1e-8)).astype(p.dtype)
         return self
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
