@@ -7,9 +7,9 @@ probe. A class therefore lengthens its prefix until at most l - m of its l-prefi
 shares at least m of the others, and only these are indexed. m grows with the estimated number of candidates.
 Candidates that share enough are verified on whole sets.
 
-Before that, each class is compared with the least and the greatest class of its minhash bands, and what is found
-linked is one component. Pairs within a component need no probe, so thousands of near copies cost two pairs a
-band each and not their square. Classes whose prefix is costly throughout meet each other on whole prefixes.
+Before that, each class is compared with the hub of its minhash bands, and what is found linked is one
+component. Pairs within a component need no probe, so thousands of near copies cost a pair each and not their
+square. Classes whose prefix is costly throughout meet each other on prefixes of their whole sets, rarest first.
 
 Cases: a null or wordless text has an empty set and no link; with fewer words than a shingle the whole sequence is
 its one shingle; rows with one id and other texts are separate; repeated rows get a row each; an empty table gives
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,8 @@ from .textops import SPACED, U, Words, grams, map_docs, mix, utf8_parts
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 6, 2
-#: A shingle in the prefixes of so many classes is costly; a class with so many candidates asks for one more match.
-COSTLY, MANY = 48, 96
+#: A shingle in the prefixes of so many classes is costly; a class with so many candidates asks for more matches.
+COSTLY, MANY = 48, 8
 BROADCAST_ROWS = 1_000_000
 
 
@@ -93,34 +93,49 @@ def _lists(arrays: list, kind: pa.DataType) -> pa.Array:
 _NO_LONGS = np.zeros(0, np.int64)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """c and s, the whole set as bytes, of the wanted classes (c, rep); read again from the texts."""
-    few = wanted.count() <= BROADCAST_ROWS
-    found = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("rep"))
+def _small(rows: DataFrame) -> DataFrame:
+    """The rows, marked for broadcast where there are at most BROADCAST_ROWS of them."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule, out: str) -> DataFrame:
+    """The wanted rows (c, rep, a) with the whole set of c as bytes, read again from the texts."""
+    found = docs.join(_small(written(wanted, "join-wanted")), F.col("doc_id") == F.col("rep"))
 
     def make():
         def each(texts, _):
             sets = shingle_sets(Words(*utf8_parts(texts), SPACED), rule.words)
-            return [np.array([class_of(s) for s in sets], np.int64), pa.array([s.tobytes() for s in sets], pa.binary())]
+            return [np.array([class_of(s) for s in sets], np.int64), pa.array([packed(s) for s in sets], pa.binary())]
 
         return each
 
-    got = map_docs(found, "text", ["c"], T.StructType([T.StructField("c2", T.LongType()), T.StructField("s", T.BinaryType())]), make)
-    return got.where("c = c2").select("c", "s").dropDuplicates(["c"])
+    got = map_docs(found, "text", ["a", "c"], T.StructType([T.StructField("__c", T.LongType()), T.StructField(out, T.BinaryType())]), make)
+    return got.where("c = __c").drop("__c")
+
+
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each shingle: chance agreement within a pair of sets stays out of reach."""
+    return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def unpacked(b: pa.Buffer) -> np.ndarray:
+    out = np.zeros((b.size // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(U)
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets are similar enough."""
-    pairs = written(pairs, "join-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep"), "c")
-    sets = written(_sets(docs, written(wanted, "join-wanted"), rule), "join-sets")
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
+    """The pairs (a, b) of classes whose whole sets are similar enough; each set of b travels once a pair, that of a once."""
+    pairs, reps = written(pairs, "join-pairs"), classes.select("c", "rep")
+    sets = _sets(docs, pairs.join(reps, F.col("b") == F.col("c")).select("a", "c", "rep"), rule, "y")
+    heads = _sets(docs, pairs.select("a").distinct().join(reps, F.col("a") == F.col("c")).select("a", "c", "rep"), rule, "x")
+    both = sets.withColumnRenamed("c", "b").join(heads.select("a", "x"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= rule.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
@@ -128,25 +143,61 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule)
     return both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def _stars(docs: DataFrame, classes: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Links between near copies and parts(c, rep, n, comp): two rounds over the hubs of minhash bands.
+
+    The hub of a band is the class that shares its bands with most others, the likely middle of a group of copies. First
+    each class meets the hub that it shares most bands with, then one pair speaks for each two components that still
+    share a band with a hub.
+    """
+    bands = classes.select("c", F.explode("bands").alias("band"))
+    size = written(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "join-bands")
+    crowd = written(bands.join(size, "band"), "join-crowd")
+    score = written(crowd.groupBy("c").agg(F.sum("n").alias("score")), "join-score")
+    hubs = written(crowd.join(score, "c").groupBy("band").agg(F.max(F.struct("score", "c")).alias("hub")).select("band", F.col("hub.c").alias("d")), "join-hubs")
+    meets = written(crowd.select("c", "band").join(hubs, "band").where("c <> d").groupBy("c", "d").agg(F.count("*").alias("n")), "join-meets")
+    best = meets.groupBy("c").agg(F.max(F.struct("n", "d")).alias("best")).select(F.col("best.d").alias("a"), F.col("c").alias("b"))
+    links, parts = written(_verified(docs, classes, best, rule), "join-near"), None
+    for last in (False, True):
+        roots = components(links).withColumnRenamed("node", "c")
+        parts = written(classes.join(roots, "c", "left").select("c", "rep", "n", F.coalesce("root", "c").alias("comp")), "join-parts")
+        if last:
+            return links, parts
+        comp = parts.select("c", "comp")
+        apart = meets.join(comp, "c").join(comp.select(F.col("c").alias("d"), F.col("comp").alias("comp2")), "d").where("comp <> comp2")
+        least, most = F.least("comp", "comp2"), F.greatest("comp", "comp2")
+        best = apart.groupBy(least.alias("p"), most.alias("q")).agg(F.max(F.struct("n", "c", "d")).alias("best")).select(F.col("best.d").alias("a"), F.col("best.c").alias("b"))
+        links = links.union(written(_verified(docs, classes, best, rule), "join-near"))
+    raise AssertionError
+
+
 def plan(n: int, where: np.ndarray, cost: np.ndarray, rule: Rule) -> tuple[int, int, np.ndarray]:
     """l, m and which of the listed shared shingles to index, for a class of n shingles; l is 0 if no prefix will do.
 
     where are places in the order, cost the classes that share the shingle; shingles not given are shared with none.
     """
-    base, costly = n - int(rule.need(n)), cost >= COSTLY
-    for m in (3, 2, 1):
-        for more in range(m - 1, int(rule.longest(np.int64(n))) + 1):
-            inside = where < base + 1 + more
-            if (costly & inside).sum() <= more + 1 - m:
-                use = inside & ~costly
-                if m == 1 or cost[use].sum() >= MANY * (m - 1):
-                    return more + 1, m, use
-                break
-    return 0, 1, ~costly
+    base, costly, most = n - int(rule.need(n)), cost >= COSTLY, int(rule.longest(np.int64(n)))
+
+    def prefix(m: int) -> tuple[int, int, np.ndarray] | None:
+        for l in range(m, most + 2):
+            inside = where < base + l
+            if (costly & inside).sum() <= l - m:
+                return l, m, inside & ~costly
+        return None
+
+    one = prefix(1)
+    if one is None:
+        return 0, 1, ~costly
+    # The more candidates the shortest prefix would give, the more matches are asked for, as far as the listed shingles go.
+    if cost[one[2]].sum() >= MANY:
+        for m in range(most + 1, 1, -1):
+            if more := prefix(m):
+                return more
+    return one
 
 
 def _adapted(shared: DataFrame, rule: Rule) -> DataFrame:
-    """c, comp, n, l, m and the tokens to index of each class; for l = 0 also the whole first prefix as hot."""
+    """c, comp, n, l, m and the tokens to index of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,11 +205,69 @@ def _adapted(shared: DataFrame, rule: Rule) -> DataFrame:
             for c, comp, n, got in zip(*[x.to_pylist() for x in batch.columns], strict=True):
                 where, cost, token = (np.array([g[k] for g in got], np.int64) for k in ("place", "cost", "token"))
                 l, m, use = plan(n, where, cost, rule)
-                rows.append((c, comp, n, l, m, token[use], _NO_LONGS if l else token[where < n - rule.need(n) + 1]))
+                rows.append((c, comp, n, l, m, token[use]))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, k) for x, k in zip(cols[:5], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], _lists(cols[5], pa.int64()), _lists(cols[6], pa.int64())], names=["c", "comp", "n", "l", "m", "tokens", "hot"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, k) for x, k in zip(cols[:5], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], _lists(cols[5], pa.int64())], names=["c", "comp", "n", "l", "m", "tokens"])
+
+    return shared.mapInArrow(run, "c long, comp long, n long, l int, m int, tokens array<long>")
 
-    return shared.mapInArrow(run, "c long, comp long, n long, l int, m int, tokens array<long>, hot array<long>")
+
+def _rarest(docs: DataFrame, classes: DataFrame, dear: DataFrame, near: DataFrame, rule: Rule, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """For classes whose listed prefix is costly throughout: links to hubs, and what to index of the rest.
+
+    The hub of a shingle is the class whose shingles are shared most; each class meets the two hubs that it shares most
+    shingles with, in each round. What they link is one component with what `near` links. Then prefixes are taken from whole sets, rarest first: by
+    whether several components have a shingle, how many classes have it, and hash. Shingles of one component alone come
+    first and need no index, so a class with many of them has little or nothing left to index.
+    """
+    found = docs.join(_small(written(dear.select("c", "comp", "n").join(classes.select("c", "rep"), "c"), "join-dear")), F.col("doc_id") == F.col("rep"))
+
+    def make():
+        def each(texts, _):
+            sets = shingle_sets(Words(*utf8_parts(texts), SPACED), rule.words)
+            return [np.array([class_of(s) for s in sets], np.int64), _lists([s.view(np.int64) for s in sets], pa.int64())]
+
+        return each
+
+    whole = map_docs(found, "text", ["c", "comp", "n"], T.StructType([T.StructField("__c", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]), make).where("c = __c").drop("__c")
+    whole = written(whole, "join-whole")
+    links = None
+    for last in range(rounds + 1):
+        each = whole.select("c", "comp", "n", F.explode("tokens").alias("token"))
+        spread = written(each.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("cost")).where("lo < hi").select("token", "cost"), "join-spread")
+        rows = each.join(spread, "token")
+        if last == rounds:
+            break
+        score = written(rows.groupBy("c", "comp").agg((F.sum("cost") / F.first("n")).alias("score")), "join-score")
+        hubs = written(rows.select("c", "token").join(score, "c").groupBy("token").agg(F.max(F.struct("score", "c", "comp")).alias("hub")).select("token", F.col("hub.c").alias("d"), F.col("hub.comp").alias("comp2")), "join-hubs")
+        meets = rows.select("c", "comp", "token").join(hubs, "token").where("comp <> comp2").groupBy("c", "d").agg(F.count("*").alias("n"))
+        best = meets.withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "d"))).where("i <= 2").select(F.col("d").alias("a"), F.col("c").alias("b"))  # the hubs of one class
+        found = written(_verified(docs, classes, best, rule), "join-hub-links")
+        links = found if links is None else links.union(found)
+        roots = components(near.union(links)).withColumnRenamed("node", "c")
+        whole = written(whole.join(roots, "c", "left").select("c", F.coalesce("root", "comp").alias("comp"), "n", "tokens"), "join-whole")
+    shared = rows.groupBy("c", "comp", "n").agg(F.sort_array(F.collect_set(F.struct("cost", "token"))).alias("got"))  # shingles of one class
+    # A larger partner shares at least `even` shingles with a class, any partner at least `need`.
+    n, own = F.col("n"), F.col("n") - F.size("got")
+    need, even = -F.floor(-rule.percent * n / 100), -F.floor(-2 * rule.percent * n / (100 + rule.percent))
+    out = shared.withColumns({"shared": F.size("got"), "short": n - even + 1 - own, "long": n - need + 1 - own}).where("long > 0")
+    return links, out.select("c", "comp", "n", "shared", "short", F.transform(F.slice("got", F.lit(1), F.col("long").cast("int")), lambda g: g["token"]).alias("tokens"))
+
+
+def _rare_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of classes of different components whose rarest shingles leave enough of an overlap possible.
+
+    The short prefix of the smaller class meets the long one of the larger. The overlap is at most what either class
+    shares at all, and at most the matches so far and what stands behind the last one.
+    """
+    large = rows.select("c", "comp", "n", "shared", "short", F.posexplode("tokens").alias("i", "token"))
+    small = large.where("i < short").drop("short")
+    large = large.select(*[F.col(x).alias(f"{x}2") for x in ("c", "comp", "n", "shared", "i")], "token")
+    reach = lambda most: (100 + rule.percent) * most >= rule.percent * (F.col("n") + F.col("n2"))
+    left = F.least(F.col("shared") - F.col("i"), F.col("shared2") - F.col("i2"))
+    pairs = small.join(large, (small["token"] == large["token"]) & F.expr("comp <> comp2 AND (n < n2 OR n = n2 AND c < c2)") & reach(F.col("n")) & reach(F.least("i", "i2") + left))
+    both = pairs.groupBy("c", "c2", "n", "n2", "shared", "shared2").agg(F.count("*").alias("both"), F.max("i").alias("i"), F.max("i2").alias("i2"))
+    return both.where(reach(F.col("both") + left - 1)).select(F.col("c").alias("a"), F.col("c2").alias("b"))
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -179,14 +288,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
     full = rows.where("n > 0")
     classes = written(full.groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "join-classes")
 
-    # Near copies first: each class with the least and the greatest of its bands.
-    bands = classes.select("c", F.explode("bands").alias("band"))
-    ends = written(bands.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi"), "join-bands")
-    star = bands.join(ends, "band").select("c", F.explode(F.array("lo", "hi")).alias("d")).where("c <> d")
-    star = star.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
-    near = written(_verified(docs, classes, star, rule), "join-near")
-    roots = components(near).withColumnRenamed("node", "c")
-    parts = written(classes.join(roots, "c", "left").select("c", "rep", "n", F.coalesce("root", "c").alias("comp")), "join-parts")
+    near, parts = _stars(docs, classes, rule)
 
     # Listed shingles of each class, and those that several components share.
     def listed():
@@ -197,23 +299,24 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
         return each
 
     prefix = map_docs(docs, "text", [], T.StructType([T.StructField("c", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]), listed).where("size(tokens) > 0")
-    prefix = written(prefix.join(parts.select("c", "comp"), "c"), "join-prefix")
+    prefix = prefix.join(_small(parts.select("c", "comp")), "c")
     each = prefix.select("c", "comp", F.posexplode("tokens").alias("place", "token"))
     spread = each.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("cost")).where("lo < hi").select("token", "cost")
     spread = written(spread, "join-spread")
     shared = each.select("c", "place", "token").join(spread, "token").groupBy("c").agg(F.collect_set(F.struct("place", "cost", "token")).alias("got"))  # listed shingles of one class
     index = written(_adapted(shared.join(parts, "c").select("c", "comp", "n", "got"), rule), "join-index")
 
-    def meet(column: str, rows: DataFrame) -> DataFrame:
-        one = rows.select("c", "comp", "n", "l", "m", F.explode(column).alias("token"))
+    def meet(rows: DataFrame) -> DataFrame:
+        one = rows.select("c", "comp", "n", "l", "m", F.explode("tokens").alias("token"))
         other = one.select(*[F.col(x).alias(f"{x}2") for x in ("c", "comp", "n", "l", "m")], "token")
         pairs = one.join(other, "token").where(f"c < c2 AND comp <> comp2 AND 100 * least(n, n2) >= {rule.percent} * greatest(n, n2)")
-        known = F.when(F.col("l") == 0, F.col("m2")).when(F.col("l2") == 0, F.col("m")).when(F.col("l") < F.col("l2"), F.col("m")).when(F.col("l") > F.col("l2"), F.col("m2")).otherwise(F.greatest("m", "m2"))
-        need = F.lit(1) if column == "hot" else known
+        # The shorter of the two prefixes sets how many matches there must be; a class without one (l = 0) leaves it to the other.
+        need = F.when(F.col("l") == 0, F.col("m2")).when(F.col("l2") == 0, F.col("m")).when(F.col("l") < F.col("l2"), F.col("m")).when(F.col("l") > F.col("l2"), F.col("m2")).otherwise(F.greatest("m", "m2"))
         return pairs.groupBy("c", "c2").agg(F.count("*").alias("both"), F.first(need).alias("need")).where("both >= need").select(F.col("c").alias("a"), F.col("c2").alias("b"))
 
-    # Costly prefixes on either side of a pair: one whole prefix has nothing to index alone, so both are listed whole.
-    pairs = meet("tokens", index).union(meet("hot", index.where("l = 0"))).distinct()
+    hubs, dear = _rarest(docs, classes, index.where("l = 0"), near, rule)
+    near, dear = near.union(hubs), written(dear, "join-rarest")
+    pairs = meet(index).union(_rare_pairs(dear, rule)).distinct()
     links = written(_verified(docs, classes, pairs, rule), "join-links")
     final = components(near.union(links)).withColumnRenamed("node", "c")
     named = classes.join(final, "c", "left").select("c", "rep", F.coalesce("root", "c").alias("root"))
