@@ -80,7 +80,7 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import span_dedup
 
-    return span_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return span_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), sentences=None)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -420,6 +420,41 @@ def test_span_dedup(spark, edge, edge_rows, none):
     assert span_dedup.dedup(none).count() == 0
 
 
+def shared_runs(*texts):
+    """Word ranges of the runs in the last text that an earlier text has too."""
+    found = [span_dedup.Sentences(*utf8_parts(pa.array([t])), True) for t in texts]
+    *old, (h, a, size) = [x.spans(None, 10) for x in found]
+    sums = np.concatenate([[0], np.cumsum(found[-1].words)])
+    at = np.flatnonzero(np.isin(h, np.concatenate([x[0] for x in old])))
+    return [(int(sums[a[i]]), int(sums[a[i] + size[i]])) for i in at]
+
+
+def test_long_repeats_hold_a_run():
+    r = random.Random(11)
+    mark = lambda n, p: "".join(f"{r.choice(['a', 'the', f'w{r.randrange(400)}'])}{r.choice('.!') if r.random() < p else ''}{chr(10) if r.random() < p / 4 else ' '}" for _ in range(n))
+    for _ in range(3000):
+        passage = mark(51, r.choice([0, 0.01, 0.03, 0.06, 0.2, 0.5]))
+        x, y = r.randint(0, 60), r.randint(0, 60)
+        one, two = (mark(k, r.choice([0, 0.05])) + passage + mark(r.randint(0, 60), r.choice([0, 0.05])) for k in (x, y))
+        assert any(y <= a and b <= y + 51 for a, b in shared_runs(one, two)), passage
+
+
+def test_grown_spans(spark, edge, edge_rows, none):
+    line = "".join(f"a{i} b{i} c{i} d{i}\n" for i in range(15))
+    long = words(60, 3, 10**6)
+    one = words(14, 4, 10**6) + "."
+    pair = words(12, 5, 10**6) + ". tail of it."
+    rows = [(1, line), (2, "Other words here.\n" + line), (3, long), (4, f"{words(7, 6, 10**6)} {long} {words(9, 7, 10**6)}"), (5, one), (6, one), (7, pair), (8, f"New. {pair} More"), (9, "few words"), (10, "few words")]
+    got = {r.doc_id: r for r in span_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), sentences=None).collect()}
+    assert all(got[i].text == t and got[i].n_removed == 0 for i, t in rows if i in (1, 3, 5, 7, 9, 10))
+    assert got[2].text == "Other words here.\n" and (got[2].n_sentences, got[2].n_removed) == (16, 15)
+    assert len(spaced(got[4].text)) <= 16 + 2 * span_dedup.WINDOW + 14 and got[4].n_removed == 1
+    assert got[6].text == "" and got[6].n_removed == 1 and got[8].text == "New. More"
+    out = span_dedup.dedup(edge, sentences=None)
+    assert out.count() == len(edge_rows) and out.where("doc_id IS NULL AND n_removed > 0").count() == 0
+    assert span_dedup.dedup(none, sentences=None).count() == 0
+
+
 # 9: personal data
 
 
