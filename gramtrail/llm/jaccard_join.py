@@ -2,7 +2,7 @@
 
 A document is its set of hashed word shingles. Documents with one set form a class; classes are joined.
 Under the global order of hashes, two sets of similarity t or more share at least l of
-the first n - ceil(t * n) + l shingles of each, for any l. Shingles found in many components are costly to
+the first n - ceil(t * n) + l shingles of each, for any l up to ceil(t * n), the least overlap. Shingles found in many components are costly to
 probe. A class therefore lengthens its prefix until at most l - m of its l-prefix are costly; then a partner
 shares at least m of the others, and only these are indexed. m grows with the estimated number of candidates.
 Candidates that share enough are verified on whole sets.
@@ -179,7 +179,7 @@ def plan(n: int, where: np.ndarray, cost: np.ndarray, rule: Rule) -> tuple[int,
     base, costly, most = n - int(rule.need(n)), cost >= COSTLY, int(rule.longest(np.int64(n)))
 
     def prefix(m: int) -> tuple[int, int, np.ndarray] | None:
-        for l in range(m, most + 2):
+        for l in range(m, min(most + 1, n - base) + 1):  # n - base is the least overlap: no pair need share more
             inside = where < base + l
             if (costly & inside).sum() <= l - m:
                 return l, m, inside & ~costly

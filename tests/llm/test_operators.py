@@ -158,6 +158,29 @@ def test_prefix_plan():
             assert base + l <= listed
 
 
+def test_prefix_asks_for_no_more_than_the_least_overlap():
+    rule = jaccard_join.Rule()
+    for n in range(1, 40):
+        for cost in (2, 8, 30, 47, 48, 100):
+            k = int(rule.listed(n))
+            l, m, _ = jaccard_join.plan(n, np.arange(k), np.full(k, cost), rule)
+            assert m <= max(l, 1) and l <= rule.need(n)
+    k = int(rule.listed(4))
+    assert jaccard_join.plan(4, np.arange(k), np.full(k, 48), rule)[0] == 0
+
+
+@pytest.mark.parametrize("members", [10, 100])
+def test_join_stars(spark, members):
+    rows = []
+    for g in range(8):
+        head = words(8, 700 + g, 10**6)
+        rows += [head, *[f"{head} s{g}x{i}" for i in range(members)]]
+    random.Random(members).shuffle(rows)
+    rows = list(enumerate(rows))
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 5, 80)
+
+
 def test_join_edges(spark, edge, edge_rows, none):
     got = jaccard_join.join(edge, words=4, percent=85).collect()
     assert len(got) == len(edge_rows)
