@@ -72,7 +72,7 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import trie_lm
 
-    out = trie_lm.lm_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    out = trie_lm.lm_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2, own_shares=True)
     held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -1,12 +1,16 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-A bigram model: p(w | v) = (c(v, w) + mu * p(w)) / (c(v) + mu). The `head` most frequent training words have their own
-p(w); the other words share the rest of the mass evenly. Counts cover all training texts.
-
-The trie is split into shards by context; a frequent context is spread over shards by its successors, so that no
-shard outgrows the others. A shard is built from the events that meet in it: sorted contexts, pointers to their
+A bigram model: p(w | v) = (c(v, w) + mu * p(w)) / (c(v) + mu). With `own_shares` every training word has its own
+p(w) = c(w) / (all + 1), whatever the `head`; without, the `head` most frequent training words have that and the
+other words share the rest of the mass evenly. Counts cover all training texts.
+
+The head's counts are broadcast. The trie is split into shards by the word of a pair that is not of the head, the
+successor if neither is, and by both words if both are; so all occurrences of a rarer word as a successor meet in its shard,
+which hence knows its count, and no shard outgrows the others. log10 p(w | v) is the share of w, the gain of the pair over
+that, and the back-off weight mu / (c(v) + mu); the shard of w gives the first two, the shard of v the last,
+there where v is the successor itself. A shard is built from the events that meet in it: sorted contexts, pointers to their
 successors, and the successors, numbered within the shard and relative to their context, are Elias-Fano
-sequences; probabilities and back-off weights are quantised to a byte. Events are answered by search among the
+sequences; gains are quantised to a byte. Events are answered by search among the
 successors of their context. One shuffle carries the events, packed by block of documents and shard;
 a second adds up the parts of each document.
 
@@ -20,7 +24,7 @@ from __future__ import annotations
 import mmap
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ from .textops import SPACED, U, Words, map_docs, mix, slices, utf8_parts
 HEAD, MU = 100_000, 64.0
 #: Events of a block, which a task packs at once, and of a shard, on average.
 BLOCK_EVENTS, SHARD_EVENTS = 1_000_000, 1_800_000
-STEP, LEAST = 1 / 28, -9.0
+STEP = 1 / 28  # gains are at most log10(1 + tokens / mu)
 END, START = 0, 1  # codes; words of the head follow
 OTHER_V, OTHER_W = U(1) << U(56), U(1) << U(40)
 
@@ -51,6 +55,7 @@ class Unigrams:
     tokens: int  # training words and ends
     types: int  # distinct ones
     events: int  # words and ends of all documents
+    own_shares: bool = False  # of words outside the head
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """Code of each word: a number from 2 on for the head, else 0."""
@@ -88,7 +93,7 @@ class Shard:
             return EliasFano(int(n), int(bits), part(np.uint8), part(np.uint8))
 
         self.words, self.contexts, self.pointers, self.successors = (sequence() for _ in range(4))
-        self.counts, self.backoff, self.prob = part(np.int64), part(np.uint8), part(np.uint8)
+        self.counts, self.own, self.gain = part(np.int64), part(np.int64), part(np.uint8)
 
     @classmethod
     def open(cls, path: str) -> "Shard":
@@ -113,44 +118,69 @@ class Shard:
         head, by_code = contexts < OTHER_V, uni.by_code()
         total = np.where(head, by_code[np.where(head, contexts, U(0)).astype(np.int64)], own)  # head contexts are spread over shards
         known, other = uni.log_shares()
-        pw = word_shares(words, known, other)[(pairs - of * len(words))] if len(pairs) else np.zeros(0)
-        prob = np.log10((n + mu * 10.0**pw) / (total[of] + mu)) if len(pairs) else np.zeros(0)
+        counts = np.bincount(wi, minlength=len(words)).astype(np.int64)
+        pw = word_shares(words, known, other, counts, uni)[pairs - of * len(words)] if len(pairs) else np.zeros(0)
+        gain = np.log10(1 + n / (mu * 10.0**pw)) if len(pairs) else np.zeros(0)
         for seq in (words, contexts, first.astype(U), pairs.astype(U)):
             ef = EliasFano.build(seq)
             put(np.array([ef.n, ef.bits], np.int64))
             put(ef.low)
             put(ef.high)
         put(total.astype(np.int64))
-        put(quantised(np.log10(mu / (total + mu))))
-        put(quantised(prob))
+        put(counts)
+        put(quantised(gain))
         return b"".join(out)
 
-    def scores(self, v: np.ndarray, w: np.ndarray, uni: Unigrams, mu: float) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p(w | v) and c(v) of events; context counts of the head come from the unigrams."""
+    def shares(self, v: np.ndarray, w: np.ndarray, uni: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 p(w) with the gain of the pair, c(w) of words outside the head, and the number of the context."""
         c, i = self.contexts.find(v), self.words.find(w)
-        counts = np.where(c >= 0, self.counts[c], 0) if self.contexts.n else np.zeros(len(v), np.int64)
-        by_code, head = uni.by_code(), v < OTHER_V
-        counts = np.where(head, by_code[np.where(head, v, U(0)).astype(np.int64)], counts)
         both = (c >= 0) & (i >= 0)
         at = np.full(len(v), -1, np.int64)
         at[both] = self.successors.find((c[both] * self.words.n + i[both]).astype(U))
-        known, other = uni.log_shares()
-        back = value(quantised(np.log10(mu / (counts + mu)))) + word_shares(w, known, other)
-        return (np.where(at >= 0, value(self.prob[at]), back) if len(self.prob) else back), counts
+        own = np.where((i >= 0) & (w >= OTHER_W), self.own[i], 0) if len(self.own) else np.zeros(len(w), np.int64)
+        p = word_shares(w, *uni.log_shares(), own, uni)
+        return (np.where(at >= 0, p + value(self.gain[at]), p) if len(self.gain) else p), own, c
 
+    def scores(self, v: np.ndarray, w: np.ndarray, uni: Unigrams, mu: float) -> tuple[np.ndarray, np.ndarray]:
+        """log10 p(w | v) and c(v) of events of contexts that have all their events here, or are of the head."""
+        p, _, c = self.shares(v, w, uni)
+        counts = np.where(c >= 0, self.counts[c], 0) if self.contexts.n else np.zeros(len(v), np.int64)
+        counts = np.where(v < OTHER_V, uni.by_code()[np.where(v < OTHER_V, v, U(0)).astype(np.int64)], counts)
+        return p + np.log10(mu / (counts + mu)), counts
 
-def word_shares(w: np.ndarray, known: np.ndarray, other: float) -> np.ndarray:
+    def parts(self, v: np.ndarray, w: np.ndarray, uni: Unigrams, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What events of a shard add to score, base sum and known words.
+
+        A head context adds its back-off weight and count; a word outside the head adds its own where it is the successor.
+        """
+        p, own, _ = self.shares(v, w, uni)
+        head, tail = v < OTHER_V, w >= OTHER_W
+        counts = uni.by_code()[np.where(head, v, U(0)).astype(np.int64)]
+        word = head & (v != U(START))
+        p = p + np.where(head, np.log10(mu / (counts + mu)), 0) + np.where(tail, np.log10(mu / (own + mu)), 0)
+        base = np.where(word, np.log10(counts + 1.0), 0) + np.where(tail, np.log10(own + 1.0), 0)
+        return p, base, (word & (counts > 0)).astype(np.int64) + (tail & (own > 0))
+
+
+def word_shares(w: np.ndarray, known: np.ndarray, other: float, counts: np.ndarray, uni: Unigrams) -> np.ndarray:
+    """log10 p of words; counts are those of words outside the head."""
     head = w < OTHER_W
-    out = np.where(head, known[np.where(head, w, U(0)).astype(np.int64)], other)
+    out = np.where(head, known[np.where(head, w, U(0)).astype(np.int64)], np.log10(np.maximum(counts, 1) / (uni.tokens + 1)) if uni.own_shares else other)
     return np.where(np.isfinite(out), out, other)
 
 
+def shard_of(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of events: that of the word outside the head, the successor first; of both words where both are of the head."""
+    both = mix(v * U(0x8CB92BA72F3D8DD7) + w)
+    return (np.where(w >= OTHER_W, mix(w - OTHER_W), np.where(v >= OTHER_V, mix(v ^ OTHER_V), both)) % U(shards)).astype(np.int32)
+
+
 def quantised(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint((x - LEAST) / STEP), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(x / STEP), 0, 255).astype(np.uint8)
 
 
 def value(q: np.ndarray) -> np.ndarray:
-    return q * STEP + LEAST
+    return q * STEP
 
 
 def keys_of(words: Words, data: np.ndarray, offsets: np.ndarray, ids: pa.Array) -> np.ndarray:
@@ -232,8 +262,7 @@ def _events(docs: DataFrame, uni, shards: int) -> DataFrame:
             pack = zstandard.ZstdCompressor(level=1)
             v, w, d = (np.concatenate([x[k] for x in held]) for k in range(3))
             key, learn = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
-            spread = np.where(v < OTHER_V, mix(v * U(0x8CB92BA72F3D8DD7) + w), mix(v))
-            shard = (spread % U(shards)).astype(np.int32)
+            shard = shard_of(v, w, shards)
             order = np.argsort(shard, kind="stable")
             v, w, d, cuts = v[order], w[order], d[order], np.searchsorted(shard[order], np.arange(shards + 1))
             block = (TaskContext.get().partitionId() << 24) + n_blocks
@@ -244,7 +273,7 @@ def _events(docs: DataFrame, uni, shards: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], d[a + 1 : b] != d[a : b - 1]]))
                 who = d[a:b][first]
                 n = np.diff(np.append(first, b - a)).astype(np.uint32)
-                body = struct.pack("<qq", len(who), b - a) + key[who].tobytes() + n.tobytes() + learn[who].tobytes() + _packed(v[a:b], 8) + _packed(w[a:b], 6)
+                body = struct.pack("<qq", len(who), b - a) + key[who].tobytes() + n.tobytes() + learn[who].tobytes() + _packed(v[a:b], 8) + _packed(w[a:b], 8)
                 out_s.append(s)
                 out_b.append(pack.compress(body))
             return pa.RecordBatch.from_arrays([pa.array(out_s, pa.int32()), pa.array([block] * len(out_s), pa.int64()), pa.array(out_b, pa.binary())], names=["shard", "block", "body"])
@@ -256,7 +285,7 @@ def _events(docs: DataFrame, uni, shards: int) -> DataFrame:
                 words = Words(data, offsets, SPACED)
                 code, n = own.codes(words.h), words.n_docs
                 cv = np.where(code > 0, code.astype(U), OTHER_V | (words.h >> U(8)))
-                cw = np.where(code > 0, code.astype(U), OTHER_W | (words.h >> U(24)))
+                cw = np.where(code > 0, code.astype(U), OTHER_W + (words.h >> U(8)))
                 # Every document has its words as contexts, with the start before and the end after them.
                 size = words.count + 1
                 v, w = np.full(len(words.h) + n, U(START)), np.full(len(words.h) + n, U(END))
@@ -288,16 +317,14 @@ def _answers(uni, mu: float):
             learn.append(np.frombuffer(b, bool, docs, at + 12 * docs))
             at += 13 * docs
             v.append(_unpacked(b[at:], n, 8))
-            w.append(_unpacked(b[at + 8 * n :], n, 6))
+            w.append(_unpacked(b[at + 8 * n :], n, 8))
         key, size, learn, v, w = (np.concatenate(x) for x in (keys, sizes, learn, v, w))
         train = np.repeat(learn, size)
         shard = Shard(Shard.build(v[train], w[train], own, mu))
         p, c, known = np.empty(len(v)), np.empty(len(v)), np.empty(len(v), np.int64)
         for a in range(0, len(v), 1 << 19):
             some = slice(a, a + (1 << 19))
-            p[some], count = shard.scores(v[some], w[some], own, mu)
-            word = v[some] != U(START)
-            c[some], known[some] = np.where(word, np.log10(count + 1.0), 0), word & (count > 0)
+            p[some], c[some], known[some] = shard.parts(v[some], w[some], own, mu)
         first = np.cumsum(size) - size
         sums = [np.add.reduceat(x, first) for x in (p, c, known)]
         cuts, out = np.concatenate([[0], np.cumsum([len(k) for k in keys])]), []
@@ -321,11 +348,11 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(key), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.rint(sums[2]).astype(np.int64))], names=["key", "score", "base", "n_known"])
 
 
-def lm_scores(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, mu: float = MU, shard_events: int = SHARD_EVENTS) -> DataFrame:
+def lm_scores(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, mu: float = MU, shard_events: int = SHARD_EVENTS, own_shares: bool = False) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; learn is a condition on doc_id (the id's name here)."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("learn", learn)
-    uni = unigrams(docs, head)
+    uni = replace(unigrams(docs, head), own_shares=own_shares)
     shared = sc.broadcast(uni)  # head words at most
     shards = max(8, -(-uni.events // shard_events))
     parts = _events(docs, shared, shards).groupBy("shard").applyInArrow(_answers(shared, mu), "block long, body binary")

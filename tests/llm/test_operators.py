@@ -393,6 +393,25 @@ def test_lm(spark, edge_rows):
     assert trie_lm.lm_scores(df, F.lit(False)).count() == len(rows)
 
 
+@pytest.mark.parametrize("head", [0, 7, 1000])
+def test_lm_own_shares(spark, head):
+    r = random.Random(12)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.6))}" for _ in range(r.randint(0, 60)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = [spaced(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in learn for w in [*t, None])
+    n, starts = sum(c.values()), len(learn)
+    bigrams = Counter(p for t in learn for p in zip(["<s>", *t], [*t, None], strict=True))
+    got = {r.doc_id: r for r in trie_lm.lm_scores(df, crc_mod("doc_id", 7) != 2, head=head, shard_events=500, own_shares=True).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        ws = [*spaced(t), None]
+        wants = sum(log10((bigrams[a, b] + trie_lm.MU * max(c[b], 1) / (n + 1)) / ((starts if a == "<s>" else c[a]) + trie_lm.MU)) for a, b in zip(["<s>", *ws[:-1]], ws, strict=True))
+        assert abs(got[i].score - wants) <= 0.02 * len(ws) + 1e-6
+        assert abs(got[i].base_score - sum(log10((c[w] + 1) / (n + len(c) + 1)) for w in ws)) < 1e-6 * max(1, -got[i].base_score)
+        assert got[i].n_known == sum(c[w] > 0 for w in ws)
+
+
 def test_trie_file(tmp_path):
     uni = trie_lm.Unigrams(np.array([], np.uint64), np.array([], np.int64), 3, 100, 20, 100)
     v, w = np.array([1, 1, 5 << 56 | 3], np.uint64), np.array([0, 1 << 41, 0], np.uint64)
