@@ -1,14 +1,16 @@
 """Secret scans: base patterns, and a linear-chain conditional random field over tokens.
 
 Tokens are runs of letters, digits and + / _ -. Tags are outside, begin and inside of a secret.
-Only tokens of eight characters or more with a digit may be begin or inside; every other token is outside
-by constraint, so the chain falls apart there and Viterbi runs over each run of such tokens
-with the same result as over the whole text. Features: shape, length, alphabet, entropy, the
-neighbouring words, and of the file whether it names secrets and how many such tokens it has.
-
-Training takes the texts with a digit of at most `max_docs` documents, those with the smallest hash of the id (a
-documented bound), which the base patterns label, and lines made from a seed with secrets of other forms and with
-numbers, dates, names and paths that are none. Cases: a null or empty text has no spans; without
+Viterbi runs over all tokens of a text, but for those that a bound leaves outside: a span is part of a best path only if
+its emissions and moves gain over outside, and no run of tokens through such a token has an upper bound of that
+gain above zero. Bounds come from the token itself (kept by string), the words before it and the marks
+beside it; what they keep falls into runs, which give the result of the whole text. Features: shape, length,
+alphabet, entropy, the neighbouring words, and of the file whether it names secrets and how many numbers it has.
+
+Training takes at most `max_docs` documents, those with the smallest hash of the id, and of each the PIECES pieces of PIECE
+tokens with the smallest hash and as many with base spans (documented bounds); the base patterns label them. Lines made from
+a seed have secrets of other forms, some of letters alone or short, and numbers, dates, names and paths
+that are none. Cases: a null or empty text has no spans; without
 training documents the made lines train alone; repeated rows each get a row.
 """
 
@@ -19,6 +21,7 @@ import math
 import random
 import re
 import string
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -37,13 +40,14 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 DIGITS = re.compile(r"[0-9]+")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]+")
 CHARS = r"A-Za-z0-9+/_-"
-BEFORE, AFTER = re.compile(f"[{CHARS}]*\\Z"), re.compile(f"[{CHARS}]*")
 NEIGHBOUR = re.compile(f"[{CHARS}]+|[^\\s{CHARS}]")
-WORDS = re.compile(f"[{CHARS}]")
 MAX_DOCS, MADE = 2000, 1500
-#: Least length of a token that may be part of a secret.
-LEAST = 8
+#: Tokens of a piece that trains, and pieces of a document.
+PIECE, PIECES = 16, 1
+#: Strings whose bounds a task keeps.
+KEPT = 300_000
 OUT, BEGIN, INSIDE = range(3)
 FIELDS = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:3]] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
@@ -60,54 +64,113 @@ def base_spans(text: str) -> list[Span]:
     return out + [(2, m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens that may be a secret: eight characters or more with a digit."""
-    out, at = [], 0
-    while m := DIGITS.search(text, at):
-        a = BEFORE.search(text, max(at, m.start() - 4096), m.start()).start()
-        while a > at and a == max(at, m.start() - 4096) and WORDS.match(text[a - 1]):
-            a -= 1
-        at = AFTER.match(text, m.end()).end()
-        if at - a >= LEAST:
-            out.append((a, at))
-    return out
-
-
 def _alphabet(s: str) -> str:
     if s.isdigit():
         return "digits"
     if re.fullmatch("[0-9a-f]+", s):
         return "hex"
-    return ("l" if re.search("[a-z]", s) else "") + ("u" if re.search("[A-Z]", s) else "") + "d" + ("s" if re.search("[+/_-]", s) else "")
+    return ("l" if re.search("[a-z]", s) else "") + ("u" if re.search("[A-Z]", s) else "") + ("d" if re.search("[0-9]", s) else "") + ("s" if re.search("[+/_-]", s) else "")
+
+
+def _own(s: str) -> list[str]:
+    """Features of the token itself."""
+    shape = re.sub(r"(.)\1+", r"\1", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", s))))[:6]
+    entropy = -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+    return ["bias", f"shape={shape}", f"length={min(40, len(s)) // 4}", f"alphabet={_alphabet(s)}", f"entropy={entropy:.0f}", f"digits={round(4 * sum(c.isdigit() for c in s) / len(s))}"]
 
 
 def _features(text: str, a: int, b: int, file: list[str]) -> list[str]:
-    s = text[a:b]
-    before = NEIGHBOUR.findall(text[max(0, a - 48) : a].lower())[-3:]
+    start = max(0, a - 48)
+    before = NEIGHBOUR.findall(text[start:a])
+    if start and before and TOKEN.match(text[start]) and TOKEN.match(text[start - 1]):
+        before = before[1:]  # cut off
+    before = [x.lower() for x in before[-3:]]
     after = NEIGHBOUR.findall(text[b : b + 24].lower())[:1]
-    words = [x for x in before if x[0].isalnum()]
-    shape = re.sub(r"(.)\1+", r"\1", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", s))))[:6]
-    share = Counter(s)
-    entropy = -sum(n / len(s) * math.log2(n / len(s)) for n in share.values())
-    out = ["bias", f"shape={shape}", f"length={min(40, len(s)) // 4}", f"alphabet={_alphabet(s)}", f"entropy={entropy:.0f}", f"digits={round(4 * sum(c.isdigit() for c in s) / len(s))}", f"mark={before[-1] if before and not before[-1][0].isalnum() else ''}", f"next={after[0] if after and not after[0][0].isalnum() else ''}", *file]
+    words = [x for x in before if x[0].isascii() and x[0].isalnum()]
+    out = [*_own(text[a:b]), f"mark={before[-1] if before and not before[-1][0].isalnum() else ''}", f"next={after[0] if after and not after[0][0].isalnum() else ''}", *file]
     return out + [f"word{len(words) - 1 - i}={w[:12]}" for i, w in enumerate(words)]
 
 
-def chains(text: str) -> list[list[tuple[int, int, list[str]]]]:
-    """Runs of neighbouring candidates (start, end, features); a token between them ends a run."""
-    spots = candidates(text)
-    if not spots:
-        return []
+def _file(text: str) -> list[str]:
     low = text.lower()
-    file = [f"file:names={any(n in low for n in NAMES)}", f"file:many={min(3, len(spots).bit_length())}", f"file:key={'-----BEGIN' in text}"]
-    out: list[list] = []
-    for a, b in spots:
-        one = a, b, _features(text, a, b, file)
-        if out and not WORDS.search(text, out[-1][-1][1], a):
-            out[-1].append(one)
-        else:
-            out.append([one])
-    return out
+    return [f"file:names={any(n in low for n in NAMES)}", f"file:many={min(3, len(DIGITS.findall(text)).bit_length())}", f"file:key={'-----BEGIN' in text}"]
+
+
+def chain_of(text: str, spots: list[tuple[int, int]], file: list[str]) -> list[tuple[int, int, list[str]]]:
+    return [(a, b, _features(text, a, b, file)) for a, b in spots]
+
+
+def chains(text: str) -> list[list[tuple[int, int, list[str]]]]:
+    """All tokens (start, end, features) of a text, as one chain."""
+    spots = [m.span() for m in TOKEN.finditer(text)]
+    return [chain_of(text, spots, _file(text))] if spots else []
+
+
+class Bounds:
+    """Which tokens of a text may be part of a secret under a model."""
+
+    def __init__(self, model: "Crf"):
+        self.model, self.known, self.gaps = model, {}, {}
+        m = model.move
+        most = lambda f: max(0.0, self.gain([f]))
+        self.most = tuple(max([0.0, *[most(f) for f in model.index if f.startswith(k)]]) for k in ("mark=", "next="))
+        # A span BEGIN INSIDE ... instead of outside: one way in and out, and a move for each further token.
+        self.ends = max(m[a, BEGIN] + m[x, b] - m[a, OUT] - m[OUT, b] for a in range(3) for x in (BEGIN, INSIDE) for b in (OUT, BEGIN))
+        self.stay = max(m[BEGIN, INSIDE], m[INSIDE, INSIDE]) - m[OUT, OUT]
+
+    def gain(self, features: list[str]) -> float:
+        """Most that the features give to a tag over outside."""
+        e = self.model.emissions([features])[0][0]
+        return float(max(e[BEGIN], e[INSIDE]) - e[OUT])
+
+    def of(self, token: str) -> tuple[float, ...]:
+        """The gain of a token, the most that it adds as word 0, 1 and 2 before another, and whether it counts as a mark."""
+        got = self.known.get(token)
+        if got is None:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            word = token.lower()[:12]
+            got = self.known[token] = self.gain(_own(token)), *[max(0.0, self.gain([f"word{i}={word}"])) for i in range(3)], float(not token[0].isalnum())
+        return got
+
+    def between(self, gap: str) -> tuple[float, float]:
+        """What the text between two tokens gives as mark to the one after it, and as next to the one before it."""
+        got = self.gaps.get(gap)
+        if got is None:
+            if len(self.gaps) >= KEPT:
+                self.gaps.clear()
+            if len(gap) > 16:  # a feature may not see all of it
+                got = self.most
+            else:
+                before, after = [x.lower() for x in NEIGHBOUR.findall(gap)[-1:]], NEIGHBOUR.findall(gap.lower())[:1]
+                got = tuple(self.gain([f"{k}={x[0] if x and not x[0][0].isalnum() else ''}"]) for k, x in (("mark", before), ("next", after)))
+            self.gaps[gap] = got
+        return got
+
+    def runs(self, text: str) -> list[list[tuple[int, int, list[str]]]]:
+        """Runs of neighbouring tokens that some span of positive gain may hold."""
+        tokens = TOKEN.findall(text)
+        if not tokens or not self.model.index:
+            return []
+        file, of, between = _file(text), self.of, self.between
+        own = np.array([of(t) for t in tokens])
+        n, mark = len(tokens), own[:, 4] > 0
+        gaps = np.array([between(g) for g in TOKEN.split(text)])
+        words, any_word = np.zeros((3, n)), np.zeros((3, n))
+        for i in range(min(3, n - 1)):
+            words[i, i + 1 :], any_word[i, i + 1 :] = own[: n - i - 1, 1 + i], own[: n - i - 1, 1:4].max(1)
+        odd = np.zeros(n, bool)  # a mark among the three tokens before: words may have other numbers
+        for i in range(min(3, n - 1)):
+            odd[i + 1 :] |= mark[: n - i - 1]
+        x = own[:, 0] + np.where(odd, any_word.sum(0), words.sum(0)) + self.gain(file) + self.stay
+        x += np.where(np.concatenate([[False], mark[:-1]]), self.most[0], gaps[:-1, 0]) + np.where(np.concatenate([mark[1:], [False]]), self.most[1], gaps[1:, 1])
+        sums = np.concatenate([[0.0], np.cumsum(x)])
+        best = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])  # of the runs through each token
+        keep = np.flatnonzero(best + self.ends - self.stay > -1e-6)
+        if not len(keep):
+            return []
+        spots = [m.span() for m in TOKEN.finditer(text)]
+        return [chain_of(text, [spots[i] for i in run], file) for run in np.split(keep, np.flatnonzero(np.diff(keep) > 1) + 1)]
 
 
 @dataclass
@@ -189,13 +252,15 @@ def made(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
     rng = random.Random(seed)
     some = lambda chars, low, high: "".join(rng.choice(chars) for _ in range(rng.randint(low, high)))
     low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
-    secrets = (lambda: some(low + up + dig, 16, 44), lambda: some("0123456789abcdef", 12, 64), lambda: "ghp_" + some(low + up + dig, 30, 38), lambda: "sk-" + some(low + dig, 20, 48), lambda: some(low + up + dig + "+/", 24, 60), lambda: some(up + dig, 14, 32), lambda: some(low + dig, 10, 14) + "-" + some(low + dig, 8, 14))
-    others = (lambda: some(dig, 8, 13), lambda: f"20{some(dig, 2, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 12)}/{rng.randint(10, 28)}/20{some(dig, 2, 2)}", lambda: f"chapter-{some(low, 4, 8)}-{rng.randint(1, 99)}", lambda: f"img_{some(dig, 6, 8)}", lambda: f"src/{some(low, 3, 8)}/{some(low, 3, 8)}{rng.randint(1, 9)}", lambda: some(low, 7, 14) + str(rng.randint(1, 99)), lambda: f"{some(dig, 3, 4)}-{some(dig, 4, 4)}-{some(dig, 3, 4)}", lambda: some(up, 2, 4) + "-" + some(dig, 6, 9))
+    secrets = (lambda: some(low + up + dig, 16, 44), lambda: some("0123456789abcdef", 12, 64), lambda: "ghp_" + some(low + up + dig, 30, 38), lambda: "sk-" + some(low + dig, 20, 48), lambda: some(low + up + dig + "+/", 24, 60), lambda: some(up + dig, 14, 32), lambda: some(low + dig, 10, 14) + "-" + some(low + dig, 8, 14), lambda: some(low + up, 14, 40), lambda: some(low + up, 14, 40), lambda: some(up, 16, 32), lambda: some(low + up + "+/", 20, 50))
+    others = (lambda: some(dig, 8, 13), lambda: f"20{some(dig, 2, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 12)}/{rng.randint(10, 28)}/20{some(dig, 2, 2)}", lambda: f"chapter-{some(low, 4, 8)}-{rng.randint(1, 99)}", lambda: f"img_{some(dig, 6, 8)}", lambda: f"src/{some(low, 3, 8)}/{some(low, 3, 8)}{rng.randint(1, 9)}", lambda: some(low, 7, 14) + str(rng.randint(1, 99)), lambda: f"{some(dig, 3, 4)}-{some(dig, 4, 4)}-{some(dig, 3, 4)}", lambda: some(up, 2, 4) + "-" + some(dig, 6, 9), lambda: some(low, 3, 12), lambda: some(up, 1, 1) + some(low, 3, 11), lambda: some(up, 2, 8), lambda: some(low, 3, 8) + "-" + some(low, 3, 8), lambda: some(up, 1, 1) + some(low, 3, 7) + some(up, 1, 1) + some(low, 3, 7))
     out = []
     for _ in range(n):
         secret = rng.random() < 0.5
         lead = rng.choice(LEADS) if secret and rng.random() < 0.8 else rng.choice(PLAIN)
         value = rng.choice(secrets if secret else others)()
+        if secret and lead in LEADS and rng.random() < 0.1:
+            value = some(low + up + dig, 6, 7)
         head = " ".join(some(low, 2, 8) for _ in range(rng.randint(0, 3)))
         a = len(head) + 1 + lead.index("{")
         out.append((f"{head} {lead.format(value)}", [(a, a + len(value))] if secret else []))
@@ -203,22 +268,26 @@ def made(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
 
 
 def labelled(text: str, own: list[tuple[int, int]] | None = None) -> list[tuple[list[list[str]], list[int]]]:
-    """Chains of a text with the tags that the base patterns, or the given spans, give."""
+    """Chains of a text with the tags that the base patterns, or the given spans, give: of a given line the whole, of others pieces."""
     base = [(a, b) for _, a, b in base_spans(text)] if own is None else own
-    out = []
-    for chain in chains(text):
-        tags, last = [], None
-        for a, b, _ in chain:
-            hit = next((s for s in base if s[0] < b and a < s[1]), None)
-            tags.append(OUT if hit is None else INSIDE if hit == last and tags[-1] != OUT else BEGIN)
-            last = hit
-        out.append(([f for _, _, f in chain], tags))
-    return out
+    spots, file = [m.span() for m in TOKEN.finditer(text)], _file(text)
+    tags, last, ahead = [], None, sorted(base)
+    for a, b in spots:
+        while ahead and ahead[0][1] <= a:
+            ahead.pop(0)
+        hit = ahead[0] if ahead and ahead[0][0] < b else None
+        tags.append(OUT if hit is None else INSIDE if hit == last and tags[-1] != OUT else BEGIN)
+        last = hit
+    cuts = [(0, len(spots))] if own is not None else [(i, min(i + PIECE, len(spots))) for i in range(0, len(spots), PIECE)]
+    if own is None:
+        order = sorted(cuts, key=lambda c: zlib.crc32(text[spots[c[0]][0] : spots[c[1] - 1][1]].encode("utf-8", "replace")))
+        cuts = sorted({*order[:PIECES], *[c for c in order if any(tags[c[0] : c[1]])][:PIECES]})
+    return [([f for _, _, f in chain_of(text, spots[i:j], file)], tags[i:j]) for i, j in cuts if j > i]
 
 
 def train(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_DOCS, made_lines: int = MADE) -> Crf:
     """A model from a bounded sample of the documents, labelled by the base patterns."""
-    few = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").alias("doc_id")).where(F.col("text").rlike("[0-9]"))
+    few = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
     order = F.xxhash64("doc_id", F.lit(2)), "doc_id"
     ids = few.select("doc_id").where("doc_id is not null").distinct().orderBy(*order).limit(max_docs)
 
@@ -230,10 +299,10 @@ def train(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_do
     return Crf().fit([(c, t) for r in rows for c, t in json.loads(r["rows"])] + [x for line, own in made(made_lines) for x in labelled(line, own)])
 
 
-def find(text: str, model: Crf) -> tuple[list[Span], list[Span]]:
+def find(text: str, model: Crf, bounds: Bounds | None = None) -> tuple[list[Span], list[Span]]:
     """Base spans, and what the model adds to them."""
     base, more = base_spans(text), []
-    for chain in chains(text):
+    for chain in (bounds or Bounds(model)).runs(text):
         start = None
         for (a, b, _), tag in [*zip(chain, model.viterbi([f for _, _, f in chain]), strict=True), ((0, 0, 0), OUT)]:
             if tag != INSIDE and start is not None:
@@ -249,10 +318,10 @@ def scan(docs: DataFrame, model: Crf, *, text: str = "text", keep: list[str] | N
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features of max_docs documents at most
 
     def make():
-        model = shared.value
+        model, bounds = shared.value, Bounds(shared.value)
 
         def each(texts, _):
-            got = [find(x or "", model) for x in texts.to_pylist()]
+            got = [find(x or "", model, bounds) for x in texts.to_pylist()]
             counts = [np.array([sum(s[0] == k for s in base) for base, _ in got], np.int64) for k in range(3)]
             return [*counts, pa.array([digest(base, KINDS) for base, _ in got], pa.string()), pa.array([joined(base + more, KINDS) for base, more in got], pa.string())]
 
@@ -283,12 +352,12 @@ def redact(docs: DataFrame, model: Crf, *, text: str = "text", fill: str = "[SEC
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        model = shared.value
+        model, bounds = shared.value, Bounds(shared.value)
 
         def one(x):
             if x is None:
                 return None
-            base, more = find(x, model)
+            base, more = find(x, model, bounds)
             return mask(x, joined(base + more, KINDS), fill)
 
         return lambda texts, _: [pa.array([one(x) for x in texts.to_pylist()], pa.string())]

@@ -227,6 +227,34 @@ def test_secret_model():
     assert hits[False, True] < 0.03 * (hits[False, True] + hits[False, False])
 
 
+def test_secrets_without_digits():
+    model = secret_crf.Crf().fit([x for line, own in secret_crf.made(1200, 5) for x in secret_crf.labelled(line, own)])
+    key = "XkQvTzRwLmPoYbHd"
+    base, more = secret_crf.find(f"sign in with passphrase {key} now", model)
+    assert not base and more == [(3, 24, 24 + len(key))]
+    hits = Counter()
+    for line, own in secret_crf.made(1500, 77):
+        if own and not any(c.isdigit() for c in line):
+            hits[bool(secret_crf.find(line, model)[1])] += 1
+    assert hits.total() > 100 and hits[True] > 0.9 * hits.total()
+
+
+def test_bounds_lose_nothing():
+    lines = secret_crf.made(900, 5)
+    model = secret_crf.Crf().fit([x for line, own in lines for x in secret_crf.labelled(line, own)])
+    r = random.Random(3)
+    for seed in range(60):
+        if seed >= 30:  # any weights
+            g = np.random.default_rng(seed)
+            model.weight, model.move = g.normal(-0.2, 1, model.weight.shape), g.normal(0, 1, (3, 3))
+            model.weight[:, 0] += seed / 40
+        text = r.choice([" ", ", ", "\n", " é "]).join(line for line, _ in r.sample(lines, 12))
+        (whole,) = secret_crf.chains(text)
+        wants = [(a, b, t) for (a, b, _), t in zip(whole, model.viterbi([f for _, _, f in whole]), strict=True) if t]
+        got = [(a, b, t) for run in secret_crf.Bounds(model).runs(text) for (a, b, _), t in zip(run, model.viterbi([f for _, _, f in run]), strict=True) if t]
+        assert got == wants
+
+
 def test_viterbi_is_best():
     model = secret_crf.Crf().fit([x for line, own in secret_crf.made(300, 5) for x in secret_crf.labelled(line, own)])
     chain = [["bias", "length=4"], ["bias", "alphabet=hex"], ["bias"]]
