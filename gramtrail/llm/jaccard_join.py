@@ -1,47 +1,61 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is its set of hashed word shingles. Documents with one set form a class; classes are joined.
-Under the global order of hashes, two sets of similarity t or more share at least l of
-the first n - ceil(t * n) + l shingles of each, for any l up to ceil(t * n), the least overlap. Shingles found in many components are costly to
-probe. A class therefore lengthens its prefix until at most l - m of its l-prefix are costly; then a partner
-shares at least m of the others, and only these are indexed. m grows with the estimated number of candidates.
-Candidates that share enough are verified on whole sets.
-
-Before that, each class is compared with the hub of its minhash bands, and what is found linked is one
-component. Pairs within a component need no probe, so thousands of near copies cost a pair each and not their
-square. Classes whose prefix is costly throughout meet each other on prefixes of their whole sets, rarest first.
+A document is its set of hashed word shingles. Documents with one set form a class; classes are joined. The global
+order of shingles is by the number of classes that have them, rarest first, then by hash. Two sets x and y, x the
+smaller, of similarity t or more have an overlap of even(x) = 2t/(1+t) |x| and of need(y) = t |y| at least, so for
+any m they share at least m of the first |x| - even(x) + m shingles of x and the first |y| - need(y) + m of y. Shingles
+of one class alone come first and are shared with none, hence need no index. Each class lengthens its prefix to the m
+(up to MOST) with the least estimated cost: the entries that its prefix meets, and the partners that share m of them and
+must be verified. All classes are indexed with the level from which on an entry counts, so that a pair is counted at
+the m of its smaller class; what it shares must then still be able to reach the least overlap.
+
+The counts come by a question and an answer. Blocks of classes send their shingles to buckets by range, sorted and packed,
+those of several classes of the block as one number, so that a shingle adds at most three entries a block to its bucket;
+the buckets return those that more than one class has. A class with fewer of these than its least overlap has no partner.
+Whole overlaps are counted on the shingles that are shared at all.
+
+Before the prefixes meet, each class is compared with two hubs, the classes that its shingles have in common with most
+others; a quarter of the shingles of a class of 64 or more, by hash, decides which. This only saves work: classes found linked are
+one component, and a shingle that no two components have is not indexed. So thousands of near copies cost a pair each and
+not their square. A shingle's entries are split into those of one component and the rest, and the members of that component
+meet the rest alone.
 
 Cases: a null or wordless text has an empty set and no link; with fewer words than a shingle the whole sequence is
-its one shingle; rows with one id and other texts are separate; repeated rows get a row each; an empty table gives
-no rows; other columns are left out.
+its one shingle; rows with one id and other texts are separate; repeated rows get a row each; a row without an id
+takes the component of a row with the same shingles and an id, else none (null); an empty table gives no rows; other columns, whatever
+their names, are left out. Texts of any length are read whole; a block holds a whole set at least.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import written
-from .textops import SPACED, U, Words, grams, map_docs, mix, utf8_parts
+from .shared import drop, written
+from .textops import SPACED, U, Words, grams, map_docs, mix, packed_bytes, slices, unpacked_bytes, utf8_parts
 
 WORDS, PERCENT = 5, 80
-BANDS, ROWS = 6, 2
-#: A shingle in the prefixes of so many classes is costly; a class with so many candidates asks for more matches.
-COSTLY, MANY = 48, 8
+#: Most matches that a class asks for, and the cost of a verified pair in met entries.
+MOST, VERIFY = 4, 20
+#: Shingles of a block and, on average, of a bucket; from so many classes of a block on a shingle goes as a number.
+BLOCK, BUCKET, SEVERAL = 1_000_000, 1_500_000, 4
 BROADCAST_ROWS = 1_000_000
+_ASK, _KEEP = 0, 1
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Words of a shingle, least similarity in per cent, and the prefix lengths that follow."""
+    """Words of a shingle, least similarity in per cent, and the least overlaps that follow."""
 
     words: int = WORDS
     percent: int = PERCENT
@@ -50,13 +64,9 @@ class Rule:
         """Least overlap of a set of n with any partner."""
         return -(-self.percent * n // 100)
 
-    def longest(self, n):
-        """Most additional shingles that a class may take into its prefix."""
-        return np.maximum(4, n // 25)
-
-    def listed(self, n):
-        """Shingles that are listed: the longest prefix, for that of any partner too."""
-        return np.minimum(n, n - self.need(n) + 1 + self.longest(n * 100 // self.percent + 1))
+    def even(self, n):
+        """Least overlap of a set of n with a partner that is no smaller."""
+        return -(-2 * self.percent * n // (100 + self.percent))
 
 
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
@@ -77,259 +87,286 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_SEEDS = [U(x) for x in mix(np.arange(1, BANDS * ROWS + 1, dtype=U))]
-
-
-def bands_of(s: np.ndarray) -> np.ndarray:
-    least = np.array([mix(s ^ seed).min() for seed in _SEEDS], U).reshape(BANDS, ROWS)
-    return mix(least[:, 0] * U(31) + least[:, 1] + np.arange(BANDS, dtype=U)).view(np.int64)
-
-
-def _lists(arrays: list, kind: pa.DataType) -> pa.Array:
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)), pa.array(flat, kind))
-
-
-_NO_LONGS = np.zeros(0, np.int64)
-
-
 def _small(rows: DataFrame) -> DataFrame:
     """The rows, marked for broadcast where there are at most BROADCAST_ROWS of them."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule, out: str) -> DataFrame:
-    """The wanted rows (c, rep, a) with the whole set of c as bytes, read again from the texts."""
-    found = docs.join(_small(written(wanted, "join-wanted")), F.col("doc_id") == F.col("rep"))
-
-    def make():
-        def each(texts, _):
-            sets = shingle_sets(Words(*utf8_parts(texts), SPACED), rule.words)
-            return [np.array([class_of(s) for s in sets], np.int64), pa.array([packed(s) for s in sets], pa.binary())]
+def _put(*arrays: np.ndarray) -> bytes:
+    """Arrays one after the other, compressed."""
+    parts = [x.tobytes() if isinstance(x, np.ndarray) else x for x in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(struct.pack("<q", len(b)) + b for b in parts))
 
-        return each
 
-    got = map_docs(found, "text", ["a", "c"], T.StructType([T.StructField("__c", T.LongType()), T.StructField(out, T.BinaryType())]), make)
-    return got.where("c = __c").drop("__c")
-
-
-def packed(s: np.ndarray) -> bytes:
-    """The upper 48 bits of each shingle: chance agreement within a pair of sets stays out of reach."""
-    return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-
-
-def unpacked(b: pa.Buffer) -> np.ndarray:
-    out = np.zeros((b.size // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(U)
+def _get(body, *kinds) -> list[np.ndarray]:
+    view, at, out = memoryview(zstandard.ZstdDecompressor().decompress(body)), 0, []
+    for kind in kinds:
+        (size,) = struct.unpack_from("<q", view, at)
+        out.append(np.frombuffer(view, kind, size // np.dtype(kind).itemsize, at + 8))
+        at += 8 + size
+    return out
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets are similar enough; each set of b travels once a pair, that of a once."""
-    pairs, reps = written(pairs, "join-pairs"), classes.select("c", "rep")
-    sets = _sets(docs, pairs.join(reps, F.col("b") == F.col("c")).select("a", "c", "rep"), rule, "y")
-    heads = _sets(docs, pairs.select("a").distinct().join(reps, F.col("a") == F.col("c")).select("a", "c", "rep"), rule, "x")
-    both = sets.withColumnRenamed("c", "b").join(heads.select("a", "x"), "a")
+def _steps(rising: np.ndarray) -> bytes:
+    """Rising numbers by their differences, in as many bytes as the largest takes."""
+    d = np.diff(rising.astype(U), prepend=U(0))
+    size = max(1, (int(d[1:].max()).bit_length() + 7) // 8) if len(d) > 1 else 1
+    return struct.pack("<qqB", len(d), int(d[0]) if len(d) else 0, size) + packed_bytes(d[1:], size)
+
+
+def _from_steps(b: np.ndarray) -> np.ndarray:
+    n, first, size = struct.unpack_from("<qqB", b)
+    return np.cumsum(np.concatenate([np.array([first], U), unpacked_bytes(b[17:], n - 1, size)])).astype(U) if n else np.zeros(0, U)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of equal numbers."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(x)))
+
+
+def _asks(found: DataFrame, rule: Rule, buckets: int) -> DataFrame:
+    """The questions of blocks of classes, and what a block keeps: its classes, and where its common shingles are."""
+
+    def block(number: int, sets: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
+        n = np.array([len(s) for s in sets], np.uint32)
+        token, who = np.concatenate(sets) >> U(16), np.repeat(np.arange(len(sets)), n).astype(np.uint16)
+        order = np.argsort(token, kind="stable")
+        token, who = token[order], who[order]
+        first, times = _runs(token)
+        several = np.repeat(times >= SEVERAL, times)
+        common, common_n = token[first[times >= SEVERAL]], times[times >= SEVERAL].astype(np.uint32)
+        own, own_who = token[~several], who[~several]
+        edge = (np.arange(buckets + 1).astype(object) * (1 << 48) // buckets).astype(U)
+        a, b = np.searchsorted(own, edge), np.searchsorted(common, edge)
+        to, kind, body = [], [], []
+        for k in range(buckets):
+            if a[k] < a[k + 1] or b[k] < b[k + 1]:
+                to.append(k)
+                kind.append(_ASK)
+                body.append(_put(_steps(own[a[k] : a[k + 1]]), own_who[a[k] : a[k + 1]], _steps(common[b[k] : b[k + 1]]), common_n[b[k] : b[k + 1]]))
+        to.append(int(mix(np.array([number], U))[0]) % buckets)
+        kind.append(_KEEP)
+        body.append(_put(np.array(classes, np.int64), n, _steps(common), common_n, who[several]))
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([number] * len(to), pa.int64()), pa.array(kind, pa.int8()), pa.array(body, pa.binary())], names=["bucket", "block", "kind", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= rule.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
-
-
-def _stars(docs: DataFrame, classes: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Links between near copies and parts(c, rep, n, comp): two rounds over the hubs of minhash bands.
-
-    The hub of a band is the class that shares its bands with most others, the likely middle of a group of copies. First
-    each class meets the hub that it shares most bands with, then one pair speaks for each two components that still
-    share a band with a hub.
-    """
-    bands = classes.select("c", F.explode("bands").alias("band"))
-    size = written(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "join-bands")
-    crowd = written(bands.join(size, "band"), "join-crowd")
-    score = written(crowd.groupBy("c").agg(F.sum("n").alias("score")), "join-score")
-    hubs = written(crowd.join(score, "c").groupBy("band").agg(F.max(F.struct("score", "c")).alias("hub")).select("band", F.col("hub.c").alias("d")), "join-hubs")
-    meets = written(crowd.select("c", "band").join(hubs, "band").where("c <> d").groupBy("c", "d").agg(F.count("*").alias("n")), "join-meets")
-    best = meets.groupBy("c").agg(F.max(F.struct("n", "d")).alias("best")).select(F.col("best.d").alias("a"), F.col("c").alias("b"))
-    links, parts = written(_verified(docs, classes, best, rule), "join-near"), None
-    for last in (False, True):
-        roots = components(links).withColumnRenamed("node", "c")
-        parts = written(classes.join(roots, "c", "left").select("c", "rep", "n", F.coalesce("root", "c").alias("comp")), "join-parts")
-        if last:
-            return links, parts
-        comp = parts.select("c", "comp")
-        apart = meets.join(comp, "c").join(comp.select(F.col("c").alias("d"), F.col("comp").alias("comp2")), "d").where("comp <> comp2")
-        least, most = F.least("comp", "comp2"), F.greatest("comp", "comp2")
-        best = apart.groupBy(least.alias("p"), most.alias("q")).agg(F.max(F.struct("n", "c", "d")).alias("best")).select(F.col("best.d").alias("a"), F.col("best.c").alias("b"))
-        links = links.union(written(_verified(docs, classes, best, rule), "join-near"))
-    raise AssertionError
-
-
-def plan(n: int, where: np.ndarray, cost: np.ndarray, rule: Rule) -> tuple[int, int, np.ndarray]:
-    """l, m and which of the listed shared shingles to index, for a class of n shingles; l is 0 if no prefix will do.
-
-    where are places in the order, cost the classes that share the shingle; shingles not given are shared with none.
-    """
-    base, costly, most = n - int(rule.need(n)), cost >= COSTLY, int(rule.longest(np.int64(n)))
-
-    def prefix(m: int) -> tuple[int, int, np.ndarray] | None:
-        for l in range(m, min(most + 1, n - base) + 1):  # n - base is the least overlap: no pair need share more
-            inside = where < base + l
-            if (costly & inside).sum() <= l - m:
-                return l, m, inside & ~costly
-        return None
-
-    one = prefix(1)
-    if one is None:
-        return 0, 1, ~costly
-    # The more candidates the shortest prefix would give, the more matches are asked for, as far as the listed shingles go.
-    if cost[one[2]].sum() >= MANY:
-        for m in range(most + 1, 1, -1):
-            if more := prefix(m):
-                return more
-    return one
-
-
-def _adapted(shared: DataFrame, rule: Rule) -> DataFrame:
-    """c, comp, n, l, m and the tokens to index of each class."""
+        from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, sets, classes, held = TaskContext.get().partitionId() << 20, [], [], 0
         for batch in batches:
-            rows = []
-            for c, comp, n, got in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                where, cost, token = (np.array([g[k] for g in got], np.int64) for k in ("place", "cost", "token"))
-                l, m, use = plan(n, where, cost, rule)
-                rows.append((c, comp, n, l, m, token[use]))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, k) for x, k in zip(cols[:5], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], _lists(cols[5], pa.int64())], names=["c", "comp", "n", "l", "m", "tokens"])
-
-    return shared.mapInArrow(run, "c long, comp long, n long, l int, m int, tokens array<long>")
+            for part in slices(batch):
+                for s, c in zip(shingle_sets(Words(*utf8_parts(part.column(0)), SPACED), rule.words), part.column(1).to_pylist(), strict=True):
+                    if class_of(s) == c:  # else a row that shares only the id
+                        sets.append(s)
+                        classes.append(c)
+                        held += len(s)
+                        if held >= BLOCK or len(sets) == 1 << 16:
+                            yield block(number, sets, classes)
+                            number, sets, classes, held = number + 1, [], [], 0
+        if sets:
+            yield block(number, sets, classes)
+
+    return found.select("text", "c").mapInArrow(run, "bucket int, block long, kind byte, body binary")
+
+
+def _bucket(table: pa.Table) -> pa.Table:
+    """For each block its shingles that more than one class has, with how many have them; what blocks keep goes on."""
+    kinds, blocks, bodies = (table.column(x).to_pylist() for x in ("kind", "block", "body"))
+    asked = [i for i, k in enumerate(kinds) if k == _ASK]
+    out = [(blocks[i], _KEEP, bodies[i]) for i, k in enumerate(kinds) if k == _KEEP]
+    got = []
+    for i in asked:
+        own, who, common, times = _get(bodies[i], np.uint8, np.uint16, np.uint8, np.uint32)
+        got.append((_from_steps(own), who, _from_steps(common), times))
+        bodies[i] = None
+    if got:
+        tokens = np.concatenate([x for own, _, common, _ in got for x in (own, common)])
+        order = np.argsort(tokens, kind="stable")
+        first, run = _runs(tokens[order])
+        del tokens
+        weight = np.concatenate([x for own, _, _, times in got for x in (np.ones(len(own), np.uint32), times)])
+        total = np.empty(len(order), np.uint32)
+        total[order] = np.repeat(np.minimum(np.add.reduceat(weight[order].astype(np.int64), first), (1 << 32) - 1), run) if len(order) else 0
+        at = 0
+        for i, (own, who, common, _) in zip(asked, got, strict=True):
+            mine, theirs = total[at : at + len(own)], total[at + len(own) : at + len(own) + len(common)]
+            at += len(own) + len(common)
+            out.append((blocks[i], _ASK, _put(_steps(own[mine > 1]), who[mine > 1], mine[mine > 1], _steps(common), theirs)))
+    block, kind, body = zip(*out, strict=True)
+    return pa.table([pa.array(block, pa.int64()), pa.array(kind, pa.int8()), pa.array(body, pa.binary())], names=["block", "kind", "body"])
+
+
+_ALIVE = T.StructType([T.StructField("num", T.LongType()), T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("costs", T.ArrayType(T.LongType()))])
 
 
-def _rarest(docs: DataFrame, classes: DataFrame, dear: DataFrame, near: DataFrame, rule: Rule, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """For classes whose listed prefix is costly throughout: links to hubs, and what to index of the rest.
-
-    The hub of a shingle is the class whose shingles are shared most; each class meets the two hubs that it shares most
-    shingles with, in each round. What they link is one component with what `near` links. Then prefixes are taken from whole sets, rarest first: by
-    whether several components have a shingle, how many classes have it, and hash. Shingles of one component alone come
-    first and need no index, so a class with many of them has little or nothing left to index.
-    """
-    found = docs.join(_small(written(dear.select("c", "comp", "n").join(classes.select("c", "rep"), "c"), "join-dear")), F.col("doc_id") == F.col("rep"))
+def _lists(arrays: list, kind: pa.DataType) -> pa.Array:
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)), pa.array(flat, kind))
 
-    def make():
-        def each(texts, _):
-            sets = shingle_sets(Words(*utf8_parts(texts), SPACED), rule.words)
-            return [np.array([class_of(s) for s in sets], np.int64), _lists([s.view(np.int64) for s in sets], pa.int64())]
 
-        return each
+def _alive(rule: Rule):
+    """Of a block, the classes that share enough to have a partner: number, class, size, shared shingles and their costs, rarest first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(*[table.column(x).to_pylist() for x in ("block", "kind", "body")], strict=True))
+        number = rows[0][0]
+        keep = next(body for _, kind, body in rows if kind == _KEEP)
+        classes, n, common, times, common_who = _get(keep, np.int64, np.uint32, np.uint8, np.uint32, np.uint16)
+        common = _from_steps(common)
+        parts = [[np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        total = np.zeros(len(common), np.int64)
+        for _, kind, body in rows:
+            if kind == _ASK:
+                own, who, cost, theirs, its = _get(body, np.uint8, np.uint16, np.uint32, np.uint8, np.uint32)
+                total[np.searchsorted(common, _from_steps(theirs))] = its
+                for x, y in zip(parts, (_from_steps(own), who, cost), strict=True):
+                    x.append(y)
+        token = np.concatenate([*parts[0], np.repeat(common, times)])
+        who = np.concatenate([*[x.astype(np.int64) for x in parts[1]], common_who.astype(np.int64)])
+        cost = np.concatenate([*[x.astype(np.int64) for x in parts[2]], np.repeat(total, times)])
+        enough = np.bincount(who, minlength=len(n)) >= rule.need(n.astype(np.int64))
+        some = enough[who]
+        token, who, cost = token[some], who[some], cost[some]
+        order = np.lexsort((token, cost, who))
+        token, who, cost = token[order].view(np.int64), who[order], cost[order]
+        at = np.flatnonzero(enough)
+        cuts = np.searchsorted(who, np.append(at, len(n)))
+        return pa.table([
+            pa.array((number << 16) + at, pa.int64()), pa.array(classes[at]), pa.array(n[at].astype(np.int64)),
+            *[_lists([x[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.int64()) for x in (token, cost)],
+        ], names=_ALIVE.fieldNames())
+
+    return run
+
+
+def plan(n: int, cost: np.ndarray, rule: Rule) -> int:
+    """The number of matches m that a class of n shingles asks for; cost are the classes of its shared shingles, rarest first."""
+    short = len(cost) - int(rule.even(n))  # shared shingles in the prefix for no match
+    met = [int(cost[: max(0, short + m)].sum()) for m in range(1, max(1, min(MOST, int(rule.need(n)))) + 1)]
+    return 1 + int(np.argmin([x + VERIFY * min(met[0], x / m) for m, x in enumerate(met, 1)]))
+
+
+def _entries(alive: DataFrame, rule: Rule) -> DataFrame:
+    """Index entries: class num of component comp, n shingles of which s are shared, m; a token at place j among them, the level from which it counts, and whether the class asks with it."""
 
-    whole = map_docs(found, "text", ["c", "comp", "n"], T.StructType([T.StructField("__c", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]), make).where("c = __c").drop("__c")
-    whole = written(whole, "join-whole")
-    links = None
-    for last in range(rounds + 1):
-        each = whole.select("c", "comp", "n", F.explode("tokens").alias("token"))
-        spread = written(each.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("cost")).where("lo < hi").select("token", "cost"), "join-spread")
-        rows = each.join(spread, "token")
-        if last == rounds:
-            break
-        score = written(rows.groupBy("c", "comp").agg((F.sum("cost") / F.first("n")).alias("score")), "join-score")
-        hubs = written(rows.select("c", "token").join(score, "c").groupBy("token").agg(F.max(F.struct("score", "c", "comp")).alias("hub")).select("token", F.col("hub.c").alias("d"), F.col("hub.comp").alias("comp2")), "join-hubs")
-        meets = rows.select("c", "comp", "token").join(hubs, "token").where("comp <> comp2").groupBy("c", "d").agg(F.count("*").alias("n"))
-        best = meets.withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "d"))).where("i <= 2").select(F.col("d").alias("a"), F.col("c").alias("b"))  # the hubs of one class
-        found = written(_verified(docs, classes, best, rule), "join-hub-links")
-        links = found if links is None else links.union(found)
-        roots = components(near.union(links)).withColumnRenamed("node", "c")
-        whole = written(whole.join(roots, "c", "left").select("c", F.coalesce("root", "comp").alias("comp"), "n", "tokens"), "join-whole")
-    shared = rows.groupBy("c", "comp", "n").agg(F.sort_array(F.collect_set(F.struct("cost", "token"))).alias("got"))  # shingles of one class
-    # A larger partner shares at least `even` shingles with a class, any partner at least `need`.
-    n, own = F.col("n"), F.col("n") - F.size("got")
-    need, even = -F.floor(-rule.percent * n / 100), -F.floor(-2 * rule.percent * n / (100 + rule.percent))
-    out = shared.withColumns({"shared": F.size("got"), "short": n - even + 1 - own, "long": n - need + 1 - own}).where("long > 0")
-    return links, out.select("c", "comp", "n", "shared", "short", F.transform(F.slice("got", F.lit(1), F.col("long").cast("int")), lambda g: g["token"]).alias("tokens"))
-
-
-def _rare_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of classes of different components whose rarest shingles leave enough of an overlap possible.
-
-    The short prefix of the smaller class meets the long one of the larger. The overlap is at most what either class
-    shares at all, and at most the matches so far and what stands behind the last one.
-    """
-    large = rows.select("c", "comp", "n", "shared", "short", F.posexplode("tokens").alias("i", "token"))
-    small = large.where("i < short").drop("short")
-    large = large.select(*[F.col(x).alias(f"{x}2") for x in ("c", "comp", "n", "shared", "i")], "token")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for num, comp, n, tokens, costs in zip(*batch.columns, strict=True):
+                num, comp, n = num.as_py(), comp.as_py(), n.as_py()
+                token, cost = tokens.values.to_numpy(), costs.values.to_numpy()
+                s, m = len(token), plan(n, cost, rule)
+                j = np.arange(s)
+                level = np.maximum(1, j + (n - s) - (n - int(rule.need(n))) + 1)
+                few = min(MOST, int(rule.need(n)))
+                inside = level <= few
+                asks = (j + (n - s) < n - int(rule.even(n)) + m) & (s >= rule.even(n))
+                k = int(inside.sum())
+                held.append([*[np.full(k, x, np.int64) for x in (num, comp, n, s, m)], token[inside], j[inside], level[inside], asks[inside]])
+                size += k
+                if size > 200_000:
+                    yield entries(held)
+                    held, size = [], 0
+            if held:
+                yield entries(held)
+
+    def entries(held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["num", "comp", "n", "s", "m", "token", "j", "level", "asks"])
+
+    return alive.select("num", "comp", "n", "tokens", "costs").mapInArrow(run, "num long, comp long, n long, s long, m long, token long, j long, level long, asks boolean")
+
+
+def _linked(alive: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of class numbers that are similar enough, as u and v; the shingles of b travel once a pair, those of a once."""
+    pairs = written(pairs.select("a", "b"), "join-pairs")
+    sets = alive.select("num", "n", "tokens")
+    two = _small(pairs).join(sets.withColumnsRenamed({"num": "b", "n": "n2", "tokens": "y"}), "b")
+    one = sets.join(_small(pairs.select("a").distinct()), F.col("num") == F.col("a")).select("a", "n", F.col("tokens").alias("x"))
+    both = F.size(F.array_intersect("x", "y"))
+    return two.join(one, "a").where(100 * both >= rule.percent * (F.col("n") + F.col("n2") - both)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _alike(rule: Rule):
+    return 100 * F.least("n", "n2") >= rule.percent * F.greatest("n", "n2")
+
+
+def _hub_pairs(alive: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of each class with two hubs of its shingles."""
+    token = F.explode(F.when(F.col("n") < 64, F.col("tokens")).otherwise(F.filter("tokens", lambda t: t % 4 == 0))).alias("token")
+    score = (F.aggregate("costs", F.lit(0).cast("long"), lambda a, x: a + x) / F.col("n")).cast("float").alias("score")
+    rows = alive.select("num", "n", score, token)
+    hubs = rows.groupBy("token").agg(F.max(F.struct("score", "num", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1")
+    meets = rows.select("num", "n", "token").join(hubs.select("token", F.col("hub.num").alias("d"), F.col("hub.n").alias("n2")), "token").where(F.col("num") != F.col("d")).where(_alike(rule))
+    meets = meets.groupBy("num", "d").agg(F.count("*").alias("k"))
+    first = Window.partitionBy("num").orderBy(F.desc("k"), "d")  # hubs of one class
+    return meets.withColumn("i", F.row_number().over(first)).where("i <= 2").select(F.col("d").alias("a"), F.col("num").alias("b"))
+
+
+def _prefix_pairs(alive: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of classes of different components that share as many prefix shingles as the smaller asks for."""
+    rows = _entries(alive, rule)
+    spread = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("s", "comp")).alias("main")).where("lo < hi").select("token", F.col("main.comp").alias("main"))
+    live = written(rows.join(spread, "token"), "join-index")
+    inside = F.col("comp") == F.col("main")
+    index = live.select("token", inside.cast("int").alias("side"), *[F.col(x).alias(f"{x}2") for x in ("num", "comp", "n", "s", "j", "level")])
+    asks = live.where("asks").select("token", F.explode(F.when(inside, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"), "num", "comp", "n", "s", "j", "m")
     reach = lambda most: (100 + rule.percent) * most >= rule.percent * (F.col("n") + F.col("n2"))
-    left = F.least(F.col("shared") - F.col("i"), F.col("shared2") - F.col("i2"))
-    pairs = small.join(large, (small["token"] == large["token"]) & F.expr("comp <> comp2 AND (n < n2 OR n = n2 AND c < c2)") & reach(F.col("n")) & reach(F.least("i", "i2") + left))
-    both = pairs.groupBy("c", "c2", "n", "n2", "shared", "shared2").agg(F.count("*").alias("both"), F.max("i").alias("i"), F.max("i2").alias("i2"))
-    return both.where(reach(F.col("both") + left - 1)).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+    behind = F.least(F.col("s") - 1 - F.col("j"), F.col("s2") - 1 - F.col("j2"))
+    fits = F.expr("comp <> comp2 AND (n < n2 OR n = n2 AND num < num2) AND level2 <= m") & _alike(rule) & reach(F.least("s", "s2")) & reach(F.least("j", "j2") + 1 + behind)
+    pairs = asks.join(index, (asks["token"] == index["token"]) & (asks["side"] == index["side"]) & fits)
+    both = pairs.groupBy("num", "num2", "n", "n2", "s", "s2", "m").agg(F.count("*").alias("both"), F.max("j").alias("j"), F.max("j2").alias("j2"))
+    return both.where("both >= m").where(reach(F.col("both") + behind)).select(F.col("num2").alias("a"), F.col("num").alias("b"))
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id of every row; classes are sets of shingles."""
     rule = Rule(words, percent)
-    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def make():
         def each(texts, _):
             sets = shingle_sets(Words(*utf8_parts(texts), SPACED), rule.words)
-            n = np.array([len(s) for s in sets], np.int64)
-            return [n, np.array([class_of(s) for s in sets], np.int64), _lists([bands_of(s) if len(s) else _NO_LONGS for s in sets], pa.int64())]
+            return [np.array([len(s) for s in sets], np.int64), np.array([class_of(s) for s in sets], np.int64)]
 
         return each
 
-    fields = T.StructType([T.StructField("n", T.LongType()), T.StructField("c", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    rows = written(map_docs(docs, "text", ["doc_id"], fields, make), "join-rows")
-    full = rows.where("n > 0")
-    classes = written(full.groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "join-classes")
-
-    near, parts = _stars(docs, classes, rule)
-
-    # Listed shingles of each class, and those that several components share.
-    def listed():
-        def each(texts, _):
-            sets = shingle_sets(Words(*utf8_parts(texts), SPACED), rule.words)
-            return [np.array([class_of(s) for s in sets], np.int64), _lists([s[: rule.listed(len(s))].view(np.int64) for s in sets], pa.int64())]
-
-        return each
-
-    prefix = map_docs(docs, "text", [], T.StructType([T.StructField("c", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]), listed).where("size(tokens) > 0")
-    prefix = prefix.join(_small(parts.select("c", "comp")), "c")
-    each = prefix.select("c", "comp", F.posexplode("tokens").alias("place", "token"))
-    spread = each.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("cost")).where("lo < hi").select("token", "cost")
-    spread = written(spread, "join-spread")
-    shared = each.select("c", "place", "token").join(spread, "token").groupBy("c").agg(F.collect_set(F.struct("place", "cost", "token")).alias("got"))  # listed shingles of one class
-    index = written(_adapted(shared.join(parts, "c").select("c", "comp", "n", "got"), rule), "join-index")
-
-    def meet(rows: DataFrame) -> DataFrame:
-        one = rows.select("c", "comp", "n", "l", "m", F.explode("tokens").alias("token"))
-        other = one.select(*[F.col(x).alias(f"{x}2") for x in ("c", "comp", "n", "l", "m")], "token")
-        pairs = one.join(other, "token").where(f"c < c2 AND comp <> comp2 AND 100 * least(n, n2) >= {rule.percent} * greatest(n, n2)")
-        # The shorter of the two prefixes sets how many matches there must be; a class without one (l = 0) leaves it to the other.
-        need = F.when(F.col("l") == 0, F.col("m2")).when(F.col("l2") == 0, F.col("m")).when(F.col("l") < F.col("l2"), F.col("m")).when(F.col("l") > F.col("l2"), F.col("m2")).otherwise(F.greatest("m", "m2"))
-        return pairs.groupBy("c", "c2").agg(F.count("*").alias("both"), F.first(need).alias("need")).where("both >= need").select(F.col("c").alias("a"), F.col("c2").alias("b"))
-
-    hubs, dear = _rarest(docs, classes, index.where("l = 0"), near, rule)
-    near, dear = near.union(hubs), written(dear, "join-rarest")
-    pairs = meet(index).union(_rare_pairs(dear, rule)).distinct()
-    links = written(_verified(docs, classes, pairs, rule), "join-links")
-    final = components(near.union(links)).withColumnRenamed("node", "c")
-    named = classes.join(final, "c", "left").select("c", "rep", F.coalesce("root", "c").alias("root"))
-    named = written(named, "join-named")
-    least = written(named.groupBy("root").agg(F.min("rep").alias("component_id")), "join-least")
-    known = named.join(least, "root").select("c", "component_id")
-    return rows.join(known, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("c").alias("class_id"))
+    rows = written(map_docs(docs, "text", ["doc_id"], T.StructType([T.StructField("n", T.LongType()), T.StructField("c", T.LongType())]), make), "join-rows")
+    same = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("c", "doc_id").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    classes = same.groupBy("c").agg(F.min(F.struct("doc_id", "k")).alias("least"), F.first("n").alias("n")).select("c", F.col("least.doc_id").alias("rep"), F.col("least.k").alias("k"), "n")
+    classes = written(classes, "join-classes")
+    total, repeats = classes.agg(F.sum("n"), F.max("k")).first()
+    if not total:
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"), F.col("c").alias("class_id"))
+
+    found = docs.join(_small(classes.select("c", "rep", "k")), F.col("doc_id") == F.col("rep"))
+    if repeats > 1:  # rows with one id and text: one of them is enough
+        found = found.where("k = 1").union(found.where("k > 1").dropDuplicates(["c", "rep", "text"]))
+    asks = _asks(found, rule, max(32, -(-total // BUCKET)))
+    answers = asks.groupBy("bucket").applyInArrow(_bucket, "block long, kind byte, body binary")
+    alive = written(answers.groupBy("block").applyInArrow(_alive(rule), _ALIVE), "join-alive")
+
+    near = written(_linked(alive, _hub_pairs(alive, rule), rule), "join-near")
+    roots = components(near)
+    parts = alive.join(roots, F.col("num") == F.col("node"), "left").select("num", F.coalesce("root", "num").alias("comp"), "n", "tokens", "costs")
+    links = written(_linked(alive, _prefix_pairs(parts, rule), rule), "join-links")
+
+    final = components(near.union(links))
+    named = alive.select("num", "c").join(final, F.col("num") == F.col("node"), "left").select("c", F.coalesce("root", "num").alias("root"))
+    named = named.join(classes.select("c", "rep"), "c")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    known = written(named.join(least, "root").groupBy("c").agg(F.min("least").alias("least")), "join-known")
+    for x in (alive, near, links):
+        drop(docs.sparkSession, x)
+    every = classes.join(known, "c", "left").select("c", F.coalesce("least", "rep").alias("component_id"))
+    return rows.join(every, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("c").alias("class_id"))
 
 
 def one_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows and columns of one document of each component, the one with the least id; without words or id rows stay."""
     found = written(join(docs, doc_id=doc_id, text=text, words=words, percent=percent), "join-found")
     kept = written(found.where("doc_id = component_id AND n_shingles > 0").groupBy("class_id", "doc_id").agg(F.count("*").alias("copies")), "join-kept")
+    mark, own_id = _free("__class", docs), _free("__id", docs)
 
     def make():
         def each(texts, _):
@@ -338,10 +375,17 @@ def one_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
 
         return each
 
-    rows = map_docs(docs, text, docs.columns, T.StructType([T.StructField("__class", T.LongType())]), make)
-    free = F.col("__class").isNull() | F.col(f"`{doc_id}`").isNull()
+    rows = map_docs(docs, text, docs.columns, T.StructType([T.StructField(mark, T.LongType())]), make)
+    free = F.col(mark).isNull() | F.col(f"`{doc_id}`").isNull()
     own = [F.col(f"`{c}`") for c in docs.columns]
-    stay = rows.join(kept.select(F.col("class_id").alias("__class"), F.col("doc_id").alias("__id")), "__class").where(F.col(f"`{doc_id}`") == F.col("__id"))
+    stay = rows.join(_small(kept.select(F.col("class_id").alias(mark), F.col("doc_id").alias(own_id))), mark).where(F.col(f"`{doc_id}`") == F.col(own_id))
     if kept.where("copies > 1").limit(1).count():  # an id that comes more than once with one text
-        stay = stay.dropDuplicates(["__class", "__id"])
+        stay = stay.dropDuplicates([mark, own_id])
     return stay.select(*own).unionByName(rows.where(free).select(*own))
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, longer where the documents have a column of that name."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name

@@ -104,6 +104,17 @@ def utf8_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def packed_bytes(x: np.ndarray, size: int) -> bytes:
+    """The low bytes of numbers, byte by byte."""
+    return np.ascontiguousarray(x.astype(U).view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def unpacked_bytes(b, n: int, size: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(b, np.uint8, n * size).reshape(size, n).T
+    return out.reshape(-1).view(U)
+
+
 def slices(batch: pa.RecordBatch, column: int = 0, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about so many bytes of text; a longer text is a run of its own."""
     texts = batch.column(column)

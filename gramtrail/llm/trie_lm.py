@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .elias_fano import EliasFano
 from .shared import written
-from .textops import SPACED, U, Words, map_docs, mix, slices, utf8_parts
+from .textops import SPACED, U, Words, map_docs, mix, packed_bytes, slices, unpacked_bytes, utf8_parts
 
 HEAD, MU = 100_000, 64.0
 #: Events of a block, which a task packs at once, and of a shard, on average.
@@ -239,17 +239,6 @@ def unigrams(docs: DataFrame, head: int) -> Unigrams:
     return Unigrams(h[order], c[order], n_docs, int(total[0] or 0) + n_docs, int(total[1]) + (n_docs > 0), int(special.get(1) or 0))
 
 
-def _packed(x: np.ndarray, size: int) -> bytes:
-    """The low bytes of numbers, byte by byte."""
-    return np.ascontiguousarray(x.astype(U).view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
-
-
-def _unpacked(b: memoryview, n: int, size: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :size] = np.frombuffer(b, np.uint8, n * size).reshape(size, n).T
-    return out.reshape(-1).view(U)
-
-
 def _events(docs: DataFrame, uni, shards: int) -> DataFrame:
     """Events packed by block of documents and shard."""
 
@@ -273,7 +262,7 @@ def _events(docs: DataFrame, uni, shards: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], d[a + 1 : b] != d[a : b - 1]]))
                 who = d[a:b][first]
                 n = np.diff(np.append(first, b - a)).astype(np.uint32)
-                body = struct.pack("<qq", len(who), b - a) + key[who].tobytes() + n.tobytes() + learn[who].tobytes() + _packed(v[a:b], 8) + _packed(w[a:b], 8)
+                body = struct.pack("<qq", len(who), b - a) + key[who].tobytes() + n.tobytes() + learn[who].tobytes() + packed_bytes(v[a:b], 8) + packed_bytes(w[a:b], 8)
                 out_s.append(s)
                 out_b.append(pack.compress(body))
             return pa.RecordBatch.from_arrays([pa.array(out_s, pa.int32()), pa.array([block] * len(out_s), pa.int64()), pa.array(out_b, pa.binary())], names=["shard", "block", "body"])
@@ -316,8 +305,8 @@ def _answers(uni, mu: float):
             sizes.append(np.frombuffer(b, np.uint32, docs, at + 8 * docs).astype(np.int64))
             learn.append(np.frombuffer(b, bool, docs, at + 12 * docs))
             at += 13 * docs
-            v.append(_unpacked(b[at:], n, 8))
-            w.append(_unpacked(b[at + 8 * n :], n, 8))
+            v.append(unpacked_bytes(b[at:], n, 8))
+            w.append(unpacked_bytes(b[at + 8 * n :], n, 8))
         key, size, learn, v, w = (np.concatenate(x) for x in (keys, sizes, learn, v, w))
         train = np.repeat(learn, size)
         shard = Shard(Shard.build(v[train], w[train], own, mu))

@@ -134,39 +134,64 @@ def near_copies(seed):
     return list(enumerate(rows))
 
 
+@pytest.mark.parametrize("hubs", [True, False])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_join(spark, monkeypatch, seed):
-    monkeypatch.setattr(jaccard_join, "COSTLY", 8)  # so that shared passages are costly among few texts
+def test_join(spark, monkeypatch, seed, hubs):
+    if not hubs:  # so that the prefixes alone must find every link
+        monkeypatch.setattr(jaccard_join, "_hub_pairs", lambda alive, rule: alive.select(F.col("num").alias("a"), F.col("num").alias("b")).limit(0))
     rows = near_copies(seed)
-    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), words=4, percent=85)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 4, 85)
 
 
+def test_join_of_thousands(spark):
+    """Many texts of few passages, with copies of them at all distances around the limit."""
+    r, rows = random.Random(5), []
+    passages = [words(40, 800 + i) for i in range(6)]
+    for _ in range(700):
+        rows.append(" ".join([*r.sample(passages, r.choice([1, 2, 3])), words(r.choice([0, 2, 4, 8]), r.random(), 10**6)]))
+    base = words(150, 77).split()
+    for _ in range(700):
+        own = list(base)
+        for _ in range(r.randint(1, 8)):
+            own[r.randrange(len(own))] = f"e{r.randrange(10**6)}"
+        rows.append(" ".join(own))
+    rows += [words(150, i, 10**6) for i in range(600)]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 5, 80)
+
+
 def test_prefix_plan():
-    rule = jaccard_join.Rule(4, 85)
-    for seed in range(300):
+    """For any pair over the limit, at the m of the smaller, the two prefixes share m shingles."""
+    for seed in range(400):
         r = np.random.default_rng(seed)
-        n = int(r.integers(5, 300))
-        listed = int(rule.listed(n))
-        where = np.sort(r.choice(listed, r.integers(0, listed), replace=False))
-        cost = r.choice([2, 3, 100], len(where))
-        l, m, use = jaccard_join.plan(n, where, cost, rule)
-        base = n - int(rule.need(n))
-        if l:
-            inside = where < base + l
-            assert (inside & (cost >= jaccard_join.COSTLY)).sum() <= l - m and (use == (inside & (cost < jaccard_join.COSTLY))).all()
-            assert base + l <= listed
-
-
-def test_prefix_asks_for_no_more_than_the_least_overlap():
-    rule = jaccard_join.Rule()
-    for n in range(1, 40):
-        for cost in (2, 8, 30, 47, 48, 100):
-            k = int(rule.listed(n))
-            l, m, _ = jaccard_join.plan(n, np.arange(k), np.full(k, cost), rule)
-            assert m <= max(l, 1) and l <= rule.need(n)
-    k = int(rule.listed(4))
-    assert jaccard_join.plan(4, np.arange(k), np.full(k, 48), rule)[0] == 0
+        rule = jaccard_join.Rule(4, int(r.choice([70, 80, 85, 100])))
+        n = int(r.integers(1, 120))
+        x = np.sort(r.choice(400, n, replace=False))  # places in the global order
+        y = np.sort(np.concatenate([r.permutation(x)[: n - int(r.integers(0, n // 4 + 1))], 400 + r.choice(400, int(r.integers(0, n // 4 + 2)), replace=False)]))
+        x, y = sorted((x, y), key=len)
+        both = np.intersect1d(x, y)
+        if 100 * len(both) < rule.percent * (len(x) + len(y) - len(both)):
+            continue
+        m = jaccard_join.plan(len(x), r.integers(2, 200, int(r.integers(0, len(x) + 1))), rule)
+        assert 1 <= m <= min(jaccard_join.MOST, len(both))
+        assert len(np.intersect1d(x[: len(x) - rule.even(len(x)) + m], y[: len(y) - rule.need(len(y)) + m])) >= m
+
+
+def test_prefix_costs():
+    rule = jaccard_join.Rule(4, 85)
+    dear = np.concatenate([np.full(100 - rule.even(100) + 1, 2), np.full(rule.even(100) - 1, 5000)])
+    assert jaccard_join.plan(100, dear, rule) == 1  # a longer prefix would meet more entries than it saves pairs
+    assert jaccard_join.plan(100, np.full(100, 50), rule) == jaccard_join.MOST
+    assert jaccard_join.plan(2, np.full(2, 50), rule) <= rule.need(2)
+
+
+def test_join_steps():
+    for n in (0, 1, 2, 1000):
+        x = np.sort(np.random.default_rng(n).integers(0, 1 << 48, n).astype(np.uint64))
+        assert (jaccard_join._from_steps(np.frombuffer(jaccard_join._steps(x), np.uint8)) == x).all()
 
 
 @pytest.mark.parametrize("members", [10, 100])
