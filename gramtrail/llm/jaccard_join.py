@@ -197,7 +197,7 @@ def _bucket(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(block, pa.int64()), pa.array(kind, pa.int8()), pa.array(body, pa.binary())], names=["block", "kind", "body"])
 
 
-_ALIVE = T.StructType([T.StructField("num", T.LongType()), T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("costs", T.ArrayType(T.LongType()))])
+_ALIVE = T.StructType([T.StructField("num", T.LongType()), T.StructField("c", T.LongType()), T.StructField("n", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("costs", T.ArrayType(T.LongType()))])
 
 
 def _lists(arrays: list, kind: pa.DataType) -> pa.Array:
@@ -206,7 +206,7 @@ def _lists(arrays: list, kind: pa.DataType) -> pa.Array:
 
 
 def _alive(rule: Rule):
-    """Of a block, the classes that share enough to have a partner: number, class, size, shared shingles and their costs, rarest first."""
+    """Of a block, the classes that share enough to have a partner: number, class, size, costs of all shingles by size, shared shingles and their costs, rarest first."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*[table.column(x).to_pylist() for x in ("block", "kind", "body")], strict=True))
@@ -226,6 +226,7 @@ def _alive(rule: Rule):
         who = np.concatenate([*[x.astype(np.int64) for x in parts[1]], common_who.astype(np.int64)])
         cost = np.concatenate([*[x.astype(np.int64) for x in parts[2]], np.repeat(total, times)])
         enough = np.bincount(who, minlength=len(n)) >= rule.need(n.astype(np.int64))
+        score = np.bincount(who, cost, len(n)) / np.maximum(n, 1)
         some = enough[who]
         token, who, cost = token[some], who[some], cost[some]
         order = np.lexsort((token, cost, who))
@@ -233,7 +234,7 @@ def _alive(rule: Rule):
         at = np.flatnonzero(enough)
         cuts = np.searchsorted(who, np.append(at, len(n)))
         return pa.table([
-            pa.array((number << 16) + at, pa.int64()), pa.array(classes[at]), pa.array(n[at].astype(np.int64)),
+            pa.array((number << 16) + at, pa.int64()), pa.array(classes[at]), pa.array(n[at].astype(np.int64)), pa.array(score[at]),
             *[_lists([x[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.int64()) for x in (token, cost)],
         ], names=_ALIVE.fieldNames())
 
@@ -294,8 +295,7 @@ def _alike(rule: Rule):
 def _hub_pairs(alive: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of each class with two hubs of its shingles."""
     token = F.explode(F.when(F.col("n") < 64, F.col("tokens")).otherwise(F.filter("tokens", lambda t: t % 4 == 0))).alias("token")
-    score = (F.aggregate("costs", F.lit(0).cast("long"), lambda a, x: a + x) / F.col("n")).cast("float").alias("score")
-    rows = alive.select("num", "n", score, token)
+    rows = alive.select("num", "n", "score", token)
     hubs = rows.groupBy("token").agg(F.max(F.struct("score", "num", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1")
     meets = rows.select("num", "n", "token").join(hubs.select("token", F.col("hub.num").alias("d"), F.col("hub.n").alias("n2")), "token").where(F.col("num") != F.col("d")).where(_alike(rule))
     meets = meets.groupBy("num", "d").agg(F.count("*").alias("k"))
