@@ -21,12 +21,16 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and root of every node that has a link and is not its own root; links has columns u and v."""
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
+    """node and root of every node that has a link and is not its own root; links has columns u and v.
+
+    After at most that many rounds, if given: nodes with one root are then of one component, but not all of one component have one root.
+    """
     spark = links.sparkSession
     e = written(links.select("u", "v").where("u <> v").distinct(), "links")
-    state = None
+    state, rounds = None, 0
     while True:
+        rounds += 1
         after = written(_small(_large(e)), "links")
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop(spark, e)
@@ -34,3 +38,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
+        if rounds == most:
+            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

@@ -42,13 +42,13 @@ from pyspark.sql import types as T
 
 from .components import components
 from .shared import drop, written
-from .textops import SPACED, U, Words, grams, map_docs, mix, packed_bytes, slices, unpacked_bytes, utf8_parts
+from .textops import SPACED, U, Words, grams, map_docs, mix, packed_bytes, release, slices, unpacked_bytes, utf8_parts
 
 WORDS, PERCENT = 5, 80
 #: Most matches that a class asks for, and the cost of a verified pair in met entries.
 MOST, VERIFY = 4, 20
 #: Shingles of a block and, on average, of a bucket; from so many classes of a block on a shingle goes as a number.
-BLOCK, BUCKET, SEVERAL = 1_000_000, 1_500_000, 4
+BLOCK, BUCKET, SEVERAL = 750_000, 1_000_000, 4
 BROADCAST_ROWS = 1_000_000
 _ASK, _KEEP = 0, 1
 
@@ -166,6 +166,7 @@ def _asks(found: DataFrame, rule: Rule, buckets: int) -> DataFrame:
                             number, sets, classes, held = number + 1, [], [], 0
         if sets:
             yield block(number, sets, classes)
+        release()
 
     return found.select("text", "c").mapInArrow(run, "bucket int, block long, kind byte, body binary")
 
@@ -194,6 +195,7 @@ def _bucket(table: pa.Table) -> pa.Table:
             at += len(own) + len(common)
             out.append((blocks[i], _ASK, _put(_steps(own[mine > 1]), who[mine > 1], mine[mine > 1], _steps(common), theirs)))
     block, kind, body = zip(*out, strict=True)
+    release()
     return pa.table([pa.array(block, pa.int64()), pa.array(kind, pa.int8()), pa.array(body, pa.binary())], names=["block", "kind", "body"])
 
 
@@ -347,7 +349,7 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
     alive = written(answers.groupBy("block").applyInArrow(_alive(rule), _ALIVE), "join-alive")
 
     near = written(_linked(alive, _hub_pairs(alive, rule), rule), "join-near")
-    roots = components(near)
+    roots = components(near, most=2)  # what is not yet one component there is found again
     parts = alive.join(roots, F.col("num") == F.col("node"), "left").select("num", F.coalesce("root", "num").alias("comp"), "n", "tokens", "costs")
     links = written(_linked(alive, _prefix_pairs(parts, rule), rule), "join-links")
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .textops import small_batches
+
 _OWN: dict[str, str] = {}
 
 
@@ -24,6 +26,7 @@ def folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, with their lineage cut."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,16 +7,33 @@ depend on the bytes alone, hence agree between machines and runs.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 U = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+
+
+def release() -> None:
+    """Give memory that is free back to the system: workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python 4 MB at a time: neither side then holds 64 MB, and twice that while it grows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, None) or BATCH_BYTES + 1) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -133,9 +150,13 @@ def map_docs(df: DataFrame, text: str, keep: Iterable[str], fields: T.StructType
     the kept columns) and returns an array per field. A kept column whose name is also
     that of a field gives way to it.
     """
+    small_batches(df.sparkSession)
     keep = [c for c in dict.fromkeys(keep) if c not in fields.fieldNames()]
     same = text in keep and isinstance(df.schema[text].dataType, T.StringType)  # the text goes to Python once
-    rows = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep if not (same and c == text)])
+    mine = "__text"
+    while mine in keep:
+        mine += "_"
+    rows = df.select(F.col(f"`{text}`").cast("string").alias(mine), *[F.col(f"`{c}`") for c in keep if not (same and c == text)])
     schema = T.StructType([df.schema[c] for c in keep] + list(fields))
     names = schema.fieldNames()
 
@@ -145,7 +166,8 @@ def map_docs(df: DataFrame, text: str, keep: Iterable[str], fields: T.StructType
             for part in slices(batch):
                 new = [x if isinstance(x, pa.Array) else pa.array(x) for x in each(part.column(0), part)]
                 old = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-                yield pa.RecordBatch.from_arrays([*[old["__text" if same and c == text else c] for c in keep], *new], names=names)
+                yield pa.RecordBatch.from_arrays([*[old[mine if same and c == text else c] for c in keep], *new], names=names)
+        release()
 
     return rows.mapInArrow(run, schema)
 
