@@ -8,7 +8,8 @@ beside it; what they keep falls into runs, which give the result of the whole te
 alphabet, entropy, the neighbouring words, and of the file whether it names secrets and how many numbers it has.
 
 Training takes at most `max_docs` documents, those with the smallest hash of the id, and of each the PIECES pieces of PIECE
-tokens with the smallest hash and as many with base spans (documented bounds); the base patterns label them. Lines made from
+tokens with the smallest hash and as many with base spans (documented bounds); the base patterns label them, and tokens that may
+be secrets which these miss take no part. Lines made from
 a seed have secrets of other forms, some of letters alone or short, and numbers, dates, names and paths
 that are none. Cases: a null or empty text has no spans; without
 training documents the made lines train alone; repeated rows each get a row.
@@ -24,6 +25,7 @@ import string
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 DIGITS = re.compile(r"[0-9]+")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+")
 CHARS = r"A-Za-z0-9+/_-"
+SPLIT = re.compile(f"([{CHARS}]+)")
 NEIGHBOUR = re.compile(f"[{CHARS}]+|[^\\s{CHARS}]")
 MAX_DOCS, MADE = 2000, 1500
 #: Tokens of a piece that trains, and pieces of a document.
@@ -64,19 +67,28 @@ def base_spans(text: str) -> list[Span]:
     return out + [(2, m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _alphabet(s: str) -> str:
-    if s.isdigit():
-        return "digits"
-    if re.fullmatch("[0-9a-f]+", s):
-        return "hex"
-    return ("l" if re.search("[a-z]", s) else "") + ("u" if re.search("[A-Z]", s) else "") + ("d" if re.search("[0-9]", s) else "") + ("s" if re.search("[+/_-]", s) else "")
+#: Lower-case letters as a, capitals as A, digits as 9.
+_SHAPE = str.maketrans(string.ascii_lowercase + string.ascii_uppercase + string.digits, "a" * 26 + "A" * 26 + "9" * 10)
+_REPEATED, _HEXADECIMAL = re.compile(r"(.)\1+"), re.compile("[0-9a-f]+")
 
 
 def _own(s: str) -> list[str]:
     """Features of the token itself."""
-    shape = re.sub(r"(.)\1+", r"\1", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", s))))[:6]
-    entropy = -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
-    return ["bias", f"shape={shape}", f"length={min(40, len(s)) // 4}", f"alphabet={_alphabet(s)}", f"entropy={entropy:.0f}", f"digits={round(4 * sum(c.isdigit() for c in s) / len(s))}"]
+    n, full = len(s), s.translate(_SHAPE)
+    digits, shape = full.count("9"), _REPEATED.sub(r"\1", full)
+    if digits == n:
+        alphabet = "digits"
+    elif _HEXADECIMAL.fullmatch(s):
+        alphabet = "hex"
+    else:
+        alphabet = ("l" if "a" in full else "") + ("u" if "A" in full else "") + ("d" if digits else "") + ("s" if any(c in shape for c in "+/_-") else "")
+    entropy = sum(k * _log2(k, n) for k in (s.count(c) for c in set(s))) / n
+    return ["bias", f"shape={shape[:6]}", f"length={min(40, n) // 4}", f"alphabet={alphabet}", f"entropy={entropy:.0f}", f"digits={round(4 * digits / n)}"]
+
+
+@lru_cache(4096)
+def _log2(k: int, n: int) -> float:
+    return math.log2(n / k)
 
 
 def _features(text: str, a: int, b: int, file: list[str]) -> list[str]:
@@ -106,64 +118,88 @@ def chains(text: str) -> list[list[tuple[int, int, list[str]]]]:
     return [chain_of(text, spots, _file(text))] if spots else []
 
 
+class Rows(dict):
+    """Rows of numbers by string, each made once."""
+
+    def __init__(self, width: int, make):
+        self.make, self.table = make, np.zeros((1024, width))
+
+    def __missing__(self, key: str) -> int:
+        i = self[key] = len(self)
+        if i == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[i] = self.make(key)
+        return i
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        at = list(map(self.__getitem__, keys))
+        return self.table[at]
+
+
 class Bounds:
     """Which tokens of a text may be part of a secret under a model."""
 
     def __init__(self, model: "Crf"):
-        self.model, self.known, self.gaps = model, {}, {}
-        m = model.move
-        most = lambda f: max(0.0, self.gain([f]))
-        self.most = tuple(max([0.0, *[most(f) for f in model.index if f.startswith(k)]]) for k in ("mark=", "next="))
+        self.model, m = model, model.move
+        w = model.weight
+        self.lift = {f: (float(w[i, BEGIN] - w[i, OUT]), float(w[i, INSIDE] - w[i, OUT])) for f, i in model.index.items()}
+        self.words: dict[str, tuple] = {}
+        for f in model.index:
+            if f.startswith("word"):
+                old, i = self.words.get(f[6:], (0.0, 0.0, 0.0)), int(f[4])
+                self.words[f[6:]] = (*old[:i], max(0.0, *self.lift[f]), *old[i + 1 :])
+        self.known, self.gaps = Rows(5, self._token), Rows(2, self._between)
+        self.most = tuple(max([0.0, *[self.gain([f]) for f in model.index if f.startswith(k)]]) for k in ("mark=", "next="))
         # A span BEGIN INSIDE ... instead of outside: one way in and out, and a move for each further token.
         self.ends = max(m[a, BEGIN] + m[x, b] - m[a, OUT] - m[OUT, b] for a in range(3) for x in (BEGIN, INSIDE) for b in (OUT, BEGIN))
         self.stay = max(m[BEGIN, INSIDE], m[INSIDE, INSIDE]) - m[OUT, OUT]
 
     def gain(self, features: list[str]) -> float:
         """Most that the features give to a tag over outside."""
-        e = self.model.emissions([features])[0][0]
-        return float(max(e[BEGIN], e[INSIDE]) - e[OUT])
-
-    def of(self, token: str) -> tuple[float, ...]:
+        begin = inside = 0.0
+        for f in features:
+            if f in self.lift:
+                x, y = self.lift[f]
+                begin, inside = begin + x, inside + y
+        return max(begin, inside)
+
+    def _token(self, token: str) -> tuple[float, ...]:
         """The gain of a token, the most that it adds as word 0, 1 and 2 before another, and whether it counts as a mark."""
-        got = self.known.get(token)
-        if got is None:
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            word = token.lower()[:12]
-            got = self.known[token] = self.gain(_own(token)), *[max(0.0, self.gain([f"word{i}={word}"])) for i in range(3)], float(not token[0].isalnum())
-        return got
-
-    def between(self, gap: str) -> tuple[float, float]:
+        return self.gain(_own(token)), *self.words.get(token.lower()[:12], (0.0, 0.0, 0.0)), float(not token[0].isalnum())
+
+    def _between(self, gap: str) -> tuple[float, float]:
         """What the text between two tokens gives as mark to the one after it, and as next to the one before it."""
-        got = self.gaps.get(gap)
-        if got is None:
-            if len(self.gaps) >= KEPT:
-                self.gaps.clear()
-            if len(gap) > 16:  # a feature may not see all of it
-                got = self.most
-            else:
-                before, after = [x.lower() for x in NEIGHBOUR.findall(gap)[-1:]], NEIGHBOUR.findall(gap.lower())[:1]
-                got = tuple(self.gain([f"{k}={x[0] if x and not x[0][0].isalnum() else ''}"]) for k, x in (("mark", before), ("next", after)))
-            self.gaps[gap] = got
-        return got
+        if len(gap) > 16:  # a feature may not see all of it
+            return self.most
+        before, after = [x.lower() for x in NEIGHBOUR.findall(gap)[-1:]], NEIGHBOUR.findall(gap.lower())[:1]
+        return tuple(self.gain([f"{k}={x[0] if x and not x[0][0].isalnum() else ''}"]) for k, x in (("mark", before), ("next", after)))
 
     def runs(self, text: str) -> list[list[tuple[int, int, list[str]]]]:
         """Runs of neighbouring tokens that some span of positive gain may hold."""
-        tokens = TOKEN.findall(text)
+        parts = SPLIT.split(text)
+        tokens = parts[1::2]
         if not tokens or not self.model.index:
             return []
-        file, of, between = _file(text), self.of, self.between
-        own = np.array([of(t) for t in tokens])
+        for x in (self.known, self.gaps):
+            if len(x) > KEPT:
+                x.clear()
+        file, own, gaps = _file(text), self.known.of(tokens), self.gaps.of(parts[::2])
         n, mark = len(tokens), own[:, 4] > 0
-        gaps = np.array([between(g) for g in TOKEN.split(text)])
-        words, any_word = np.zeros((3, n)), np.zeros((3, n))
-        for i in range(min(3, n - 1)):
-            words[i, i + 1 :], any_word[i, i + 1 :] = own[: n - i - 1, 1 + i], own[: n - i - 1, 1:4].max(1)
-        odd = np.zeros(n, bool)  # a mark among the three tokens before: words may have other numbers
-        for i in range(min(3, n - 1)):
-            odd[i + 1 :] |= mark[: n - i - 1]
-        x = own[:, 0] + np.where(odd, any_word.sum(0), words.sum(0)) + self.gain(file) + self.stay
-        x += np.where(np.concatenate([[False], mark[:-1]]), self.most[0], gaps[:-1, 0]) + np.where(np.concatenate([mark[1:], [False]]), self.most[1], gaps[1:, 1])
+        x = own[:, 0] + (self.gain(file) + self.stay)
+        x[0] += gaps[0, 0]
+        x += gaps[1:, 1]
+        x[1:] += gaps[1:-1, 0]
+        if mark.any():  # a token of marks alone may itself be the mark beside another, and words have other numbers after it
+            x[1:] += np.where(mark[:-1], self.most[0] - gaps[1:-1, 0], 0)
+            x[:-1] += np.where(mark[1:], self.most[1] - gaps[1:-1, 1], 0)
+            odd, any_word = np.zeros(n, bool), own[:, 1:4].max(1)
+            for i in range(min(3, n - 1)):
+                odd[i + 1 :] |= mark[: n - i - 1]
+            for i in range(min(3, n - 1)):
+                x[i + 1 :] += np.where(odd[i + 1 :], any_word[: n - i - 1], own[: n - i - 1, 1 + i])
+        else:
+            for i in range(min(3, n - 1)):
+                x[i + 1 :] += own[: n - i - 1, 1 + i]
         sums = np.concatenate([[0.0], np.cumsum(x)])
         best = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])  # of the runs through each token
         keep = np.flatnonzero(best + self.ends - self.stay > -1e-6)
@@ -268,7 +304,7 @@ def made(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
 
 
 def labelled(text: str, own: list[tuple[int, int]] | None = None) -> list[tuple[list[list[str]], list[int]]]:
-    """Chains of a text with the tags that the base patterns, or the given spans, give: of a given line the whole, of others pieces."""
+    """Chains of a text with the tags that the base patterns, or the given spans, give: of a given line the whole, of others pieces without doubtful tokens."""
     base = [(a, b) for _, a, b in base_spans(text)] if own is None else own
     spots, file = [m.span() for m in TOKEN.finditer(text)], _file(text)
     tags, last, ahead = [], None, sorted(base)
@@ -282,9 +318,23 @@ def labelled(text: str, own: list[tuple[int, int]] | None = None) -> list[tuple[
     if own is None:
         order = sorted(cuts, key=lambda c: zlib.crc32(text[spots[c[0]][0] : spots[c[1] - 1][1]].encode("utf-8", "replace")))
         cuts = sorted({*order[:PIECES], *[c for c in order if any(tags[c[0] : c[1]])][:PIECES]})
+        unknown = [t == OUT and _doubtful(text[a:b]) for (a, b), t in zip(spots, tags, strict=True)]
+        cuts = [(i, j) for c in cuts for i, j in _between_marked(unknown, *c)]
     return [([f for _, _, f in chain_of(text, spots[i:j], file)], tags[i:j]) for i, j in cuts if j > i]
 
 
+def _doubtful(token: str) -> bool:
+    """Whether a token of a document may be a secret that the base patterns miss, so that it is no example of an outside one."""
+    digits, capitals = sum(c.isdigit() for c in token), sum(c.isupper() for c in token[1:])
+    return len(token) >= 8 and (0 < digits < len(token) or len(token) >= 12 and capitals > 0)
+
+
+def _between_marked(marked: list[bool], a: int, b: int) -> list[tuple[int, int]]:
+    """The parts of a range without its marked places."""
+    edges = [a - 1, *[i for i in range(a, b) if marked[i]], b]
+    return [(i + 1, j) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def train(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_DOCS, made_lines: int = MADE) -> Crf:
     """A model from a bounded sample of the documents, labelled by the base patterns."""
     few = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
