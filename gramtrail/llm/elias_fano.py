@@ -9,6 +9,9 @@ _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 #: Place of the kth zero bit of a byte, least bit first; 8 if there is none.
 _ZERO = np.array([[next((i for i in range(8) if not b >> i & 1 and sum(not b >> j & 1 for j in range(i)) == k), 8) for k in range(8)] for b in range(256)], np.uint8)
 
+#: Place of the kth one bit of a byte.
+_ONE = np.array([_ZERO[255 - b] for b in range(256)], np.uint8)
+
 
 class EliasFano:
     """A sequence of n rising numbers; access by place, and the place of a number."""
@@ -17,6 +20,7 @@ class EliasFano:
         self.n, self.bits, self.low, self.high = n, bits, low, high
         zeros = 8 - _ONES[high].astype(np.int64)
         self.zeros = np.concatenate([[0], np.cumsum(zeros)])
+        self.ones = np.arange(len(self.zeros)) * 8 - self.zeros
 
     @classmethod
     def build(cls, values: np.ndarray) -> "EliasFano":
@@ -54,8 +58,14 @@ class EliasFano:
         out = np.where(upper > 0, self._select0(np.maximum(upper - 1, 0)) - np.maximum(upper - 1, 0), 0)
         return np.minimum(out, self.n)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each number, -1 where it is not in the sequence."""
+    def at(self, place: np.ndarray) -> np.ndarray:
+        """The numbers at the places."""
+        byte = np.searchsorted(self.ones, place, "right") - 1
+        high = byte * 8 + _ONE[self.high[byte], place - self.ones[byte]] - place
+        return high.astype(U) << U(self.bits) | self._low(place)
+
+    def find(self, x: np.ndarray, begin: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """Place of each number, -1 where it is not in the sequence, or not from place begin on and before place stop."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
@@ -63,6 +73,8 @@ class EliasFano:
         upper, part = (x >> U(self.bits)).astype(np.int64), x & U((1 << self.bits) - 1)
         most = len(self.high) * 8 - self.n
         at, end = self._below(np.minimum(upper, most)), self._below(np.minimum(upper + 1, most))
+        if begin is not None:
+            at, end = np.maximum(at, begin), np.minimum(end, stop)
         # Numbers with one high part lie together in order: halve their range until it is a single place.
         stop, live = end.copy(), np.flatnonzero((at < end) & (upper < most))
         while len(live):

@@ -1,18 +1,21 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-A bigram model: p(w | v) = (c(v, w) + mu * p(w)) / (c(v) + mu). With `own_shares` every training word has its own
-p(w) = c(w) / (all + 1), whatever the `head`; without, the `head` most frequent training words have that and the
-other words share the rest of the mass evenly. Counts cover all training texts.
+A bigram model: p(w | v) = (c(v, w) + mu * p(w)) / (c(v) + mu), with p(w) = c(w) / (all + 1), and 1 / (all + 1) for
+all unknown words together. Counts cover all training texts; the start of a text is a context, its end a word.
 
-The head's counts are broadcast. The trie is split into shards by the word of a pair that is not of the head, the
+The counts of the `head` most frequent words are broadcast; those of the others are found in the shards, so that the
+head decides about cost alone. The trie is split into shards by the word of a pair that is not of the head, the
 successor if neither is, and by both words if both are; so all occurrences of a rarer word as a successor meet in its shard,
 which hence knows its count, and no shard outgrows the others. log10 p(w | v) is the share of w, the gain of the pair over
 that, and the back-off weight mu / (c(v) + mu); the shard of w gives the first two, the shard of v the last,
 there where v is the successor itself. A shard is built from the events that meet in it: sorted contexts, pointers to their
-successors, and the successors, numbered within the shard and relative to their context, are Elias-Fano
-sequences; gains are quantised to a byte. Events are answered by search among the
-successors of their context. One shuffle carries the events, packed by block of documents and shard;
-a second adds up the parts of each document.
+successors, and the successors, numbered within the shard and set apart by their context, are Elias-Fano
+sequences; gains are quantised to a byte. Each distinct event is answered by search among the successors of its
+context, between its pointers. Levels are flat buffers that are used in place: Shard.open maps a file, but the shards of a job are
+buffers of the task that asks them, as the shared folder may be a store that only Spark can read.
+
+One shuffle carries the events, packed by block of documents and shard; a second brings the blocks the sums of their documents by
+shard, with scores in units of 1 / FINE.
 
 Cases: a null or empty text is its end alone; rows without an id are scored and not learnt from; rows with one id and
 other texts are separate; repeated rows count each and get a row each; without training texts every
@@ -24,7 +27,7 @@ from __future__ import annotations
 import mmap
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,13 @@ from pyspark.sql import types as T
 
 from .elias_fano import EliasFano
 from .shared import written
-from .textops import SPACED, U, Words, map_docs, mix, packed_bytes, slices, unpacked_bytes, utf8_parts
+from .textops import SPACED, U, Words, mix, packed_bytes, release, slices, unpacked_bytes, utf8_parts
 
 HEAD, MU = 100_000, 64.0
 #: Events of a block, which a task packs at once, and of a shard, on average.
-BLOCK_EVENTS, SHARD_EVENTS = 1_000_000, 1_800_000
+BLOCK_EVENTS, SHARD_EVENTS = 1_000_000, 1_200_000
 STEP = 1 / 28  # gains are at most log10(1 + tokens / mu)
+FINE = 4096  # units of a score in an answer
 END, START = 0, 1  # codes; words of the head follow
 OTHER_V, OTHER_W = U(1) << U(56), U(1) << U(40)
 
@@ -55,7 +59,6 @@ class Unigrams:
     tokens: int  # training words and ends
     types: int  # distinct ones
     events: int  # words and ends of all documents
-    own_shares: bool = False  # of words outside the head
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """Code of each word: a number from 2 on for the head, else 0."""
@@ -66,17 +69,14 @@ class Unigrams:
         """Counts of end, start and the head."""
         return np.concatenate([[self.docs, self.docs], self.counts]).astype(np.int64)
 
-    def log_shares(self) -> tuple[np.ndarray, float]:
-        """log10 p of end, start (none) and the head, and of any other word."""
-        head = self.by_code().astype(float)
-        head[START] = 0
-        rest, kinds = self.tokens - head.sum() + 1, self.types - len(self.counts) - (self.docs > 0) + 1
-        with np.errstate(divide="ignore"):
-            return np.log10(head / (self.tokens + 1)), float(np.log10(rest / (self.tokens + 1) / max(kinds, 1)))
-
 
 class Shard:
-    """A trie shard in one buffer; open() maps a file."""
+    """A trie shard in one buffer, used in place; open() maps a file.
+
+    contexts: sorted codes of contexts. pointers: where the successors of each context begin. successors: their numbers
+    among the sorted words, each set apart by its context, so that the whole level rises. gain: log10 of
+    p(w | v) over the share of w and the back-off weight of v, by place.
+    """
 
     def __init__(self, buffer):
         view, at = memoryview(buffer), 0
@@ -93,7 +93,7 @@ class Shard:
             return EliasFano(int(n), int(bits), part(np.uint8), part(np.uint8))
 
         self.words, self.contexts, self.pointers, self.successors = (sequence() for _ in range(4))
-        self.counts, self.own, self.gain = part(np.int64), part(np.int64), part(np.uint8)
+        self.own, self.gain = part(np.int64), part(np.uint8)
 
     @classmethod
     def open(cls, path: str) -> "Shard":
@@ -101,8 +101,8 @@ class Shard:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     @staticmethod
-    def build(v: np.ndarray, w: np.ndarray, uni: Unigrams, mu: float) -> bytes:
-        """A shard from training events (context and word codes)."""
+    def build(v: np.ndarray, w: np.ndarray, n: np.ndarray, uni: Unigrams, mu: float) -> bytes:
+        """A shard from distinct training events (context and word codes, sorted by both) and how often each occurs."""
         out: list[bytes] = []
 
         def put(x: np.ndarray) -> None:
@@ -110,63 +110,50 @@ class Shard:
             out.extend([struct.pack("<q", len(b)), b, b"\0" * (-len(b) % 8)])
 
         words, wi = np.unique(w, return_inverse=True)
-        contexts, vi = np.unique(v, return_inverse=True)
-        pairs, n = np.unique(vi.astype(np.int64) * len(words) + wi, return_counts=True)
-        first = np.searchsorted(pairs, np.arange(len(contexts) + 1) * len(words))
-        of = np.repeat(np.arange(len(contexts)), np.diff(first))
-        own = np.add.reduceat(n, first[:-1]) if len(pairs) else np.zeros(0, np.int64)
-        head, by_code = contexts < OTHER_V, uni.by_code()
-        total = np.where(head, by_code[np.where(head, contexts, U(0)).astype(np.int64)], own)  # head contexts are spread over shards
-        known, other = uni.log_shares()
-        counts = np.bincount(wi, minlength=len(words)).astype(np.int64)
-        pw = word_shares(words, known, other, counts, uni)[pairs - of * len(words)] if len(pairs) else np.zeros(0)
-        gain = np.log10(1 + n / (mu * 10.0**pw)) if len(pairs) else np.zeros(0)
-        for seq in (words, contexts, first.astype(U), pairs.astype(U)):
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
+        counts = np.bincount(wi, n, len(words)).astype(np.int64)
+        gain = np.log10(1 + n / (mu * 10.0 ** word_shares(words, counts, uni)[wi])) if len(v) else np.zeros(0)
+        for seq in (words, v[first], np.append(first, len(v)).astype(U), (of * len(words) + wi).astype(U)):
             ef = EliasFano.build(seq)
             put(np.array([ef.n, ef.bits], np.int64))
             put(ef.low)
             put(ef.high)
-        put(total.astype(np.int64))
         put(counts)
         put(quantised(gain))
         return b"".join(out)
 
-    def shares(self, v: np.ndarray, w: np.ndarray, uni: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 p(w) with the gain of the pair, c(w) of words outside the head, and the number of the context."""
+    def find(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each event, searched among the successors of its context, and the number of its word; -1 if there is none."""
         c, i = self.contexts.find(v), self.words.find(w)
-        both = (c >= 0) & (i >= 0)
-        at = np.full(len(v), -1, np.int64)
-        at[both] = self.successors.find((c[both] * self.words.n + i[both]).astype(U))
+        at, both = np.full(len(v), -1, np.int64), np.flatnonzero((c >= 0) & (i >= 0))
+        begin, end = self.pointers.at(c[both]).astype(np.int64), self.pointers.at(c[both] + 1).astype(np.int64)
+        at[both] = self.successors.find((c[both] * self.words.n + i[both]).astype(U), begin, end)
+        return at, i
+
+    def shares(self, v: np.ndarray, w: np.ndarray, uni: Unigrams) -> tuple[np.ndarray, np.ndarray]:
+        """log10 p(w) with the gain of the pair, and c(w) of words outside the head."""
+        at, i = self.find(v, w)
         own = np.where((i >= 0) & (w >= OTHER_W), self.own[i], 0) if len(self.own) else np.zeros(len(w), np.int64)
-        p = word_shares(w, *uni.log_shares(), own, uni)
-        return (np.where(at >= 0, p + value(self.gain[at]), p) if len(self.gain) else p), own, c
+        p = word_shares(w, own, uni)
+        return (np.where(at >= 0, p + value(self.gain[at]), p) if len(self.gain) else p), own
 
-    def scores(self, v: np.ndarray, w: np.ndarray, uni: Unigrams, mu: float) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p(w | v) and c(v) of events of contexts that have all their events here, or are of the head."""
-        p, _, c = self.shares(v, w, uni)
-        counts = np.where(c >= 0, self.counts[c], 0) if self.contexts.n else np.zeros(len(v), np.int64)
-        counts = np.where(v < OTHER_V, uni.by_code()[np.where(v < OTHER_V, v, U(0)).astype(np.int64)], counts)
-        return p + np.log10(mu / (counts + mu)), counts
+    def parts(self, v: np.ndarray, w: np.ndarray, uni: Unigrams, mu: float) -> tuple[np.ndarray, np.ndarray]:
+        """What each event adds to the score, and c(w) where w is not of the head.
 
-    def parts(self, v: np.ndarray, w: np.ndarray, uni: Unigrams, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What events of a shard add to score, base sum and known words.
-
-        A head context adds its back-off weight and count; a word outside the head adds its own where it is the successor.
+        A head context adds its back-off weight; a word outside the head adds its own where it is the successor.
         """
-        p, own, _ = self.shares(v, w, uni)
+        p, own = self.shares(v, w, uni)
         head, tail = v < OTHER_V, w >= OTHER_W
         counts = uni.by_code()[np.where(head, v, U(0)).astype(np.int64)]
-        word = head & (v != U(START))
-        p = p + np.where(head, np.log10(mu / (counts + mu)), 0) + np.where(tail, np.log10(mu / (own + mu)), 0)
-        base = np.where(word, np.log10(counts + 1.0), 0) + np.where(tail, np.log10(own + 1.0), 0)
-        return p, base, (word & (counts > 0)).astype(np.int64) + (tail & (own > 0))
+        return p + np.where(head, np.log10(mu / (counts + mu)), 0) + np.where(tail, np.log10(mu / (own + mu)), 0), own
 
 
-def word_shares(w: np.ndarray, known: np.ndarray, other: float, counts: np.ndarray, uni: Unigrams) -> np.ndarray:
-    """log10 p of words; counts are those of words outside the head."""
+def word_shares(w: np.ndarray, counts: np.ndarray, uni: Unigrams) -> np.ndarray:
+    """log10 p of words; counts are those of words outside the head. A word that is not in the training texts has one share with all such."""
     head = w < OTHER_W
-    out = np.where(head, known[np.where(head, w, U(0)).astype(np.int64)], np.log10(np.maximum(counts, 1) / (uni.tokens + 1)) if uni.own_shares else other)
-    return np.where(np.isfinite(out), out, other)
+    c = np.where(head, uni.by_code()[np.where(head, w, U(0)).astype(np.int64)], counts)
+    return np.log10(np.maximum(c, 1) / (uni.tokens + 1))
 
 
 def shard_of(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
@@ -183,15 +170,6 @@ def value(q: np.ndarray) -> np.ndarray:
     return q * STEP
 
 
-def keys_of(words: Words, data: np.ndarray, offsets: np.ndarray, ids: pa.Array) -> np.ndarray:
-    """A key of each row from its id and words."""
-    i = mix(ids.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).view(U) + U(97))
-    h = np.zeros(words.n_docs, U)
-    place = (np.arange(len(words.h)) - words.first[words.d]).astype(U)
-    np.add.at(h, words.d, mix(words.h + place * U(0x9FB21C651E98DF25)))
-    return mix(h ^ i).view(np.int64)
-
-
 def _counts(docs: DataFrame) -> DataFrame:
     """hash and count of training words, summed within each task; hash 0 counts documents and 1 events."""
 
@@ -240,38 +218,41 @@ def unigrams(docs: DataFrame, head: int) -> Unigrams:
 
 
 def _events(docs: DataFrame, uni, shards: int) -> DataFrame:
-    """Events packed by block of documents and shard."""
+    """Events packed by block of documents and shard; and of each block its documents, with what the counts of the head say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, held, n_held = uni.value, [], 0
+        own, held, ids, n_held = uni.value, [], [], 0
+        logs = np.log10(own.by_code() + 1.0)
+        logs[START] = 0
+        known = (own.by_code() > 0).astype(np.int64)
+        block = TaskContext.get().partitionId() << 24
 
         def rows() -> pa.RecordBatch:
             pack = zstandard.ZstdCompressor(level=1)
-            v, w, d = (np.concatenate([x[k] for x in held]) for k in range(3))
-            key, learn = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
+            v, w, d, learn, size, base, n_known = (np.concatenate([x[k] for x in held]) for k in range(7))
             shard = shard_of(v, w, shards)
             order = np.argsort(shard, kind="stable")
             v, w, d, cuts = v[order], w[order], d[order], np.searchsorted(shard[order], np.arange(shards + 1))
-            block = (TaskContext.get().partitionId() << 24) + n_blocks
-            out_s, out_b = [], []
-            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if a == b:
-                    continue
+            kept = struct.pack("<q", len(size)) + size.tobytes() + base.tobytes() + n_known.tobytes()
+            out_s, out_b = [int(mix(np.array([block], U))[0]) % shards], [pack.compress(kept)]
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                a, b = cuts[s], cuts[s + 1]
                 first = np.flatnonzero(np.concatenate([[True], d[a + 1 : b] != d[a : b - 1]]))
                 who = d[a:b][first]
-                n = np.diff(np.append(first, b - a)).astype(np.uint32)
-                body = struct.pack("<qq", len(who), b - a) + key[who].tobytes() + n.tobytes() + learn[who].tobytes() + packed_bytes(v[a:b], 8) + packed_bytes(w[a:b], 8)
+                n = np.diff(np.append(first, b - a))
+                body = struct.pack("<qq", len(who), b - a) + packed_bytes(np.diff(who, prepend=0), 4) + packed_bytes(n, 4) + learn[who].tobytes() + packed_bytes(v[a:b], 8) + packed_bytes(w[a:b], 8)
                 out_s.append(s)
                 out_b.append(pack.compress(body))
-            return pa.RecordBatch.from_arrays([pa.array(out_s, pa.int32()), pa.array([block] * len(out_s), pa.int64()), pa.array(out_b, pa.binary())], names=["shard", "block", "body"])
+            of = pa.concat_arrays(ids)
+            lists = pa.ListArray.from_arrays(pa.array([0] + [len(of)] * len(out_s), pa.int32()), of, mask=pa.array([False] + [True] * (len(out_s) - 1)))
+            return pa.RecordBatch.from_arrays([pa.array(out_s, pa.int32()), pa.array([block] * len(out_s), pa.int64()), pa.array(out_b, pa.binary()), lists], names=["shard", "block", "body", "ids"])
 
-        base = n_blocks = 0
+        base = 0
         for batch in batches:
             for part in slices(batch):
-                data, offsets = utf8_parts(part.column(0))
-                words = Words(data, offsets, SPACED)
+                words = Words(*utf8_parts(part.column(0)), SPACED)
                 code, n = own.codes(words.h), words.n_docs
                 cv = np.where(code > 0, code.astype(U), OTHER_V | (words.h >> U(8)))
                 cw = np.where(code > 0, code.astype(U), OTHER_W + (words.h >> U(8)))
@@ -280,88 +261,109 @@ def _events(docs: DataFrame, uni, shards: int) -> DataFrame:
                 v, w = np.full(len(words.h) + n, U(START)), np.full(len(words.h) + n, U(END))
                 at = np.arange(len(words.h)) + words.d
                 v[at + 1], w[at] = cv, cw
-                held.append((v, w, np.repeat(np.arange(n), size) + base, keys_of(words, data, offsets, part.column(2)), part.column(1).fill_null(False).to_numpy(zero_copy_only=False)))
+                sums = [np.bincount(words.d, np.where(code > 0, x[code], 0), n) + x[END] for x in (logs, known)]
+                held.append((v, w, np.repeat(np.arange(n), size) + base, part.column(1).fill_null(False).to_numpy(zero_copy_only=False), size.astype(np.int64), sums[0], sums[1].astype(np.int64)))
+                ids.append(part.column(2))
                 base, n_held = base + n, n_held + len(v)
                 if n_held >= BLOCK_EVENTS:
                     yield rows()
-                    held, n_held, base, n_blocks = [], 0, 0, n_blocks + 1
+                    held, ids, n_held, base, block = [], [], 0, 0, block + 1
         if held:
             yield rows()
+        release()
 
-    return docs.select("text", "learn", "doc_id").mapInArrow(run, "shard int, block long, body binary")
+    fields = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("body", T.BinaryType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType))])
+    return docs.select("text", "learn", "doc_id").mapInArrow(run, fields)
 
 
 def _answers(uni, mu: float):
-    """Answers to the events of a shard: for each block, key, score, base sum and known words of its documents, packed."""
+    """Answers to the events of a shard: for each block, score, base sum and known words of its documents, packed; what blocks keep goes on."""
 
     def run(table: pa.Table) -> pa.Table:
-        own, unpack = uni.value, zstandard.ZstdDecompressor()
-        keys, sizes, learn, v, w = [], [], [], [], []
-        for body in table.column("body"):
-            b = memoryview(unpack.decompress(body.as_py()))
+        own, unpack, pack = uni.value, zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        asked = np.flatnonzero(table.column("ids").is_null().to_numpy())
+        whos, sizes, learn, v, w = [], [], [], [], []
+        bodies = table.column("body")
+        for k in asked.tolist():
+            b = memoryview(unpack.decompress(bodies[k].as_py()))
             docs, n = struct.unpack_from("<qq", b)
-            at = 16
-            keys.append(np.frombuffer(b, np.int64, docs, at))
-            sizes.append(np.frombuffer(b, np.uint32, docs, at + 8 * docs).astype(np.int64))
-            learn.append(np.frombuffer(b, bool, docs, at + 12 * docs))
-            at += 13 * docs
+            whos.append(np.frombuffer(b, np.uint8, 4 * docs, 16))
+            sizes.append(unpacked_bytes(b[16 + 4 * docs :], docs, 4).astype(np.int64))
+            learn.append(np.frombuffer(b, bool, docs, 16 + 8 * docs))
+            at = 16 + 9 * docs
             v.append(unpacked_bytes(b[at:], n, 8))
             w.append(unpacked_bytes(b[at + 8 * n :], n, 8))
-        key, size, learn, v, w = (np.concatenate(x) for x in (keys, sizes, learn, v, w))
-        train = np.repeat(learn, size)
-        shard = Shard(Shard.build(v[train], w[train], own, mu))
-        p, c, known = np.empty(len(v)), np.empty(len(v)), np.empty(len(v), np.int64)
-        for a in range(0, len(v), 1 << 19):
-            some = slice(a, a + (1 << 19))
-            p[some], c[some], known[some] = shard.parts(v[some], w[some], own, mu)
-        first = np.cumsum(size) - size
-        sums = [np.add.reduceat(x, first) for x in (p, c, known)]
-        cuts, out = np.concatenate([[0], np.cumsum([len(k) for k in keys])]), []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            out.append(struct.pack("<q", b - a) + key[a:b].tobytes() + sums[0][a:b].tobytes() + sums[1][a:b].tobytes() + sums[2][a:b].astype(np.int32).tobytes())
-        return pa.table([table.column("block").combine_chunks(), pa.array(out, pa.binary())], names=["block", "body"])
+        out = {int(k): bodies[int(k)].as_py() for k in np.flatnonzero(~table.column("ids").is_null().to_numpy())}
+        if len(asked):
+            size, train, v, w = np.concatenate(sizes), np.repeat(np.concatenate(learn), np.concatenate(sizes)), np.concatenate(v), np.concatenate(w)
+            order = np.lexsort((w, v))
+            v, w = v[order], w[order]
+            first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+            of = np.empty(len(order), np.int32)  # the distinct event of each
+            of[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
+            v, w, times = v[first], w[first], np.add.reduceat(train[order].astype(np.int64), first)
+            del order, train
+            learnt = times > 0
+            shard = Shard(Shard.build(v[learnt], w[learnt], times[learnt], own, mu))
+            p, c = np.empty(len(v)), np.empty(len(v), np.int64)
+            for a in range(0, len(v), 1 << 18):
+                some = slice(a, a + (1 << 18))
+                p[some], c[some] = shard.parts(v[some], w[some], own, mu)
+            starts = np.cumsum(size) - size
+            tail = w >= OTHER_W
+            score = np.rint(-np.add.reduceat(p[of], starts) * FINE).astype(np.int64)
+            base = np.add.reduceat(np.where(tail, np.log10(c + 1.0), 0)[of], starts)
+            known = np.add.reduceat((tail & (c > 0)).astype(np.int32)[of], starts)
+            cut = 0
+            for k, who in zip(asked.tolist(), whos, strict=True):
+                n = len(who) // 4
+                some = slice(cut, cut + n)
+                cut += n
+                less = base[some][known[some] > 0]
+                out[k] = pack.compress(struct.pack("<qq", n, len(less)) + who.tobytes() + packed_bytes(score[some], 5) + packed_bytes(known[some], 4) + less.tobytes())
+            del of, p, c
+        release()
+        names = ["block", "ids"]
+        return pa.table([*[table.column(x).combine_chunks() for x in names], pa.array([out[k] for k in range(table.num_rows)], pa.binary())], names=[*names, "body"])
 
     return run
 
 
-def _added(table: pa.Table) -> pa.Table:
-    """key, score, base and n_known of the documents of a block, added up over the shards."""
-    parts: list[list] = [[], [], [], []]
-    for body in table.column("body"):
-        b = memoryview(body.as_py())
+def _added(fields: T.StructType):
+    """The documents of a block with their sums over the shards."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        kept = table.column("ids").is_valid().to_numpy()
+        (own,) = np.flatnonzero(kept)
+        b = unpack.decompress(table.column("body")[int(own)].as_py())
         (n,) = struct.unpack_from("<q", b)
-        for k, (kind, at) in enumerate(((np.int64, 8), (float, 8 + 8 * n), (float, 8 + 16 * n), (np.int32, 8 + 24 * n))):
-            parts[k].append(np.frombuffer(b, kind, n, at))
-    key, at = np.unique(np.concatenate(parts[0]), return_inverse=True)
-    sums = [np.bincount(at, np.concatenate(x), len(key)) for x in parts[1:]]
-    return pa.table([pa.array(key), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.rint(sums[2]).astype(np.int64))], names=["key", "score", "base", "n_known"])
+        size, base, known = (np.frombuffer(b, kind, n, 8 + 8 * n * i).copy() for i, kind in enumerate((np.int64, float, np.int64)))
+        score = np.zeros(n, np.int64)
+        for k in np.flatnonzero(~kept).tolist():
+            b = memoryview(unpack.decompress(table.column("body")[k].as_py()))
+            docs, less = struct.unpack_from("<qq", b)
+            who = np.cumsum(unpacked_bytes(b[16:], docs, 4).astype(np.int64))
+            score[who] += unpacked_bytes(b[16 + 4 * docs :], docs, 5).astype(np.int64)
+            more = unpacked_bytes(b[16 + 9 * docs :], docs, 4).astype(np.int64)
+            known[who] += more
+            base[who[more > 0]] += np.frombuffer(b, float, less, 16 + 13 * docs)
+        ids = table.column("ids").combine_chunks()
+        ids = ids.flatten() if not isinstance(ids, pa.ChunkedArray) else pa.concat_arrays([x.flatten() for x in ids.chunks])
+        return pa.table([ids, pa.array(size), pa.array(known), pa.array(base), pa.array(-score / FINE)], names=fields.fieldNames())
+
+    return run
 
 
-def lm_scores(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, mu: float = MU, shard_events: int = SHARD_EVENTS, own_shares: bool = False) -> DataFrame:
+def lm_scores(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, mu: float = MU, shard_events: int = SHARD_EVENTS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; learn is a condition on doc_id (the id's name here)."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("learn", learn)
-    uni = replace(unigrams(docs, head), own_shares=own_shares)
+    uni = unigrams(docs, head)
     shared = sc.broadcast(uni)  # head words at most
-    shards = max(8, -(-uni.events // shard_events))
-    parts = _events(docs, shared, shards).groupBy("shard").applyInArrow(_answers(shared, mu), "block long, body binary")
-    sums = parts.groupBy("block").applyInArrow(_added, "key long, score double, base double, n_known long").groupBy("key").agg(F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("n_known").alias("n_known"))
-
-    def make():
-        def each(texts, part):
-            data, offsets = utf8_parts(texts)
-            words = Words(data, offsets, SPACED)
-            return [keys_of(words, data, offsets, part.column(1)), (words.count + 1).astype(np.int64)]
-
-        return each
-
-    heads = map_docs(docs, "text", ["doc_id"], T.StructType([T.StructField("key", T.LongType()), T.StructField("n_tokens", T.LongType())]), make)
-    heads = written(heads, "lm-heads")
-    again = heads.groupBy("key").agg(F.count("*").alias("copies"))  # repeated rows share a key
-    out = heads.join(sums, "key").join(again, "key")
-    end = float(np.log10(uni.docs + 1.0))
+    shards = max(32, -(-uni.events // shard_events))
+    answers = _events(docs, shared, shards).groupBy("shard").applyInArrow(_answers(shared, mu), T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("body", T.BinaryType())]))
+    fields = T.StructType([docs.schema["doc_id"], *[T.StructField(x, k) for x, k in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()))]])
+    sums = answers.groupBy("block").applyInArrow(_added(fields), fields)
     floor = float(np.log10(uni.tokens + uni.types + 1.0))
-    return out.select(
-        "doc_id", "n_tokens", (F.expr("n_known div copies") + F.lit(int(uni.docs > 0))).cast("long").alias("n_known"), F.lit(uni.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies") + F.lit(end) - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"),
-    )
+    return sums.select("doc_id", "n_tokens", "n_known", F.lit(uni.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score")

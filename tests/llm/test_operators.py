@@ -412,66 +412,48 @@ def test_shards(spark, edge, edge_rows, none):
 # 7: language model
 
 
-def test_lm(spark, edge_rows):
+@pytest.mark.parametrize("head", [0, 7, 1000])
+def test_lm(spark, edge_rows, head):
     r = random.Random(9)
     rows = [(i, " ".join(f"w{int(r.paretovariate(0.6))}" for _ in range(r.randint(0, 60)))) for i in range(150)] + [(d, t) for d, t, *_ in edge_rows if len(t or "") < 5000]
-    df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, key string")
-    got = trie_lm.lm_scores(df, crc_mod("doc_id", 7) != 2, head=40, shard_events=500).collect()
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, key string").repartition(4)
+    got = trie_lm.lm_scores(df, crc_mod("doc_id", 7) != 2, head=head, shard_events=50).collect()
     learn = [spaced(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     c = Counter(w for t in learn for w in [*t, None])
     n, v = sum(c.values()), len(c)
     bigrams, starts = Counter(p for t in learn for p in zip(["<s>", *t], [*t, None], strict=True)), len(learn)
-    head = dict(sorted(((w, k) for w, k in c.items() if w is not None), key=lambda x: -x[1])[:40])
-    least = min(head.values())
-    rest, kinds = n - sum(head.values()) - starts + 1, v - 41 + 1
-
-    def model(t):
-        ws, out = spaced(t), 0.0
-        for a, b in zip(["<s>", *ws], [*ws, None], strict=True):
-            p = starts / (n + 1) if b is None else head[b] / (n + 1) if b in head else rest / (n + 1) / kinds
-            out += log10((bigrams[a, b] + trie_lm.MU * p) / ((starts if a == "<s>" else c[a]) + trie_lm.MU))
-        return out
-
-    wants = {}
-    for i, t in rows:
-        ws = [*spaced(t), None]
-        wants.setdefault((i, len(ws)), []).append((sum(c[w] > 0 for w in ws), n, sum(log10((c[w] + 1) / (n + v + 1)) for w in ws), model(t), any(c[w] == least for w in ws[:-1])))
-    assert len(got) == len(rows)
-    for r in got:
-        options = wants[r.doc_id, r.n_tokens]
-        known, total, base, score, tied = min(options, key=lambda x: abs(x[2] - r.base_score))
-        assert (r.n_known, r.train_tokens) == (known, total) and abs(r.base_score - base) < 1e-6 * max(1, -base)
-        assert tied or abs(r.score - score) <= 0.02 * r.n_tokens + 1e-6  # a byte's steps
-    assert trie_lm.lm_scores(df.limit(0), crc_mod("doc_id", 7) != 2).count() == 0
-    assert trie_lm.lm_scores(df, F.lit(False)).count() == len(rows)
 
+    def model(ws):
+        return sum(log10((bigrams[a, b] + trie_lm.MU * max(c[b], 1) / (n + 1)) / ((starts if a == "<s>" else c[a]) + trie_lm.MU)) for a, b in zip(["<s>", *ws[:-1]], ws, strict=True))
 
-@pytest.mark.parametrize("head", [0, 7, 1000])
-def test_lm_own_shares(spark, head):
-    r = random.Random(12)
-    rows = [(i, " ".join(f"w{int(r.paretovariate(0.6))}" for _ in range(r.randint(0, 60)))) for i in range(150)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    learn = [spaced(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(w for t in learn for w in [*t, None])
-    n, starts = sum(c.values()), len(learn)
-    bigrams = Counter(p for t in learn for p in zip(["<s>", *t], [*t, None], strict=True))
-    got = {r.doc_id: r for r in trie_lm.lm_scores(df, crc_mod("doc_id", 7) != 2, head=head, shard_events=500, own_shares=True).collect()}
-    assert len(got) == len(rows)
+    wants = []
     for i, t in rows:
         ws = [*spaced(t), None]
-        wants = sum(log10((bigrams[a, b] + trie_lm.MU * max(c[b], 1) / (n + 1)) / ((starts if a == "<s>" else c[a]) + trie_lm.MU)) for a, b in zip(["<s>", *ws[:-1]], ws, strict=True))
-        assert abs(got[i].score - wants) <= 0.02 * len(ws) + 1e-6
-        assert abs(got[i].base_score - sum(log10((c[w] + 1) / (n + len(c) + 1)) for w in ws)) < 1e-6 * max(1, -got[i].base_score)
-        assert got[i].n_known == sum(c[w] > 0 for w in ws)
+        wants.append((i is not None, i, len(ws), sum(c[w] > 0 for w in ws), n, sum(log10((c[w] + 1) / (n + v + 1)) for w in ws), model(ws)))
+    have = [(r.doc_id is not None, r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got]
+    assert len(have) == len(wants)
+    for x, y in zip(sorted(have, key=str), sorted(wants, key=str), strict=True):
+        assert x[:5] == y[:5] and abs(x[5] - y[5]) < 1e-6 * max(1, -y[5])
+        assert abs(x[6] - y[6]) <= (trie_lm.STEP / 2 + 1 / trie_lm.FINE) * y[2] + 1e-6  # a byte's steps
+    assert trie_lm.lm_scores(df.limit(0), crc_mod("doc_id", 7) != 2).count() == 0
+    assert trie_lm.lm_scores(df, F.lit(False)).count() == len(rows)
 
 
-def test_trie_file(tmp_path):
+def test_trie_search(tmp_path):
+    """Successors are found between the pointers of their context, in a mapped file too."""
+    r = np.random.default_rng(4)
     uni = trie_lm.Unigrams(np.array([], np.uint64), np.array([], np.int64), 3, 100, 20, 100)
-    v, w = np.array([1, 1, 5 << 56 | 3], np.uint64), np.array([0, 1 << 41, 0], np.uint64)
-    (tmp_path / "shard").write_bytes(trie_lm.Shard.build(v, w, uni, 8.0))
+    pairs = np.unique(r.integers(0, 60, (900, 2)), axis=0)
+    v, w = pairs[:, 0].astype(np.uint64) + trie_lm.OTHER_V, pairs[:, 1].astype(np.uint64) * np.uint64(977) + trie_lm.OTHER_W
+    (tmp_path / "shard").write_bytes(trie_lm.Shard.build(v, w, np.ones(len(v), np.int64), uni, 8.0))
     shard = trie_lm.Shard.open(str(tmp_path / "shard"))
-    p, n = shard.scores(v, w, uni, 8.0)
-    assert n.tolist() == [3, 3, 1] and (p < 0).all()
+    at, _ = shard.find(v, w)
+    assert at.tolist() == list(range(len(v)))
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    assert shard.pointers.at(np.arange(len(first) + 1)).tolist() == [*first.tolist(), len(v)]
+    have = {tuple(x) for x in pairs.tolist()}
+    gone = np.array([(a, b) for a in range(62) for b in range(62) if (a, b) not in have])
+    assert (shard.find(gone[:, 0].astype(np.uint64) + trie_lm.OTHER_V, gone[:, 1].astype(np.uint64) * np.uint64(977) + trie_lm.OTHER_W)[0] == -1).all()
 
 
 # 8: sentence spans
