@@ -82,8 +82,14 @@ def _own(s: str) -> list[str]:
         alphabet = "hex"
     else:
         alphabet = ("l" if "a" in full else "") + ("u" if "A" in full else "") + ("d" if digits else "") + ("s" if any(c in shape for c in "+/_-") else "")
-    entropy = sum(k * _log2(k, n) for k in (s.count(c) for c in set(s))) / n
-    return ["bias", f"shape={shape[:6]}", f"length={min(40, n) // 4}", f"alphabet={alphabet}", f"entropy={entropy:.0f}", f"digits={round(4 * digits / n)}"]
+    return ["bias", f"shape={shape[:6]}", f"length={min(40, n) // 4}", f"alphabet={alphabet}", f"entropy={_entropy(s, n):.0f}", f"digits={round(4 * digits / n)}"]
+
+
+def _entropy(s: str, n: int) -> float:
+    some = set(s)
+    if len(some) == n:
+        return _log2(1, n)
+    return sum([k * _log2(k, n) for k in map(s.count, some)]) / n
 
 
 @lru_cache(4096)
@@ -144,6 +150,7 @@ class Bounds:
         w = model.weight
         self.lift = {f: (float(w[i, BEGIN] - w[i, OUT]), float(w[i, INSIDE] - w[i, OUT])) for f, i in model.index.items()}
         self.words: dict[str, tuple] = {}
+        self.plain: dict[tuple[int, bool], float] = {}
         for f in model.index:
             if f.startswith("word"):
                 old, i = self.words.get(f[6:], (0.0, 0.0, 0.0)), int(f[4])
@@ -165,7 +172,15 @@ class Bounds:
 
     def _token(self, token: str) -> tuple[float, ...]:
         """The gain of a token, the most that it adds as word 0, 1 and 2 before another, and whether it counts as a mark."""
-        return self.gain(_own(token)), *self.words.get(token.lower()[:12], (0.0, 0.0, 0.0)), float(not token[0].isalnum())
+        n = len(token)
+        if token.isalpha() and token.islower() and not _HEXADECIMAL.fullmatch(token):  # most tokens: they differ by length and entropy alone
+            kind = n, round(_entropy(token, n))
+            own = self.plain.get(kind)
+            if own is None:
+                own = self.plain[kind] = self.gain(_own(token))
+        else:
+            own = self.gain(_own(token))
+        return own, *self.words.get(token.lower()[:12], (0.0, 0.0, 0.0)), float(not token[0].isalnum())
 
     def _between(self, gap: str) -> tuple[float, float]:
         """What the text between two tokens gives as mark to the one after it, and as next to the one before it."""
