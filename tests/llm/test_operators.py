@@ -423,8 +423,13 @@ def test_lm(spark, edge_rows, head):
     n, v = sum(c.values()), len(c)
     bigrams, starts = Counter(p for t in learn for p in zip(["<s>", *t], [*t, None], strict=True)), len(learn)
 
+    k, mu = trie_lm.MERGE, trie_lm.MU
+    c["<s>"] = bigrams["<s>", "<s>"] = starts
+    trigrams = Counter(p for t in learn for p in zip(["<s>", "<s>", *t[:-1]] if t else ["<s>"], ["<s>", *t], [*t, None], strict=True))
+
     def model(ws):
-        return sum(log10((bigrams[a, b] + trie_lm.MU * max(c[b], 1) / (n + 1)) / ((starts if a == "<s>" else c[a]) + trie_lm.MU)) for a, b in zip(["<s>", *ws[:-1]], ws, strict=True))
+        ws = ["<s>", "<s>", *ws]
+        return sum(log10((trigrams[a, b, w] + k * (bigrams[b, w] + mu * max(c[w], 1) / (n + 1))) / (bigrams[a, b] + k * (c[b] + mu))) for a, b, w in zip(ws, ws[1:], ws[2:], strict=False))
 
     wants = []
     for i, t in rows:
@@ -434,7 +439,7 @@ def test_lm(spark, edge_rows, head):
     assert len(have) == len(wants)
     for x, y in zip(sorted(have, key=str), sorted(wants, key=str), strict=True):
         assert x[:5] == y[:5] and abs(x[5] - y[5]) < 1e-6 * max(1, -y[5])
-        assert abs(x[6] - y[6]) <= (trie_lm.STEP / 2 + 1 / trie_lm.FINE) * y[2] + 1e-6  # a byte's steps
+        assert abs(x[6] - y[6]) <= (1.5 * trie_lm.STEP + 1 / trie_lm.FINE) * y[2] + 1e-6  # a byte's steps
     assert trie_lm.lm_scores(df.limit(0), crc_mod("doc_id", 7) != 2).count() == 0
     assert trie_lm.lm_scores(df, F.lit(False)).count() == len(rows)
 
@@ -445,10 +450,17 @@ def test_trie_search(tmp_path):
     uni = trie_lm.Unigrams(np.array([], np.uint64), np.array([], np.int64), 3, 100, 20, 100)
     pairs = np.unique(r.integers(0, 60, (900, 2)), axis=0)
     v, w = pairs[:, 0].astype(np.uint64) + trie_lm.OTHER_V, pairs[:, 1].astype(np.uint64) * np.uint64(977) + trie_lm.OTHER_W
-    (tmp_path / "shard").write_bytes(trie_lm.Shard.build(v, w, np.ones(len(v), np.int64), uni, 8.0))
+    n_u = r.integers(1, 6, len(v))
+    u = np.concatenate([np.sort(r.choice(40, x, replace=False)) for x in n_u]).astype(np.uint64)
+    of = np.repeat(np.arange(len(v)), n_u)
+    (tmp_path / "shard").write_bytes(trie_lm.Shard.build(v[of], w[of], u, np.ones(len(u), np.int64), uni, 8.0, 0.1))
     shard = trie_lm.Shard.open(str(tmp_path / "shard"))
     at, _ = shard.find(v, w)
     assert at.tolist() == list(range(len(v)))
+    assert shard.find2(of, u).tolist() == list(range(len(u)))
+    far = {(a, b) for a, b in zip(of.tolist(), u.tolist(), strict=True)}
+    lost = np.array([(a, b) for a in range(0, len(v), 7) for b in range(42) if (a, b) not in far])
+    assert (shard.find2(lost[:, 0], lost[:, 1].astype(np.uint64)) == -1).all()
     first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
     assert shard.pointers.at(np.arange(len(first) + 1)).tolist() == [*first.tolist(), len(v)]
     have = {tuple(x) for x in pairs.tolist()}
