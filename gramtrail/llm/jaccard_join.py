@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .shared import drop, written
-from .textops import SPACED, U, Words, grams, map_docs, mix, packed_bytes, release, slices, unpacked_bytes, utf8_parts
+from .textops import SPACED, U, Words, free_name, grams, map_docs, mix, packed_bytes, release, slices, unpacked_bytes, utf8_parts
 
 WORDS, PERCENT = 5, 80
 #: Most matches that a class asks for, and the cost of a verified pair in met entries.
@@ -368,7 +368,7 @@ def one_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
     """The rows and columns of one document of each component, the one with the least id; without words or id rows stay."""
     found = written(join(docs, doc_id=doc_id, text=text, words=words, percent=percent), "join-found")
     kept = written(found.where("doc_id = component_id AND n_shingles > 0").groupBy("class_id", "doc_id").agg(F.count("*").alias("copies")), "join-kept")
-    mark, own_id = _free("__class", docs), _free("__id", docs)
+    mark, own_id = free_name("__class", docs.columns), free_name("__id", docs.columns)
 
     def make():
         def each(texts, _):
@@ -384,10 +384,3 @@ def one_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
     if kept.where("copies > 1").limit(1).count():  # an id that comes more than once with one text
         stay = stay.dropDuplicates([mark, own_id])
     return stay.select(*own).unionByName(rows.where(free).select(*own))
-
-
-def _free(name: str, docs: DataFrame) -> str:
-    """The name, longer where the documents have a column of that name."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    return name

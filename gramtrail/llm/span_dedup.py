@@ -7,12 +7,13 @@ sentence or ten. Sentences of more than LONG words are split for that after the
 WINDOW words in a row, so that texts which share more than 50 words in a row and their line ends share a run of ten words
 or more there, however the rest of a sentence cut off at either end goes on.
 
-The first occurrence of a hash is the one with the least (doc_id, place); sentences (or pieces of split ones) that any other
+The first occurrence of a hash is the one with the least (doc_id, version, place); sentences (or pieces of split ones) that any other
 occurrence covers are removed, with the white space after them. n_removed counts the sentences that lose words.
 
 Cases: a null or empty text has no sentences and stays as it is; texts with fewer sentences have no
-span; rows with one doc_id count as one document for places and lose the same places; rows without a doc_id stay as
-they are; other columns stay, and give way to the operator's own of the same name.
+span; rows with one doc_id and other texts are versions of it, told apart and ordered by a hash of the text, and each loses
+its own places; of rows with one doc_id and one text all but one are copies, which lose all that a span covers; rows without a
+doc_id stay as they are; other columns stay, whatever their names, but give way to n_sentences and n_removed.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import SPACED, U, Words, _powers, grams, map_docs, mix, utf8_parts
+from .shared import written
+from .textops import SPACED, U, Words, _powers, free_name, grams, map_docs, mix, utf8_parts
 
 SENTENCES, MIN_WORDS = 2, 10
 #: Sentences of more words are split where runs grow, and the window whose least word ends a piece. Of 51 shared words, the
@@ -93,8 +95,8 @@ class Sentences:
         return mix((total[y] - total[x]) * inv[x] + (y - x).astype(U)), a, size
 
 
-def spans(docs: DataFrame, *, text: str, doc_id: str, sentences: int | None, min_words: int) -> DataFrame:
-    """hash, doc_id and place of every span; a place is the first sentence and the number of sentences in one."""
+def spans(rows: DataFrame, *, sentences: int | None, min_words: int) -> DataFrame:
+    """hash, doc_id, version and place of every span of rows(text, doc_id, version); a place is the first sentence and the number of sentences in one."""
     base = (min_words if sentences is None else sentences) + 1
 
     def make():
@@ -108,25 +110,44 @@ def spans(docs: DataFrame, *, text: str, doc_id: str, sentences: int | None, min
 
         return each
 
-    fields = T.StructType([T.StructField("__h", T.ArrayType(T.LongType())), T.StructField("__p", T.ArrayType(T.LongType()))])
-    got = map_docs(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id")).where("doc_id is not null"), "text", ["doc_id"], fields, make)
-    return got.select("doc_id", F.explode(F.arrays_zip("__h", "__p")).alias("s")).select(F.col("s.__h").alias("hash"), "doc_id", F.col("s.__p").alias("place"))
+    fields = T.StructType([T.StructField("h", T.ArrayType(T.LongType())), T.StructField("p", T.ArrayType(T.LongType()))])
+    got = map_docs(rows.where("doc_id is not null"), "text", ["doc_id", "version"], fields, make)
+    return got.select("doc_id", "version", F.explode(F.arrays_zip("h", "p")).alias("s")).select(F.col("s.h").alias("hash"), "doc_id", "version", F.col("s.p").alias("place"))
 
 
 def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sentences: int | None = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns, the text without repeated spans, and n_sentences and n_removed."""
     base = (min_words if sentences is None else sentences) + 1
-    every = spans(docs, text=text, doc_id=doc_id, sentences=sentences, min_words=min_words)
-    first = every.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    again = every.join(first, "hash").where(F.struct("doc_id", "place") != F.col("first"))
-    gone = again.groupBy("doc_id").agg(F.collect_set("place").alias("__gone")).withColumnRenamed("doc_id", "__doc")  # places of one document
-    both = docs.join(gone, F.col(f"`{doc_id}`") == F.col("__doc"), "left").drop("__doc")
+    version, copy, lost = (free_name(x, docs.columns) for x in ("__version", "__copy", "__gone"))
+    own_id, whole = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
+    once = not docs.where(own_id.isNotNull()).groupBy(own_id).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if once:
+        rows = docs.withColumns({version: F.lit(0).cast("long"), copy: F.lit(False)})
+    else:  # an id that comes more than once: its texts are versions, and of rows with one text all but one are copies
+        rows = docs.withColumn(version, F.xxhash64(whole, F.length(whole)))
+        again = written(rows.where(own_id.isNotNull()).groupBy(own_id.alias("i"), F.col(version).alias("v")).agg(F.count("*").alias("n")).where("n > 1").select("i", "v"), "span-copies")
+        same = own_id.eqNullSafe(F.col("i")) & (F.col(version) == F.col("v"))
+        number = free_name("__number", docs.columns)
+        some = written(rows.join(again, same, "left_semi").withColumn(number, F.monotonically_increasing_id()), "span-rows")
+        least = some.groupBy(own_id.alias("i"), F.col(version).alias("v")).agg(F.min(number).alias("least"))
+        some = some.join(least, same).withColumn(copy, F.col(number) != F.col("least")).drop(number, "i", "v", "least")
+        rows = rows.join(again, same, "left_anti").withColumn(copy, F.lit(False)).unionByName(some)
+    every = spans(rows.where(~F.col(copy)).select(whole.alias("text"), own_id.alias("doc_id"), F.col(version).alias("version")), sentences=sentences, min_words=min_words)
+    at = F.struct("doc_id", "version", "place")
+    first = every.groupBy("hash").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    again = every.join(first, "hash").where(at != F.col("first"))
+    gone = again.groupBy(F.col("doc_id").alias("i"), F.col("version").alias("v")).agg(F.collect_set("place").alias("g"))  # places of one document
+    both = rows.join(gone, (own_id == F.col("i")) & (F.col(version) == F.col("v")), "left").withColumn(lost, F.col("g")).select(*[F.col(f"`{c}`") for c in [*docs.columns, copy, lost]])
 
     def make():
         def each(texts, part):
             data, offsets = utf8_parts(texts)
             own = Sentences(data, offsets, sentences is None)
-            gone = part.column(part.schema.names.index("__gone")).to_pylist()
+            gone, copies = (part.column(part.schema.names.index(x)).to_pylist() for x in (lost, copy))
+            if any(copies):  # these lose whatever a span covers
+                _, at, size = own.spans(sentences, min_words)
+                places = (at - own.first[own.d[at]]) * base + size
+                gone = [places[own.d[at] == d].tolist() if c else g for d, (c, g) in enumerate(zip(copies, gone, strict=True))]
             out, removed = texts.to_pylist(), np.zeros(own.n_docs, np.int64)
             for d, places in enumerate(gone):
                 if not places:
@@ -147,6 +168,6 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", senten
         return each
 
     fields = T.StructType([T.StructField(text, T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
-    out = map_docs(both, text, [*docs.columns, "__gone"], fields, make)
+    out = map_docs(both, text, [*docs.columns, copy, lost], fields, make)
     own = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     return out.select(*[F.col(f"`{c}`") for c in own], "n_sentences", "n_removed")

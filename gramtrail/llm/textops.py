@@ -153,9 +153,7 @@ def map_docs(df: DataFrame, text: str, keep: Iterable[str], fields: T.StructType
     small_batches(df.sparkSession)
     keep = [c for c in dict.fromkeys(keep) if c not in fields.fieldNames()]
     same = text in keep and isinstance(df.schema[text].dataType, T.StringType)  # the text goes to Python once
-    mine = "__text"
-    while mine in keep:
-        mine += "_"
+    mine = free_name("__text", keep)
     rows = df.select(F.col(f"`{text}`").cast("string").alias(mine), *[F.col(f"`{c}`") for c in keep if not (same and c == text)])
     schema = T.StructType([df.schema[c] for c in keep] + list(fields))
     names = schema.fieldNames()
@@ -172,6 +170,14 @@ def map_docs(df: DataFrame, text: str, keep: Iterable[str], fields: T.StructType
     return rows.mapInArrow(run, schema)
 
 
+def free_name(name: str, columns: Iterable[str]) -> str:
+    """The name, longer where one of the columns has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, n: int):
     """crc32 of an id as decimal text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)

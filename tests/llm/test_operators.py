@@ -487,8 +487,7 @@ def test_span_dedup(spark, edge, edge_rows, none):
     r = random.Random(10)
     pool = [words(r.randint(1, 9), i) + r.choice([".", "!", "?\n", "\n"]) for i in range(14)]
     rows = [(i, " ".join(r.choice(pool) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(d, t) for d, t, *_ in edge_rows if d is not None]
-    rows = [(i, t) for i, t in rows if i >= 13 or (i, t) not in rows[:60]]
-    rows = list(dict(rows).items())
+    rows = list(dict(rows).items())  # repeated ids: the next test
     seen, gone = {}, {}
     for i, t in sorted(rows):
         s = plain_sentences(t or "")
@@ -509,6 +508,16 @@ def test_span_dedup(spark, edge, edge_rows, none):
     assert span_dedup.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("sentences", [2, None])
+def test_span_dedup_of_repeated_ids(spark, sentences):
+    x, y, z = (f"{words(12, 20 + i, 10**6)}. {words(12, 30 + i, 10**6)}." for i in range(3))
+    rows = [(1, x, 0, 0, 0), (2, x, 1, 1, 1), (2, y, 2, 2, 2), (3, z, 3, 3, 3), (3, z, 4, 4, 4), (3, z, 5, 5, 5), (None, x, 6, 6, 6), (None, x, 7, 7, 7)]
+    got = span_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, __gone int, __doc int, __text int"), sentences=sentences)
+    assert got.columns == ["doc_id", "text", "__gone", "__doc", "__text", "n_sentences", "n_removed"]
+    left = sorted((str(r.doc_id), r.text, r.n_removed) for r in got.collect())
+    assert left == sorted([("1", x, 0), ("2", "", 2), ("2", y, 0), ("3", z, 0), ("3", "", 2), ("3", "", 2), ("None", x, 0), ("None", x, 0)])
+
+
 def shared_runs(*texts):
     """Word ranges of the runs in the last text that an earlier text has too."""
     found = [span_dedup.Sentences(*utf8_parts(pa.array([t])), True) for t in texts]
