@@ -154,16 +154,16 @@ class Codec:
 
     def _backtrack(self, s: str) -> list[int]:
         pairs, total, sizes, shorter, n = self.pairs, self.total, self.sizes, self.shorter, len(s)
-        failed, out, at, last, i = 0, [], 0, -1, self._longest(s, 0)
+        failed, out, at, last, i = bytearray(n // 8 + 1), [], 0, -1, self._longest(s, 0)  # a bit a place
         while at < n:
-            if i < 0 and (not out or out[-1] >= 0) and s[at] not in self.ids:  # byte pieces, which merge with nothing
+            if i < 0 and s[at] not in self.ids:  # byte pieces, which merge with nothing
                 out.append(-1 - at)
                 last, at = -1, at + 1
                 i = self._longest(s, at) if at < n else -1
                 continue
             while i >= 0:
                 size = sizes[i]
-                if not failed >> (at + size) & 1:
+                if not failed[at + size >> 3] >> (at + size & 7) & 1:
                     if last < 0:
                         ok = size == 1 or self.may_follow_alone(i)
                     else:
@@ -179,9 +179,9 @@ class Codec:
                 if at < n:
                     i = self._longest(s, at)
             else:  # nothing can follow here: take the last token back and try a shorter one
-                if not out or out[-1] < 0:
+                if not out or out[-1] < 0:  # not reached: the tokens of the plain merging always may follow each other
                     return self.merged(s)
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 i = out.pop()
                 at -= sizes[i]
                 i = shorter[i]
@@ -230,13 +230,13 @@ class Codec:
         raw = self._raw(ids)
         return (raw[1:] if raw.startswith(SPACE) else raw).replace(SPACE, " ")
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, and digests of the ids and of the decoded text."""
+    def digest(self, text: str | None) -> tuple[str, str, str]:
+        """The ids joined by spaces, and digests of these and of the decoded text."""
         segments = self.segments_of(text or "")
-        ids = "".join(map(self.known.__getitem__, segments)) + f" {self.end}"
+        ids = ("".join(map(self.known.__getitem__, segments)) + f" {self.end}")[1:]
         raw = SPACE.join(map(self.known.spelt, segments) if self.known.odd else segments)  # without the leading one
         decoded = raw.replace(SPACE, " ")
-        return ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return ids, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 class Known(dict):
@@ -277,8 +277,8 @@ def codec(model: bytes) -> Codec:
     return _CODEC[1]
 
 
-def round_trip(docs: DataFrame, model_path: str, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Kept columns with n_tokens, ids_sha256 and decoded_sha256 of each whole text."""
+def round_trip(docs: DataFrame, model_path: str, *, text: str = "text", keep: list[str] | None = None, ids: bool = False) -> DataFrame:
+    """Kept columns with n_tokens, ids_sha256 and decoded_sha256 of each whole text, and the ids themselves if asked for."""
     with open(model_path, "rb") as f:  # the tokenizer's own file, half a megabyte, read by the driver alone
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -287,11 +287,16 @@ def round_trip(docs: DataFrame, model_path: str, *, text: str = "text", keep: li
 
         def each(texts, _):
             got = [own.digest(x) for x in texts.to_pylist()]
-            return [np.array([x[0] for x in got], np.int64), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.string())]
+            out = [np.array([x[0].count(" ") + 1 for x in got], np.int64), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.string())]
+            if ids:
+                flat = np.fromstring(" ".join(x[0] for x in got), np.int32, sep=" ")
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(out[0])]).astype(np.int32)), pa.array(flat)))
+            return out
 
         return each
 
-    return map_docs(docs, text, list(docs.columns if keep is None else keep), FIELDS, make)
+    fields = T.StructType([*FIELDS, T.StructField("ids", T.ArrayType(T.IntegerType()))]) if ids else FIELDS
+    return map_docs(docs, text, list(docs.columns if keep is None else keep), fields, make)
 
 
 def encode_ids(docs: DataFrame, model_path: str, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
