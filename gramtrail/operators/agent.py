@@ -29,12 +29,11 @@ def fuzzy_hits(corpus: Corpus, word: str, distance: int = 1) -> DataFrame:
     """token, dist, position (the first of the token), doc_id, line_no and confidence; the word itself is among them."""
     word = word.lower()
     pairs = F.array(*[F.lit(p.encode().hex().upper()) for p in {word[i : i + 2] for i in range(len(word) - 1)}]) if len(word) > 1 else None
-    first = corpus.tokens.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "line_no")).alias("f"))
-    near = first.where(F.lit(False)) if pairs is None else first.where(F.arrays_overlap(X.bigrams(F.col("token")), pairs))
-    near = near.where(F.abs(F.length("token") - len(word)) <= distance).withColumn("dist", F.levenshtein("token", F.lit(word), distance)).where("dist >= 0")
-    near = near.join(corpus.files.select(F.col("doc_id").alias("__d"), "token_count"), F.col("f.doc_id") == F.col("__d"), "left")
+    near = corpus.first_places.where(F.abs(F.length("token") - len(word)) <= distance).withColumn("dist", F.levenshtein("token", F.lit(word), distance)).where("dist >= 0")
+    near = near.where(F.lit(False)) if pairs is None else near.where(F.arrays_overlap(X.bigrams(F.col("token")), pairs))
+    near = near.join(corpus.files.select("doc_id", "token_count"), "doc_id", "left")
     base = 1.0 - F.col("dist") / F.greatest(F.length("token"), F.lit(len(word)))
-    return near.select("token", "dist", F.col("f.pos").alias("position"), "f.doc_id", "f.line_no", F.least(F.lit(1.0), base + F.coalesce(X.file_weight(F.col("token_count")), F.lit(0.0))).alias("confidence"))
+    return near.select("token", "dist", F.col("pos").alias("position"), "doc_id", "line_no", F.least(F.lit(1.0), base + F.coalesce(X.file_weight(F.col("token_count")), F.lit(0.0))).alias("confidence"))
 
 
 def search(corpus: Corpus, question: str, limit: int = LIMIT) -> DataFrame:
@@ -75,18 +74,27 @@ class Tools:
     """The eight tools, each giving text; files and texts are added to a corpus that is built when asked."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.rows = spark, []
+        self.spark, self.rows, self.built = spark, [], None
 
     def index_text(self, text: str) -> str:
         return self.index_file("(text)", text)
 
     def index_file(self, path: str, content: str) -> str:
         self.rows.append((len(self.rows), path, content))
+        self._drop()
         return f"Indexed {len(questions.agent_tokens(content))} tokens from {path}."
 
     def _corpus(self) -> Corpus:
-        df = self.spark.createDataFrame(self.rows, "doc_id long, path string, text string")
-        return Corpus.from_files(df, "doc_id", "text", "path", "agent")
+        if self.built is None:  # once for all questions until a file comes
+            df = self.spark.createDataFrame(self.rows, "doc_id long, path string, text string")
+            self.built = Corpus.from_files(df, "doc_id", "text", "path", "agent").persisted()
+        return self.built
+
+    def _drop(self) -> None:
+        if self.built is not None:
+            self.built.files.unpersist()
+            self.built.tokens.unpersist()
+        self.built = None
 
     def _text(self, hits: DataFrame, needles: list[str], none: str, per_file: int | None = None) -> str:
         found = report(self._corpus(), hits, needles, per_file).orderBy("doc_id").collect()
@@ -113,4 +121,5 @@ class Tools:
 
     def clear_index(self) -> str:
         self.rows = []
+        self._drop()
         return "Index cleared."

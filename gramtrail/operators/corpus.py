@@ -14,6 +14,8 @@ from ..functions import text as X
 
 #: Documents of one run of the prefix sum; the second level has a row for each run.
 RUN = 1 << 16
+#: Rows of hits or query terms that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def prefix_sums(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
@@ -25,24 +27,43 @@ def prefix_sums(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
     return run.withColumn("__in", F.coalesce(before, F.lit(0))).join(starts, "__run").withColumn(out, (F.col("__start") + F.col("__in")).cast("long")).drop("__run", "__in", "__start")
 
 
+def bounded(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, marked for broadcast where a count finds at most so many; else Spark joins them as it decides."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def with_next(tokens: DataFrame) -> DataFrame:
+    """tokens with the token at pos + 1: within runs of positions, then over their borders."""
+    inside = Window.partitionBy(F.floor(F.col("pos") / RUN)).orderBy("pos")  # 65,536 positions
+    near = F.when(F.lead("pos").over(inside) == F.col("pos") + 1, F.lead("token").over(inside))
+    border = tokens.where(F.col("pos") % RUN == 0).select((F.col("pos") - 1).alias("pos"), F.col("token").alias("__over"))
+    return tokens.withColumn("next", near).join(border, "pos", "left").withColumn("next", F.coalesce("next", "__over")).drop("__over")
+
+
 @dataclass(frozen=True)
 class Corpus:
-    """files(doc_id, path, content, token_start, token_end, token_count) and tokens(token, pos, doc_id, local_pos, line_no)."""
+    """files(doc_id, path, content, token_start, token_end, token_count) and tokens(token, pos, doc_id, local_pos, line_no, and next, the token at pos + 1, where it is known)."""
 
     files: DataFrame
     tokens: DataFrame
     kind: str = "core"
+    kept: bool = False
 
     @classmethod
     def from_files(cls, df: DataFrame, doc_id: str = "doc_id", content: str = "text", path: str | None = None, kind: str = "core") -> "Corpus":
         """Files in the order of doc_id, a number; positions run through all of them."""
         p = F.col(path) if path else F.col(doc_id).cast("string")
         base = df.select(F.col(doc_id).cast("long").alias("doc_id"), p.alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content"))
-        counts = base.select("doc_id", F.size(X.tokenize(F.col("content"), kind)).cast("long").alias("token_count"))
+        counts = base.select("doc_id", X.tokenize(F.col("content"), kind).alias("w")).select("doc_id", F.size("w").cast("long").alias("token_count"), F.get("w", 0).alias("first"))
         ranges = prefix_sums(counts, "doc_id", "token_count", "token_start").withColumn("token_end", F.col("token_start") + F.col("token_count"))
-        files = base.join(ranges, "doc_id").select("doc_id", "path", "content", "token_start", "token_end", "token_count")
-        each = files.select("doc_id", "token_start", F.posexplode(X.tokens_with_lines(F.col("content"), kind)).alias("local_pos", "t"))
-        tokens = each.select(F.col("t.token").alias("token"), (F.col("token_start") + F.col("local_pos")).alias("pos"), "doc_id", "local_pos", F.col("t.line_no").alias("line_no"))
+        # The file after one begins where it ends; files without tokens are passed over.
+        after = ranges.where("token_count > 0").select(F.col("token_start").alias("token_end"), F.col("first").alias("after"))
+        both = base.join(ranges.join(after, "token_end", "left"), "doc_id")
+        files = both.select("doc_id", "path", "content", "token_start", "token_end", "token_count")
+        rows = both.select("doc_id", "token_start", "after", X.tokens_with_lines(F.col("content"), kind).alias("w"))
+        follow = F.concat(F.slice(F.col("w.token"), F.lit(2), F.size("w")), F.array("after"))
+        each = rows.select("doc_id", "token_start", F.posexplode(F.arrays_zip(F.col("w.token").alias("token"), F.col("w.line_no").alias("line_no"), follow.alias("next"))).alias("local_pos", "t")).where("t.token is not null")
+        tokens = each.select(F.col("t.token").alias("token"), (F.col("token_start") + F.col("local_pos")).alias("pos"), "doc_id", "local_pos", F.col("t.line_no").alias("line_no"), F.col("t.next").alias("next"))
         return cls(files, tokens, kind)
 
     @classmethod
@@ -59,11 +80,34 @@ class Corpus:
     def persisted(self) -> "Corpus":
         """The same corpus with its tables kept by Spark, on disk where memory ends; lost blocks are computed again."""
         level = StorageLevel.MEMORY_AND_DISK
-        return replace(self, files=self.files.persist(level), tokens=self.tokens.persist(level))
+        return replace(self, files=self.files.persist(level), tokens=self.tokens.persist(level), kept=True)
+
+    def _keep(self, rows: DataFrame) -> DataFrame:
+        return rows.persist(StorageLevel.MEMORY_AND_DISK) if self.kept else rows
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """doc_id, line_no from 1 and line."""
+        each = self.files.select("doc_id", F.posexplode(X.lines(F.col("content"))).alias("i", "line"))
+        return self._keep(each.select("doc_id", (F.col("i") + 1).alias("line_no"), "line"))
+
+    @cached_property
+    def first_places(self) -> DataFrame:
+        """token and its first occurrence: pos, doc_id and line_no."""
+        first = self.tokens.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "line_no")).alias("f"))
+        return self._keep(first.select("token", "f.pos", "f.doc_id", "f.line_no"))
+
+    @property
+    def paired(self) -> DataFrame:
+        """The tokens with the token after each; null at the end of the stream."""
+        return self.tokens if "next" in self.tokens.columns else with_next(self.tokens)
 
     @cached_property
     def lexicon(self) -> DataFrame:
         """token, freq and n_docs."""
+        return self._keep(self._lexicon())
+
+    def _lexicon(self) -> DataFrame:
         return self.tokens.groupBy("token", "doc_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("freq"), F.count("*").alias("n_docs"))
 
     def postings(self) -> DataFrame:
@@ -100,7 +144,7 @@ class Corpus:
     def near(self, hits: DataFrame, before: int, after: int, key: str = "position") -> DataFrame:
         """Tokens at [position - before, position + after) of each hit: position, pos and token."""
         around = hits.select(key).distinct().select(key, F.explode(F.sequence(F.greatest(F.col(key) - before, F.lit(0)), F.col(key) + after - 1)).alias("pos"))
-        return around.join(self.tokens.select("pos", "token"), "pos")
+        return bounded(around).join(self.tokens.select("pos", "token"), "pos")
 
     # The search operators are functions of their own; these are short ways to them.
     def phrase(self, words: list[str], **options) -> DataFrame:
@@ -143,10 +187,10 @@ class Corpus:
 
         return update(self, changed, **columns)
 
-    def save(self, path: str) -> None:
+    def save(self, path: str) -> bool:
         from ..sources.store import save
 
-        save(self, path)
+        return save(self, path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Corpus":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .corpus import Corpus
+from .corpus import Corpus, bounded
 from .results import enriched
 
 
@@ -17,26 +17,26 @@ def _close(token: Column, word: Column, distance: int) -> Column:
 
 def candidates(corpus: Corpus, word: str, distance: int, prefilter: bool = True) -> DataFrame:
     """token and dist of the lexicon's neighbours of a word; with the prefilter they share a pair of bytes with it."""
-    lex = corpus.tokens.select("token").distinct()
+    lex = corpus.lexicon.select("token").where(_close(F.col("token"), F.lit(word), distance))  # the cheap test first
     if prefilter and len(word.encode()) >= 2:
         b = word.encode()
         pairs = F.array(*[F.lit(b[i : i + 2].hex().upper()) for i in range(len(b) - 1)])
         lex = lex.where(F.arrays_overlap(X.bigrams(F.col("token")), pairs))
-    return lex.where(_close(F.col("token"), F.lit(word), distance)).select("token", F.levenshtein("token", F.lit(word)).alias("dist"))
+    return lex.select("token", F.levenshtein("token", F.lit(word)).alias("dist"))
 
 
 def search(corpus: Corpus, word: str, distance: int = 1, prefilter: bool = True) -> DataFrame:
-    """Result rows of every position of every neighbour, with token and dist."""
+    """Result rows of every position of every neighbour, with token and dist, the most confident first."""
     close = candidates(corpus, word, distance, prefilter)
-    hits = corpus.tokens.join(close, "token").select(F.col("pos").alias("position"), "doc_id", "line_no", "token", "dist")
+    hits = corpus.tokens.join(bounded(close), "token").select(F.col("pos").alias("position"), "doc_id", "line_no", "token", "dist")
     context = F.format_string("[POS %d] fuzzy: '%s' (dist=%d) -> '%s'", "position", "token", "dist", F.lit(word))
     base = F.lit(1.0) - F.col("dist") / (distance + 1.0)
-    return enriched(corpus, hits, base, context, [F.col("token"), F.lit(word)], ("token", "dist"))
+    return enriched(corpus, hits, base, context, [F.col("token"), F.lit(word)], ("token", "dist")).orderBy(F.desc("confidence"), "position")
 
 
 def bulk(corpus: Corpus, queries: DataFrame, distance: int = 1) -> DataFrame:
     """query, token and dist for a table of words (query): an equi-join on pairs of bytes, then the distance."""
-    lex = corpus.tokens.select("token").distinct()
+    lex = corpus.lexicon.select("token")
     left = queries.select("query").distinct().withColumn("pair", F.explode(F.array_distinct(X.bigrams(F.col("query")))))
     right = lex.withColumn("pair", F.explode(F.array_distinct(X.bigrams(F.col("token")))))
     near = left.join(right, "pair").where(F.abs(F.octet_length("token") - F.octet_length("query")) <= distance).select("query", "token").distinct()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans import questions
 from . import bm25, phrase
-from .corpus import Corpus
+from .corpus import Corpus, bounded
+from .results import enriched
 
 
 def candidates(corpus: Corpus, question: str, k: int) -> DataFrame:
@@ -29,26 +30,35 @@ def documented(corpus: Corpus, question: str, k: int = 10) -> DataFrame:
 def literal(corpus: Corpus, question: str, k: int = 2) -> DataFrame:
     """Each n-gram of each best file (n words, as the question has), with all places where it occurs in the corpus.
 
-    n-grams are made from shifted joins on positions, so that no file is collected; repeated n-grams repeat their rows.
+    n-grams are made within the k files; repeated n-grams repeat their rows.
     """
     n = len(questions.hybrid_words(question))
     best = candidates(corpus, question, k)
-    grams = corpus.tokens.select("doc_id", F.col("pos").alias("start"), F.col("pos").alias("at"), F.col("token").alias("t0"))
-    for i in range(1, n):
-        nxt = corpus.tokens.select((F.col("pos") - i).alias("start"), F.col("doc_id").alias(f"d{i}"), F.col("token").alias(f"t{i}"))
-        grams = grams.join(nxt, "start")
-    words = [F.col(f"t{i}") for i in range(n)]
-    every = grams.select("start", F.concat_ws(" ", *words).alias("gram"))  # over the whole stream, file ends included
-    inside = grams.where(" AND ".join([f"d{i} = doc_id" for i in range(1, n)]) or "true").join(F.broadcast(best), "doc_id").select("doc_id", "score", "rank", F.concat_ws(" ", *words).alias("gram"))  # k rows
-    hits = inside.join(every, "gram")
-    return hits.select("doc_id", F.col("start").alias("position"), F.col("gram").alias("phrase"), (0.7 + F.least(0.3 * F.col("score"), F.lit(0.3))).alias("confidence"), "score", "rank")
+    words = corpus.tokens.join(F.broadcast(best), "doc_id").groupBy("doc_id", "score", "rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]).alias("w"))  # the tokens of a file
+    grams = words.where(F.size("w") >= n).select("doc_id", "score", "rank", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.slice("w", i + 1, n))).alias("g"))
+    grams = grams.groupBy("doc_id", "score", "rank", "g").agg(F.count("*").alias("times"))
+    terms = grams.select("g").distinct().select(F.array_join("g", " ").alias("phrase_id"), F.lit(n).alias("k"), F.posexplode("g").alias("off", "token"))
+    hits = grams.withColumn("phrase", F.array_join("g", " ")).join(phrase.match(corpus, terms).select(F.col("phrase_id").alias("phrase"), "position"), "phrase")
+    rows = hits.select("doc_id", "position", "phrase", (0.7 + F.least(0.3 * F.col("score"), F.lit(0.3))).alias("confidence"), "score", "rank", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__i"))
+    return rows.drop("__i")
 
 
 def search(corpus: Corpus, question: str, k: int = 10, mode: str = "documented") -> DataFrame:
     """Either of the two; a question without words gives nothing. Where no file holds a word use search.search()."""
     if not questions.hybrid_words(question):
         return documented(corpus, "x", 0)
-    return literal(corpus, question, k) if mode == "literal" else documented(corpus, question, k)
+    found = literal(corpus, question, k) if mode == "literal" else documented(corpus, question, k)
+    return found.orderBy(F.desc("confidence"), "rank", "position")
+
+
+def results(corpus: Corpus, question: str, k: int = 10, mode: str = "documented") -> DataFrame:
+    """Result rows of search(), with the file's rank and score in the context."""
+    hits = search(corpus, question, k, mode)
+    lines = corpus.tokens.select(F.col("pos").alias("position"), "line_no").join(bounded(hits.select("position").distinct()), "position")
+    context = F.format_string("[DOC %d] [POS %d] BM25=%.2f | '%s'", "doc_id", "position", "score", "phrase")
+    rows = hits.withColumnRenamed("confidence", "__c").join(lines, "position")
+    shown = enriched(corpus, rows, F.lit(0.0), context, [F.element_at(F.split("phrase", " "), 1)], ("__c",))
+    return shown.withColumn("confidence", F.col("__c")).drop("__c").orderBy(F.desc("confidence"), "position")
 
 
 def or_search(corpus: Corpus, question: str, k: int = 10) -> DataFrame:

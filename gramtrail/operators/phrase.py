@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import Corpus
+from .corpus import Corpus, bounded
 from .results import enriched, windows
 
 
@@ -16,15 +16,28 @@ def terms_of(corpus: Corpus, phrases: list[list[str]]) -> DataFrame:
 
 
 def match(corpus: Corpus, terms: DataFrame, within_file: bool = False) -> DataFrame:
-    """phrase_id, position, doc_id and line_no of each occurrence: a start counts if every term stands at its offset.
+    """phrase_id, position, doc_id and line_no of each occurrence of phrases given as terms(phrase_id, off, token, k).
 
-    Catalyst chooses how to join; a small table of terms is broadcast. Start counts are summed within tasks first.
+    Phrases of the same words are searched once. A phrase is covered by pairs of neighbouring words, and an equi-join on both words of
+    a pair finds the places of the pair alone, not those of each word; a phrase of three or more words
+    stands where all of its pairs do.
     """
-    start = corpus.tokens.join(terms, "token").withColumn("position", F.col("pos") - F.col("off"))
-    first = F.struct("doc_id", "line_no")
-    keys = ["phrase_id", "position", *(["doc_id"] if within_file else [])]
-    found = start.groupBy(*keys).agg(F.count("*").alias("__n"), F.max("k").alias("__k"), F.max(F.when(F.col("off") == 0, first)).alias("__first")).where("__n = __k")
-    return found.select("phrase_id", "position", "__first.doc_id", "__first.line_no") if not within_file else found.select("phrase_id", "position", "doc_id", "__first.line_no")
+    phrases = terms.groupBy("phrase_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("off", "token"))), lambda t: t["token"]).alias("words"), F.max("k").alias("k")).where("size(words) = k")  # the words of a phrase
+    texts = phrases.groupBy("words").agg(F.min("phrase_id").alias("text_id"))
+    k = F.size("words")
+    one = texts.where(k == 1).select("text_id", F.get("words", 0).alias("token"))
+    two = texts.where(k > 1).select("text_id", "words", k.alias("k"), F.explode(F.array_union(F.sequence(F.lit(0), k - 2, F.lit(2)), F.array(k - 2))).alias("off"))
+    two = two.select("text_id", "k", "off", F.expr("words[off]").alias("token"), F.expr("words[off + 1]").alias("next"))
+    at = ["text_id", "position", "doc_id", "line_no"]
+    single = corpus.tokens.join(bounded(one), "token").withColumn("position", F.col("pos")).select(*at, F.lit(1).alias("k"))
+    pairs = corpus.paired.join(bounded(two), ["token", "next"]).withColumn("position", F.col("pos") - F.col("off"))
+    whole = pairs.where("k = 2").select(*at, "k")
+    keys = ["text_id", "position", *(["doc_id"] if within_file else [])]
+    longer = pairs.where("k > 2").groupBy(*keys).agg(F.count("*").alias("n"), F.max("k").alias("k"), F.max(F.when(F.col("off") == 0, F.struct("doc_id", "line_no"))).alias("first")).where("n = (k + 1) div 2")
+    found = single.unionByName(whole).unionByName(longer.select("text_id", "position", "first.doc_id", "first.line_no", "k"))
+    if within_file:
+        found = found.join(corpus.files.select("doc_id", "token_end"), "doc_id").where("position + k <= token_end")
+    return found.join(bounded(phrases.join(texts, "words").select("text_id", "phrase_id")), "text_id").select("phrase_id", "position", "doc_id", "line_no")
 
 
 def positions(corpus: Corpus, words: list[str], within_file: bool = False) -> DataFrame:
@@ -34,16 +47,16 @@ def positions(corpus: Corpus, words: list[str], within_file: bool = False) -> Da
     if len(words) == 1:
         return corpus.tokens.where(F.col("token") == words[0]).select(F.col("pos").alias("position"), "doc_id", "line_no")
     terms = F.broadcast(terms_of(corpus, [words]))  # the words of the query
-    few = Corpus(corpus.files, corpus.tokens.where(F.col("token").isin(words)), corpus.kind)
+    few = Corpus(corpus.files, corpus.tokens.where(F.col("token").isin(words)), corpus.kind)  # a saved corpus skips row groups by this
     return match(few, terms, within_file).drop("phrase_id")
 
 
 def search(corpus: Corpus, words: list[str], within_file: bool = False) -> DataFrame:
-    """Result rows of a phrase; three tokens of context before it."""
+    """Result rows of a phrase by position; three tokens of context before it."""
     text = " ".join(words)
     hits = windows(corpus, positions(corpus, words, within_file), 3, max(len(words), 1), "__around")
     context = F.when(F.col("__around").contains(" "), F.format_string("[POS %d] '%s' (context: ... %s)", F.col("position"), F.lit(text), F.col("__around"))).otherwise(F.format_string("[POS %d] matched: '%s'", F.col("position"), F.lit(text)))
-    return enriched(corpus, hits, F.lit(1.0), context, [F.lit(w) for w in words])
+    return enriched(corpus, hits, F.lit(1.0), context, [F.lit(w) for w in words]).orderBy("position")
 
 
 def intersected(corpus: Corpus, words: list[str]) -> DataFrame:
@@ -57,6 +70,5 @@ def intersected(corpus: Corpus, words: list[str]) -> DataFrame:
 
 def adjacent_repeats(corpus: Corpus, segment: int | None = None) -> DataFrame:
     """position and token where a token is followed by itself, within one segment of the stream if given."""
-    one, two = corpus.tokens.select("pos", "token"), corpus.tokens.select((F.col("pos") - 1).alias("pos"), "token")
-    out = one.join(two, ["pos", "token"]).select(F.col("pos").alias("position"), "token")
+    out = corpus.paired.where("token = next").select(F.col("pos").alias("position"), "token")
     return out if segment is None else out.where(F.floor(F.col("position") / segment) == F.floor((F.col("position") + 1) / segment))

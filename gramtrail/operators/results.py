@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .corpus import Corpus
+from .corpus import Corpus, bounded
 
 COLUMNS = ["position", "context", "confidence", "file_path", "line_number", "line_content", "highlighted_snippet"]
 
 
 def enriched(corpus: Corpus, hits: DataFrame, base: Column, context: Column, needles: list[Column], keep: tuple[str, ...] = ()) -> DataFrame:
     """Result rows of hits(position, doc_id, line_no, ...); base is the confidence before the file's weight."""
-    files = corpus.files.select("doc_id", F.col("path").alias("file_path"), "content", F.col("token_count").alias("__n"))
-    found = hits.join(files, "doc_id", "left")
-    line = F.when(F.col("content").isNotNull(), X.line_at(F.col("content"), F.col("line_no")))
-    found = found.withColumn("line_content", line)
+    files = corpus.files.select("doc_id", F.col("path").alias("file_path"), F.col("token_count").alias("__n"))
+    wanted = bounded(hits.select("doc_id", "line_no").where("doc_id is not null").distinct())
+    lines = corpus.lines.join(wanted, ["doc_id", "line_no"]).withColumnRenamed("line", "line_content")  # only those that are shown
+    found = hits.join(files, "doc_id", "left").join(lines, ["doc_id", "line_no"], "left")
     return found.select(
         "position", context.alias("context"), (base + F.coalesce(X.file_weight(F.col("__n")), F.lit(0.0))).alias("confidence"), "file_path",
         F.col("line_no").alias("line_number"), "line_content", F.when(F.col("line_content").isNotNull(), X.highlight(F.col("line_content"), needles)).alias("highlighted_snippet"), *keep,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.registry import register
 from ..operators import agent, bm25, context, evaluate, fuzzy, hybrid, incremental, phrase
-from ..operators.corpus import Corpus
+from ..operators.corpus import RUN, Corpus
 from ..sources import store
 from ..streaming import hot_cold
 from . import sql as S
@@ -47,7 +47,7 @@ def corpus(spark: SparkSession, sf_dir: str, kind: str = "core") -> Corpus:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; in a local session without that setting, a temporary one."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not given and not spark.sparkContext.master.startswith("local"):
+    if not given and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{given.rstrip('/') if given else 'file://' + tempfile.mkdtemp(prefix='gramtrail-')}/{uuid.uuid4().hex}"
 
@@ -86,9 +86,9 @@ def lexicon(spark, d):
     return corpus(spark, d).lexicon
 
 
-@query(f"{S.TOK} SELECT token, doc_id, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM tok WHERE token IN ('edwh', 'ntth', 'the') GROUP BY 1, 2")
+@query(f"{S.TOK} SELECT token, doc_id, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM tok GROUP BY 1, 2")
 def postings(spark, d):
-    own = corpus(spark, d).postings().where(F.col("token").isin("edwh", "ntth", "the"))
+    own = corpus(spark, d).postings()
     return own.select("token", "doc_id", F.size("positions").cast("long").alias("n"), F.element_at("positions", 1).alias("first_pos"), F.element_at("positions", -1).alias("last_pos"))
 
 
@@ -112,12 +112,14 @@ def files_overlap(spark, d):
     return corpus(spark, d).overlapping(5000, 9000).drop("path")
 
 
-@query(f"{S.TOK} SELECT p AS position, doc_id FROM (SELECT unnest(range(0, 60000, 997)) AS p) JOIN fr ON p >= token_start AND p < token_start + token_count")
+@query(f"{S.TOK} SELECT p AS position, doc_id FROM (SELECT unnest(range(0, (SELECT cast(max(pos) AS bigint) + 1 FROM tok), 997)) AS p) JOIN fr ON p >= token_start AND p < token_start + token_count")
 def position_to_file(spark, d):
-    """A range join of bare positions with the files."""
-    asked = spark.range(0, 60000, 997).withColumnRenamed("id", "position")
-    files = corpus(spark, d).file_stats().select("doc_id", "token_start", "token_end")
-    return files.join(F.broadcast(asked), F.col("position").between(F.col("token_start"), F.col("token_end") - 1)).select("position", "doc_id")  # 61 positions
+    """The file of every 997th position of the stream: positions asked for meet files by runs of positions, then by range."""
+    files = corpus(spark, d).file_stats().where("token_count > 0").select("doc_id", "token_start", "token_end")
+    end = files.agg(F.coalesce(F.max("token_end"), F.lit(0))).first()[0]
+    asked = spark.range(0, end, 997).select(F.col("id").alias("position"), F.floor(F.col("id") / RUN).alias("run"))
+    each = files.withColumn("run", F.explode(F.sequence(F.floor(F.col("token_start") / RUN), F.floor((F.col("token_end") - 1) / RUN))))
+    return each.join(asked, "run").where("position >= token_start AND position < token_end").select("position", "doc_id")
 
 
 # Phrases
@@ -189,7 +191,7 @@ def phrase_context(spark, d):
     return corpus(spark, d).phrase(["of", "the"]).select("position", "context")
 
 
-@query(f"{S.TOK}, {S.phrase(['of', 'the'])} SELECT position, line AS line_content, {S.bold(['of', 'the'])} AS highlighted_snippet FROM hits")
+@query(f"{S.TOK}, {S.phrase(['of', 'the'])} SELECT position, line AS line_content, {S.bold(['of', 'the'])} AS highlighted_snippet FROM hits JOIN ln USING (doc_id, line_no)")
 def phrase_highlight(spark, d):
     return corpus(spark, d).phrase(["of", "the"]).select("position", "line_content", "highlighted_snippet")
 
@@ -311,6 +313,17 @@ def hybrid_documented(spark, d):
     return _round(corpus(spark, d).hybrid("where is the edwh stsh", 5)).drop("score")
 
 
+@query(
+    f"{S.TOK}, {S.bm25(['edwh', 'stsh'], 5, 'reference')}, {S.phrase(['edwh', 'stsh'], 'h0', True)}, "
+    "h AS (SELECT doc_id, position, 'edwh stsh' AS phrase, line_no FROM h0 UNION ALL SELECT doc_id, pos, token, line_no FROM tok WHERE token IN ('edwh', 'stsh')) "
+    "SELECT position, '[DOC ' || doc_id || '] [POS ' || position || '] BM25=' || printf('%.2f', score) || ' | ' || chr(39) || phrase || chr(39) AS context, round(0.7 + least(0.3 * score, 0.3), 6) AS confidence, "
+    "cast(doc_id AS varchar) AS file_path, cast(line_no AS integer) AS line_number, line AS line_content FROM h JOIN best USING (doc_id) JOIN ln USING (doc_id, line_no)"
+)
+def hybrid_rows(spark, d):
+    """The hits of the best files as result rows."""
+    return _round(hybrid.results(corpus(spark, d), "where is the edwh stsh", 5)).drop("highlighted_snippet")
+
+
 @query(
     f"{S.TOK}, {S.bm25(['edwh', 'stsh'], 2, 'reference')}, g AS (SELECT doc_id, pos, token AS a, lead(token) OVER (ORDER BY pos) AS b, lead(doc_id) OVER (ORDER BY pos) AS d2 FROM tok) "
     "SELECT best.doc_id, x.pos AS position, x.a || ' ' || x.b AS phrase, round(0.7 + least(0.3 * score, 0.3), 6) AS confidence, cast(rank AS integer) AS rank "
@@ -346,7 +359,7 @@ def hot_cold_phrase(spark, d):
 
 _TALK = f"""WITH t0 AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '{S.CORE}') AS w FROM conversations),
 t1 AS (SELECT conv_id, turn, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM t0),
-tok AS (SELECT token, row_number() OVER (ORDER BY conv_id, turn, i) - 1 AS pos, conv_id AS doc_id, 0 AS line_no, '' AS line FROM t1)"""
+tok AS (SELECT token, row_number() OVER (ORDER BY conv_id, turn, i) - 1 AS pos, conv_id AS doc_id, 0 AS line_no FROM t1)"""
 
 
 @query(f"{_TALK}, {S.phrase(['of', 'the'])} SELECT position, position // 1000 AS segment FROM hits")
@@ -519,7 +532,7 @@ def agent_search(spark, d):
 
 
 @query(
-    f"{S.AG}, {S.phrase(['of', 'the'])}, r AS (SELECT *, {S.bold(['of', 'the'])} AS h, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM hits) "
+    f"{S.AG}, {S.phrase(['of', 'the'])}, r AS (SELECT *, {S.bold(['of', 'the'])} AS h, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM hits JOIN ln USING (doc_id, line_no)) "
     "SELECT doc_id, n, '=== ' || doc_id || ' (' || n || ' matches) ===' || chr(10) || string_agg('  [POS ' || position || '] conf=1.00 | line ' || line_no || ': ' || h, chr(10) ORDER BY position) FILTER (i <= 5) || CASE WHEN n > 5 THEN chr(10) || '  ... and ' || (n - 5) || ' more matches' ELSE '' END AS text FROM r GROUP BY doc_id, n"
 )
 def grouped_report(spark, d):

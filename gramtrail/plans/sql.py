@@ -6,12 +6,12 @@ CORE, AGENT = r"[\p{L}\p{N}]+", "[a-zA-Z0-9_]+"
 
 
 def tokens(pattern: str = CORE, fold: bool = False, docs: str = "documents") -> str:
-    """Tables lt (lines), tok (token, pos, doc_id, line_no, line), n (token counts) and fr (file ranges)."""
+    """Tables ln (doc_id, line_no, line), tok (token, pos, doc_id, line_no), n (token counts) and fr (file ranges)."""
     token = "lower(token)" if fold else "token"
     return f"""WITH ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM {docs}),
-lt AS (SELECT doc_id, line_no, line, regexp_extract_all(line, '{pattern}') AS w FROM ln),
-t0 AS (SELECT doc_id, line_no, line, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM lt),
-tok AS (SELECT doc_id, line_no, line, {token} AS token, row_number() OVER (ORDER BY doc_id, line_no, i) - 1 AS pos FROM t0),
+lt AS (SELECT doc_id, line_no, regexp_extract_all(line, '{pattern}') AS w FROM ln),
+t0 AS (SELECT doc_id, line_no, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM lt),
+tok AS (SELECT doc_id, line_no, {token} AS token, row_number() OVER (ORDER BY doc_id, line_no, i) - 1 AS pos FROM t0),
 n AS (SELECT d.doc_id, count(tok.pos) AS token_count FROM {docs} AS d LEFT JOIN tok USING (doc_id) GROUP BY d.doc_id),
 fr AS (SELECT doc_id, token_count, cast(coalesce(sum(token_count) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS token_start FROM n)"""
 
@@ -20,9 +20,9 @@ TOK, AG = tokens(), tokens(AGENT, True)
 
 
 def phrase(words: list[str], name: str = "hits", inside: bool = False) -> str:
-    """A table of position, doc_id, line_no and line of a phrase."""
+    """A table of position, doc_id and line_no of a phrase."""
     joins = "".join(f" JOIN tok AS t{i} ON t{i}.pos = t0.pos + {i} AND t{i}.token = '{w}'" + (f" AND t{i}.doc_id = t0.doc_id" if inside else "") for i, w in enumerate(words) if i)
-    return f"{name} AS (SELECT t0.pos AS position, t0.doc_id, t0.line_no, t0.line FROM tok AS t0{joins} WHERE t0.token = '{words[0]}')"
+    return f"{name} AS (SELECT t0.pos AS position, t0.doc_id, t0.line_no FROM tok AS t0{joins} WHERE t0.token = '{words[0]}')"
 
 
 def bold(words: list[str]) -> str:
