@@ -43,7 +43,7 @@ def search(corpus: Corpus, question: str, limit: int = LIMIT) -> DataFrame:
     if not runs:
         return phrase_hits(corpus, [])
     names = F.array(*[F.lit(min(1.0, 0.95 + 0.02 * len(r))) for r in runs])
-    exact = phrase.match(corpus, F.broadcast(phrase.terms_of(corpus, runs))).withColumn("confidence", F.get(names, F.col("phrase_id")))  # the words of the question
+    exact = phrase.match(corpus, phrase.terms_of(corpus, runs), few=True).withColumn("confidence", F.get(names, F.col("phrase_id")))  # the words of the question
     near = [fuzzy_hits(corpus, w).withColumn("confidence", F.greatest("confidence", F.lit(0.5))) for w in dict.fromkeys(words)]
     every = reduce(DataFrame.unionByName, [x.select("position", "doc_id", "line_no", "confidence") for x in [exact, *near]])
     best = every.groupBy("position").agg(F.max("confidence").alias("confidence"), F.max(F.struct("doc_id", "line_no")).alias("f"))

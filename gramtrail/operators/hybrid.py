@@ -22,7 +22,7 @@ def documented(corpus: Corpus, question: str, k: int = 10) -> DataFrame:
     best = candidates(corpus, question, k)
     phrases = questions.parse(question)
     inside = Corpus(corpus.files, corpus.tokens.join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi"), corpus.kind)  # k rows
-    hits = phrase.match(inside, F.broadcast(phrase.terms_of(corpus, phrases)), within_file=True).join(best, "doc_id")
+    hits = phrase.match(inside, phrase.terms_of(corpus, phrases), within_file=True, few=True).join(best, "doc_id")
     name = F.get(F.array(*[F.lit(" ".join(p)) for p in phrases]), F.col("phrase_id"))
     return hits.select("doc_id", "position", name.alias("phrase"), (0.7 + F.least(0.3 * F.col("score"), F.lit(0.3))).alias("confidence"), "score", "rank")
 

@@ -15,13 +15,14 @@ def terms_of(corpus: Corpus, phrases: list[list[str]]) -> DataFrame:
     return corpus.spark.createDataFrame(rows, "phrase_id int, off int, token string, k int")
 
 
-def match(corpus: Corpus, terms: DataFrame, within_file: bool = False) -> DataFrame:
+def match(corpus: Corpus, terms: DataFrame, within_file: bool = False, few: bool = False) -> DataFrame:
     """phrase_id, position, doc_id and line_no of each occurrence of phrases given as terms(phrase_id, off, token, k).
 
     Phrases of the same words are searched once. A phrase is covered by pairs of neighbouring words, and an equi-join on both words of
     a pair finds the places of the pair alone, not those of each word; a phrase of three or more words
-    stands where all of its pairs do.
+    stands where all of its pairs do. few says that the terms are the words of a query, so that no count need find out.
     """
+    bound = F.broadcast if few else bounded
     phrases = terms.groupBy("phrase_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("off", "token"))), lambda t: t["token"]).alias("words"), F.max("k").alias("k")).where("size(words) = k")  # the words of a phrase
     texts = phrases.groupBy("words").agg(F.min("phrase_id").alias("text_id"))
     k = F.size("words")
@@ -29,15 +30,15 @@ def match(corpus: Corpus, terms: DataFrame, within_file: bool = False) -> DataFr
     two = texts.where(k > 1).select("text_id", "words", k.alias("k"), F.explode(F.array_union(F.sequence(F.lit(0), k - 2, F.lit(2)), F.array(k - 2))).alias("off"))
     two = two.select("text_id", "k", "off", F.expr("words[off]").alias("token"), F.expr("words[off + 1]").alias("next"))
     at = ["text_id", "position", "doc_id", "line_no"]
-    single = corpus.tokens.join(bounded(one), "token").withColumn("position", F.col("pos")).select(*at, F.lit(1).alias("k"))
-    pairs = corpus.paired.join(bounded(two), ["token", "next"]).withColumn("position", F.col("pos") - F.col("off"))
+    single = corpus.tokens.join(bound(one), "token").withColumn("position", F.col("pos")).select(*at, F.lit(1).alias("k"))
+    pairs = corpus.paired.join(bound(two), ["token", "next"]).withColumn("position", F.col("pos") - F.col("off"))
     whole = pairs.where("k = 2").select(*at, "k")
     keys = ["text_id", "position", *(["doc_id"] if within_file else [])]
     longer = pairs.where("k > 2").groupBy(*keys).agg(F.count("*").alias("n"), F.max("k").alias("k"), F.max(F.when(F.col("off") == 0, F.struct("doc_id", "line_no"))).alias("first")).where("n = (k + 1) div 2")
     found = single.unionByName(whole).unionByName(longer.select("text_id", "position", "first.doc_id", "first.line_no", "k"))
     if within_file:
         found = found.join(corpus.files.select("doc_id", "token_end"), "doc_id").where("position + k <= token_end")
-    return found.join(bounded(phrases.join(texts, "words").select("text_id", "phrase_id")), "text_id").select("phrase_id", "position", "doc_id", "line_no")
+    return found.join(bound(phrases.join(texts, "words").select("text_id", "phrase_id")), "text_id").select("phrase_id", "position", "doc_id", "line_no")
 
 
 def positions(corpus: Corpus, words: list[str], within_file: bool = False) -> DataFrame:
@@ -46,9 +47,10 @@ def positions(corpus: Corpus, words: list[str], within_file: bool = False) -> Da
         return corpus.tokens.select(F.col("pos").alias("position"), "doc_id", "line_no").limit(0)
     if len(words) == 1:
         return corpus.tokens.where(F.col("token") == words[0]).select(F.col("pos").alias("position"), "doc_id", "line_no")
-    terms = F.broadcast(terms_of(corpus, [words]))  # the words of the query
-    few = Corpus(corpus.files, corpus.tokens.where(F.col("token").isin(words)), corpus.kind)  # a saved corpus skips row groups by this
-    return match(few, terms, within_file).drop("phrase_id")
+    own = Corpus(corpus.files, corpus.tokens.where(F.col("token").isin(words)), corpus.kind)  # a saved corpus skips row groups by this
+    if len(words) == 2 and not within_file:
+        return own.paired.where((F.col("token") == words[0]) & (F.col("next") == words[1])).select(F.col("pos").alias("position"), "doc_id", "line_no")
+    return match(own, terms_of(corpus, [words]), within_file, few=True).drop("phrase_id")
 
 
 def search(corpus: Corpus, words: list[str], within_file: bool = False) -> DataFrame:

@@ -18,8 +18,7 @@ def search(corpus: Corpus, question: str) -> DataFrame:
     phrases = questions.parse(question)
     parts = []
     if phrases:
-        terms = F.broadcast(phrase.terms_of(corpus, phrases))  # the words of the question
-        hits = phrase.match(corpus, terms)
+        hits = phrase.match(corpus, phrase.terms_of(corpus, phrases), few=True)  # the words of the question
         texts = F.array(*[F.lit(" ".join(p)) for p in phrases])
         name = F.get(texts, F.col("phrase_id"))
         exact = enriched(corpus, hits.withColumn("__p", name), F.lit(1.0), F.format_string("[POS %d] matched: '%s'", "position", "__p"), [F.element_at(F.split("__p", " "), 1)], ("phrase_id",))

@@ -417,7 +417,7 @@ def budget_matches(spark, d):
 
 @query(
     f"{S.TOK}, {S.phrase(['edwh'])}, s AS (SELECT position, string_agg(token, ' ' ORDER BY pos) AS s FROM hits JOIN tok ON pos BETWEEN position - 10 AND position + 9 GROUP BY 1) "
-    "SELECT 'You are a code assistant. Use the provided context to answer the query.' || chr(10) || chr(10) || '<context>' || chr(10) || string_agg('  [POS ' || position || '] ' || s, chr(10) ORDER BY position) || chr(10) || '</context>' || chr(10) || chr(10) || chr(10) || 'Query: what is edwh' || chr(10) || 'Answer:' AS prompt FROM s"
+    "SELECT 'Answer the query from the passages between the context marks.' || chr(10) || chr(10) || '<context>' || chr(10) || string_agg('  [POS ' || position || '] ' || s, chr(10) ORDER BY position) || chr(10) || '</context>' || chr(10) || chr(10) || chr(10) || 'Query: what is edwh' || chr(10) || 'Answer:' AS prompt FROM s"
 )
 def completion_prompt(spark, d):
     return context.completion_prompt(corpus(spark, d), "what is edwh", [["edwh"]])
@@ -576,7 +576,7 @@ def recall_eval(spark, d):
     return out.withColumn("mean_results", F.round("mean_results", 6))
 
 
-@query()
+@query(f"{S.TOK} SELECT count(*) AS total_tokens, count(DISTINCT token) AS unique_tokens, (SELECT count(*) FROM n) AS n_files, true AS stored FROM tok")
 def storage_report(spark, d):
     """What a saved corpus holds and takes."""
     at = shared_folder(spark)
@@ -585,6 +585,8 @@ def storage_report(spark, d):
     return spark.createDataFrame([(s["total_tokens"], s["unique_tokens"], s["n_files"], s["storage_bytes"] > 0)], "total_tokens long, unique_tokens long, n_files long, stored boolean")
 
 
-@query()
+@query(
+    f"{S.TOK}, f AS (SELECT DISTINCT pos AS position, round(0.5 * (0.5 + {S.WEIGHT}), 6) AS confidence FROM tok JOIN n USING (doc_id) WHERE {S.ASCII} AND (({S.near('nosuchtoken', 1)}) OR ({S.near('edwhh', 1)}))) SELECT position, confidence FROM f"
+)
 def hybrid_or_search(spark, d):
     return _round(hybrid.or_search(corpus(spark, d), "where is nosuchtoken edwhh"))

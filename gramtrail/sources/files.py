@@ -16,7 +16,8 @@ def folder(spark: SparkSession, root: str, pattern: str = "*.rs") -> DataFrame:
     below = F.expr("substring_index(p, r, -1)")
     rows = rows.select(F.url_decode(path).alias("p"), base.alias("r"), F.col("value").alias("text")).select(below.alias("path"), "text")
     rows = rows.where(~F.col("path").rlike(r"(^|/)(\.[^/]+|target)/"))
-    return rows.withColumn("doc_id", F.row_number().over(Window.orderBy("path")).cast("long") - 1).select("doc_id", "path", "text")  # a row for each file of one folder
+    numbers = rows.select("path").withColumn("doc_id", F.row_number().over(Window.orderBy("path")).cast("long") - 1)  # names alone, of the files of one folder
+    return rows.join(numbers, "path").select("doc_id", "path", "text")
 
 
 def text_tokens(spark: SparkSession, path: str) -> DataFrame:

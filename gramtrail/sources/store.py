@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.corpus import FILES, TOKEN_ROWS, Corpus
 from . import files as source
 
-VERSION = 4
+VERSION = 5
 
 
 def _fs(spark: SparkSession, path: str):
@@ -20,34 +22,61 @@ def _fs(spark: SparkSession, path: str):
 
 
 def fingerprint(corpus: Corpus) -> str:
-    """A value that any change of the tokens changes, whatever their order."""
-    row = corpus.tokens.agg(F.count("*").alias("n"), F.sum(F.xxhash64("token", "pos", "doc_id").cast("decimal(38,0)")).alias("h")).first()
-    return f"{row['n']}:{row['h']}"
+    """A value that any change of the tokens, their lines, or the files and their contents changes, whatever the order of rows."""
+    total = lambda rows, *cols: rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("h")).first()
+    tokens, files = total(corpus.tokens, "token", "pos", "doc_id", "line_no"), total(corpus.files, "doc_id", "path", F.sha2("content", 256))
+    return f"{corpus.kind}:{tokens['n']}:{tokens['h']}:{files['n']}:{files['h']}"
 
 
 def save(corpus: Corpus, path: str, parts: int | None = None) -> bool:
-    """Write tokens (clustered and sorted by token), files and manifest; nothing is written if the same is there."""
-    spark, own = corpus.spark, fingerprint(corpus)
-    there = manifest(spark, path)
-    if there and there.get("fingerprint") == own:
+    """Write tokens (clustered and sorted by token), files and manifest; nothing is written if the same is there.
+
+    The tables go to a new folder, and the manifest, which names it, is replaced last: until then, and if anything fails before, the old
+    corpus is the one that is read. Only then its folder goes.
+    """
+    own = fingerprint(corpus)
+    there = manifest(corpus.spark, path)
+    if there and there.get("version") == VERSION and there.get("fingerprint") == own:
         return False
-    tokens = corpus.tokens.repartition(parts, "token") if parts else corpus.tokens.repartition("token")
-    tokens.sortWithinPartitions("token", "pos").write.mode("overwrite").parquet(f"{path}/tokens")
-    corpus.files.write.mode("overwrite").parquet(f"{path}/files")
-    body = json.dumps({"version": VERSION, "kind": corpus.kind, "fingerprint": own})
-    spark.createDataFrame([(body,)], "body string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    _write(corpus, path, own, parts)
     return True
 
 
+def _write(corpus: Corpus, path: str, own: str, parts: int | None = None) -> None:
+    spark, folder = corpus.spark, f"v-{uuid.uuid4().hex}"
+    tokens = corpus.paired.select(*TOKEN_ROWS.fieldNames(), "next")
+    tokens = tokens.repartition(parts, "token") if parts else tokens.repartition("token")
+    tokens.sortWithinPartitions("token", "pos").write.parquet(f"{path}/{folder}/tokens")
+    corpus.files.write.parquet(f"{path}/{folder}/files")
+    _switch(spark, path, {"version": VERSION, "kind": corpus.kind, "fingerprint": own, "folder": folder})
+    fs, p = _fs(spark, path)
+    for old in fs.listStatus(p):
+        if old.getPath().getName() not in (folder, "manifest.json"):
+            fs.delete(old.getPath(), True)
+
+
+def _switch(spark: SparkSession, path: str, body: dict) -> None:
+    """Put a manifest in place of the old one in one step."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs, new = _fs(spark, f"{path}/manifest-{uuid.uuid4().hex}")
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps(body).encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    over[0] = jvm.Options.Rename.OVERWRITE
+    jvm.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration()).rename(new, jvm.Path(f"{path}/manifest.json"), over)
+
+
 def manifest(spark: SparkSession, path: str) -> dict | None:
-    fs, p = _fs(spark, f"{path}/manifest")
-    if not fs.exists(p):
-        return None
-    try:
-        return json.loads(spark.read.text(f"{path}/manifest").first()[0])
-    except Exception as error:  # whatever is wrong with the file, the corpus counts as unreadable
-        warnings.warn(f"{path}: unreadable manifest ({type(error).__name__}); starting empty", stacklevel=2)
-        return {}
+    for name in ("manifest.json", "manifest"):  # the second is that of versions before 5
+        fs, p = _fs(spark, f"{path}/{name}")
+        if fs.exists(p):
+            try:
+                return json.loads(spark.read.text(f"{path}/{name}").first()[0])
+            except Exception as error:  # whatever is wrong with the file, the corpus counts as unreadable
+                warnings.warn(f"{path}: unreadable manifest ({type(error).__name__}); starting empty", stacklevel=2)
+                return {}
+    return None
 
 
 def empty(spark: SparkSession) -> Corpus:
@@ -59,7 +88,7 @@ def load(spark: SparkSession, path: str) -> Corpus:
     m = manifest(spark, path)
     if not m:
         return empty(spark)
-    readers = {VERSION: _current, 1: _tokens_only, 2: _tokens_only, 3: _tokens_only}
+    readers = {VERSION: _current, 4: _without_next, 1: _tokens_only, 2: _tokens_only, 3: _tokens_only}
     if m.get("version") not in readers:
         warnings.warn(f"{path}: version {m.get('version')} is not known; starting empty", stacklevel=2)
         return empty(spark)
@@ -67,6 +96,11 @@ def load(spark: SparkSession, path: str) -> Corpus:
 
 
 def _current(spark: SparkSession, path: str, m: dict) -> Corpus:
+    at, rows = f"{path}/{m['folder']}", T.StructType([*TOKEN_ROWS, T.StructField("next", T.StringType())])
+    return Corpus(spark.read.schema(FILES).parquet(f"{at}/files"), spark.read.schema(rows).parquet(f"{at}/tokens"), m.get("kind", "core"))
+
+
+def _without_next(spark: SparkSession, path: str, m: dict) -> Corpus:
     return Corpus(spark.read.schema(FILES).parquet(f"{path}/files"), spark.read.schema(TOKEN_ROWS).parquet(f"{path}/tokens"), m.get("kind", "core"))
 
 
@@ -77,10 +111,7 @@ def _tokens_only(spark: SparkSession, path: str, m: dict) -> Corpus:
 def compact(spark: SparkSession, path: str, parts: int) -> None:
     """Rewrite the token table in so many files."""
     old = load(spark, path)
-    save(old, f"{path}.new", parts)
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
-    fs.rename(_fs(spark, f"{path}.new")[1], p)
+    _write(old, path, fingerprint(old), parts)
 
 
 def delete(spark: SparkSession, path: str) -> bool:
@@ -101,11 +132,9 @@ def import_tokens(spark: SparkSession, path: str, tokens: DataFrame) -> Corpus:
     old = load(spark, path)
     start = old.tokens.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
     more = Corpus.from_tokens(tokens.withColumn("pos", F.col("pos") + start))
-    both = Corpus(old.files, old.tokens.unionByName(more.tokens.select(*old.tokens.columns)), old.kind)
-    save(both, f"{path}.new")
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
-    fs.rename(_fs(spark, f"{path}.new")[1], p)
+    names = TOKEN_ROWS.fieldNames()
+    both = Corpus(old.files, old.tokens.select(*names).unionByName(more.tokens.select(*names)), old.kind)
+    _write(both, path, fingerprint(both))
     return load(spark, path)
 
 

@@ -32,16 +32,25 @@ class TokenStream:
             return self.spark.createDataFrame([], ROWS)
         return self.spark.read.schema(ROWS).option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows")
 
+    def _end(self, batch: int) -> int:
+        """The position after the batches before one: a row for each is kept beside them, so that no batch reads the tokens again."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/ends")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.rows().where(F.col("batch") < batch).agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
+        ends = self.spark.read.schema("position long, batch long").option("basePath", f"{self.path}/ends").parquet(f"{self.path}/ends")
+        return ends.where(F.col("batch") < batch).agg(F.coalesce(F.max("position"), F.lit(0))).first()[0]
+
     def append(self, tokens: DataFrame, batch: int, order: list[str] | None = None) -> None:
         """Write tokens(token and the order columns, numbers) as one batch, after the positions of the batches before it."""
-        done = self.rows().where(F.col("batch") < batch)
-        start = done.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
+        start = self._end(batch)
         keys = order or ["ord"]
         # Positions from counts by the first order column, summed in two levels, so that no task numbers the whole batch.
         starts = prefix_sums(tokens.groupBy(keys[0]).agg(F.count("*").alias("n")), keys[0], "n", "s").select(keys[0], "s")
         inside = F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys)) - 1
         out = tokens.withColumn("i", inside).join(starts, keys[0]).select("token", (F.lit(start) + F.col("s") + F.col("i")).cast("long").alias("pos"))
         out.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
+        n = self.spark.read.schema("token string, pos long").parquet(f"{self.path}/rows/batch={batch}").count()
+        self.spark.createDataFrame([(start + n,)], "position long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/ends/batch={batch}")
 
     def start(self, stream: DataFrame, order: list[str], checkpoint: str):
         """Run a stream of tokens into the folder until its source is read; returns when done."""

@@ -45,6 +45,33 @@ def test_store(spark, tmp_path):
     assert Corpus.load(spark, at).tokens.count() == 0
 
 
+def test_store_sees_every_change(spark, tmp_path):
+    at = f"file://{tmp_path}/index"
+    assert store.save(files(spark, [("a", "a b")]), at)
+    moved = files(spark, [("a", "a\n{b}")])  # the same tokens at the same positions
+    assert moved.save(at) is True and moved.save(at) is False
+    again = Corpus.load(spark, at)
+    assert again.files.first().content == "a\n{b}" and [r.line_no for r in again.tokens.orderBy("pos").collect()] == [1, 2]
+    assert files(spark, [("b", "a\n{b}")]).save(at) is True  # another path
+
+
+def test_store_survives_a_failed_save(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/index"
+    store.save(files(spark, [("a", "one two")]), at)
+    monkeypatch.setattr(store, "_switch", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.save(files(spark, [("a", "three four five")]), at)
+    assert positions(Corpus.load(spark, at).phrase(["one", "two"])) == [0]
+
+
+def test_next_tokens(spark):
+    c = files(spark, [("a", "one two"), ("b", ""), ("c", "two one"), ("d", "")])
+    rows = [(r.pos, r.token, r.next) for r in c.paired.orderBy("pos").collect()]
+    assert rows == [(0, "one", "two"), (1, "two", "two"), (2, "two", "one"), (3, "one", None)]
+    bare = Corpus.from_tokens(spark.createDataFrame([(f"t{i}", i) for i in (0, 1, 3, 65_535, 65_536)], "token string, pos long"))
+    assert {(r.pos, r.next) for r in bare.paired.collect()} == {(0, "t1"), (1, None), (3, None), (65_535, "t65536"), (65_536, None)}
+
+
 def test_unreadable_store(spark, tmp_path):
     (tmp_path / "x/manifest").mkdir(parents=True)
     (tmp_path / "x/manifest/part-0.txt").write_text("no")
@@ -112,7 +139,7 @@ def test_prompts(spark):
     assert row.prompt_tokens == ["<context>", "[5]", "t5", "</context>", "<query>", "what?", "</query>"] and row.filtered_token_count == 7
     row = context.build_prompt(c, "what?", [["none"]]).first()
     assert "(no relevant context found)" in row.prompt_tokens
-    assert context.completion_prompt(c, "q", [["t5", "t6"]]).first().prompt == "You are a code assistant. Use the provided context to answer the query.\n\n<context>\n  [POS 5] " + " ".join(f"t{i}" for i in range(15)) + "\n</context>\n\n\nQuery: q\nAnswer:"
+    assert context.completion_prompt(c, "q", [["t5", "t6"]]).first().prompt == "Answer the query from the passages between the context marks.\n\n<context>\n  [POS 5] " + " ".join(f"t{i}" for i in range(15)) + "\n</context>\n\n\nQuery: q\nAnswer:"
     assert "[MATCH: a b] {{ .Context.a b }}" in context.template_text([["a", "b"]]) and "{{.Context}}" in context.task_template("docs")
 
 
