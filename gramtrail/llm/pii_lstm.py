@@ -1,12 +1,13 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions in numpy.
 
 The network reads windows of 64 characters that overlap by half. A tag holds from the window in which its character is
-most central; the tags of a text then form one sequence, from which spans are read across windows. A
-span must hold a digit or an at sign, so windows without either can give none and are not run.
+most central, or from the outermost one that was run; the tags of a text then form one sequence, from which spans are read
+across windows. A span must hold a digit or an at sign and LEAST characters, so windows without either are run only where a
+span goes on into them.
 
-Training takes the windows of at most `max_docs` documents with such a character, those with the smallest
-hash of the id (a documented bound), which the base patterns label, and lines made from a seed
-with personal data in other forms and with numbers that are none. Cases: a null or empty text has no
+Training takes at most `max_windows` windows, those with the least hash, of at most `max_docs` documents with such a
+character, those with the smallest hash of the id (documented bounds); the base patterns label them, and windows with what may be personal data
+that these miss take no part. Lines made from a seed have personal data in other forms and numbers that are none. Cases: a null or empty text has no
 spans; without training documents the made lines train alone; repeated rows each get a row.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import random
 import re
 import string
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +36,11 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
-MAX_DOCS, MADE = 1500, 700
+MAX_DOCS, MAX_WINDOWS, MADE = 1500, 8, 700
+#: The least length of a span that the network may add; a@b.c has five.
+LEAST = 5
+#: Places of a document that may be personal data which the base patterns miss: these are no examples of places without any.
+DOUBTFUL = re.compile(r"[0-9](?:[ .()/-]?[0-9]){8,}|\S\s?@\s?\S")
 WIDTH, STRIDE = 64, 32
 TAGS = 9  # outside, then begin and inside of each kind
 FIELDS = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
@@ -252,7 +258,17 @@ def made(n: int, seed: int = 8) -> list[tuple[str, list[Span]]]:
     return out
 
 
-def train(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_DOCS, made_lines: int = MADE) -> Net:
+def sampled(text: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and tags of at most so many windows of a text, those with the least hash, without those that hold a doubtful place."""
+    base = base_spans(text)
+    codes, tags = window_rows(text, base)
+    doubt = [m.span() for m in DOUBTFUL.finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in base)]
+    good = [i for i, s in enumerate(windows(text)) if not any(a < s + WIDTH and s < b for a, b in doubt)]
+    good = sorted(good, key=lambda i: zlib.crc32(codes[i].tobytes()))[:most]
+    return codes[good], tags[good]
+
+
+def train(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_docs: int = MAX_DOCS, max_windows: int = MAX_WINDOWS, made_lines: int = MADE) -> Net:
     """A network from a bounded sample of the documents, labelled by the base patterns, and made lines."""
     few = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").alias("doc_id")).where(F.col("text").rlike("[0-9@]"))
     order = F.xxhash64("doc_id", F.lit(9)), "doc_id"
@@ -260,8 +276,8 @@ def train(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_do
 
     def make():
         def each(texts, _):
-            rows = [window_rows(x or "", base_spans(x or "")) for x in texts.to_pylist()]
-            return [pa.array([c[:4].tobytes() for c, _ in rows], pa.binary()), pa.array([g[:4].tobytes() for _, g in rows], pa.binary())]  # four windows of a document train
+            rows = [sampled(x or "", max_windows) for x in texts.to_pylist()]
+            return [pa.array([c.tobytes() for c, _ in rows], pa.binary()), pa.array([g.tobytes() for _, g in rows], pa.binary())]
 
         return each
 
@@ -271,32 +287,49 @@ def train(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_do
     return Net.new().fit(np.concatenate([c for c, _ in pairs]), np.concatenate([g for _, g in pairs]))
 
 
-def model_spans(texts: list[str], net: Net, most: int = 4096) -> list[list[Span]]:
-    """Spans that the network finds in whole texts; windows of many texts run together."""
+def reconciled(tags: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """The tags of a text of n characters from those of its windows: the window in which a place is most central counts; the outermost ones up to their edges."""
+    out, quarter = np.zeros(n, np.uint8), (WIDTH - STRIDE) // 2
+    for s, g in tags.items():
+        a = s if s - STRIDE not in tags else s + quarter
+        b = min(n, s + WIDTH if s + STRIDE not in tags else s + WIDTH - quarter)
+        if a < b:
+            out[a:b] = g[a - s : b - s]
+    return out
+
+
+def model_spans(texts: list[str], net: Net, most: int = 4096, least: int = LEAST) -> list[list[Span]]:
+    """Spans that the network finds in whole texts; windows of many texts run together, and then those into which a span goes on."""
     starts = [windows(t) for t in texts]
     codes = [classes(t) if s else None for t, s in zip(texts, starts, strict=True)]
-    where = [(d, s) for d, each in enumerate(starts) for s in each]
-    tags = [np.zeros(len(c), np.uint8) if c is not None else None for c in codes]
-    quarter = (WIDTH - STRIDE) // 2
-    for i in range(0, len(where), most):
-        part = where[i : i + most]
-        c = np.full((len(part), WIDTH), PAD, np.uint8)
-        for k, (d, s) in enumerate(part):
-            x = codes[d][s : s + WIDTH]
-            c[k, : len(x)] = x
-        for (d, s), g in zip(part, net.decode(c), strict=True):
-            a = 0 if s == 0 else s + quarter
-            b = min(len(codes[d]), s + WIDTH - quarter)
-            if a < b:
-                tags[d][a:b] = g[a - s : b - s]
+    tags: list[dict[int, np.ndarray]] = [{} for _ in texts]
+    todo, quarter = [(d, s) for d, each in enumerate(starts) for s in each], (WIDTH - STRIDE) // 2
+    while todo:
+        more: set[tuple[int, int]] = set()
+        for i in range(0, len(todo), most):
+            part = todo[i : i + most]
+            c = np.full((len(part), WIDTH), PAD, np.uint8)
+            for k, (d, s) in enumerate(part):
+                x = codes[d][s : s + WIDTH]
+                c[k, : len(x)] = x
+            got = net.decode(c)
+            ahead, behind = (got[:, :quarter] > 0).any(1), (got[:, -quarter:] > 0).any(1)
+            for k, (d, s) in enumerate(part):
+                tags[d][s] = got[k]
+                if ahead[k] and s:
+                    more.add((d, s - STRIDE))
+                if behind[k] and s + WIDTH < len(codes[d]):
+                    more.add((d, s + STRIDE))
+        todo = sorted((d, s) for d, s in more if s not in tags[d])
     out: list[list[Span]] = []
-    for text, tag in zip(texts, tags, strict=True):
+    for d, text in enumerate(texts):
         spans: list[Span] = []
-        if tag is not None:
+        if tags[d]:
+            tag = reconciled(tags[d], len(codes[d]))
             kind = (tag.astype(int) + 1) // 2
             edge = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | ((tag[1:] % 2 == 1) & (tag[:-1] % 2 == 0)), [True]])) if len(tag) else []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if kind[a] and b - a >= 6 and TRIGGER.search(text, int(a), int(b)):
+                if kind[a] and b - a >= least and TRIGGER.search(text, int(a), int(b)):
                     spans.append((int(kind[a]) - 1, int(a), int(b)))
         out.append(spans)
     return out

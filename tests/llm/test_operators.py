@@ -617,10 +617,49 @@ def test_personal_model(spark, edge, edge_rows, none):
         base = plain_spans(PERSONAL, r.text or "")
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in range(4)) and r.base_sha256 == digest(base, pii_lstm.KINDS)
     assert pii_lstm.scan(none, net).count() == 0
-    # A span across windows is found whole, wherever it lies.
-    for shift in range(0, 70, 7):
-        t = "a " * shift + "call 415-555-0199 now"
-        assert pii_lstm.model_spans([t], net)[0] == pii_lstm.model_spans(["a " * 200 + t], net)[0] or True
+
+
+def plain_tags(text, net):
+    """Every window of a text decoded by trying all moves one character at a time, and each place taken from its most central window."""
+    codes = pii_lstm.classes(text)
+    best = {}
+    for s in range(0, len(text), pii_lstm.STRIDE):
+        c = np.full((1, pii_lstm.WIDTH), pii_lstm.PAD, np.uint8)
+        c[0, : len(codes[s : s + pii_lstm.WIDTH])] = codes[s : s + pii_lstm.WIDTH]
+        e = net.run(c)[0][0].astype(np.float64)
+        paths = {t: (e[0, t], [t]) for t in range(pii_lstm.TAGS)}
+        for row in e[1:]:
+            paths = {t: max(((x + net.move[p, t] + row[t], [*path, t]) for p, (x, path) in paths.items()), key=lambda y: y[0]) for t in range(pii_lstm.TAGS)}
+        tags = max(paths.values(), key=lambda y: y[0])[1]
+        for k in range(min(pii_lstm.WIDTH, len(text) - s)):
+            off = abs(2 * k + 1 - pii_lstm.WIDTH)
+            if s + k not in best or off < best[s + k][0]:
+                best[s + k] = off, tags[k]
+    return [best[k][1] for k in range(len(text))]
+
+
+def test_personal_windows(spark):
+    net = pii_lstm.train(spark.read.parquet(f"{DATA}/documents.parquet"))
+    r = random.Random(3)
+    for n in range(12):
+        text = " ".join(t for t, _ in pii_lstm.made(6, 300 + n)) + " " + words(r.randint(0, 20), n)
+        want, spans = plain_tags(text, net), []
+        for i, t in enumerate(want):
+            if t and (t % 2 == 1 or not i or (want[i - 1] + 1) // 2 != (t + 1) // 2):
+                spans.append([(t + 1) // 2 - 1, i, i + 1])
+            elif t:
+                spans[-1][2] = i + 1
+        wants = {tuple(s) for s in spans if s[2] - s[1] >= pii_lstm.LEAST and re.search("[0-9@]", text[s[1] : s[2]])}
+        got = set(pii_lstm.model_spans([text], net)[0])
+        assert len(got & wants) >= 0.9 * len(got | wants)  # windows that were not run may leave a place to a neighbour
+    # An address that goes on into windows without a digit or an at sign is found alike wherever it lies.
+    found = Counter()
+    for shift in range(0, 70, 2):
+        text = "a " * shift + "write to jonathan.12 @ longhost.com now " + "a " * 30
+        found[tuple((x - 2 * shift, y - 2 * shift) for _, x, y in pii_lstm.model_spans([text], net)[0])] += 1
+    best, n = found.most_common(1)[0]
+    assert n >= 33 and best and best[0][0] <= 10 and best[0][1] >= 28
+    assert (pii_lstm.reconciled({0: np.full(64, 1), 32: np.full(64, 2), 128: np.full(64, 3)}, 200) == np.repeat([1, 2, 0, 3, 0], [48, 48, 32, 64, 8])).all()
 
 
 # 10: SentencePiece
@@ -641,7 +680,7 @@ def test_sentencepiece(spark, edge, edge_rows, none):
         assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids)
         assert (n, i, d) == (" ".join(map(str, ids)), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
     for s in ("▁international", "▁" + "ab" * 60, "▁" * 50):
-        assert own.segment(s) == own.merged(s) == own._merged_ids(s) if hasattr(own, "_merged_ids") else own.segment(s) == own.merged(s)
+        assert own.segment(s) == own.merged(s)
     got = bpe_backtrack.round_trip(edge, path).collect()
     assert len(got) == len(edge_rows) and all(x.n_tokens == len(lib.encode(x.text or "", add_eos=True)) for x in got)
     assert bpe_backtrack.round_trip(none, path).count() == 0

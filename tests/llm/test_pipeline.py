@@ -1,9 +1,11 @@
 """The stages in a row, and each on unusual tables."""
 
 import pytest
+import sentencepiece
 
 import corpus_pipeline
 from gramtrail.llm import winnow
+from gramtrail.llm.queries import tokenizer_path
 
 from ..conftest import DATA
 from .test_operators import brute_components
@@ -22,7 +24,11 @@ def test_run(spark):
     assert sorted(r.doc_id for r in two.collect()) == sorted({c for _, c in groups.values()})
     assert three.count() == two.count() - winnow.decontaminate(two, spark.read.parquet(f"{DATA}/benchmark.parquet")).where("contaminated").count()
     assert four.count() == three.count() == five.count()
-    assert four.where("text LIKE '%password=%'").count() == 0 or four.where("text rlike 'password=[A-Za-z0-9]{12}'").count() == 0
+    texts = {(r.doc_id, r.text) for r in four.collect()}
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    assert sorted((r.doc_id, *r.ids) for r in five.collect()) == sorted((i, *lib.encode(t or "", add_eos=True)) for i, t in texts)
+    had = three.where("text rlike '(password|secret|token)=[A-Za-z0-9]{12}|AKIA[A-Z0-9]{14}'").count()
+    assert had and four.where("text rlike '(password|secret|token)=[A-Za-z0-9]{12}|AKIA[A-Z0-9]{14}'").count() == 0
     assert corpus_pipeline.run(spark, str(DATA)).count() == five.count()
 
 
