@@ -47,3 +47,15 @@ def compared(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
     a, b = one.select(key).distinct().withColumn("a", F.lit(1)), two.select(key).distinct().withColumn("b", F.lit(1))
     side = F.when(F.col("a").isNull(), "second").when(F.col("b").isNull(), "first").otherwise("both")
     return a.join(b, key, "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+
+
+def totals(refinements: DataFrame) -> DataFrame:
+    """One row of refined(): whole and injected tokens of all chunks, and the share that is saved."""
+    out = refinements.agg(F.coalesce(F.sum("whole_tokens"), F.lit(0)).alias("whole_tokens"), F.coalesce(F.sum("injected_tokens"), F.lit(0)).alias("injected_tokens"))
+    return out.withColumn("saved", F.when(F.col("whole_tokens") > 0, 1 - F.col("injected_tokens") / F.col("whole_tokens")).otherwise(F.lit(0.0)))
+
+
+def by_folder(corpus: Corpus) -> DataFrame:
+    """folder (the first part of the path; empty for files without one), n_files and n_tokens."""
+    top = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(F.lit(""))
+    return corpus.files.groupBy(top.alias("folder")).agg(F.count("*").alias("n_files"), F.sum("token_count").alias("n_tokens"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import questions
 from . import bm25, phrase
-from .corpus import Corpus, bounded
+from .corpus import Corpus
 from .results import enriched
 
 
@@ -18,13 +18,13 @@ def candidates(corpus: Corpus, question: str, k: int) -> DataFrame:
 
 
 def documented(corpus: Corpus, question: str, k: int = 10) -> DataFrame:
-    """doc_id, position, phrase and confidence of the question's phrases inside the best files."""
+    """doc_id, position, line_no, phrase and confidence of the question's phrases inside the best files."""
     best = candidates(corpus, question, k)
     phrases = questions.parse(question)
     inside = Corpus(corpus.files, corpus.tokens.join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi"), corpus.kind)  # k rows
-    hits = phrase.match(inside, phrase.terms_of(corpus, phrases), within_file=True, few=True).join(best, "doc_id")
+    hits = phrase.match(inside, phrase.terms_of(corpus, phrases), within_file=True, few=True).join(F.broadcast(best), "doc_id")  # k rows
     name = F.get(F.array(*[F.lit(" ".join(p)) for p in phrases]), F.col("phrase_id"))
-    return hits.select("doc_id", "position", name.alias("phrase"), (0.7 + F.least(0.3 * F.col("score"), F.lit(0.3))).alias("confidence"), "score", "rank")
+    return hits.select("doc_id", "position", name.alias("phrase"), (0.7 + F.least(0.3 * F.col("score"), F.lit(0.3))).alias("confidence"), "score", "rank", "line_no")
 
 
 def literal(corpus: Corpus, question: str, k: int = 2) -> DataFrame:
@@ -38,27 +38,28 @@ def literal(corpus: Corpus, question: str, k: int = 2) -> DataFrame:
     grams = words.where(F.size("w") >= n).select("doc_id", "score", "rank", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.slice("w", i + 1, n))).alias("g"))
     grams = grams.groupBy("doc_id", "score", "rank", "g").agg(F.count("*").alias("times"))
     terms = grams.select("g").distinct().select(F.array_join("g", " ").alias("phrase_id"), F.lit(n).alias("k"), F.posexplode("g").alias("off", "token"))
-    hits = grams.withColumn("phrase", F.array_join("g", " ")).join(phrase.match(corpus, terms).select(F.col("phrase_id").alias("phrase"), "position"), "phrase")
-    rows = hits.select("doc_id", "position", "phrase", (0.7 + F.least(0.3 * F.col("score"), F.lit(0.3))).alias("confidence"), "score", "rank", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__i"))
+    hits = grams.withColumn("phrase", F.array_join("g", " ")).join(phrase.match(corpus, terms).select(F.col("phrase_id").alias("phrase"), "position", "line_no"), "phrase")
+    rows = hits.select("doc_id", "position", "line_no", "phrase", (0.7 + F.least(0.3 * F.col("score"), F.lit(0.3))).alias("confidence"), "score", "rank", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__i"))
     return rows.drop("__i")
 
 
 def search(corpus: Corpus, question: str, k: int = 10, mode: str = "documented") -> DataFrame:
     """Either of the two; a question without words gives nothing. Where no file holds a word use search.search()."""
     if not questions.hybrid_words(question):
-        return documented(corpus, "x", 0)
-    found = literal(corpus, question, k) if mode == "literal" else documented(corpus, question, k)
-    return found.orderBy(F.desc("confidence"), "rank", "position")
+        return documented(corpus, "x", 0).drop("line_no")
+    return _found(corpus, question, k, mode).drop("line_no").orderBy(F.desc("confidence"), "rank", "position")
+
+
+def _found(corpus: Corpus, question: str, k: int, mode: str) -> DataFrame:
+    return literal(corpus, question, k) if mode == "literal" else documented(corpus, question, k)
 
 
 def results(corpus: Corpus, question: str, k: int = 10, mode: str = "documented") -> DataFrame:
-    """Result rows of search(), with the file's rank and score in the context."""
-    hits = search(corpus, question, k, mode)
-    lines = corpus.tokens.select(F.col("pos").alias("position"), "line_no").join(bounded(hits.select("position").distinct()), "position")
+    """Result rows of search(), with the file's number and score in the context."""
+    rows = _found(corpus, question if questions.hybrid_words(question) else "x", k, mode).withColumnRenamed("confidence", "__c")
     context = F.format_string("[DOC %d] [POS %d] BM25=%.2f | '%s'", "doc_id", "position", "score", "phrase")
-    rows = hits.withColumnRenamed("confidence", "__c").join(lines, "position")
-    shown = enriched(corpus, rows, F.lit(0.0), context, [F.element_at(F.split("phrase", " "), 1)], ("__c",))
-    return shown.withColumn("confidence", F.col("__c")).drop("__c").orderBy(F.desc("confidence"), "position")
+    shown = enriched(corpus, rows, F.lit(0.0), context, [F.element_at(F.split("phrase", " "), 1)], ("__c", "rank"))
+    return shown.withColumn("confidence", F.col("__c")).orderBy(F.desc("confidence"), "rank", "position").drop("__c", "rank")
 
 
 def or_search(corpus: Corpus, question: str, k: int = 10) -> DataFrame:

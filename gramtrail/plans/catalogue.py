@@ -558,6 +558,19 @@ def chunk_refine(spark, d):
     return evaluate.refined(corpus(spark, d), ["edwh", "stsh", "ntth"], ["edwh"])
 
 
+@query(
+    f"{_CHUNKS}, hits AS (SELECT pos AS position, pos // 1024 AS chunk_id FROM tok WHERE token = 'edwh'), w AS (SELECT DISTINCT h.chunk_id, tok.pos FROM hits AS h JOIN rt USING (chunk_id) JOIN tok ON tok.pos BETWEEN position - 10 AND position + 10 AND tok.pos // 1024 = h.chunk_id), "
+    "k AS (SELECT chunk_id, count(*) AS kept FROM w GROUP BY 1), z AS (SELECT cast(sum(n) AS bigint) AS w, cast(sum(coalesce(kept, n)) AS bigint) AS i FROM rt LEFT JOIN k USING (chunk_id)) SELECT w AS whole_tokens, i AS injected_tokens, round(1 - i / w, 6) AS saved FROM z"
+)
+def chunk_totals(spark, d):
+    return evaluate.totals(chunk_refine(spark, d)).withColumn("saved", F.round("saved", 6))
+
+
+@query(f"{S.TOK} SELECT '' AS folder, count(*) AS n_files, cast(sum(token_count) AS bigint) AS n_tokens FROM n")
+def folder_totals(spark, d):
+    return evaluate.by_folder(corpus(spark, d))
+
+
 def _heads(spark, d, n):
     words = table(spark, d, "benchmark").select("item_id", F.slice(X.tokenize(F.col("text")), 1, n).alias("w")).where(F.size("w") == n)
     terms = words.select(F.col("item_id").alias("phrase_id"), F.lit(n).alias("k"), F.posexplode("w").alias("off", "token"))

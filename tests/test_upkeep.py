@@ -6,7 +6,7 @@ import pytest
 
 from gramtrail import Corpus
 from gramtrail.functions.registry import register
-from gramtrail.operators import context, incremental, phrase
+from gramtrail.operators import context, evaluate, incremental, phrase
 from gramtrail.sources import files as source
 from gramtrail.sources import store
 from gramtrail.streaming import hot_cold
@@ -72,6 +72,13 @@ def test_next_tokens(spark):
     assert {(r.pos, r.next) for r in bare.paired.collect()} == {(0, "t1"), (1, None), (3, None), (65_535, "t65536"), (65_536, None)}
 
 
+def test_folders_and_totals(spark):
+    c = files(spark, [("a/x", "one two"), ("a/b/y", "three"), ("z", "four five six")])
+    assert {tuple(r) for r in evaluate.by_folder(c).collect()} == {("a", 2, 3), ("", 1, 3)}
+    rows = spark.createDataFrame([(0, 100, 20), (1, 100, 30)], "chunk_id long, whole_tokens long, injected_tokens long")
+    assert tuple(evaluate.totals(rows).first()) == (200, 50, 0.75) and tuple(evaluate.totals(rows.limit(0)).first()) == (0, 0, 0.0)
+
+
 def test_unreadable_store(spark, tmp_path):
     (tmp_path / "x/manifest").mkdir(parents=True)
     (tmp_path / "x/manifest/part-0.txt").write_text("no")
