@@ -28,7 +28,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(16 << 20)).parquet(path)  # what a writer holds until it writes
     return spark.read.schema(df.schema).parquet(path)
 
 
