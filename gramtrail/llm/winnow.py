@@ -8,7 +8,8 @@ runs that hold a whole window count.
 
 Cases: a null or wordless text has no words, no hits and the digest of no items; a null
 or wordless item, or one without an id, is no item; items with one id count once; repeated
-documents give a row each; other columns are left out.
+documents give a row each; texts of any length are read whole; all other columns are kept unless keep
+names those to keep, whatever their names, but give way to those of the result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import ALNUM, Words, grams, map_docs, utf8_parts
+from .textops import ALNUM, Words, free_name, grams, map_docs, utf8_parts
 
 SPAN, K = 10, 5
 #: Text of the items that one index holds; more items are taken in several passes over the documents.
@@ -120,14 +121,14 @@ def _digest(ids: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, span: int = SPAN, k: int = K, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, span: int = SPAN, k: int = K, index_bytes: int | None = None) -> DataFrame:
     """Kept columns with n_words, n_hit, n_items, items_sha256 and contaminated of each document.
 
     The index of a block of items has a bounded size and is broadcast; where the items need
     several blocks, the documents are scanned once for each and the findings are merged by row.
     """
     sc, keep = docs.sparkSession.sparkContext, list(docs.columns if keep is None else keep)
-    blocks = _blocks(items, item_id, item_text, index_bytes)
+    blocks = _blocks(items, item_id, item_text, index_bytes or INDEX_BYTES)
     first, second = next(blocks, ([], [])), next(blocks, None)
     if second is None:
         shared = sc.broadcast(Index(*first, span=span, k=k))
@@ -148,7 +149,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
         return map_docs(docs, text, keep, FIELDS, make)
 
     # More items than one index holds: a pass for each block, then hit words and items merged for each row.
-    row = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("__key", F.sha2(F.to_json(F.struct(F.col("__row")), {"ignoreNullFields": "false"}), 256))
+    key = free_name("__key", docs.columns)
+    row = docs.withColumn(key, F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}), 256))
     found = None
     for ids, texts in [first, second, *blocks]:
         shared = sc.broadcast(Index(ids, texts, span=span, k=k))
@@ -164,9 +166,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
 
             return each
 
-        part = map_docs(row, text, ["__key"], PARTS, make).dropDuplicates(["__key"])
+        part = map_docs(row, text, [key], PARTS, make).dropDuplicates([key])
         found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("__key").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
+    merged = found.groupBy(F.col(key).alias("__key")).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
     merged = merged.select("__key", "n_words", F.size("h").cast("long").alias("n_hit"), F.size("i").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "i").cast("binary"), 256).alias("items_sha256"), (F.size("h") > 0).alias("contaminated"))
     own = [c for c in keep if c not in FIELDS.fieldNames()]
-    return row.select("__key", *[F.col(f"`{c}`") for c in own]).join(merged, "__key").select(*[F.col(f"`{c}`") for c in own], *FIELDS.fieldNames())
+    merged = merged.withColumnRenamed("__key", key)
+    return row.select(key, *[F.col(f"`{c}`") for c in own]).join(merged, key).select(*[F.col(f"`{c}`") for c in own], *FIELDS.fieldNames())

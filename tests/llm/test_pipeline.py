@@ -2,6 +2,7 @@
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gramtrail.llm import secret_crf, winnow
@@ -42,3 +43,15 @@ def test_edges(spark, edge, none, k):
     if k < 4:
         assert got.columns == plain.columns
     assert stage(spark, none, str(DATA)).count() == 0
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    """Many benchmark items only mean more passes, and columns of any name stay as they are."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("__row", F.lit("r")).withColumn("__key", F.lit("u"))
+    one = corpus_pipeline.decontamination(spark, docs, str(DATA))
+    monkeypatch.setattr(winnow, "INDEX_BYTES", 2000)
+    many = corpus_pipeline.decontamination(spark, docs, str(DATA))
+    assert many.columns == one.columns == docs.columns
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, one.collect())) and 0 < one.count() < docs.count()
+    direct = winnow.decontaminate(docs, spark.read.parquet(f"{DATA}/benchmark.parquet"))
+    assert {(r["__row"], r["__key"]) for r in direct.collect()} == {("r", "u")}
