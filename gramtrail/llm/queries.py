@@ -90,7 +90,28 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_lstm.scan(docs, pii_lstm.train(docs), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_secrets, op3_toxicity, op4_topk, op5_decontaminate, op6_shards, op7_lm_scores, op8_span_dedup, op9_pii, op10_sentencepiece)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import conversation_trie
+
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"), rebuild=True).drop("n_ends")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import runs
+
+    return runs.find(table(spark, sf_dir, "documents"), keep=["doc_id"], seed=F.crc32(F.col("doc_id").cast("string").cast("binary")), digests=True)
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_gam as gam
+
+    docs = table(spark, sf_dir, "documents")
+    model = gam.train(docs, table(spark, sf_dir, "labels"), only=crc_mod("doc_id", 4) != 2)
+    scored = gam.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_secrets, op3_toxicity, op4_topk, op5_decontaminate, op6_shards, op7_lm_scores, op8_span_dedup, op9_pii, op10_sentencepiece, op11_conversation_trie, op12_periodic_runs, op13_quality)}
 
 
 def queries() -> dict:

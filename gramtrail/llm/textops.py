@@ -68,12 +68,12 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 class Words:
-    """Words of a chunk: hash h, document d, and byte range start, end of each word; first[i] is the first word of document i."""
+    """Words of a chunk: hash h, document d, and byte range start, end of each word; first[i] is the first word of document i. fold takes A-Z as a-z."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: bool = True):
         n = len(data)
         self.n_docs = len(offsets) - 1
-        low = LOWER[data]
+        low = LOWER[data] if fold else data
         m = is_word[low]
         before = np.empty(n, bool)
         after = np.empty(n, bool)
