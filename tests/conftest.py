@@ -41,10 +41,12 @@ def duck():
 
 def agree(df, con, sql):
     """Whether a Spark result and SQL give the same columns and rows, in any order."""
-    own, other = df.toPandas(), con.execute(sql).df()
-    assert sorted(own.columns) == sorted(other.columns)
-    rows = lambda x: sorted(repr(tuple(r)) for r in x[sorted(x.columns)].astype(object).itertuples(index=False, name=None))
-    assert rows(own) == rows(other)
+    asked = con.execute(sql)
+    names = [c[0] for c in asked.description]
+    assert sorted(df.columns) == sorted(names)
+    other = asked.fetchall()
+    rows = lambda found, cols: sorted(repr([r[i] for i in sorted(range(len(cols)), key=cols.__getitem__)]) for r in found)
+    assert rows(df.collect(), df.columns) == rows(other, names)
 
 
 def positions(df, column="position"):
