@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import fuzzy, hybrid, phrase
 from .corpus import Corpus, prefix_sums
-from .results import windows
+from .results import weighed, windows
 
 
 @dataclass(frozen=True)
@@ -71,8 +71,10 @@ def prompt_tokens(corpus: Corpus, question: str, kept: DataFrame) -> DataFrame:
 
 def prompt_hits(corpus: Corpus, question: str, phrases: list[list[str]], config: PromptConfig = PromptConfig()) -> DataFrame:
     """Hits of the phrases, and of the whole question as one mistyped token, of enough confidence."""
-    parts = [phrase.search(corpus, p) for p in phrases if p] + [fuzzy.search(corpus, question, 2).drop("token", "dist")]
-    return reduce(DataFrame.unionByName, parts).where(F.col("confidence") >= config.min_confidence)
+    exact = [phrase.positions(corpus, p).withColumn("dist", F.lit(0)) for p in phrases if p]
+    near = fuzzy.hits(corpus, question, 2).drop("token")
+    found = weighed(corpus, reduce(DataFrame.unionByName, [*exact, near]), 1.0 - F.col("dist") / 3.0)
+    return found.where(F.col("confidence") >= config.min_confidence).select("position", "confidence")
 
 
 def build_prompt(corpus: Corpus, question: str, phrases: list[list[str]], config: PromptConfig = PromptConfig()) -> DataFrame:
@@ -127,7 +129,7 @@ def template_text(phrases: list[list[str]]) -> str:
 def chat_messages(corpus: Corpus, question: str, phrases: list[list[str]], max_tokens: int = 4096) -> DataFrame:
     """Two rows (ord, role, content): the retrieved context as system message, and the question."""
     found = [hybrid.documented(corpus, question, 5).select("position", "confidence")] if hybrid.candidates(corpus, question, 1).take(1) else []
-    found += [phrase.search(corpus, p).select("position", "confidence") for p in phrases if p]
+    found += [weighed(corpus, phrase.positions(corpus, p), F.lit(1.0)).select("position", "confidence") for p in phrases if p]
     hits = reduce(DataFrame.unionByName, found) if found else corpus.tokens.limit(0).select(F.col("pos").alias("position"), F.lit(0.0).alias("confidence"))
     best = budgeted(hits.where("confidence >= 0.5"), max_tokens)
     lines = snippets(corpus, best).select("rank", "confidence", F.format_string("  [POS %d] %s", "position", "snippet").alias("line"))

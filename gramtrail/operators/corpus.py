@@ -15,21 +15,66 @@ from ..functions import text as X
 #: Documents of one run of the prefix sum; the second level has a row for each run.
 RUN = 1 << 16
 #: Rows of hits or query terms that may be broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
-def prefix_sums(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
-    """The sum of value over all rows of smaller order, in two levels: within runs of ids, then over runs."""
+def prefix_sums(rows: DataFrame, order: str, value: str, out: str, unique: bool = False) -> DataFrame:
+    """The sum of value over all rows of smaller order, in two levels: within runs of ids, then over runs. unique: an order given twice is an error."""
     run = rows.withColumn("__run", F.floor(F.col(order) / RUN))
-    before = F.sum(value).over(Window.partitionBy("__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    inside = Window.partitionBy("__run").orderBy(order)
+    before = F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if unique:
+        twice = F.raise_error(F.concat(F.lit(f"{order} given twice: "), F.col(order).cast("string"))).cast("long")
+        before = F.when(F.lag(order).over(inside) == F.col(order), twice).otherwise(before)
     totals = run.groupBy("__run").agg(F.sum(value).alias("__n"))  # a row for each 65,536 documents
     starts = totals.select("__run", F.coalesce(F.sum("__n").over(Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    return run.withColumn("__in", F.coalesce(before, F.lit(0))).join(starts, "__run").withColumn(out, (F.col("__start") + F.col("__in")).cast("long")).drop("__run", "__in", "__start")
+    return run.withColumn("__in", before).join(starts, "__run").withColumn(out, (F.col("__start") + F.col("__in")).cast("long")).drop("__run", "__in", "__start")
+
+
+def settled(rows: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """The rows, and whether they are few: few rows are made once, and every join to them is a broadcast; others stay a plan for Spark to join."""
+    few = rows.limit(most + 1).toArrow()
+    if few.num_rows > most:
+        return rows, False
+    return F.broadcast(rows.sparkSession.createDataFrame(few, rows.schema)), True
 
 
 def bounded(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows, marked for broadcast where a count finds at most so many; else Spark joins them as it decides."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+    """The rows, for a broadcast where they are few."""
+    return settled(rows, most)[0]
+
+
+def in_order(rows: DataFrame, few: bool, *keys) -> DataFrame:
+    """The rows in a global order; few ones need no sampled ranges."""
+    return rows.coalesce(1).sortWithinPartitions(*keys) if few else rows.orderBy(*keys)
+
+
+def local_tokens(base: DataFrame, kind: str, *keep: str) -> DataFrame:
+    """token, doc_id, local_pos, line_no and next (null for the last) of base(doc_id, content), in one narrow pass."""
+    rows = base.select("doc_id", *keep, X.tokens_with_lines(F.col("content"), kind).alias("w"))
+    follow = F.slice(F.col("w.token"), F.lit(2), F.size("w"))
+    each = rows.select("doc_id", *keep, F.posexplode(F.arrays_zip(F.col("w.token").alias("token"), F.col("w.line_no").alias("line_no"), follow.alias("next"))).alias("local_pos", "t"))
+    return each.select(F.col("t.token").alias("token"), "doc_id", "local_pos", F.col("t.line_no").alias("line_no"), F.col("t.next").alias("next"), *keep)
+
+
+def counted(base: DataFrame, kind: str, *keep: str) -> DataFrame:
+    """doc_id, token_count and the first token of base(doc_id, content)."""
+    return base.select("doc_id", *keep, X.tokenize(F.col("content"), kind).alias("w")).select("doc_id", *keep, F.size("w").cast("long").alias("token_count"), F.get("w", 0).alias("first"))
+
+
+def ranges_of(counts: DataFrame) -> DataFrame:
+    """counts(doc_id, token_count, first, ...) with token_start, token_end and after, the first token of the next file that has any."""
+    ranges = prefix_sums(counts, "doc_id", "token_count", "token_start", unique=True).withColumn("token_end", F.col("token_start") + F.col("token_count"))
+    # The file after one begins where it ends; files without tokens are passed over.
+    after = ranges.where("token_count > 0").select(F.col("token_start").alias("token_end"), F.col("first").alias("after"))
+    return ranges.join(after, "token_end", "left")
+
+
+def placed(local: DataFrame, ranges: DataFrame, on: list[str]) -> DataFrame:
+    """Token rows with positions: local ones joined to the start of their file; the last token of a file is followed by the first of the next."""
+    both = local.join(ranges.select(*on, "token_start", "token_count", "after"), on)
+    follow = F.when(F.col("local_pos") + 1 == F.col("token_count"), F.col("after")).otherwise(F.col("next"))
+    return both.select("token", (F.col("token_start") + F.col("local_pos")).alias("pos"), "doc_id", "local_pos", "line_no", follow.alias("next"))
 
 
 def with_next(tokens: DataFrame) -> DataFrame:
@@ -42,7 +87,7 @@ def with_next(tokens: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Corpus:
-    """files(doc_id, path, content, token_start, token_end, token_count) and tokens(token, pos, doc_id, local_pos, line_no, and next, the token at pos + 1, where it is known)."""
+    """files(doc_id, path, content, token_start, token_end, token_count, first) and tokens(token, pos, doc_id, local_pos, line_no, and next, the token at pos + 1, where it is known)."""
 
     files: DataFrame
     tokens: DataFrame
@@ -51,20 +96,12 @@ class Corpus:
 
     @classmethod
     def from_files(cls, df: DataFrame, doc_id: str = "doc_id", content: str = "text", path: str | None = None, kind: str = "core") -> "Corpus":
-        """Files in the order of doc_id, a number; positions run through all of them."""
+        """Files in the order of doc_id, a number; positions run through all of them. Files without an id take no part; an id given twice is an error when positions are made."""
         p = F.col(path) if path else F.col(doc_id).cast("string")
-        base = df.select(F.col(doc_id).cast("long").alias("doc_id"), p.alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content"))
-        counts = base.select("doc_id", X.tokenize(F.col("content"), kind).alias("w")).select("doc_id", F.size("w").cast("long").alias("token_count"), F.get("w", 0).alias("first"))
-        ranges = prefix_sums(counts, "doc_id", "token_count", "token_start").withColumn("token_end", F.col("token_start") + F.col("token_count"))
-        # The file after one begins where it ends; files without tokens are passed over.
-        after = ranges.where("token_count > 0").select(F.col("token_start").alias("token_end"), F.col("first").alias("after"))
-        both = base.join(ranges.join(after, "token_end", "left"), "doc_id")
-        files = both.select("doc_id", "path", "content", "token_start", "token_end", "token_count")
-        rows = both.select("doc_id", "token_start", "after", X.tokens_with_lines(F.col("content"), kind).alias("w"))
-        follow = F.concat(F.slice(F.col("w.token"), F.lit(2), F.size("w")), F.array("after"))
-        each = rows.select("doc_id", "token_start", F.posexplode(F.arrays_zip(F.col("w.token").alias("token"), F.col("w.line_no").alias("line_no"), follow.alias("next"))).alias("local_pos", "t")).where("t.token is not null")
-        tokens = each.select(F.col("t.token").alias("token"), (F.col("token_start") + F.col("local_pos")).alias("pos"), "doc_id", "local_pos", F.col("t.line_no").alias("line_no"), F.col("t.next").alias("next"))
-        return cls(files, tokens, kind)
+        base = df.select(F.col(doc_id).cast("long").alias("doc_id"), p.alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content")).where("doc_id is not null")
+        ranges = ranges_of(counted(base, kind))
+        files = base.join(ranges, "doc_id").select(*FILES.fieldNames())
+        return cls(files, placed(local_tokens(base, kind), ranges, ["doc_id"]), kind)
 
     @classmethod
     def from_tokens(cls, df: DataFrame, token: str = "token", pos: str = "pos") -> "Corpus":
@@ -97,6 +134,11 @@ class Corpus:
         first = self.tokens.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "line_no")).alias("f"))
         return self._keep(first.select("token", "f.pos", "f.doc_id", "f.line_no"))
 
+    @property
+    def sequence(self) -> DataFrame:
+        """pos and token, for lookups by position."""
+        return self.tokens.select("pos", "token")
+
     @property
     def paired(self) -> DataFrame:
         """The tokens with the token after each; null at the end of the stream."""
@@ -141,10 +183,11 @@ class Corpus:
         """Files whose token range meets [start, end)."""
         return self.files.where((F.col("token_start") < end) & (F.col("token_end") > start)).select("doc_id", "path", "token_start", "token_end")
 
-    def near(self, hits: DataFrame, before: int, after: int, key: str = "position") -> DataFrame:
-        """Tokens at [position - before, position + after) of each hit: position, pos and token."""
+    def near(self, hits: DataFrame, before: int, after: int, key: str = "position", few: bool = False) -> DataFrame:
+        """Tokens at [position - before, position + after) of each hit: position, pos and token. A layout by position, where there is one, is asked for the runs of the windows alone."""
         around = hits.select(key).distinct().select(key, F.explode(F.sequence(F.greatest(F.col(key) - before, F.lit(0)), F.col(key) + after - 1)).alias("pos"))
-        return bounded(around).join(self.tokens.select("pos", "token"), "pos")
+        around = F.broadcast(around) if few else bounded(around)
+        return around.join(self.sequence, "pos")
 
     # The search operators are functions of their own; these are short ways to them.
     def phrase(self, words: list[str], **options) -> DataFrame:
@@ -199,5 +242,5 @@ class Corpus:
         return load(spark, path)
 
 
-FILES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("content", T.StringType()), T.StructField("token_start", T.LongType()), T.StructField("token_end", T.LongType()), T.StructField("token_count", T.LongType())])
+FILES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("content", T.StringType()), T.StructField("token_start", T.LongType()), T.StructField("token_end", T.LongType()), T.StructField("token_count", T.LongType()), T.StructField("first", T.StringType())])
 TOKEN_ROWS = T.StructType([T.StructField("token", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("local_pos", T.IntegerType()), T.StructField("line_no", T.IntegerType())])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .corpus import Corpus, bounded
+from .corpus import Corpus, bounded, in_order, settled
 from .results import enriched
 
 
@@ -25,13 +25,18 @@ def candidates(corpus: Corpus, word: str, distance: int, prefilter: bool = True)
     return lex.select("token", F.levenshtein("token", F.lit(word)).alias("dist"))
 
 
+def hits(corpus: Corpus, word: str, distance: int = 1, prefilter: bool = True) -> DataFrame:
+    """position, doc_id, line_no, token and dist of every position of every neighbour."""
+    close = candidates(corpus, word, distance, prefilter)
+    return corpus.tokens.join(bounded(close), "token").select(F.col("pos").alias("position"), "doc_id", "line_no", "token", "dist")
+
+
 def search(corpus: Corpus, word: str, distance: int = 1, prefilter: bool = True) -> DataFrame:
     """Result rows of every position of every neighbour, with token and dist, the most confident first."""
-    close = candidates(corpus, word, distance, prefilter)
-    hits = corpus.tokens.join(bounded(close), "token").select(F.col("pos").alias("position"), "doc_id", "line_no", "token", "dist")
+    found, few = settled(hits(corpus, word, distance, prefilter))
     context = F.format_string("[POS %d] fuzzy: '%s' (dist=%d) -> '%s'", "position", "token", "dist", F.lit(word))
     base = F.lit(1.0) - F.col("dist") / (distance + 1.0)
-    return enriched(corpus, hits, base, context, [F.col("token"), F.lit(word)], ("token", "dist")).orderBy(F.desc("confidence"), "position")
+    return in_order(enriched(corpus, found, base, context, [F.col("token"), F.lit(word)], ("token", "dist"), few), few, F.desc("confidence"), "position")
 
 
 def bulk(corpus: Corpus, queries: DataFrame, distance: int = 1) -> DataFrame:

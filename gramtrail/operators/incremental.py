@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import Corpus
+from .corpus import FILES, Corpus, counted, local_tokens, placed, ranges_of
 
 
 def changes(corpus: Corpus, incoming: DataFrame, doc_id: str = "doc_id", content: str = "text") -> DataFrame:
@@ -17,18 +17,17 @@ def changes(corpus: Corpus, incoming: DataFrame, doc_id: str = "doc_id", content
 
 
 def update(corpus: Corpus, incoming: DataFrame, doc_id: str = "doc_id", content: str = "text", path: str | None = None) -> Corpus:
-    """A corpus with changed files replaced and new ones added; only their tokens are made anew, and positions after them shift."""
-    from ..functions import text as X
-    from .corpus import prefix_sums
+    """A corpus with changed files replaced and new ones added; only their tokens are made anew.
 
+    Token rows keep their place within the file; where a file starts is a row of the file, so that what comes after a change moves by a join with the files
+    that a search asks about. Pairs of words within a file stay as they are.
+    """
     moved = changes(corpus, incoming, doc_id, content).where("status <> 'same'").select("doc_id")
     p = F.col(path) if path else F.col(doc_id).cast("string")
     fresh = incoming.select(F.col(doc_id).cast("long").alias("doc_id"), p.alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content")).join(moved, "doc_id", "left_semi")
-    fresh = fresh.withColumn("token_count", F.size(X.tokenize(F.col("content"), corpus.kind)).cast("long"))
-    base = corpus.files.select("doc_id", "path", "content", "token_count").join(moved, "doc_id", "left_anti").unionByName(fresh)
-    ranges = prefix_sums(base.select("doc_id", "token_count"), "doc_id", "token_count", "token_start").withColumn("token_end", F.col("token_start") + F.col("token_count"))
-    files = base.drop("token_count").join(ranges, "doc_id").select("doc_id", "path", "content", "token_start", "token_end", "token_count")
-    new = fresh.select("doc_id", F.posexplode(X.tokens_with_lines(F.col("content"), corpus.kind)).alias("local_pos", "t")).select(F.col("t.token").alias("token"), "doc_id", "local_pos", F.col("t.line_no").alias("line_no"))
-    kept = corpus.tokens.join(moved, "doc_id", "left_anti").select("token", "doc_id", "local_pos", "line_no")
-    tokens = kept.unionByName(new).join(ranges.select("doc_id", "token_start"), "doc_id").select("token", (F.col("token_start") + F.col("local_pos")).alias("pos"), "doc_id", "local_pos", "line_no")
-    return Corpus(files, tokens, corpus.kind)
+    base = corpus.files.select("doc_id", "path", "content").join(moved, "doc_id", "left_anti").unionByName(fresh)
+    kept = corpus.files.select("doc_id", "token_count", "first").join(moved, "doc_id", "left_anti")
+    ranges = ranges_of(kept.unionByName(counted(fresh, corpus.kind)))
+    files = base.join(ranges, "doc_id").select(*FILES.fieldNames())
+    old = corpus.paired.select("token", "doc_id", "local_pos", "line_no", "next").join(moved, "doc_id", "left_anti")
+    return Corpus(files, placed(old.unionByName(local_tokens(fresh, corpus.kind)), ranges, ["doc_id"]), corpus.kind)

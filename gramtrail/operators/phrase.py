@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import Corpus, bounded
+from .corpus import Corpus, bounded, in_order, settled
 from .results import enriched, windows
 
 
@@ -47,18 +47,23 @@ def positions(corpus: Corpus, words: list[str], within_file: bool = False) -> Da
         return corpus.tokens.select(F.col("pos").alias("position"), "doc_id", "line_no").limit(0)
     if len(words) == 1:
         return corpus.tokens.where(F.col("token") == words[0]).select(F.col("pos").alias("position"), "doc_id", "line_no")
-    own = Corpus(corpus.files, corpus.tokens.where(F.col("token").isin(words)), corpus.kind)  # a saved corpus skips row groups by this
-    if len(words) == 2 and not within_file:
-        return own.paired.where((F.col("token") == words[0]) & (F.col("next") == words[1])).select(F.col("pos").alias("position"), "doc_id", "line_no")
-    return match(own, terms_of(corpus, [words]), within_file, few=True).drop("phrase_id")
+    pairs = corpus.paired
+    at = lambda k: pairs.where((F.col("token") == words[k]) & (F.col("next") == words[k + 1]))
+    found = at(0).select(F.col("pos").alias("position"), "doc_id", "line_no")
+    for k in sorted({*range(2, len(words) - 1, 2), len(words) - 2} - {0}):  # pairs cover the words
+        found = found.join(at(k).select((F.col("pos") - k).alias("position")), "position", "left_semi")
+    if within_file:
+        found = found.join(corpus.files.select("doc_id", "token_end"), "doc_id").where(F.col("position") + len(words) <= F.col("token_end")).drop("token_end")
+    return found.select("position", "doc_id", "line_no")
 
 
 def search(corpus: Corpus, words: list[str], within_file: bool = False) -> DataFrame:
     """Result rows of a phrase by position; three tokens of context before it."""
     text = " ".join(words)
-    hits = windows(corpus, positions(corpus, words, within_file), 3, max(len(words), 1), "__around")
+    hits, few = settled(positions(corpus, words, within_file))
+    hits = windows(corpus, hits, 3, max(len(words), 1), "__around", few)
     context = F.when(F.col("__around").contains(" "), F.format_string("[POS %d] '%s' (context: ... %s)", F.col("position"), F.lit(text), F.col("__around"))).otherwise(F.format_string("[POS %d] matched: '%s'", F.col("position"), F.lit(text)))
-    return enriched(corpus, hits, F.lit(1.0), context, [F.lit(w) for w in words]).orderBy("position")
+    return in_order(enriched(corpus, hits, F.lit(1.0), context, [F.lit(w) for w in words], few=few), few, "position")
 
 
 def intersected(corpus: Corpus, words: list[str]) -> DataFrame:

@@ -4,30 +4,40 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import questions
 from . import fuzzy, phrase
-from .corpus import Corpus
+from .corpus import Corpus, bounded, in_order, settled
 from .results import COLUMNS, enriched
 
 
-def search(corpus: Corpus, question: str) -> DataFrame:
-    """Result rows ranked by confidence and position."""
-    phrases = questions.parse(question)
-    parts = []
+def _hits(corpus: Corpus, question: str) -> DataFrame | None:
+    """position, doc_id, line_no, __rank, __context, __base (null for exact phrases), __one and __two: what was found where, and what is shown in bold."""
+    phrases, parts = questions.parse(question), []
+    nothing = F.lit(None)
     if phrases:
-        hits = phrase.match(corpus, phrase.terms_of(corpus, phrases), few=True)  # the words of the question
         texts = F.array(*[F.lit(" ".join(p)) for p in phrases])
         name = F.get(texts, F.col("phrase_id"))
-        exact = enriched(corpus, hits.withColumn("__p", name), F.lit(1.0), F.format_string("[POS %d] matched: '%s'", "position", "__p"), [F.element_at(F.split("__p", " "), 1)], ("phrase_id",))
-        parts.append(exact.withColumn("confidence", F.lit(1.0)).withColumn("__rank", F.col("phrase_id")).select(*COLUMNS, "__rank"))
-    for i, w in enumerate(dict.fromkeys(questions.fuzzy_words(question))):
-        near = fuzzy.search(corpus, w.lower(), 1)
-        parts.append(near.withColumn("confidence", F.col("confidence") * 0.5).withColumn("__rank", F.lit(len(phrases) + i)).select(*COLUMNS, "__rank"))
-    if not parts:
+        exact = phrase.match(corpus, phrase.terms_of(corpus, phrases), few=True)  # the words of the question
+        parts.append(exact.select("position", "doc_id", "line_no", F.col("phrase_id").alias("__rank"), F.format_string("[POS %d] matched: '%s'", "position", name).alias("__context"), nothing.cast("double").alias("__base"), F.element_at(F.split(name, " "), 1).alias("__one"), nothing.cast("string").alias("__two")))
+    words = [w.lower() for w in dict.fromkeys(questions.fuzzy_words(question))]
+    if words:
+        close = [fuzzy.candidates(corpus, w, 1).select("token", "dist", F.lit(w).alias("word"), F.lit(len(phrases) + i).alias("__rank")) for i, w in enumerate(words)]
+        near = corpus.tokens.join(bounded(reduce(DataFrame.unionByName, close)), "token").withColumnRenamed("pos", "position")
+        parts.append(near.select("position", "doc_id", "line_no", "__rank", F.format_string("[POS %d] fuzzy: '%s' (dist=%d) -> '%s'", "position", "token", "dist", "word").alias("__context"), (1.0 - F.col("dist") / 2.0).alias("__base"), F.col("token").alias("__one"), F.col("word").alias("__two")))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def search(corpus: Corpus, question: str) -> DataFrame:
+    """Result rows ranked by confidence and position."""
+    every = _hits(corpus, question)
+    if every is None:
         return enriched(corpus, phrase.positions(corpus, []), F.lit(1.0), F.lit(""), [])
-    first = Window.partitionBy("position").orderBy("__rank")  # a position has a result for each phrase at most
-    out = reduce(DataFrame.unionByName, parts).withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*COLUMNS)
-    return out.orderBy(F.desc("confidence"), "position")
+    rest = [c for c in every.columns if c not in ("position", "__rank")]
+    first = every.groupBy("position").agg(F.min_by(F.struct(*rest), "__rank").alias("r")).select("position", "r.*")  # one result a position
+    found, few = settled(first)
+    rows = enriched(corpus, found, F.coalesce("__base", F.lit(1.0)), F.col("__context"), [F.col("__one"), F.col("__two")], ("__base",), few)
+    rows = rows.withColumn("confidence", F.when(F.col("__base").isNull(), 1.0).otherwise(F.col("confidence") * 0.5)).select(*COLUMNS)
+    return in_order(rows, few, F.desc("confidence"), "position")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .scratch import ranked
 
 
 def folder(spark: SparkSession, root: str, pattern: str = "*.rs") -> DataFrame:
@@ -16,7 +17,7 @@ def folder(spark: SparkSession, root: str, pattern: str = "*.rs") -> DataFrame:
     below = F.expr("substring_index(p, r, -1)")
     rows = rows.select(F.url_decode(path).alias("p"), base.alias("r"), F.col("value").alias("text")).select(below.alias("path"), "text")
     rows = rows.where(~F.col("path").rlike(r"(^|/)(\.[^/]+|target)/"))
-    numbers = rows.select("path").withColumn("doc_id", F.row_number().over(Window.orderBy("path")).cast("long") - 1)  # names alone, of the files of one folder
+    numbers = ranked(rows.select("path"), "path", name="doc_id")  # names alone
     return rows.join(numbers, "path").select("doc_id", "path", "text")
 
 
