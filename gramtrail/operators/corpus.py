@@ -152,6 +152,19 @@ class Corpus:
     def _lexicon(self) -> DataFrame:
         return self.tokens.groupBy("token", "doc_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("freq"), F.count("*").alias("n_docs"))
 
+    @cached_property
+    def pairs(self) -> DataFrame | None:
+        """pair and token: the lexicon by pairs of bytes, clustered by them; None where it is not kept."""
+        if not self.kept:
+            return None
+        each = self.lexicon.select(F.explode(F.array_distinct(X.bigrams(F.col("token")))).alias("pair"), "token")
+        return self._keep(each.repartition("pair").sortWithinPartitions("pair"))
+
+    @cached_property
+    def pair_counts(self) -> DataFrame | None:
+        """pair and how many words have it: at most 65,536 rows."""
+        return None if self.pairs is None else self._keep(self.pairs.groupBy("pair").agg(F.count("*").alias("n")))
+
     def postings(self) -> DataFrame:
         """token and its positions by file, so that no array outgrows a file."""
         return self.tokens.groupBy("token", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))

@@ -15,11 +15,38 @@ def _close(token: Column, word: Column, distance: int) -> Column:
     return (F.abs(F.octet_length(token) - F.octet_length(word)) <= distance) & F.levenshtein(token, word, distance).between(1, distance)
 
 
+def asked_pairs(corpus: Corpus, word: str, distance: int) -> list[str]:
+    """The pairs of bytes that a word's neighbours are looked up by: the rarest that cover more places than so many edits can touch, else all.
+
+    An edit touches at most one place more than its character has bytes, so that some place of the rarest pairs is left in every neighbour.
+    """
+    b = word.encode()
+    places = [b[i : i + 2].hex().upper() for i in range(len(b) - 1)]
+    need = distance * (max(len(c.encode()) for c in word) + 1) + 1
+    if len(places) < need:
+        return sorted(set(places))
+    known = {r["pair"]: r["n"] for r in corpus.pair_counts.where(F.col("pair").isin(places)).collect()}  # at most a row for each pair of the word
+    out, covered = [], 0
+    for pair in sorted(set(places), key=lambda p: (known.get(p, 0), p)):
+        out.append(pair)
+        covered += places.count(pair)
+        if covered >= need:
+            break
+    return out
+
+
 def candidates(corpus: Corpus, word: str, distance: int, prefilter: bool = True) -> DataFrame:
-    """token and dist of the lexicon's neighbours of a word; with the prefilter they share a pair of bytes with it."""
+    """token and dist of the lexicon's neighbours of a word; with the prefilter they share a pair of bytes with it.
+
+    Where the lexicon is kept by pairs, only the words that have one of a few rare pairs are read.
+    """
+    b = word.encode()
+    by_pair = prefilter and len(b) >= 2
+    if by_pair and corpus.pairs is not None:
+        lex = corpus.pairs.where(F.col("pair").isin(asked_pairs(corpus, word, distance))).where(_close(F.col("token"), F.lit(word), distance)).select("token").distinct()
+        return lex.select("token", F.levenshtein("token", F.lit(word)).alias("dist"))
     lex = corpus.lexicon.select("token").where(_close(F.col("token"), F.lit(word), distance))  # the cheap test first
-    if prefilter and len(word.encode()) >= 2:
-        b = word.encode()
+    if by_pair:
         pairs = F.array(*[F.lit(b[i : i + 2].hex().upper()) for i in range(len(b) - 1)])
         lex = lex.where(F.arrays_overlap(X.bigrams(F.col("token")), pairs))
     return lex.select("token", F.levenshtein("token", F.lit(word)).alias("dist"))

@@ -108,12 +108,14 @@ def test_folder_and_text(spark, tmp_path):
 @pytest.mark.parametrize("size", [1, 3, 4, 5, 100])
 def test_hot_cold(spark, tmp_path, size):
     s = hot_cold.TokenStream(spark, f"file://{tmp_path}/s", size)
-    assert tuple(s.stats().first()) == (0, 0, 0)
+    assert tuple(s.stats().first()) == (0, 0, 0, 0)
     words = "fn main ( ) { let mut cache".split()
     for n, part in enumerate((words[:3], words[3:7], words[7:])):
         s.append(spark.createDataFrame(list(enumerate(part)), "ord long, token string"), n)
     s.append(spark.createDataFrame(list(enumerate(words[7:])), "ord long, token string"), 2)  # a batch that runs again
-    assert tuple(s.stats().first()) == (8 % size, 8 // size, 8)
+    cold = sum(len(json.dumps(words[i : i + size], separators=(",", ":"))) for i in range(0, 8 // size * size, size))
+    assert tuple(s.stats().first()) == (8 % size, 8 // size, 8, cold)
+    assert [(r.token, r.pos, r.next) for r in s.rows().orderBy("pos").collect()] == list(zip(words, range(8), [*words[1:], None], strict=True))
     for asked, wants in ((["fn", "main"], [0]), (["let", "mut"], [5]), ([")", "{"], [3]), (["not_here", "found"], [])):
         assert positions(hot_cold.TokenStream(spark, f"file://{tmp_path}/s", size).phrase(asked)) == wants
     assert [r.token for r in s.token_at(6).collect()] == ["mut"]
