@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import questions
+from ..sources import scratch, store
 from . import phrase
 from .corpus import Corpus
 from .results import enriched, windows
@@ -37,7 +38,7 @@ def fuzzy_hits(corpus: Corpus, word: str, distance: int = 1) -> DataFrame:
 
 
 def search(corpus: Corpus, question: str, limit: int = LIMIT) -> DataFrame:
-    """position, doc_id, line_no and confidence: every run of the question's words, then their neighbours; the best for each position."""
+    """position, doc_id, line_no and confidence: every run of the question's words, then their neighbours; the best for each position, which has one context."""
     words = questions.agent_words(question)
     runs = [words[j : j + n] for n in range(1, len(words) + 1) for j in range(len(words) - n + 1)]
     if not runs:
@@ -71,23 +72,27 @@ def report(corpus: Corpus, hits: DataFrame, needles: list[str], per_file: int |
 
 
 class Tools:
-    """The eight tools, each giving text; files and texts are added to a corpus that is built when asked."""
+    """The eight tools, each giving text; files and texts become segments of a stored corpus, and adding one reads none of the others."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.rows, self.built = spark, [], None
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path, self.built = spark, path or scratch.folder(spark), None
 
     def index_text(self, text: str) -> str:
         return self.index_file("(text)", text)
 
     def index_file(self, path: str, content: str) -> str:
-        self.rows.append((len(self.rows), path, content))
-        self._drop()
+        self.index_files(self.spark.createDataFrame([(path, content)], "path string, text string"))
         return f"Indexed {len(questions.agent_tokens(content))} tokens from {path}."
 
+    def index_files(self, files: DataFrame) -> None:
+        """Add files(path, text) as one segment."""
+        store.append(self.spark, self.path, files, kind="agent")
+        self._drop()
+
     def _corpus(self) -> Corpus:
         if self.built is None:  # once for all questions until a file comes
-            df = self.spark.createDataFrame(self.rows, "doc_id long, path string, text string")
-            self.built = Corpus.from_files(df, "doc_id", "text", "path", "agent").persisted()
+            self.built = store.load(self.spark, self.path) if store.manifest(self.spark, self.path) else store.empty(self.spark, "agent")
+            self.built = self.built.persisted()
         return self.built
 
     def _drop(self) -> None:
@@ -120,6 +125,6 @@ class Tools:
         return "File not found." if row is None else row["content"]
 
     def clear_index(self) -> str:
-        self.rows = []
+        store.delete(self.spark, self.path)
         self._drop()
         return "Index cleared."

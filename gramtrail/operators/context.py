@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -33,6 +34,7 @@ TASKS = {
 }
 COMPLETION = "Answer the query from the passages between the context marks."
 CHAT = "Below are passages of an indexed corpus, each with the position where it was found. Answer from these passages alone, and say so if they do not hold the answer."
+EVENTS = "query string, seq long, valid boolean"
 #: What a model is asked to do, by kind of task.
 TEMPLATES = {
     "refactoring": "Restructure the code parts that follow as the query asks. What they do must stay the same.",
@@ -134,12 +136,11 @@ def chat_messages(corpus: Corpus, question: str, phrases: list[list[str]], max_t
     best = budgeted(hits.where("confidence >= 0.5"), max_tokens)
     lines = snippets(corpus, best).select("rank", "confidence", F.format_string("  [POS %d] %s", "position", "snippet").alias("line"))
     row = _joined(lines, ["rank"], "body").crossJoin(best.agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean")))  # two single rows
-    text = F.when(F.col("body") == "", F.lit("(No relevant context found)")).otherwise(F.col("body"))
+    text = F.when(F.col("body") == "", F.lit("(nothing was found)")).otherwise(F.col("body"))
     system = F.concat(
-        F.lit(f"{CHAT}\n\n=== RETRIEVED CONTEXT ("),
-        F.round(F.col("mean") * 100).cast("int").cast("string"), F.lit("% confidence) ===\n"), text, F.lit("\n========================="),
+        F.lit(f"{CHAT}\n\n--- Passages, on average "), F.round(F.col("mean") * 100).cast("int").cast("string"), F.lit(" of 100 sure ---\n"), text, F.lit("\n--- End of passages ---"),
     )
-    ask = F.lit(f"Based on the context above, please answer:\n\n{question}")
+    ask = F.lit(f"The question about these passages is:\n\n{question}")
     both = F.array(F.struct(F.lit(1).alias("ord"), F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit(2).alias("ord"), F.lit("user").alias("role"), ask.alias("content")))
     return row.select(F.inline(both))
 
@@ -162,9 +163,22 @@ def feedback(events: DataFrame, last: int = 10) -> DataFrame:
     return recent.groupBy("query").agg(F.avg(F.col("valid").cast("double")).alias("confidence"), F.count("*").alias("n"))
 
 
-def ask(corpus: Corpus, question: str, phrases: list[list[str]], send, max_tokens: int = 4096) -> dict:
-    """Build the messages, let send(request) answer, and check the answer."""
+def ask(corpus: Corpus, question: str, phrases: list[list[str]], send, max_tokens: int = 4096, log: str | None = None) -> dict:
+    """Build the messages, let send(request) answer, check the answer, and note in the folder log how it went.
+
+    With a log, the result also has the question's confidence: the share of valid answers among its last ten.
+    """
     request = request_json(chat_messages(corpus, question, phrases, max_tokens)).first()["request"]
     answer = send(request)
     row = validated(corpus.spark.createDataFrame([(answer,)], "text string")).first()
-    return {"answer": answer, "syntax_valid": row["syntax_valid"], "issues": row["issues"], "confidence_adjustment": row["confidence_adjustment"]}
+    out = {"answer": answer, "syntax_valid": row["syntax_valid"], "issues": row["issues"], "confidence_adjustment": row["confidence_adjustment"]}
+    if log is not None:
+        out["confidence"] = noted(corpus.spark, log, question, row["syntax_valid"])
+    return out
+
+
+def noted(spark: SparkSession, log: str, question: str, valid: bool) -> float:
+    """Append an event to the folder log, and give the question's confidence after it."""
+    spark.createDataFrame([(question, time.time_ns(), valid)], EVENTS).coalesce(1).write.mode("append").parquet(log)
+    events = spark.read.schema(EVENTS).parquet(log).where(F.col("query") == question)
+    return feedback(events).first()["confidence"]

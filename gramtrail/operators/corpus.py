@@ -170,10 +170,14 @@ class Corpus:
         return self.tokens.groupBy("token", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
     def stats(self) -> DataFrame:
-        """One row: total_tokens, unique_tokens, n_files, memory_bytes (lexicon and sequence)."""
+        """One row: total_tokens, unique_tokens, n_files, postings_bytes (bitmaps of positions) and memory_bytes (these, lexicon and sequence)."""
+        from .bitmaps import sizes
+
         lex = self.lexicon.agg(F.coalesce(F.sum("freq"), F.lit(0)).cast("long").alias("total_tokens"), F.count("*").alias("unique_tokens"), F.coalesce(F.sum(F.octet_length("token") + 24), F.lit(0)).cast("long").alias("__b"))
         files = self.files.agg(F.count("*").alias("n_files"))
-        return lex.crossJoin(files).select("total_tokens", "unique_tokens", "n_files", (F.col("__b") + 4 * F.col("total_tokens")).alias("memory_bytes"))  # two single rows
+        maps = sizes(self).agg(F.coalesce(F.sum(F.col("bytes") + 28), F.lit(0)).cast("long").alias("postings_bytes"))  # 28 for the entry of each
+        every = lex.crossJoin(files).crossJoin(maps)  # single rows
+        return every.select("total_tokens", "unique_tokens", "n_files", "postings_bytes", (F.col("__b") + 4 * F.col("total_tokens") + F.col("postings_bytes")).alias("memory_bytes"))
 
     def file_stats(self) -> DataFrame:
         return self.files.select("doc_id", "path", "token_start", "token_end", "token_count")
@@ -197,10 +201,14 @@ class Corpus:
         return self.files.where((F.col("token_start") < end) & (F.col("token_end") > start)).select("doc_id", "path", "token_start", "token_end")
 
     def near(self, hits: DataFrame, before: int, after: int, key: str = "position", few: bool = False) -> DataFrame:
-        """Tokens at [position - before, position + after) of each hit: position, pos and token. A layout by position, where there is one, is asked for the runs of the windows alone."""
+        """Tokens at [position - before, position + after) of each hit: position, pos and token."""
         around = hits.select(key).distinct().select(key, F.explode(F.sequence(F.greatest(F.col(key) - before, F.lit(0)), F.col(key) + after - 1)).alias("pos"))
         around = F.broadcast(around) if few else bounded(around)
-        return around.join(self.sequence, "pos")
+        return around.join(self.sequence_at(around) if few else self.sequence, "pos")
+
+    def sequence_at(self, around: DataFrame) -> DataFrame:
+        """The rows of sequence, of which only those at the positions of around are wanted."""
+        return self.sequence
 
     # The search operators are functions of their own; these are short ways to them.
     def phrase(self, words: list[str], **options) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import phrase
-from .corpus import Corpus
+from ..functions import text as X
+from . import fuzzy, phrase
+from .corpus import Corpus, bounded
+from .results import weighed
 
 CHUNK = 1024
 
@@ -42,6 +46,39 @@ def recall(results: DataFrame, truth: DataFrame) -> DataFrame:
     return every.agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall"), F.avg(F.coalesce("n", F.lit(0)).cast("double")).alias("mean_results"), F.count("*").alias("n_queries"))
 
 
+def answers(corpus: Corpus, asked: DataFrame) -> DataFrame:
+    """query_id, position, doc_id and confidence of a table of questions(query_id, question): each question's search, all in one job.
+
+    Its phrases are found together, each of the same words once, and its words with typos by one join with the lexicon; a position is a result of a question once, the exact one first.
+    """
+    phrases = asked.select("query_id", F.posexplode(X.search_phrases(F.col("question"))).alias("place", "w")).select(F.struct("query_id", "place").alias("phrase_id"), F.size("w").alias("k"), F.posexplode("w").alias("off", "token"))
+    exact = phrase.match(corpus, phrases).select("phrase_id.query_id", "position", "doc_id", F.lit(1.0).alias("confidence"))
+    stop = F.array(*[F.lit(w) for w in X.STOP_WORDS])
+    words = asked.select("query_id", F.explode(F.array_distinct(F.filter(X.tokenize(F.col("question")), lambda w: ~F.array_contains(stop, w) & (F.octet_length(w) > 1)))).alias("w"))
+    words = words.select("query_id", F.lower("w").alias("query")).distinct()
+    close = fuzzy.bulk(corpus, words, 1).join(words, "query").groupBy("query_id", "token").agg(F.min("dist").alias("dist"))
+    near = weighed(corpus, corpus.tokens.join(bounded(close), "token"), 1.0 - F.col("dist") / 2.0).select("query_id", F.col("pos").alias("position"), "doc_id", (F.col("confidence") * 0.5).alias("confidence"))
+    return exact.unionByName(near).groupBy("query_id", "position").agg(F.max("doc_id").alias("doc_id"), F.max("confidence").alias("confidence"))
+
+
+def answered(results: DataFrame, truth: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, n_results, n_exact, n_files and hit (whether a result lies in a file of the truth) for each question."""
+    files = results.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.sum((F.col("confidence") == 1.0).cast("int")).alias("e"))
+    seen = files.join(truth.select("query_id", "doc_id").distinct().withColumn("t", F.lit(1)), ["query_id", "doc_id"], "left")
+    found = seen.groupBy("query_id").agg(F.sum("n").alias("n_results"), F.sum("e").alias("n_exact"), F.count("*").alias("n_files"), F.coalesce(F.max("t"), F.lit(0)).alias("hit"))
+    return asked.select("query_id").join(found, "query_id", "left").na.fill(0)
+
+
+def timed(questions: list, run) -> tuple[list, dict]:
+    """What run(question) gives for each, and the latency: total, mean and greatest seconds."""
+    took, out = [], []
+    for q in questions:
+        began = time.perf_counter()
+        out.append(run(q))
+        took.append(time.perf_counter() - began)
+    return out, {"total_s": sum(took), "mean_s": sum(took) / max(len(took), 1), "max_s": max(took, default=0.0)}
+
+
 def compared(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
     """side (both, first, second) and how many keys."""
     a, b = one.select(key).distinct().withColumn("a", F.lit(1)), two.select(key).distinct().withColumn("b", F.lit(1))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.registry import register
-from ..operators import agent, bm25, context, evaluate, fuzzy, hybrid, incremental, phrase
+from ..operators import agent, bitmaps, bm25, context, evaluate, fuzzy, hybrid, incremental, lines, phrase
 from ..operators.corpus import RUN, Corpus
-from ..sources import store
+from ..sources import scratch, store, stored
 from ..streaming import hot_cold
 from . import sql as S
 
@@ -44,14 +42,6 @@ def corpus(spark: SparkSession, sf_dir: str, kind: str = "core") -> Corpus:
     return _KEPT[key]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; in a local session without that setting, a temporary one."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not given and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{given.rstrip('/') if given else 'file://' + tempfile.mkdtemp(prefix='gramtrail-')}/{uuid.uuid4().hex}"
-
-
 def _round(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence", F.round("confidence", 6))
 
@@ -71,7 +61,13 @@ def index_build(spark, d):
     return t.agg(F.count("*").alias("n_tokens"), F.countDistinct("token").alias("n_unique"), F.max("pos").alias("last_pos"), F.sum("line_no").alias("line_sum"))
 
 
-@query(f"{S.TOK}, lex AS (SELECT token, count(*) AS c FROM tok GROUP BY 1) SELECT cast(sum(c) AS bigint) AS total_tokens, count(*) AS unique_tokens, (SELECT count(*) FROM n) AS n_files, cast(sum(strlen(token) + 24) + 4 * sum(c) AS bigint) AS memory_bytes FROM lex")
+_MAPS = "mp AS (SELECT token, 36 + sum(8 + least(2 * c, 8192)) AS b FROM (SELECT token, pos // 65536 AS k, count(*) AS c FROM tok GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query(
+    f"{S.TOK}, {_MAPS}, lex AS (SELECT token, count(*) AS c FROM tok GROUP BY 1) SELECT cast(sum(c) AS bigint) AS total_tokens, count(*) AS unique_tokens, (SELECT count(*) FROM n) AS n_files, "
+    "cast(sum(b) AS bigint) AS postings_bytes, cast(sum(strlen(token) + 24) + 4 * sum(c) + sum(b) AS bigint) AS memory_bytes FROM lex JOIN mp USING (token)"
+)
 def corpus_stats(spark, d):
     return corpus(spark, d).stats()
 
@@ -97,8 +93,23 @@ def postings(spark, d):
     "SELECT doc_id, cast(line_no AS integer) AS line_no, line_content, cast(coalesce(sum(strlen(line_content) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS integer) AS byte_offset FROM ln"
 )
 def line_lookup(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.arrays_zip(X.lines(F.col("text")).alias("l"), X.line_offsets(F.col("text")).alias("o"))).alias("i", "z"))
-    return rows.select("doc_id", (F.col("i") + 1).alias("line_no"), F.col("z.l").alias("line_content"), F.col("z.o").alias("byte_offset"))
+    rows = lines.line_table(table(spark, d, "documents").where("text is not null"), "text")
+    return rows.select("doc_id", "line_no", F.col("line").alias("line_content"), F.col("byte_start").cast("int").alias("byte_offset"))
+
+
+_SPANS = "sp AS (SELECT doc_id, line_no, cast(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS s, cast(strlen(line) + 1 AS bigint) AS len FROM ln)"
+
+
+@query(
+    f"{S.TOK}, {_SPANS}, es AS (SELECT tok.doc_id, tok.line_no AS own, cast(floor((pos - token_start)::double / token_count * strlen(text)) AS bigint) AS byte FROM tok JOIN fr USING (doc_id) JOIN documents USING (doc_id)) "
+    "SELECT es.doc_id, count(*) AS n_tokens, cast(sum(sp.line_no) AS bigint) AS line_sum, cast(sum((sp.line_no = own)::int) AS bigint) AS n_right FROM es JOIN sp ON sp.doc_id = es.doc_id AND byte >= s AND byte < s + len GROUP BY 1"
+)
+def byte_lines(spark, d):
+    """The line of each token by its estimated place in bytes, and how often that is its own."""
+    c = corpus(spark, d)
+    places = lines.estimated_bytes(c.tokens.select("doc_id", "local_pos", F.col("line_no").alias("own")), c.files)
+    found = lines.at_bytes(lines.line_table(c.files), places)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("line_no").alias("line_sum"), F.sum((F.col("line_no") == F.col("own")).cast("int")).alias("n_right"))
 
 
 @query(f"{S.TOK} SELECT p.position, tok.token, tok.doc_id, cast(tok.line_no AS integer) AS line_no FROM (SELECT unnest([0, 17, 1000, 20000]) AS position) AS p LEFT JOIN tok ON tok.pos = p.position")
@@ -178,6 +189,20 @@ def phrase_bulk_many(spark, d):
     return found.select(F.col("phrase_id.item").alias("phrase_id"), "phrase_id.place", "hits")
 
 
+@query(f"{S.TOK} SELECT token, pos // 32768 AS bucket, count(*) AS n, cast(sum(pos) AS bigint) AS total FROM tok WHERE token IN ('the', 'of', 'de', 'und') GROUP BY 1, 2")
+def posting_bitmaps(spark, d):
+    """Bitmaps of the places of frequent words, read back bit by bit."""
+    c = corpus(spark, d)
+    own = bitmaps.postings(c, c.tokens.where(F.col("token").isin("the", "of", "de", "und")))
+    places = bitmaps.positions_of(own.drop("n"))
+    return places.groupBy("token", F.floor(F.col("position") / 32768).alias("bucket")).agg(F.count("*").alias("n"), F.sum("position").alias("total"))
+
+
+@query(f"{S.TOK}, {S.phrase(['of', 'the'])} SELECT position FROM hits")
+def phrase_bitmaps(spark, d):
+    return bitmaps.phrase(corpus(spark, d), ["of", "the"])
+
+
 @query(f"{S.TOK} SELECT pos AS position FROM tok WHERE token = 'and' INTERSECT SELECT pos - 1 FROM tok WHERE token = 'the'")
 def phrase_intersect(spark, d):
     return phrase.intersected(corpus(spark, d), ["and", "the"])
@@ -251,30 +276,34 @@ def fuzzy_join_bulk(spark, d):
 
 # Questions
 
-QUESTIONS = {
-    "how does the auth middleware chain work": [["auth", "middleware", "chain", "work"], ["auth"], ["middleware"], ["chain"], ["work"]],
-    "std::collections::HashMap usage": [["std", "collections", "hash", "map"], ["usage"], ["std"], ["collections"], ["hash"], ["map"], ["usage"]],
-    "the a is": [],
-    "where is fetch_data": [["fetch", "data"], ["fetch"], ["data"]],
-    "getURL of XMLParser x": [["url", "xml", "parser"], ["url"], ["xml"], ["parser"]],
-}
-IDENTIFIERS = {"fetchData": "fetch data", "HTTPSConnection": "https connection", "my_variable_name": "my variable name", "auth-middleware": "auth middleware", "std::collections::HashMap": "std collections hash map", "Result<T, E>": "result t e", "Simple": "simple"}
-
 
-def _values(rows: list[tuple], names: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(repr(r) for r in rows)}) AS v({names})"
+_STOPS = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS) + "]"
 
 
-@query(_values([(q, i, " ".join(p)) for q, ps in QUESTIONS.items() for i, p in enumerate(ps)], "question, place, phrase"))
+@query(
+    f"WITH a AS (SELECT item_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}._'']+')) AS w, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}._'']+'), 1) AS i FROM benchmark), "
+    f"k AS (SELECT item_id, i, w FROM a WHERE strlen(w) > 1 AND NOT list_contains({_STOPS}, lower(w))), "
+    "g AS (SELECT item_id, i, regexp_replace(regexp_replace(w, '([\\p{Ll}])([\\p{Lu}])', '\\1_\\2', 'g'), '([\\p{Lu}])([\\p{Lu}][\\p{Ll}])', '\\1_\\2', 'g') AS w FROM k), "
+    "p AS (SELECT item_id, i, unnest(string_split(w, '_')) AS w, generate_subscripts(string_split(w, '_'), 1) AS j FROM g), "
+    f"f AS (SELECT item_id, lower(w) AS w, row_number() OVER (PARTITION BY item_id ORDER BY i, j) - 1 AS n FROM p WHERE w <> '' AND NOT list_contains({_STOPS}, lower(w))), "
+    "t AS (SELECT item_id, count(*) AS c FROM f GROUP BY 1), r AS (SELECT item_id, n // 4 AS place, string_agg(w, ' ' ORDER BY n) AS phrase FROM f GROUP BY 1, 2) "
+    "SELECT item_id, cast(place AS integer) AS place, phrase FROM r UNION ALL SELECT f.item_id, cast((c + 3) // 4 + n AS integer), w FROM f JOIN t USING (item_id)"
+)
 def parse_query_rows(spark, d):
-    asked = spark.createDataFrame([(q,) for q in QUESTIONS], "question string")
-    return asked.select("question", F.posexplode(X.search_phrases(F.col("question"))).alias("place", "p")).select("question", "place", F.array_join("p", " ").alias("phrase"))
+    """The phrases of every benchmark item, taken as a question."""
+    asked = table(spark, d, "benchmark")
+    return asked.select("item_id", F.posexplode(X.search_phrases(F.col("text"))).alias("place", "p")).select("item_id", "place", F.array_join("p", " ").alias("phrase"))
 
 
-@query(_values(list(IDENTIFIERS.items()), "word, parts"))
+@query(
+    "WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(html, '[A-Za-z_-]*[a-z_-][A-Z_-][A-Za-z_-]*')) AS word FROM pages), "
+    "g AS (SELECT word, regexp_replace(regexp_replace(word, '([a-z])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g') AS w FROM k) "
+    "SELECT word, coalesce(array_to_string(list_filter(list_transform(regexp_split_to_array(w, '[_-]'), lambda x: lower(x)), lambda x: x <> ''), ' '), '') AS parts FROM g"
+)
 def split_identifier_rows(spark, d):
-    asked = spark.createDataFrame([(w,) for w in IDENTIFIERS], "word string")
-    return asked.select("word", F.array_join(X.split_identifier(F.col("word")), " ").alias("parts"))
+    """Every name in snake, kebab or camel case of the raw pages, in parts."""
+    words = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("[A-Za-z_-]*[a-z_-][A-Z_-][A-Za-z_-]*"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", F.array_join(X.split_identifier(F.col("word")), " ").alias("parts"))
 
 
 QUESTION = "where is the edwh stsh ntth"
@@ -365,7 +394,7 @@ tok AS (SELECT token, row_number() OVER (ORDER BY conv_id, turn, i) - 1 AS pos,
 @query(f"{_TALK}, {S.phrase(['of', 'the'])} SELECT position, position // 1000 AS segment FROM hits")
 def stream_roundtrip(spark, d):
     """Conversations as a token stream in three micro-batches, then a phrase over all segments."""
-    at = shared_folder(spark)
+    at = scratch.folder(spark)
     talk = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(X.tokenize(F.col("text"))).alias("i", "token"))
     top = talk.agg(F.coalesce(F.max("conv_id"), F.lit(0))).first()[0] + 1
     for k in range(3):  # one after the other: the source reads files in the order of their times
@@ -378,11 +407,23 @@ def stream_roundtrip(spark, d):
 
 @query(S.confidence(["and", "the"]))
 def persisted_roundtrip(spark, d):
-    at = shared_folder(spark)
+    at = scratch.folder(spark)
     corpus(spark, d).save(at)
     return _round(Corpus.load(spark, at).phrase(["and", "the"])).select("position", F.col("file_path").cast("long").alias("doc_id"), F.col("line_number").alias("line_no"), "confidence")
 
 
+@query(
+    f"{_TALK}, sg AS (SELECT pos // 1000 AS segment, min(pos) AS start_pos, count(*) AS token_count, cast(sum(strlen(token) + 3) + 1 AS bigint) AS bytes FROM tok GROUP BY 1) SELECT *, token_count = 1000 AS cold FROM sg"
+)
+def stream_segments(spark, d):
+    """The segments of the conversations as a stream in one batch and one that adds nothing, with their bytes."""
+    own = hot_cold.TokenStream(spark, f"{scratch.folder(spark)}/stream", 1000)
+    talk = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(X.tokenize(F.col("text"))).alias("i", "token"))
+    own.append(talk, 0, ["conv_id", "turn", "i"])
+    own.append(talk.limit(0), 1, ["conv_id", "turn", "i"])
+    return own.segments()
+
+
 # Prompts
 
 
@@ -423,7 +464,20 @@ def completion_prompt(spark, d):
     return context.completion_prompt(corpus(spark, d), "what is edwh", [["edwh"]])
 
 
-@query()
+_CHAT = (
+    f"{S.TOK}, {S.bm25(['edwh', 'stsh'], 5, 'reference')}, {S.phrase(['edwh', 'stsh'], 'h0', True)}, {S.phrase(['of', 'the'], 'h1')}, "
+    "hy AS (SELECT position, 0.7 + least(0.3 * score, 0.3) AS c FROM h0 JOIN best USING (doc_id) UNION ALL SELECT pos, 0.7 + least(0.3 * score, 0.3) FROM tok JOIN best USING (doc_id) WHERE token IN ('edwh', 'stsh')), "
+    f"every AS (SELECT position, c FROM hy UNION ALL SELECT position, 1.0 + {S.WEIGHT} FROM h1 JOIN n USING (doc_id)), "
+    "top AS (SELECT position, c, row_number() OVER (ORDER BY c DESC, position) AS rank FROM every WHERE c >= 0.5 QUALIFY rank <= 132), "
+    "sn AS (SELECT rank, top.position, string_agg(token, ' ' ORDER BY pos) AS s FROM top JOIN tok ON pos BETWEEN top.position - 15 AND top.position + 14 GROUP BY 1, 2), "
+    "b AS (SELECT string_agg('  [POS ' || position || '] ' || s, chr(10) ORDER BY rank) AS body, (SELECT round(avg(c) * 100) FROM top) AS mean FROM sn) "
+)
+
+
+@query(
+    _CHAT + f"SELECT cast(1 AS integer) AS ord, 'system' AS role, '{context.CHAT}' || chr(10) || chr(10) || '--- Passages, on average ' || cast(mean AS integer) || ' of 100 sure ---' || chr(10) || body || chr(10) || '--- End of passages ---' AS content FROM b "
+    "UNION ALL SELECT 2, 'user', 'The question about these passages is:' || chr(10) || chr(10) || 'where is the edwh stsh'"
+)
 def chat_messages(spark, d):
     return context.chat_messages(corpus(spark, d), "where is the edwh stsh", [["of", "the"]])
 
@@ -476,10 +530,46 @@ def incremental_update(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     new = docs.where("doc_id % 7 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\nupdated marker text")))
     c = corpus(spark, d).update(new)
-    total = c.tokens.agg(F.count("*").alias("total"))
+    total = c.files.agg(F.sum("token_count").alias("total"))
+    return phrase.positions(c, ["updated", "marker"]).crossJoin(F.broadcast(total))  # one row
+
+
+@query(f"{S.tokens(docs=_CHANGED)}, {S.phrase(['updated', 'marker'])} SELECT position, doc_id, cast(line_no AS integer) AS line_no, (SELECT count(*) FROM tok) AS total FROM hits")
+def stored_update(spark, d):
+    """The same change on a stored corpus: only the changed files are written."""
+    at, docs = scratch.folder(spark), table(spark, d, "documents").select("doc_id", "text")
+    store.save(corpus(spark, d), at)
+    new = docs.where("doc_id % 7 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\nupdated marker text")))
+    c = store.update(spark, at, new)
+    total = c.files.agg(F.sum("token_count").alias("total"))
     return phrase.positions(c, ["updated", "marker"]).crossJoin(F.broadcast(total))  # one row
 
 
+@query(f"{S.TOK} SELECT pos AS position, token, doc_id, cast(line_no AS integer) AS line_no, lead(token) OVER (ORDER BY pos) AS next FROM tok")
+def stored_segments(spark, d):
+    """Documents appended to a stored corpus in two segments and read as one."""
+    at, docs = scratch.folder(spark), table(spark, d, "documents")
+    middle = docs.agg(F.coalesce(F.percentile_approx("doc_id", 0.5), F.lit(0))).first()[0]
+    for part in (docs.where(F.col("doc_id") <= middle), docs.where(F.col("doc_id") > middle)):
+        c = store.append(spark, at, part.select(F.col("doc_id").cast("string").alias("path"), "text", "doc_id"), order="doc_id")
+    return c.tokens.join(c.files.select("doc_id", "path"), "doc_id").select(F.col("pos").alias("position"), "token", F.col("path").cast("long").alias("doc_id"), "line_no", "next")
+
+
+@query(f"{S.TOK}, {S.phrase(['of', 'the'], inside=True)} SELECT h.doc_id, position - token_start AS position FROM hits AS h JOIN fr USING (doc_id)")
+def stored_phrase(spark, d):
+    """A phrase by the postings and tokens of stored files in all versions, a file a document."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), X.tokenize(F.col("text")).alias("tokens"))
+    name, zero = F.col("doc_id").cast("string"), F.lit(0).cast("long")
+    rows = docs.select(name.alias("path"), "tokens", F.array(F.struct(name.alias("path"), F.col("text").alias("content"), zero.alias("token_start"), F.size("tokens").cast("long").alias("token_end"))).alias("files"), F.pmod("doc_id", F.lit(4)).alias("v"))
+    one = stored.encoded(rows.where("v = 0"), 1)
+    for v in (1, 2, 3):
+        one = one.unionByName(stored.encoded(rows.where(F.col("v") == v), v + 1))
+    files = scratch.written(one)
+    first = stored.posting_rows(files).where("token = 'of'").select("path", "pos")
+    second = stored.token_rows(files).where("token = 'the'").select("path", (F.col("pos") - 1).alias("pos"))
+    return first.join(second, ["path", "pos"]).select(F.col("path").cast("long").alias("doc_id"), F.col("pos").alias("position"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'changed' ELSE 'same' END AS status FROM documents")
 def content_hash_changes(spark, d):
     docs = table(spark, d, "documents")
@@ -589,10 +679,37 @@ def recall_eval(spark, d):
     return out.withColumn("mean_results", F.round("mean_results", 6))
 
 
+_Q = f"{S.TOK}, b AS (SELECT item_id AS query_id, regexp_extract_all(text, '{S.CORE}')[1:3] AS q, regexp_extract_all(text, '{S.CORE}')[1:4] AS h FROM benchmark), h4 AS (SELECT query_id, h FROM b WHERE len(h) = 4)"
+
+
+def _pieces(w: str) -> str:
+    return f"string_split(regexp_replace(regexp_replace({w}, '([\\p{{Ll}}])([\\p{{Lu}}])', '\\1_\\2', 'g'), '([\\p{{Lu}}])([\\p{{Lu}}][\\p{{Ll}}])', '\\1_\\2', 'g'), '_')"
+
+
+@query(
+    f"{_Q}, kw AS (SELECT query_id, list_filter(list_transform(flatten(list_transform(list_filter(q, lambda w: strlen(w) > 1 AND NOT list_contains({_STOPS}, lower(w))), lambda w: {_pieces('w')})), lambda x: lower(x)), lambda x: x <> '' AND NOT list_contains({_STOPS}, x)) AS ws FROM b), "
+    "c4 AS (SELECT query_id, ws[4 * c + 1 : 4 * c + 4] AS p FROM (SELECT query_id, ws, unnest(range(0, (len(ws) + 3) // 4)) AS c FROM kw)), ph AS (SELECT * FROM c4 UNION SELECT query_id, [w] FROM (SELECT query_id, unnest(ws) AS w FROM kw)), "
+    "t4 AS (SELECT pos, doc_id, token AS a, lead(token, 1) OVER o AS b, lead(token, 2) OVER o AS c, lead(token, 3) OVER o AS d FROM tok WINDOW o AS (ORDER BY pos)), "
+    "ex AS (SELECT DISTINCT query_id, pos, doc_id FROM ph JOIN t4 ON t4.a = p[1] AND (len(p) < 2 OR t4.b = p[2]) AND (len(p) < 3 OR t4.c = p[3]) AND (len(p) < 4 OR t4.d = p[4])), "
+    f"fw AS (SELECT DISTINCT query_id, lower(w) AS w FROM (SELECT query_id, unnest(q) AS w FROM b) WHERE strlen(w) > 1 AND NOT list_contains({_STOPS}, w)), lex AS (SELECT DISTINCT token FROM tok), "
+    "bg AS (SELECT DISTINCT query_id, w, substr(hex(encode(w)), 2 * i - 1, 4) AS g FROM (SELECT query_id, w, unnest(range(1, strlen(w))) AS i FROM fw)), lg AS (SELECT DISTINCT token, substr(hex(encode(token)), 2 * i - 1, 4) AS g FROM (SELECT token, unnest(range(1, strlen(token))) AS i FROM lex)), "
+    "cd AS (SELECT DISTINCT query_id, w, token, greatest(length(w), length(token)) AS m FROM bg JOIN lg USING (g) WHERE token <> w AND abs(strlen(token) - strlen(w)) <= 1), "
+    "ne AS (SELECT DISTINCT query_id, token FROM cd WHERE (left(w, (m - 1) // 2) = left(token, (m - 1) // 2) OR right(w, (m - 1) // 2) = right(token, (m - 1) // 2)) "
+    "AND len(list_filter(range(1, m), lambda i: left(w, i) = left(token, i))) + len(list_filter(range(1, m), lambda i: right(w, i) = right(token, i))) >= m - 1), "
+    "al AS (SELECT query_id, pos, doc_id, 1 AS e FROM ex UNION ALL SELECT query_id, pos, doc_id, 0 FROM ne JOIN tok USING (token)), r AS (SELECT query_id, pos, doc_id, max(e) AS e FROM al GROUP BY 1, 2, 3), "
+    "tr AS (SELECT DISTINCT query_id, doc_id, 1 AS t FROM h4 JOIN t4 ON t4.a = h[1] AND t4.b = h[2] AND t4.c = h[3] AND t4.d = h[4]) "
+    "SELECT b.query_id, count(r.pos) AS n_results, cast(coalesce(sum(e), 0) AS bigint) AS n_exact, count(DISTINCT r.doc_id) AS n_files, cast(coalesce(max(t), 0) AS integer) AS hit FROM b LEFT JOIN r USING (query_id) LEFT JOIN tr USING (query_id, doc_id) GROUP BY 1"
+)
+def question_answers(spark, d):
+    """The first three words of every benchmark item as a question, all in one job: results, and whether one lies in a file with the item's first four words."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.tokenize(F.col("text")), 1, 3), " ").alias("question"))
+    return evaluate.answered(evaluate.answers(corpus(spark, d), asked), _heads(spark, d, 4), asked)
+
+
 @query(f"{S.TOK} SELECT count(*) AS total_tokens, count(DISTINCT token) AS unique_tokens, (SELECT count(*) FROM n) AS n_files, true AS stored FROM tok")
 def storage_report(spark, d):
     """What a saved corpus holds and takes."""
-    at = shared_folder(spark)
+    at = scratch.folder(spark)
     store.save(corpus(spark, d), at)
     s = store.storage_stats(spark, at)
     return spark.createDataFrame([(s["total_tokens"], s["unique_tokens"], s["n_files"], s["storage_bytes"] > 0)], "total_tokens long, unique_tokens long, n_files long, stored boolean")

@@ -29,6 +29,8 @@ from ..operators.corpus import FILES, TOKEN_ROWS, Corpus, counted, local_tokens,
 from . import files as source
 
 VERSION = 6
+#: Positions of a page of the layout by position, and of how many pages a search may ask by range.
+PAGE, MOST_RUNS = 4096, 200
 #: How often a change is tried again when other writers were faster.
 TRIES = 8
 
@@ -154,6 +156,12 @@ def _write(rows: DataFrame, path: str, kind: str, schema: T.StructType) -> str:
     return at
 
 
+def is_dirty(corpus: Corpus, path: str) -> bool:
+    """Whether the corpus differs from what is stored."""
+    there = manifest(corpus.spark, path) or {}
+    return (there.get("fingerprint") or fingerprint(load(corpus.spark, path))) != fingerprint(corpus)
+
+
 def save(corpus: Corpus, path: str, parts: int | None = None, layouts: bool = False) -> bool:
     """Write a corpus whole; nothing is written if the same is there. layouts also writes the lexicon with its byte pairs, and the tokens by position."""
     spark, own, number = corpus.spark, fingerprint(corpus), _number(corpus.spark, path)
@@ -199,7 +207,7 @@ def _layouts(corpus: Corpus, path: str) -> dict:
     pairs = words.select(F.explode(F.array_distinct(X.bigrams(F.col("token")))).alias("pair"), "token")
     at, rest = _folder(path, "pairs"), _folder(path, "sequence")
     pairs.repartition("pair").sortWithinPartitions("pair", "token").write.parquet(f"{path}/{at}")
-    corpus.tokens.select("pos", "token").repartitionByRange("pos").sortWithinPartitions("pos").write.option("parquet.block.size", str(4 << 20)).parquet(f"{path}/{rest}")
+    corpus.tokens.select("pos", "token").repartitionByRange("pos").sortWithinPartitions("pos").write.option("parquet.page.row.count.limit", str(PAGE)).parquet(f"{path}/{rest}")
     stored = corpus.spark.read.schema(PAIRS).parquet(f"{path}/{at}")
     counts = _write(stored.groupBy("pair").agg(F.count("*").alias("n")).coalesce(1), path, "counts", COUNTS)  # at most 65,536 rows
     return {"lexicon": lexicon, "pairs": at, "counts": counts, "sequence": rest}
@@ -348,6 +356,18 @@ class StoredCorpus(Corpus):
         own = self._stored("sequence", SEQUENCE)
         return super().sequence if own is None else own
 
+    def sequence_at(self, around: DataFrame) -> DataFrame:
+        """Positions asked for by the runs that they lie in: of the layout by position only the pages of these are read."""
+        if "sequence" not in (self.__dict__.get("layouts") or {}):
+            return self.sequence
+        runs = sorted(r[0] for r in around.select(F.floor(F.col("pos") / PAGE)).distinct().limit(MOST_RUNS + 1).collect())  # at most so many numbers
+        if len(runs) > MOST_RUNS:
+            return self.sequence
+        starts = [r for i, r in enumerate(runs) if not i or runs[i - 1] != r - 1]
+        ends = [r for i, r in enumerate(runs) if i + 1 == len(runs) or runs[i + 1] != r + 1]
+        asked = [F.col("pos").between(a * PAGE, b * PAGE + PAGE - 1) for a, b in zip(starts, ends, strict=True)]
+        return self.sequence.where(reduce(lambda x, y: x | y, asked) if asked else F.lit(False))
+
 
 def _loaded(spark: SparkSession, path: str, m: dict) -> Corpus:
     live = _live(spark, path, m)
