@@ -131,8 +131,8 @@ class Corpus:
     @cached_property
     def first_places(self) -> DataFrame:
         """token and its first occurrence: pos, doc_id and line_no."""
-        first = self.tokens.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "line_no")).alias("f"))
-        return self._keep(first.select("token", "f.pos", "f.doc_id", "f.line_no"))
+        first = self.tokens.groupBy("token").agg(F.min("pos").alias("first"), F.min_by("doc_id", "pos").alias("doc_id"), F.min_by("line_no", "pos").alias("line_no"))
+        return self._keep(first.withColumnRenamed("first", "pos"))
 
     @property
     def sequence(self) -> DataFrame:
@@ -152,18 +152,12 @@ class Corpus:
     def _lexicon(self) -> DataFrame:
         return self.tokens.groupBy("token", "doc_id").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("freq"), F.count("*").alias("n_docs"))
 
-    @cached_property
+    @property
     def pairs(self) -> DataFrame | None:
-        """pair and token: the lexicon by pairs of bytes, clustered by them; None where it is not kept."""
-        if not self.kept:
-            return None
-        each = self.lexicon.select(F.explode(F.array_distinct(X.bigrams(F.col("token")))).alias("pair"), "token")
-        return self._keep(each.repartition("pair").sortWithinPartitions("pair"))
+        """pair and token: the lexicon by pairs of bytes, clustered by them, where a stored corpus has it; pair_counts then says how many words have a pair."""
+        return None
 
-    @cached_property
-    def pair_counts(self) -> DataFrame | None:
-        """pair and how many words have it: at most 65,536 rows."""
-        return None if self.pairs is None else self._keep(self.pairs.groupBy("pair").agg(F.count("*").alias("n")))
+    pair_counts = pairs
 
     def postings(self) -> DataFrame:
         """token and its positions by file, so that no array outgrows a file."""

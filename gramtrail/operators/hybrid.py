@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..plans import questions
 from . import bm25, phrase
-from .corpus import Corpus
+from .corpus import Corpus, bounded
 from .results import enriched
 
 
 def candidates(corpus: Corpus, question: str, k: int) -> DataFrame:
     """doc_id, score and rank of the k best files of a question's words."""
     best = bm25.search(corpus, questions.hybrid_words(question), k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # k rows
+    return bounded(best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))))  # k rows, which are ranked once
 
 
 def documented(corpus: Corpus, question: str, k: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import FILES, Corpus, counted, local_tokens, placed, ranges_of
+from .corpus import FILES, Corpus, bounded, counted, local_tokens, placed, ranges_of
 
 
 def changes(corpus: Corpus, incoming: DataFrame, doc_id: str = "doc_id", content: str = "text") -> DataFrame:
@@ -22,7 +22,7 @@ def update(corpus: Corpus, incoming: DataFrame, doc_id: str = "doc_id", content:
     Token rows keep their place within the file; where a file starts is a row of the file, so that what comes after a change moves by a join with the files
     that a search asks about. Pairs of words within a file stay as they are.
     """
-    moved = changes(corpus, incoming, doc_id, content).where("status <> 'same'").select("doc_id")
+    moved = bounded(changes(corpus, incoming, doc_id, content).where("status <> 'same'").select("doc_id"))  # contents are compared once
     p = F.col(path) if path else F.col(doc_id).cast("string")
     fresh = incoming.select(F.col(doc_id).cast("long").alias("doc_id"), p.alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content")).join(moved, "doc_id", "left_semi")
     base = corpus.files.select("doc_id", "path", "content").join(moved, "doc_id", "left_anti").unionByName(fresh)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import Corpus, bounded, in_order, settled
+from .corpus import Corpus, in_order, settled
 from .results import enriched, windows
 
 
@@ -22,7 +22,9 @@ def match(corpus: Corpus, terms: DataFrame, within_file: bool = False, few: bool
     a pair finds the places of the pair alone, not those of each word; a phrase of three or more words
     stands where all of its pairs do. few says that the terms are the words of a query, so that no count need find out.
     """
-    bound = F.broadcast if few else bounded
+    if not few:
+        terms, few = settled(terms)
+    bound = F.broadcast if few else lambda rows: rows
     phrases = terms.groupBy("phrase_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("off", "token"))), lambda t: t["token"]).alias("words"), F.max("k").alias("k")).where("size(words) = k")  # the words of a phrase
     texts = phrases.groupBy("words").agg(F.min("phrase_id").alias("text_id"))
     k = F.size("words")
@@ -34,8 +36,8 @@ def match(corpus: Corpus, terms: DataFrame, within_file: bool = False, few: bool
     pairs = corpus.paired.join(bound(two), ["token", "next"]).withColumn("position", F.col("pos") - F.col("off"))
     whole = pairs.where("k = 2").select(*at, "k")
     keys = ["text_id", "position", *(["doc_id"] if within_file else [])]
-    longer = pairs.where("k > 2").groupBy(*keys).agg(F.count("*").alias("n"), F.max("k").alias("k"), F.max(F.when(F.col("off") == 0, F.struct("doc_id", "line_no"))).alias("first")).where("n = (k + 1) div 2")
-    found = single.unionByName(whole).unionByName(longer.select("text_id", "position", "first.doc_id", "first.line_no", "k"))
+    longer = pairs.where("k > 2").groupBy(*keys).agg(F.count("*").alias("n"), F.max("k").alias("k"), *[F.max(F.when(F.col("off") == 0, F.col(c))).alias(f"__{c}") for c in ("doc_id", "line_no")]).where("n = (k + 1) div 2")
+    found = single.unionByName(whole).unionByName(longer.select("text_id", "position", F.col("__doc_id").alias("doc_id"), F.col("__line_no").alias("line_no"), "k"))
     if within_file:
         found = found.join(corpus.files.select("doc_id", "token_end"), "doc_id").where("position + k <= token_end")
     return found.join(bound(phrases.join(texts, "words").select("text_id", "phrase_id")), "text_id").select("phrase_id", "position", "doc_id", "line_no")

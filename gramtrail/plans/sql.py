@@ -11,7 +11,7 @@ def tokens(pattern: str = CORE, fold: bool = False, docs: str = "documents") ->
     return f"""WITH ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM {docs}),
 lt AS (SELECT doc_id, line_no, regexp_extract_all(line, '{pattern}') AS w FROM ln),
 t0 AS (SELECT doc_id, line_no, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM lt),
-tok AS (SELECT doc_id, line_no, {token} AS token, row_number() OVER (ORDER BY doc_id, line_no, i) - 1 AS pos FROM t0),
+tok AS MATERIALIZED (SELECT doc_id, line_no, {token} AS token, row_number() OVER (ORDER BY doc_id, line_no, i) - 1 AS pos FROM t0),
 n AS (SELECT d.doc_id, count(tok.pos) AS token_count FROM {docs} AS d LEFT JOIN tok USING (doc_id) GROUP BY d.doc_id),
 fr AS (SELECT doc_id, token_count, cast(coalesce(sum(token_count) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS token_start FROM n)"""
 
