@@ -46,7 +46,7 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_-]+")
 CHARS = r"A-Za-z0-9+/_-"
 SPLIT = re.compile(f"([{CHARS}]+)")
 NEIGHBOUR = re.compile(f"[{CHARS}]+|[^\\s{CHARS}]")
-MAX_DOCS, MADE = 2000, 1500
+MAX_DOCS, MADE = 2000, 2000
 #: Tokens of a piece that trains, and pieces of a document.
 PIECE, PIECES = 16, 1
 #: Strings whose bounds a task keeps.
@@ -82,7 +82,8 @@ def _own(s: str) -> list[str]:
         alphabet = "hex"
     else:
         alphabet = ("l" if "a" in full else "") + ("u" if "A" in full else "") + ("d" if digits else "") + ("s" if any(c in shape for c in "+/_-") else "")
-    return ["bias", f"shape={shape[:6]}", f"length={min(40, n) // 4}", f"alphabet={alphabet}", f"entropy={_entropy(s, n):.0f}", f"digits={round(4 * digits / n)}"]
+    spoken = f"{round(8 * sum(map(s.count, 'aeiouAEIOU')) / max(1, n - digits))}" if "A" in full else ""  # lower-case tokens differ by length and entropy alone
+    return [f"spoken={spoken}", "bias", f"shape={shape[:6]}", f"length={min(40, n) // 4}", f"alphabet={alphabet}", f"entropy={_entropy(s, n):.0f}", f"digits={round(4 * digits / n)}", f"runs={round(8 * len(shape) / n)}", f"marks={min(4, n - sum(map(full.count, 'aA9')))}"]
 
 
 def _entropy(s: str, n: int) -> float:
@@ -297,6 +298,32 @@ class Crf:
 LEADS = ("the pwd is {}", "private key: {}", "auth: bearer {}", "export ACCESS_KEY {}", "credential {} for login", "client_secret {}", "api key {} ok", "x-api-key: {}", "sign in with passphrase {} now", "webhook signing {}")
 PLAIN = ("order {} was sent", "see page {} of it", "on {} we met", "version {} is out", "call {} at noon", "item no. {} sold", "file {} was read", "room {} is free", "train {} leaves", "the year {} and", "isbn {}", "from {} on", "id {} in the list")
 
+#: Leads of names, ids and times as they stand in code, logs and links.
+CODE = ("call {}() first", "def {}(self):", "the class {} is", "at {} it ran", "see {} for more", "open {} now", "const {} = 3;", "row {} was", "uuid {}", "log {} info", "return {};", "key: {}", "value={}", "{}")
+
+
+def _name(rng: random.Random) -> str:
+    """A name, id, time or link that is no secret."""
+    low, dig = string.ascii_lowercase, string.digits
+    some = lambda chars, least, most: "".join(rng.choice(chars) for _ in range(rng.randint(least, most)))
+    parts = ["".join(rng.choice("bcdfghklmnprstvwz") * rng.randint(0, 1) + rng.choice("aeiou") + rng.choice("bcdfgklmnprst") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(2, 6))]
+    two = lambda top: f"{rng.randint(0, top):02d}"
+    kind = rng.randrange(10)
+    if kind < 3:
+        return (parts[0] if kind else parts[0].capitalize()) + "".join(p.capitalize() for p in parts[1:])
+    if kind == 3:
+        return "_".join(parts)
+    if kind == 4:
+        return "_".join(parts).upper()
+    if kind == 5:
+        return "-".join(some("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12))
+    if kind == 6:
+        return f"20{two(30)}-{two(12)}-{two(28)}T{two(23)}:{two(59)}:{two(59)}{rng.choice(('Z', '', '.' + some(dig, 3, 6) + 'Z', '+0' + some(dig, 1, 1) + ':00'))}"
+    if kind == 9:  # a long compound
+        return "".join(rng.choice(("sch", "st", "ff", "ts", "pf", "gl", "d", "n", "br", "k")) + rng.choice("aeiou") + rng.choice(("ch", "ft", "rt", "n", "ll", "mpf", "s", "hrts")) for _ in range(rng.randint(3, 7))).capitalize()
+    path = "/".join([f"{some(low, 3, 9)}.{rng.choice(('com', 'org', 'net', 'io'))}", *parts[: rng.randint(0, 2)]])
+    return f"https://{path}?{rng.choice(('v', 'id', 'p', 'ref', 'q'))}={some(string.ascii_letters + dig, 8, 14)}" if kind == 7 else f"https://www.{path}/{some(string.ascii_letters + dig + '_-', 8, 12)}"
+
 
 def made(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
     """Lines with the places of their secrets: about half hold one."""
@@ -310,6 +337,8 @@ def made(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
         secret = rng.random() < 0.5
         lead = rng.choice(LEADS) if secret and rng.random() < 0.8 else rng.choice(PLAIN)
         value = rng.choice(secrets if secret else others)()
+        if not secret and rng.random() < 0.5:
+            lead, value = rng.choice(CODE + PLAIN), _name(rng)
         if secret and lead in LEADS and rng.random() < 0.1:
             value = some(low + up + dig, 6, 7)
         head = " ".join(some(low, 2, 8) for _ in range(rng.randint(0, 3)))
@@ -339,7 +368,7 @@ def labelled(text: str, own: list[tuple[int, int]] | None = None) -> list[tuple[
 
 
 def _doubtful(token: str) -> bool:
-    """Whether a token of a document may be a secret that the base patterns miss, so that it is no example of an outside one."""
+    """Whether a token of a document may be a secret that the base patterns miss, so that it is no example of an outside one; made lines have names, ids and times that are none."""
     digits, capitals = sum(c.isdigit() for c in token), sum(c.isupper() for c in token[1:])
     return len(token) >= 8 and (0 < digits < len(token) or len(token) >= 12 and capitals > 0)
 
