@@ -36,7 +36,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
-MAX_DOCS, MAX_WINDOWS, MADE = 1500, 8, 700
+MAX_DOCS, MAX_WINDOWS, MADE = 1500, 8, 2200
 #: The least length of a span that the network may add; a@b.c has five.
 LEAST = 5
 #: Places of a document that may be personal data which the base patterns miss: these are no examples of places without any.
@@ -188,8 +188,8 @@ class Net:
         return [p / n for p in (dx, dh_w, d_out, de.sum((0, 1)), d_move)]
 
     def fit(self, codes: np.ndarray, tags: np.ndarray, *, epochs: int | None = None, batch: int = 64, rate: float = 0.02, seed: int = 4) -> "Net":
-        """Adam over shuffled batches; by default as many passes as make some 320 steps, six at least."""
-        epochs = epochs or max(6, -(-320 * batch // max(1, len(codes))))
+        """Adam over shuffled batches; by default as many passes as make some 560 steps, six at least."""
+        epochs = epochs or max(6, -(-560 * batch // max(1, len(codes))))
         r, parts = np.random.default_rng(seed), [self.x, self.h, self.out, self.bias, self.move]
         m, v, k = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
         for epoch in range(epochs):
@@ -246,12 +246,21 @@ def made(n: int, seed: int = 8) -> list[tuple[str, list[Span]]]:
         (0, lambda: f"{some(low, 3, 8)}.{some(dig, 2, 2)} @ {some(low, 4, 8)}.{rng.choice(('com', 'org', 'net', 'de'))}"), (0, lambda: f"{some(low, 3, 9)}@{some(low, 4, 8)}.{rng.choice(('com', 'org', 'fr'))}"),
         (1, lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4))), (2, lambda: " ".join(some(dig, 4, 4) for _ in range(4))), (2, lambda: some(dig, 16, 16)),
         (3, lambda: f"({some(dig, 3, 3)}) {some(dig, 3, 3)}-{some(dig, 4, 4)}"), (3, lambda: f"{some(dig, 3, 3)}-{some(dig, 3, 3)}-{some(dig, 4, 4)}"), (3, lambda: f"+{some(dig, 1, 2)} {some(dig, 3, 3)} {some(dig, 3, 3)} {some(dig, 4, 4)}"),
+        (3, lambda: f"{some(dig, 3, 3)}.{some(dig, 3, 3)}.{some(dig, 4, 4)}"), (2, lambda: f"{some(dig, 4, 4)} {some(dig, 6, 6)} {some(dig, 5, 5)}"), (2, lambda: "-".join(some(dig, 4, 4) for _ in range(4))),
     )
     others = (lambda: some(dig, 1, 6), lambda: f"20{some(dig, 2, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 9)}.{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 9)},{some(dig, 3, 3)},{some(dig, 3, 3)}", lambda: some(low, 2, 5) + some(dig, 2, 6), lambda: some("0123456789abcdef", 18, 40), lambda: f"token = \"{some('0123456789abcdef', 20, 40)}\"", lambda: "AKIA" + some(string.ascii_uppercase + dig, 16, 16), lambda: f"password={some('0123456789abcdef', 16, 20)}")
+    two = lambda top: f"{rng.randint(0, top):02d}"
+    plain = (
+        lambda: f"97{rng.choice('89')}-{some(dig, 1, 1)}-{some(dig, 2, 4)}-{some(dig, 4, 6)}-{some(dig, 1, 1)}", lambda: f"97{rng.choice('89')}-{rng.randint(0, 99)}-{some(dig, 2, 3)}-{some(dig, 5, 6)}-{some(dig, 1, 1)}", lambda: f"97{rng.choice('89')}{some(dig, 10, 10)}", lambda: some(dig, 12, 12), lambda: f"{rng.randint(0, 9)}-{some(dig, 3, 3)}-{some(dig, 5, 5)}-{some(dig, 1, 1)}",
+        lambda: f"20{two(30)}-{two(12)}-{two(28)}{rng.choice(' T')}{two(23)}:{two(59)}:{two(59)}", lambda: f"{two(28)}.{two(12)}.20{two(30)} {two(23)}:{two(59)}", lambda: f"{rng.choice(('', 'v'))}{rng.randint(0, 20)}.{rng.randint(0, 40)}.{rng.randint(0, 2000)}", lambda: f"{rng.choice(('version ', 'release ', 'v'))}{rng.randint(0, 30)}.{rng.randint(0, 99)}.{rng.randint(0, 999)}",
+        lambda: some(dig, 7, 13), lambda: some(dig, 11, 13), lambda: f"id {some(dig, 9, 14)}", lambda: f"{some(low, 2, 3).upper()}-{some(dig, 6, 10)}", lambda: f"{some(dig, 3, 6)}/{some(dig, 2, 4)}/{some(dig, 2, 4)}", lambda: some(dig, 20, 34), lambda: f"{some(dig, 1, 3)} {some(dig, 3, 3)} {some(dig, 3, 3)}",
+    )
     out = []
     for _ in range(n):
         head, tail = (" ".join(some(low, 2, 9) for _ in range(rng.randint(0, 5))) for _ in range(2))
         kind, make = rng.choice(personal) if rng.random() < 0.55 else (-1, rng.choice(others))
+        if kind < 0 and rng.random() < 0.6:
+            make = rng.choice(plain)
         value = make()
         a = len(head) + 1
         out.append((f"{head} {value} {tail}", [(kind, a, a + len(value))] if kind >= 0 else []))
