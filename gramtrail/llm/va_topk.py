@@ -5,9 +5,9 @@ exact vectors, a cell number for each component. For a query, the cell centres a
 error give bounds of each score; exact vectors are read by falling upper bound until the kth exact score is
 above the next bound. Blocks of queries meet blocks of vectors; the best k of each block are merged.
 
-Cases: vectors that are null or hold a null, NaN or infinite component, or have a null id, take no part; vectors
-of another length than the query's are not compared with it; rows with the query's id are its own; equal
-scores rank by the smaller id; repeated rows count each; an empty table gives no rows.
+Cases: vectors that are null or hold a null, NaN or infinite component, or one whose integer reaches 2**26 (beyond which scores could leave 64 bits), or
+have a null id, take no part; vectors of another length than the query's are not compared with it; rows with the query's id are its own; equal
+scores rank by the smaller id; repeated rows count each, and each row of an id that is asked is a query with k results of its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 
 from .shared import written
 
-BLOCK, QUERY_BLOCK, CELLS = 4096, 1024, 64
+BLOCK, QUERY_BLOCK, CELLS, MOST = 4096, 1024, 64, 1 << 26
 PACKED = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("dim", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("exact", T.BinaryType()), T.StructField("cells", T.BinaryType()), T.StructField("low", T.BinaryType()), T.StructField("width", T.BinaryType())])
-HITS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+HITS = T.StructType([T.StructField("q_block", T.LongType()), T.StructField("q_row", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
 def integers(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -39,7 +39,7 @@ def integers(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray,
     for dim in np.unique(size[there]):
         rows = np.flatnonzero(there & (size == dim))
         x = values[start[rows][:, None] + np.arange(dim)]
-        good = np.isfinite(x).all(1)
+        good = (np.isfinite(x) & (np.abs(np.nan_to_num(x)) * scale < MOST)).all(1)
         yield key[rows][good], np.floor(x[good] * scale).astype(np.int64)
 
 
@@ -101,12 +101,12 @@ def top_k(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", embedd
     asked = written(blocks(rows.where(queries), scale, query_block).select("dim", F.col("ids").alias("q_ids"), F.col("exact").alias("q"), F.monotonically_increasing_id().alias("q_block")), "va-queries")
     names = data.select("block", "dim").distinct()  # a row for each block of vectors
     meets = asked.select("q_block", "dim").join(names, "dim")  # numbers of blocks only
-    pairs = meets.join(asked, ["q_block", "dim"]).join(data, ["block", "dim"]).select("dim", "q_ids", "q", "ids", "exact", "cells", "low", "width")
+    pairs = meets.join(asked, ["q_block", "dim"]).join(data, ["block", "dim"]).select("q_block", "dim", "q_ids", "q", "ids", "exact", "cells", "low", "width")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, *parts = (c[r].as_py() for c in batch.columns)
+                q_block, dim, *parts = (c[r].as_py() for c in batch.columns)
                 q_ids, q, ids, exact = (np.frombuffer(p, np.int64) for p in parts[:4])
                 q, exact = q.reshape(len(q_ids), dim), exact.reshape(len(ids), dim)
                 cells = np.frombuffer(parts[4], np.uint8).reshape(len(ids), dim)
@@ -115,8 +115,9 @@ def top_k(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", embedd
                 approx = q.astype(float) @ centre.T
                 slack = np.abs(q) @ ((width - 1) / 2) + 1e-9 * (np.abs(q) @ np.maximum(np.abs(low), np.abs(low + 256 * width))) + 1e-6
                 found = [best(q[i], q_ids[i], ids, exact, approx[i], slack[i], k) for i in range(len(q_ids))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(f) for f, _ in found])), pa.array(np.concatenate([f for f, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=HITS.fieldNames())
+                each = [len(f) for f, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(sum(each), q_block, np.int64)), pa.array(np.repeat(np.arange(len(each)), each)), pa.array(np.repeat(q_ids, each)), pa.array(np.concatenate([f for f, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=HITS.fieldNames())
 
     hits = pairs.mapInArrow(run, HITS)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
