@@ -555,6 +555,19 @@ def stored_segments(spark, d):
     return c.tokens.join(c.files.select("doc_id", "path"), "doc_id").select(F.col("pos").alias("position"), "token", F.col("path").cast("long").alias("doc_id"), "line_no", "next")
 
 
+@query(
+    f"{S.TOK}, {S.phrase(['edwh', 'stsh'])}, a AS (SELECT position, string_agg(token, ' ' ORDER BY pos) AS s FROM hits JOIN tok ON pos BETWEEN position - 3 AND position + 1 GROUP BY position) "
+    f"SELECT position, '[POS ' || position || '] ''edwh stsh'' (context: ... ' || s || ')' AS found FROM a UNION ALL SELECT NULL, token || ' ' || levenshtein(token, 'edwhs') FROM (SELECT DISTINCT token FROM tok WHERE {S.ASCII} AND {S.near('edwhs', 1)})"
+)
+def stored_layouts(spark, d):
+    """A phrase with its context by the layout by position, and a mistyped word by that by pairs, of a stored corpus."""
+    at = scratch.folder(spark)
+    store.save(corpus(spark, d), at, layouts=True)
+    c = Corpus.load(spark, at)
+    close = fuzzy.candidates(c, "edwhs", 1).where(F.length("token") == F.octet_length("token"))
+    return c.phrase(["edwh", "stsh"]).select("position", F.col("context").alias("found")).unionByName(close.select(F.lit(None).cast("long").alias("position"), F.format_string("%s %d", "token", "dist").alias("found")))
+
+
 @query(f"{S.TOK}, {S.phrase(['of', 'the'], inside=True)} SELECT h.doc_id, position - token_start AS position FROM hits AS h JOIN fr USING (doc_id)")
 def stored_phrase(spark, d):
     """A phrase by the postings and tokens of stored files in all versions, a file a document."""
@@ -661,6 +674,13 @@ def folder_totals(spark, d):
     return evaluate.by_folder(corpus(spark, d))
 
 
+@query(f"{S.TOK} SELECT coalesce(lang, 'none') AS folder, count(*) AS n_files, cast(sum(token_count) AS bigint) AS n_tokens FROM n JOIN documents USING (doc_id) GROUP BY 1")
+def folder_tree(spark, d):
+    """Files and tokens by top folder, with paths of language, source and id."""
+    path = F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none")), "doc_id").alias("path")
+    return evaluate.by_folder(Corpus.from_files(table(spark, d, "documents").select("doc_id", "text", path), path="path"))
+
+
 def _heads(spark, d, n):
     words = table(spark, d, "benchmark").select("item_id", F.slice(X.tokenize(F.col("text")), 1, n).alias("w")).where(F.size("w") == n)
     terms = words.select(F.col("item_id").alias("phrase_id"), F.lit(n).alias("k"), F.posexplode("w").alias("off", "token"))

@@ -21,3 +21,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 78
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_content_hashes(spark):
+    """FNV-1a byte by byte, where SQL is too slow on whole tables."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r.doc_id: r.fnv for r in QUERIES["content_fnv"](spark, str(DATA)).collect()}
+    assert got.keys() == texts.keys()
+    for i in sorted(texts)[:60]:
+        h = 0xCBF29CE484222325
+        for b in (texts[i] or "").encode():
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        assert texts[i] is None or got[i] == f"{h:016x}"

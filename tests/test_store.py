@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gramtrail import Corpus
-from gramtrail.operators import fuzzy
+from gramtrail.operators import fuzzy, phrase
 from gramtrail.sources import files as source
 from gramtrail.sources import store, stored
 
@@ -104,6 +104,33 @@ def test_layouts(spark, tmp_path):
     assert store.compact(spark, at, layouts=True).pairs is not None
 
 
+def test_windows_read_their_pages(spark, tmp_path):
+    """Rows of the layout by position that a search reads grow with its hits, not with the corpus."""
+    at = f"file://{tmp_path}/index"
+    store.save(Corpus.from_files(frame(spark, [(i, " ".join(f"w{i}" if k == 7 else "common" for k in range(2000))) for i in range(100)])), at, layouts=True)
+    c, adaptive = Corpus.load(spark, at), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hits = phrase.positions(c, ["w50"])
+        near = c.near(spark.createDataFrame(hits.collect(), hits.schema), 3, 1, few=True)
+        rows = near.collect()
+        plan = near._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves()
+        read = [leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()) if "parquet" in leaves.apply(i).toString().lower()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sorted(r.pos for r in rows) == [100_004, 100_005, 100_006, 100_007]
+    assert len(read) == 1 and 4 <= read[0] <= 4 * store.PAGE < 200_000 and c.tokens.count() == 200_000
+
+
+def test_dirty(spark, tmp_path):
+    at = f"file://{tmp_path}/index"
+    c = files(spark, [("a", "one two")])
+    assert store.is_dirty(c, at)
+    c.save(at)
+    assert not store.is_dirty(c, at) and store.is_dirty(files(spark, [("a", "one three")]), at)
+
+
 # Forms of earlier programs
 
 

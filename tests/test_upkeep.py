@@ -3,10 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gramtrail import Corpus
 from gramtrail.functions.registry import register
-from gramtrail.operators import context, evaluate, incremental, phrase
+from gramtrail.operators import bitmaps, context, evaluate, incremental, lines, phrase
 from gramtrail.sources import files as source
 from gramtrail.sources import store
 from gramtrail.streaming import hot_cold
@@ -162,6 +163,44 @@ def test_messages(spark):
     assert not got["syntax_valid"] and got["confidence_adjustment"] == -0.4 and len(got["issues"]) == 3
 
 
+def test_feedback_of_ask(spark, tmp_path):
+    c, log = files(spark, [("a", "fn main runs here")]), f"file://{tmp_path}/log"
+    replies = iter(["fn main() {}", "fn main( {", "let x = 1;"])
+    got = [context.ask(c, "main", [["fn", "main"]], lambda request: next(replies), log=log)["confidence"] for _ in range(3)]
+    assert got == [1.0, 0.5, pytest.approx(2 / 3)] and context.noted(spark, log, "other", False) == 0.0
+
+
+def test_lines_by_bytes(spark):
+    texts = {0: "é\n\nlonger line\n", 1: "", 2: "x" * 9000 + "\n" + "y" * 5000 + "\nz"}
+    table = lines.line_table(spark.createDataFrame(list(texts.items()), "doc_id long, content string"))
+    places = [(d, b) for d, t in texts.items() for b in {0, 1, 2, 3, 4, 10, 8999, 9000, 9001, 14_001, 14_002, 14_003, 10**6, -5}]
+    got = lines.at_bytes(table, spark.createDataFrame(places, "doc_id long, byte long")).collect()
+    want = {(d, b): texts[d].encode()[: max(0, min(b, len(texts[d].encode())))].count(b"\n") + 1 for d, b in places}
+    assert {(r.doc_id, r.byte): r.line_no for r in got} == want and len(got) == len(places)
+
+
+def test_bitmaps(spark):
+    c = stream(spark, "a b a b a c " * 9000)
+    assert positions(bitmaps.phrase(c, ["a", "b", "a"])) == positions(phrase.positions(c, ["a", "b", "a"])) and bitmaps.phrase(c, ["a", "zz"]).count() == 0
+    rows = bitmaps.positions_of(bitmaps.postings(c).drop("n"))
+    assert sorted(map(tuple, rows.collect())) == sorted((r.token, r.pos) for r in c.tokens.collect())
+    assert dict(map(tuple, bitmaps.sizes(c).collect())) == {"a": 8 + 8 + 8192, "b": 8 + 8 + 8192, "c": 8 + 8 + 8192}
+
+
+def test_questions_in_bulk(spark):
+    c = files(spark, [("a", "the fetch function reads"), ("b", "fetc other"), ("c", "nothing")])
+    asked = spark.createDataFrame([(1, "where is the fetch function"), (2, "what about it"), (3, "othr")], "query_id int, question string")
+    found = evaluate.answers(c, asked)
+    assert {(r.query_id, r.position) for r in found.collect()} == {(1, 1), (1, 2), (1, 4), (3, 5)}
+    for q in asked.collect():
+        one = {r.position: round(r.confidence, 9) for r in c.search(q.question).collect()}
+        assert {r.position: round(r.confidence, 9) for r in found.where(F.col("query_id") == q.query_id).collect()} == one
+    truth = spark.createDataFrame([(1, 0), (3, 2)], "query_id int, doc_id long")
+    assert {tuple(r) for r in evaluate.answered(found, truth, asked).collect()} == {(1, 3, 2, 2, 1), (2, 0, 0, 0, 0), (3, 1, 0, 1, 0)}
+    out, took = evaluate.timed(["fetch", "x"], lambda q: c.search(q).count())
+    assert out[0] == 2 and took["total_s"] >= took["max_s"] >= took["mean_s"] > 0
+
+
 def test_validation(spark):
     rows = [("fn main() { let x = 42; }", True, 0.0), ("fn main( { broken code", False, -0.4), ("cut...", True, -0.15), ("", True, 0.0), ("a;\r\n", True, 0.0), ("x\n\n", True, 0.0)]
     got = context.validated(spark.createDataFrame([(t,) for t, _, _ in rows], "text string")).collect()
