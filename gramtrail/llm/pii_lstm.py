@@ -188,8 +188,8 @@ class Net:
         return [p / n for p in (dx, dh_w, d_out, de.sum((0, 1)), d_move)]
 
     def fit(self, codes: np.ndarray, tags: np.ndarray, *, epochs: int | None = None, batch: int = 64, rate: float = 0.02, seed: int = 4) -> "Net":
-        """Adam over shuffled batches; by default as many passes as make some 560 steps, six at least."""
-        epochs = epochs or max(6, -(-560 * batch // max(1, len(codes))))
+        """Adam over shuffled batches; by default as many passes as make some 800 steps, six at least."""
+        epochs = epochs or max(6, -(-800 * batch // max(1, len(codes))))
         r, parts = np.random.default_rng(seed), [self.x, self.h, self.out, self.bias, self.move]
         m, v, k = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
         for epoch in range(epochs):
@@ -247,6 +247,7 @@ def made(n: int, seed: int = 8) -> list[tuple[str, list[Span]]]:
         (1, lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4))), (2, lambda: " ".join(some(dig, 4, 4) for _ in range(4))), (2, lambda: some(dig, 16, 16)),
         (3, lambda: f"({some(dig, 3, 3)}) {some(dig, 3, 3)}-{some(dig, 4, 4)}"), (3, lambda: f"{some(dig, 3, 3)}-{some(dig, 3, 3)}-{some(dig, 4, 4)}"), (3, lambda: f"+{some(dig, 1, 2)} {some(dig, 3, 3)} {some(dig, 3, 3)} {some(dig, 4, 4)}"),
         (3, lambda: f"{some(dig, 3, 3)}.{some(dig, 3, 3)}.{some(dig, 4, 4)}"), (2, lambda: f"{some(dig, 4, 4)} {some(dig, 6, 6)} {some(dig, 5, 5)}"), (2, lambda: "-".join(some(dig, 4, 4) for _ in range(4))),
+        (2, lambda: some(dig, 16, 16)), (3, lambda: f"{some(dig, 3, 3)}-{some(dig, 3, 3)}-{some(dig, 4, 4)}"),
     )
     others = (lambda: some(dig, 1, 6), lambda: f"20{some(dig, 2, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 9)}.{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 9)},{some(dig, 3, 3)},{some(dig, 3, 3)}", lambda: some(low, 2, 5) + some(dig, 2, 6), lambda: some("0123456789abcdef", 18, 40), lambda: f"token = \"{some('0123456789abcdef', 20, 40)}\"", lambda: "AKIA" + some(string.ascii_uppercase + dig, 16, 16), lambda: f"password={some('0123456789abcdef', 16, 20)}")
     two = lambda top: f"{rng.randint(0, top):02d}"

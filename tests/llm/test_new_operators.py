@@ -262,3 +262,74 @@ def test_quality(spark, edge, edge_rows, none):
     assert gam.score(edge, gam.train(edge, labels.limit(0))).select("score").distinct().collect() == [(0.5,)]
     one = QUERIES["op13_quality"](spark, "/root/testdata/sf0.01").collect()
     assert len(one) == docs.count() and all(r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in one)
+
+
+# Plain models of two older operators
+
+
+def test_shards_in_plain(spark):
+    """Ranks, shares and cuts of every row, computed one by one from the same shuffling hashes."""
+    from gramtrail.llm import interleave
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, "src1").otherwise(F.col("source")))
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs.select("doc_id", "source", (F.octet_length(content) + 1).alias("size"), F.crc32(content).alias("crc"), F.xxhash64(F.lit(interleave.SEED), "doc_id", F.crc32(content)).alias("h")).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.h, r.doc_id, r.crc)):
+        by.setdefault("n" if r.source is None else "s" + r.source, []).append(r)
+    every = sorted(((i + 0.5) / len(own), kind, i, r) for kind, own in by.items() for i, r in enumerate(own))
+    least, more, want = len(every) // 16, len(every) % 16, []
+    for shard in range(16):
+        n = least + (shard < more)
+        want += [(r.doc_id, r.source, r["size"], r.crc, shard, slot) for slot, (_, _, _, r) in enumerate(every[:n])]
+        every = every[n:]
+    assert sorted(map(tuple, interleave.interleave(docs).collect()), key=repr) == sorted(want, key=repr)
+
+
+def plain_mix(x):
+    m = (1 << 64) - 1
+    x = (x + 0x9E3779B97F4A7C15) & m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def test_toxicity_in_plain():
+    """Features word by word, and each weight of FTRL by its own sums."""
+    import math
+
+    from gramtrail.llm import toxicity_ftrl as tox
+    from gramtrail.llm.textops import ALNUM, Words, utf8_parts
+
+    r, bits, m = random.Random(2), 12, (1 << 64) - 1
+    texts = [" ".join(r.choice("Aa b1 c d e fool g h".split()) for _ in range(r.randint(0, 12))) for _ in range(150)]
+    hashed = lambda w: int(Words(*utf8_parts(pa.array([w])), ALNUM).h[0])
+    rows = []
+    for t in texts:
+        h = [hashed(w) for w in re.findall(r"[a-z0-9]+", t.lower())]
+        own = {plain_mix(x ^ 11) for x in h} | {plain_mix((a * 0x9E6C63D0876A9A35 + b) & m) for a, b in zip(h, h[1:])} | {plain_mix((a * 0xC2B2AE3D27D4EB4F + b) & m) for a, b in zip(h, h[2:])}  # noqa: B905
+        own = {x & ((1 << bits) - 1) for x in own}
+        f, d = tox.features(Words(*utf8_parts(pa.array([t])), ALNUM), bits)
+        assert set(f.tolist()) == own
+        rows.append((sorted(own), int("fool" in t)))
+    alpha, beta, l1, l2, z, n = 1.0, 1.0, 0.5, 0.1, {}, {}
+
+    def weight(i):
+        s = 0.0 if i == "bias" else l1
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= s else -(v - math.copysign(s, v)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(3):
+        for own, y in rows:
+            keys = [*own, "bias"]
+            w = {i: weight(i) for i in keys}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - y
+            for i in keys:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[i]
+                n[i] = old + g * g
+    model = tox.ftrl([(np.array(own, np.int64), y) for own, y in rows], bits=bits, l1=l1)
+    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert set(model.index.tolist()) == set(want) and np.allclose(model.weight, [want[i] for i in model.index.tolist()], atol=1e-4)
+    words = Words(*utf8_parts(pa.array(texts)), ALNUM)
+    assert np.allclose(model.scores(words, model.dense()), [1 / (1 + math.exp(-(model.bias + sum(want.get(i, 0.0) for i in own)))) for own, _ in rows], atol=1e-4)
