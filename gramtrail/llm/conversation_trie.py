@@ -7,7 +7,7 @@ totals of their subtree to the branch above, round by round, until only the root
 root and a leaf, not as turns in the longest conversation. At last each node sums what its own branch holds from it on.
 
 Cases: rows without a conversation id take no part; a null role or text counts as empty; turns go by number, null first, those of one number by role,
-then text; repeated rows are turns of their own; a conversation without turns is a member of the root alone; an empty table has no nodes; other
+then text (the first 64 characters of each, then a hash, so that no text is shuffled or sampled); repeated rows are turns of their own; a conversation without turns is a member of the root alone; an empty table has no nodes; other
 columns are left out. A conversation with very many turns, and a turn, node or conversation with very many copies, is spread over
 tasks: turns are numbered from counts by partition, sums along a branch are taken in blocks of depths, and ids of members are joined to strings of
 at most 4,096 before they are hashed in order.
@@ -24,22 +24,21 @@ from pyspark.sql import functions as F
 
 from .shared import drop, written
 
-BLOCK, IDS = 1 << 16, 1 << 12
+BLOCK, IDS, HEAD = 1 << 16, 1 << 12, 64
 BEFORE, UP_TO = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
 KEY = ["depth", "x1", "x2"]
 
 
 def numbered(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv, place (from 1), two hashes t1 and t2 of role and text, and words: the turns of each conversation in order."""
+    said = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (role, text)]
     rows = turns.select(
-        F.col(f"`{conv_id}`").cast("long").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"),
+        F.col(f"`{conv_id}`").cast("long").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.left(said[0], F.lit(HEAD)).alias("role"), F.left(said[1], F.lit(HEAD)).alias("head"),
+        F.xxhash64(F.lit(1), *said).alias("t1"), F.xxhash64(F.lit(2), *said[::-1]).alias("t2"), F.regexp_count(said[1], F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"), F.monotonically_increasing_id().alias("row"),
     ).where("conv is not null")
-    order = ["conv", "turn", "role", "text", "row"]  # equal rows differ by where they were read, so that even those can be parted
-    out = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(
-        "conv", F.xxhash64(F.lit(1), "role", "text").alias("t1"), F.xxhash64(F.lit(2), "text", "role").alias("t2"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
-        F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"),
-    )
+    order = ["conv", "turn", "role", "head", "t1", "row"]  # equal rows differ by where they were read, so that even those can be parted
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    out = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "t1", "t2", "words", F.spark_partition_id().alias("part"), place.alias("at"))
     placed = written(out, "trie-turns")
     runs = placed.groupBy("conv", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # a row for each conversation and partition
     runs = runs.select("conv", "part", (F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("part").rowsBetween(*BEFORE)), F.lit(0)) - F.col("first") + 1).alias("more"))
