@@ -138,12 +138,12 @@ def _changed(spark: SparkSession, path: str, change: Callable[[dict], dict | Non
 # Writing
 
 
-def _folder(path: str, kind: str) -> str:
+def _folder(kind: str) -> str:
     return f"{kind}-{uuid.uuid4().hex}"
 
 
 def _write_tokens(rows: DataFrame, path: str, parts: int | None = None) -> str:
-    at = _folder(path, "tokens")
+    at = _folder("tokens")
     rows = rows.select(*TOKENS.fieldNames())
     rows = rows.repartition(parts, "token") if parts else rows.repartition("token")
     rows.sortWithinPartitions("token", "doc_id", "local_pos").write.parquet(f"{path}/{at}")
@@ -151,7 +151,7 @@ def _write_tokens(rows: DataFrame, path: str, parts: int | None = None) -> str:
 
 
 def _write(rows: DataFrame, path: str, kind: str, schema: T.StructType) -> str:
-    at = _folder(path, kind)
+    at = _folder(kind)
     rows.select(*schema.fieldNames()).write.parquet(f"{path}/{at}")
     return at
 
@@ -205,7 +205,7 @@ def _layouts(corpus: Corpus, path: str) -> dict:
     lexicon = _write(corpus.lexicon.sort("token"), path, "lexicon", LEXICON)
     words = corpus.spark.read.schema(LEXICON).parquet(f"{path}/{lexicon}")
     pairs = words.select(F.explode(F.array_distinct(X.bigrams(F.col("token")))).alias("pair"), "token")
-    at, rest = _folder(path, "pairs"), _folder(path, "sequence")
+    at, rest = _folder("pairs"), _folder("sequence")
     pairs.repartition("pair").sortWithinPartitions("pair", "token").write.parquet(f"{path}/{at}")
     corpus.tokens.select("pos", "token").repartitionByRange("pos").sortWithinPartitions("pos").write.option("parquet.page.row.count.limit", str(PAGE)).parquet(f"{path}/{rest}")
     stored = corpus.spark.read.schema(PAIRS).parquet(f"{path}/{at}")
