@@ -356,6 +356,34 @@ def test_topk(spark):
     assert sorted((r.vec_id, r.score) for r in got.collect()) == [(1, 4096), (1, 8192), (2, 4096), (2, 8192)] and got.where("rank > 2").count() == 0
 
 
+@pytest.mark.parametrize("cells", [64, 4])
+def test_topk_reads_few_exact_vectors(spark, cells):
+    """Bounds alone rule out most pairs; coarse cells only cost more steps. One vector that all want, copies and copies of one id are among the rows."""
+    r = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(r.normal(0, 0.3, (1500, 24)).astype(np.float32))]
+    rows += [(2000, [2.0] * 24)] + [(3000 + i, rows[1][1]) for i in range(600)] + [(4000, rows[3][1])] * 200
+    df, reads = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), []
+    got = va_topk.top_k(df, F.col("vec_id") % 20 == 0, block=300, query_block=50, k=5, cells=cells, reads=reads)
+    wanted = brute_topk_rows(rows, 5)
+    assert sorted(map(tuple, got.collect())) == wanted
+    asked = sum(i % 20 == 0 for i, _ in rows)
+    assert sum(reads) < (0.02 if cells == 64 else 0.5) * asked * len(rows)
+    assert reads[0] <= 10 * asked
+
+
+def brute_topk_rows(rows, k):
+    """As brute_topk, with numpy."""
+    ids, x = np.array([i for i, _ in rows]), np.floor(64 * np.array([v for _, v in rows], np.float32).astype(float)).astype(int)
+    out = []
+    for q, a in zip(ids, x, strict=True):
+        if q % 20 == 0:
+            other = np.flatnonzero(ids != q)
+            s = x[other] @ a
+            top = np.lexsort((ids[other], -s))[:k]
+            out += [(int(q), n, int(ids[other][t]), int(s[t])) for n, t in enumerate(top, 1)]
+    return sorted(out)
+
+
 # 5: decontamination
 
 
