@@ -70,9 +70,13 @@ def ranges_of(counts: DataFrame) -> DataFrame:
     return ranges.join(after, "token_end", "left")
 
 
-def placed(local: DataFrame, ranges: DataFrame, on: list[str]) -> DataFrame:
-    """Token rows with positions: local ones joined to the start of their file; the last token of a file is followed by the first of the next."""
-    both = local.join(ranges.select(*on, "token_start", "token_count", "after"), on)
+def placed(local: DataFrame, ranges: DataFrame, on: list[str], every: bool = False) -> DataFrame:
+    """Token rows with positions: local ones joined to the start of their file; the last token of a file is followed by the first of the next.
+
+    every says that each token has its file among the ranges; the join is then an outer one, which never takes the tokens for the side to broadcast,
+    however small the compressed texts below them look.
+    """
+    both = local.join(ranges.select(*on, "token_start", "token_count", "after"), on, "left" if every else "inner")
     follow = F.when(F.col("local_pos") + 1 == F.col("token_count"), F.col("after")).otherwise(F.col("next"))
     return both.select("token", (F.col("token_start") + F.col("local_pos")).alias("pos"), "doc_id", "local_pos", "line_no", follow.alias("next"))
 
@@ -100,8 +104,8 @@ class Corpus:
         p = F.col(path) if path else F.col(doc_id).cast("string")
         base = df.select(F.col(doc_id).cast("long").alias("doc_id"), p.alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content")).where("doc_id is not null")
         ranges = ranges_of(counted(base, kind))
-        files = base.join(ranges, "doc_id").select(*FILES.fieldNames())
-        return cls(files, placed(local_tokens(base, kind), ranges, ["doc_id"]), kind)
+        files = base.join(ranges, "doc_id", "left").select(*FILES.fieldNames())  # outer: every file has its range, and no text is broadcast
+        return cls(files, placed(local_tokens(base, kind), ranges, ["doc_id"], every=True), kind)
 
     @classmethod
     def from_tokens(cls, df: DataFrame, token: str = "token", pos: str = "pos") -> "Corpus":
