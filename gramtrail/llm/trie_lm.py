@@ -7,7 +7,7 @@ training texts; before a text are two starts, after it an end, which is a word.
 The counts of the `head` most frequent words are broadcast; those of the others are found in the shards, so that the
 head decides about cost alone. The trie is split into shards by the word of a pair that is not of the head, the
 successor if neither is, and by both words if both are; so all occurrences of a rarer word as a successor meet in its shard,
-which hence knows its count, and no shard outgrows the others. log10 p(w | u, v) is the share of w, the gains of pair and
+which hence knows its count. A shard has at least the events of one pair of head words, however many they are. log10 p(w | u, v) is the share of w, the gains of pair and
 triple over that, k * mu, and less the denominator; the shard of (v, w) gives the former, and for the next
 event, whose context (v, w) is, the denominator, as it has c(v, w) and c(w). A shard is built from the events that meet in
 it: sorted contexts v; pointers to their successors w; pointers from these to the words u before the pair. The numbers of a level are
