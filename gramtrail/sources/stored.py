@@ -25,8 +25,8 @@ from .scratch import ranked
 #: How a stored file begins, its versions, and how a portable bitmap begins without and with runs.
 MAGIC, VERSIONS = b"VIBE", (1, 2, 3, 4)
 PLAIN, RUNS = 12346, 12347
-#: Rows of a batch that a decoder gives.
-ROWS = 1 << 16
+#: Rows of a batch that a decoder gives, and bytes of one that an encoder gives.
+ROWS, BYTES = 1 << 16, 4 << 20
 
 
 def bitmap_positions(data: bytes) -> np.ndarray:
@@ -64,6 +64,9 @@ def bitmap_positions(data: bytes) -> np.ndarray:
 
 def bitmap_of(positions: np.ndarray) -> bytes:
     """A portable bitmap of sorted numbers, without runs."""
+    n = len(positions)
+    if 0 < n <= 4096 and positions[-1] < 1 << 16:  # one container of numbers, as nearly every word of a document has
+        return struct.pack("<IIHHI", PLAIN, 1, 0, n - 1, 16) + positions.astype("<u2").tobytes()
     keys, first = np.unique(positions >> 16, return_index=True)
     parts = np.split(positions & 0xFFFF, first[1:]) if len(keys) else []
     heads, bodies = b"", []
@@ -103,10 +106,12 @@ class Stored:
         count = struct.unpack_from("<Q", raw)[0]
         return [names[i] for i in np.frombuffer(raw, "<u4", count, 8).tolist()]
 
-    def positions(self) -> Iterator[tuple[str, np.ndarray]]:
-        """Each token with its positions."""
+    def positions(self, only: frozenset[str] | None = None) -> Iterator[tuple[str, np.ndarray]]:
+        """Each token, or each of those named, with its positions; others are not decoded."""
         names = self.body.get("lexicon") or []
         for key, value in (self.body.get("token_positions") or {}).items():
+            if only is not None and (names[int(key)] if self.version > 3 else key) not in only:
+                continue
             at = bitmap_positions(base64.b64decode(value)) if self.version > 2 else np.array(json.loads(value), np.int64)
             yield (names[int(key)] if self.version > 3 else key), at
 
@@ -143,23 +148,26 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
-def token_rows(files: DataFrame) -> DataFrame:
-    """path, token and pos (from 0 in each stored file) of files(path, content)."""
+def token_rows(files: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """path, token and pos (from 0 in each stored file) of files(path, content); of the tokens named alone, if any are."""
+    named = None if only is None else frozenset(only)
 
     def rows(own: Stored) -> Iterator[tuple[list, ...]]:
         tokens = own.tokens()
+        at = np.arange(len(tokens)) if named is None else np.array([i for i, t in enumerate(tokens) if t in named], np.int64)
+        tokens = tokens if named is None else [tokens[i] for i in at.tolist()]
         for a in range(0, len(tokens), ROWS):
-            part = tokens[a : a + ROWS]
-            yield pa.array(part, pa.string()), np.arange(a, a + len(part))
+            yield pa.array(tokens[a : a + ROWS], pa.string()), at[a : a + ROWS]
 
     return _each(files, "token string, pos long", rows)
 
 
-def posting_rows(files: DataFrame) -> DataFrame:
-    """path, token and pos by the stored positions, which need not be read for anything else: they let a file be checked."""
+def posting_rows(files: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """path, token and pos by the stored positions, which need not be read for anything else: they let a file be checked. only names tokens; others give no rows."""
+    named = None if only is None else frozenset(only)
 
     def rows(own: Stored) -> Iterator[tuple[list, ...]]:
-        for token, at in own.positions():
+        for token, at in own.positions(named):
             for a in range(0, len(at), ROWS):
                 yield pa.array([token] * len(at[a : a + ROWS]), pa.string()), at[a : a + ROWS].astype(np.int64)
 
@@ -217,27 +225,34 @@ def load_stored(spark: SparkSession, path: str, pattern: str = "*") -> Corpus:
     return corpus(binary_files(spark, path, pattern))
 
 
+def packed(version: int, tokens: list[str], files: list[dict] | None = None) -> bytes:
+    """A stored file of one version."""
+    names = list(dict.fromkeys(tokens))
+    number = {t: i for i, t in enumerate(names)}
+    ids = np.array([number[t] for t in tokens], np.int64)
+    # One stable sort gives the places of every token in order; a pass for each token would grow with the square of a document.
+    places = np.split(np.argsort(ids, kind="stable"), np.cumsum(np.bincount(ids))[:-1]) if len(ids) else []
+    keep = (lambda p: json.dumps(p.tolist())) if version < 3 else (lambda p: base64.b64encode(bitmap_of(p)).decode())
+    raw = struct.pack("<Q", len(ids)) + ids.astype("<u4").tobytes() if version == 4 else "\n".join(tokens).encode()
+    body = {"version": version, "total_tokens": len(tokens), "compressed_tokens": list(gzip.compress(raw, mtime=0)), "token_positions": {str(i) if version == 4 else t: keep(p) for i, (t, p) in enumerate(zip(names, places, strict=True))}}
+    if version == 4:
+        body |= {"lexicon": names, "file_index": {"files": files or []}}
+    return MAGIC + struct.pack("<I", version) + json.dumps(body).encode()
+
+
 def encoded(rows: DataFrame, version: int) -> DataFrame:
     """path and content of stored files of one version, from rows(path, tokens, files): an array of tokens, and of structs path, content, token_start and token_end."""
 
-    def content(tokens: list[str], files: list[dict] | None) -> bytes:
-        names = list(dict.fromkeys(tokens))
-        number = {t: i for i, t in enumerate(names)}
-        ids = np.array([number[t] for t in tokens], np.int64)
-        at = {t: np.flatnonzero(ids == i) for t, i in number.items()}
-        if version == 4:
-            packed = struct.pack("<Q", len(ids)) + ids.astype("<u4").tobytes()
-        else:
-            packed = "\n".join(tokens).encode()
-        keep = (lambda p: json.dumps(p.tolist())) if version < 3 else (lambda p: base64.b64encode(bitmap_of(p)).decode())
-        body = {"version": version, "total_tokens": len(tokens), "compressed_tokens": list(gzip.compress(packed, mtime=0)), "token_positions": {str(number[t]) if version == 4 else t: keep(p) for t, p in at.items()}}
-        if version == 4:
-            body |= {"lexicon": names, "file_index": {"files": files or []}}
-        return MAGIC + struct.pack("<I", version) + json.dumps(body).encode()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path, tokens, files = (batch.column(i).to_pylist() for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array([content(t or [], f) for t, f in zip(tokens, files, strict=True)], pa.binary())], names=["path", "content"])
+            paths, bodies, size = [], [], 0
+            for i in range(batch.num_rows):
+                path, tokens, files = (batch.column(c)[i].as_py() for c in range(3))
+                paths.append(path)
+                bodies.append(packed(version, tokens or [], files))
+                size += len(bodies[-1])
+                if size > BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], names=["path", "content"])
+                    paths, bodies, size = [], [], 0
 
     return rows.select("path", "tokens", "files").mapInArrow(run, "path string, content binary")
