@@ -81,3 +81,25 @@ def test_chunks_are_counted_without_their_text(spark, docs):
         assert {r.chunk_id: r.n for r in got} == {k: n for k, (n, _) in want.items()} and all(abs(r.score - want[r.chunk_id][1] / 2) < 1e-9 for r in got)
     assert evaluate.retrieved(c, ["w0 w1"], 5, 100).columns == ["chunk_id", "n", "score"]
     c.tokens.unpersist(), c.base.unpersist()
+
+
+def test_what_is_stored_is_counted_without_positions(spark, docs, tmp_path):
+    at = f"file://{tmp_path}/index"
+    store.save(Corpus.from_files(docs), at)
+    seen = {}
+    assert shuffled(spark, lambda: seen.update(store.storage_stats(spark, at))) < 2_000
+    assert (seen["total_tokens"], seen["unique_tokens"], seen["n_files"]) == (12_000, 50, 60)
+    store.update(spark, at, spark.createDataFrame([(0, "v x"), (1, ""), (2, "w1 w2"), (90, "y")], "doc_id long, text string"))  # w0 stays in other files
+    store.import_tokens(spark, at, spark.createDataFrame([("z", 0), ("w1", 1)], "token string, pos long"))
+    seen, c = store.storage_stats(spark, at), store.load(spark, at)
+    assert (seen["total_tokens"], seen["unique_tokens"], seen["n_files"]) == (c.tokens.count(), c.tokens.select("token").distinct().count(), c.files.count())
+
+
+def test_layouts_shuffle_tokens_once(spark, docs, tmp_path):
+    c, at = Corpus.from_files(docs).persisted(), f"file://{tmp_path}/index"
+    c.tokens.count()
+    assert shuffled(spark, lambda: store.save(c, at, layouts=True)) < 2 * 12_000  # by position
+    back = store.load(spark, at)
+    assert sorted(map(tuple, back.sequence.collect())) == sorted((r.pos, r.token) for r in c.tokens.collect())
+    assert sorted(map(tuple, back.lexicon.collect())) == sorted(map(tuple, c.lexicon.collect()))
+    c.tokens.unpersist(), c.base.unpersist()
