@@ -1,10 +1,12 @@
 """What is shuffled grows with the texts or the hits, and not with the tokens."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from gramtrail import Corpus
-from gramtrail.operators import evaluate, phrase
+from gramtrail.operators import evaluate, hybrid, phrase
 from gramtrail.sources import store
 
 TEXTS = ["one two\n\nthree one", "", None, "Über-größe 東京 x", "\n\none", "two " * 300 + "\nend", "...", "One two\r\nTWO"]
@@ -103,3 +105,18 @@ def test_layouts_shuffle_tokens_once(spark, docs, tmp_path):
     assert sorted(map(tuple, back.sequence.collect())) == sorted((r.pos, r.token) for r in c.tokens.collect())
     assert sorted(map(tuple, back.lexicon.collect())) == sorted(map(tuple, c.lexicon.collect()))
     c.tokens.unpersist(), c.base.unpersist()
+
+
+def test_repeated_ngrams_are_sorted_once(spark):
+    texts = ["x y " * 150 + "q", *[f"x y w{i}" for i in range(10)]]
+    c = Corpus.from_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).persisted()
+    tokens = " ".join(texts).split()
+    grams = lambda w: list(zip(w, w[1:], strict=False))
+    times, places = Counter(grams(texts[0].split())), Counter(grams(tokens))
+    want = sum(n * places[g] for g, n in times.items())
+    got = []
+    assert shuffled(spark, lambda: got.extend(hybrid.search(c, "q zz", 2, "literal").collect())) < 5_000 < 40_000 < want == len(got)
+    assert [(r.rank, r.position) for r in got] == sorted((r.rank, r.position) for r in got)
+    assert Counter((r.position, r.phrase) for r in got) == Counter({(i, " ".join(g)): times[g] for i, g in enumerate(grams(tokens)) if g in times})
+    assert hybrid.literal(c, "q zz", 2).count() == hybrid.results(c, "q zz", 2, "literal").count() == want
+    c.tokens.unpersist(), c.base.unpersist()
