@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gramtrail import Corpus
 from gramtrail.operators import evaluate, hybrid, phrase
+from gramtrail.plans import catalogue
 from gramtrail.sources import store
 
 TEXTS = ["one two\n\nthree one", "", None, "Über-größe 東京 x", "\n\none", "two " * 300 + "\nend", "...", "One two\r\nTWO"]
@@ -120,3 +121,19 @@ def test_repeated_ngrams_are_sorted_once(spark):
     assert Counter((r.position, r.phrase) for r in got) == Counter({(i, " ".join(g)): times[g] for i, g in enumerate(grams(tokens)) if g in times})
     assert hybrid.literal(c, "q zz", 2).count() == hybrid.results(c, "q zz", 2, "literal").count() == want
     c.tokens.unpersist(), c.base.unpersist()
+
+
+def test_questions_shuffle_no_results(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items = ["w1 w2 w3 w4 x", "w0 w0 w0 w0", "w49 nosuchword W1", "", None]
+    spark.createDataFrame([(f"i{i}", t) for i, t in enumerate(items)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = catalogue.corpus(spark, str(tmp_path))
+    c.tokens.count()
+    got = []
+    assert shuffled(spark, lambda: got.extend(catalogue.QUERIES["question_answers"](spark, str(tmp_path)).collect())) < 2_000
+    by = {r.query_id: r for r in got}
+    assert sum(r.n_results for r in got) > 12_000 and by["i3"].n_results == by["i4"].n_results == 0
+    for i, t in enumerate(items[:3]):
+        one = c.search(" ".join(t.split()[:3])).collect()
+        assert (by[f"i{i}"].n_results, by[f"i{i}"].n_exact, by[f"i{i}"].n_files) == (len(one), sum(r.confidence == 1.0 for r in one), len({r.file_path for r in one}))
+    c.tokens.unpersist(), c.base.unpersist()
