@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gramtrail import Corpus
-from gramtrail.operators import evaluate, hybrid, phrase
+from gramtrail.operators import context, evaluate, hybrid, phrase
 from gramtrail.plans import catalogue
 from gramtrail.sources import store
 
@@ -137,3 +137,27 @@ def test_questions_shuffle_no_results(spark, docs, tmp_path):
         one = c.search(" ".join(t.split()[:3])).collect()
         assert (by[f"i{i}"].n_results, by[f"i{i}"].n_exact, by[f"i{i}"].n_files) == (len(one), sum(r.confidence == 1.0 for r in one), len({r.file_path for r in one}))
     c.tokens.unpersist(), c.base.unpersist()
+
+
+@pytest.mark.parametrize("window,budget,strict", [(5, 100, False), (5, 7, True), (70_000, 40, False), (0, 10**6, False)])
+def test_windows_are_numbered_without_their_places(spark, docs, window, budget, strict):
+    c = Corpus.from_files(docs).persisted()
+    total = c.tokens.count()
+    hits = phrase.positions(c, ["w7"]).select("position").localCheckpoint()
+    at = sorted(r.position for r in hits.collect())
+    config, got = context.PromptConfig(max_context_tokens=budget, window=window, strict_budget=strict), []
+    # Neither a shuffle nor a broadcast has a row for each place of a window.
+    assert shuffled(spark, lambda: got.extend(context.relevant_positions(c, hits, config).collect())) < 4 * len(at) + 200
+    places = sorted({p for h in at for p in range(max(h - window, 0), min(h + window + 1, total))})
+    step = max(-(-len(places) // budget) if strict else len(places) // budget, 1)
+    words = {r.pos: r.token for r in c.tokens.collect()}
+    assert sorted((r.pos, r.token) for r in got) == [(p, words[p]) for p in places[::step]]
+    c.tokens.unpersist(), c.base.unpersist()
+
+
+def test_few_hits_are_no_wide_broadcast(spark, docs, monkeypatch):
+    c = Corpus.from_files(docs)
+    asked, own = [], Corpus.looked_up
+    monkeypatch.setattr(Corpus, "looked_up", lambda self, around, few: asked.append((around.count(), few)) or own(self, around, few))
+    context.relevant_positions(c, phrase.positions(c, ["w7"]), context.PromptConfig(max_context_tokens=10)).collect()
+    assert asked == [(n, True) for n, _ in asked] and all(n < 20 for n, _ in asked)
