@@ -161,3 +161,13 @@ def test_few_hits_are_no_wide_broadcast(spark, docs, monkeypatch):
     monkeypatch.setattr(Corpus, "looked_up", lambda self, around, few: asked.append((around.count(), few)) or own(self, around, few))
     context.relevant_positions(c, phrase.positions(c, ["w7"]), context.PromptConfig(max_context_tokens=10)).collect()
     assert asked == [(n, True) for n, _ in asked] and all(n < 20 for n, _ in asked)
+
+
+def test_a_prompt_shuffles_hits_and_words(spark, docs):
+    c = Corpus.from_files(docs).persisted()
+    c.tokens.count()
+    got = []
+    assert shuffled(spark, lambda: got.append(context.build_prompt(c, "w9x", [["w7"]], context.PromptConfig(max_context_tokens=10)).first())) < 1_200
+    places = sorted({p for r in c.tokens.collect() if r.token in ("w7", "w9") for p in range(max(r.pos - 5, 0), min(r.pos + 6, 12_000))})  # w9 is near w9x
+    assert got[0].original_token_count == 12_000 and got[0].prompt_tokens[1:-4:2] == [f"[{p}]" for p in places[:: len(places) // 10]]
+    c.tokens.unpersist(), c.base.unpersist()
