@@ -171,3 +171,17 @@ def test_a_prompt_shuffles_hits_and_words(spark, docs):
     places = sorted({p for r in c.tokens.collect() if r.token in ("w7", "w9") for p in range(max(r.pos - 5, 0), min(r.pos + 6, 12_000))})  # w9 is near w9x
     assert got[0].original_token_count == 12_000 and got[0].prompt_tokens[1:-4:2] == [f"[{p}]" for p in places[:: len(places) // 10]]
     c.tokens.unpersist(), c.base.unpersist()
+
+
+def test_segments_are_read_by_their_texts(spark, docs, tmp_path):
+    at, rows = f"file://{tmp_path}/index", docs.select(F.format_string("p%02d", "doc_id").alias("path"), "text", "doc_id")
+    for part in (rows.where("doc_id < 25"), rows.where("doc_id >= 25")):
+        c = store.append(spark, at, part, order="doc_id")
+    names = ["token", "pos", "doc_id", "local_pos", "line_no", "next", "path"]
+    rows = lambda df: sorted(map(repr, df.select(*names).collect()))
+    got = []
+    assert shuffled(spark, lambda: got.extend(rows(c.all_tokens("path")))) < 1_000 < 12_000 == len(got)
+    for change in (None, lambda: store.update(spark, at, spark.createDataFrame([(0, "é x\n\nw1"), (7, None), (90, "y")], "doc_id long, text string")), lambda: store.import_tokens(spark, at, spark.createDataFrame([("z", 0), ("w1", 1)], "token string, pos long"))):
+        c = change() if change else c
+        assert rows(c.all_tokens("path")) == rows(c.tokens.join(c.files.select("doc_id", "path"), "doc_id", "left"))
+    assert c.texts is None and rows(Corpus.from_files(docs).all_tokens("path")) == rows(Corpus.from_files(docs).tokens.withColumn("path", F.col("doc_id").cast("string")))
