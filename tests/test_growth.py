@@ -1,6 +1,7 @@
 """What is shuffled grows with the texts or the hits, and not with the tokens."""
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,30 @@ def test_segments_are_read_by_their_texts(spark, docs, tmp_path):
         c = change() if change else c
         assert rows(c.all_tokens("path")) == rows(c.tokens.join(c.files.select("doc_id", "path"), "doc_id", "left"))
     assert c.texts is None and rows(Corpus.from_files(docs).all_tokens("path")) == rows(Corpus.from_files(docs).tokens.withColumn("path", F.col("doc_id").cast("string")))
+
+
+@pytest.mark.parametrize("kind", ["core", "agent"])
+def test_layouts_shuffle_texts_and_words(spark, docs, tmp_path, kind):
+    c, at = Corpus.from_files(docs, kind=kind).persisted(), f"file://{tmp_path}/index"
+    c.tokens.count()
+    assert shuffled(spark, lambda: store.save(c, at, layouts=True)) < 6_000 < 12_000
+    back = store.load(spark, at)
+    assert sorted(map(tuple, back.sequence.collect())) == sorted((r.pos, r.token) for r in c.tokens.collect())
+    folder = store.manifest(spark, at)["layouts"]["sequence"]
+    by_file = spark.read.parquet(f"{at}/{folder}").withColumn("f", F.input_file_name()).groupBy("f").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n")).collect()
+    assert all(r.b - r.a + 1 == r.n for r in by_file)  # each file is one range of positions
+    size = sum(f.stat().st_size for f in (tmp_path / "index" / folder).glob("*.parquet"))
+    assert size < 3 * 12_000  # positions take less than a few bits
+    asked = spark.createDataFrame([(3, 1), (40, 1)], "doc_id long, line_no int")
+    got = []
+    assert shuffled(spark, lambda: got.extend(back.lines_at(asked, True).collect())) <= 70  # two texts and the rows of live
+    assert sorted(map(tuple, got)) == sorted(map(tuple, c.lines_at(asked, True).collect()))
+    c.tokens.unpersist(), c.base.unpersist()
+
+
+def test_an_append_leaves_no_copy(spark, docs, tmp_path):
+    shared = spark.conf.get("spark.checkpoint.dir") or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folders = lambda: set(Path(shared.removeprefix("file://")).glob("*"))
+    before = folders()
+    c = store.append(spark, f"file://{tmp_path}/index", docs.select(F.col("doc_id").cast("string").alias("path"), "text", "doc_id"), order="doc_id")
+    assert folders() == before and c.tokens.count() == 12_000
